@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_output
+from . import byte_bpe, decontam, token_output, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,9 +47,51 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words and items of the benchmark each document holds."""
+    found = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives."""
+    records = warc.warc_round_trip(_read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_token_output": op7_token_output, "op8_byte_bpe": op8_byte_bpe}
+    return {f.__name__: f for f in (op2_decontamination, op7_token_output, op8_byte_bpe, op10_warc)}
+
+
+OP2_SQL = r"""
+WITH i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+test AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, list_slice(w, k, k + least(len(w), 10) - 1) AS win
+         FROM i, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(k) WHERE len(w) > 0),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+found AS (SELECT DISTINCT d.doc_id, p, s.m, s.item_id
+          FROM d, (SELECT DISTINCT m FROM test) AS sizes, unnest(range(1, len(d.w) - sizes.m + 2)) AS t(p), test AS s
+          WHERE s.m = sizes.m AND list_slice(d.w, p, p + sizes.m - 1) = s.win),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM found, unnest(range(p, p + m)) AS t(q) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS holder FROM p GROUP BY h)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((CAST('0x' || substr(h, ((5 * i) // 4 + 1)::INT, 2) AS INT)) >> (3 - (5 * i) % 4)::INT) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+FROM p JOIN g USING (h)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL, "op10_warc": OP10_SQL}
