@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, token_output, warc
+from . import byte_bpe, decontam, simhash, token_output, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,12 @@ def _vocabulary(name: str) -> Path:
     return Path(public_tokenizers.path(name))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document's ids as read back from a token store."""
     docs = _read(spark, sf_dir, "documents")
@@ -62,7 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op7_token_output, op8_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op2_decontamination, op5_simhash, op7_token_output, op8_byte_bpe, op10_warc)}
 
 
 OP2_SQL = r"""
