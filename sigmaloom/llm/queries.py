@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, simhash, token_output, warc
+from . import byte_bpe, decontam, simhash, suffix_dedup, token_output, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,12 @@ def _vocabulary(name: str) -> Path:
     return Path(public_tokenizers.path(name))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 200 bytes that repeat."""
+    rest = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -68,7 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_simhash, op7_token_output, op8_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op5_simhash, op7_token_output, op8_byte_bpe, op10_warc)}
 
 
 OP2_SQL = r"""
