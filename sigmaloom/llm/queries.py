@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, langid, simhash, suffix_dedup, token_output, warc
+from . import byte_bpe, decontam, embed_dedup, langid, simhash, suffix_dedup, token_output, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at a cosine of 0.9 or more, and its component."""
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document's ids as read back from a token store."""
     docs = _read(spark, sf_dir, "documents")
@@ -88,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op5_simhash, op7_token_output, op8_byte_bpe, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op5_simhash, op6_embedding_dedup, op7_token_output, op8_byte_bpe, op10_warc, pipeline)}
 
 
 OP2_SQL = r"""
@@ -119,5 +124,18 @@ FROM p JOIN g USING (h)
 """
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a, v AS b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach AS r JOIN pairs AS p ON r.b = p.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op10_warc": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op10_warc": OP10_SQL}
