@@ -101,9 +101,10 @@ def parse(page: str) -> Element:
             stack[-1].add(" ")
             continue
         words = "" if m["close"] or m["close2"] else _words(m["attrs"] or "")
-        if name in INLINE and not words:
+        closes = m["close"] or m["close2"]
+        if name in INLINE and not words and not (closes and stack[-1].tag == name):
             continue
-        if m["close"] or m["close2"]:
+        if closes:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == name:
                     del stack[depth:]
