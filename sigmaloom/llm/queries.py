@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, embed_dedup, html_main, langid, simhash, suffix_dedup, token_output, warc
+from . import byte_bpe, chat_format, decontam, embed_dedup, html_main, langid, simhash, suffix_dedup, token_output, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its repaired role and its part of the rendered conversation."""
+    return chat_format.format_chats(_read(spark, sf_dir, "conversations")).drop("pos")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the archives."""
     records = warc.warc_round_trip(_read(spark, sf_dir, "pages"))
@@ -98,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_html_main_text, op5_simhash, op6_embedding_dedup, op7_token_output, op8_byte_bpe, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_html_main_text, op5_simhash, op6_embedding_dedup, op7_token_output, op8_byte_bpe, op9_chat_format, op10_warc, pipeline)}
 
 
 OP2_SQL = r"""
