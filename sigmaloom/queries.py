@@ -1,11 +1,399 @@
-"""Registered queries of the quality-analytics operators and their SQL."""
+"""Registered queries of the quality-analytics operators and the SQL that gives the same rows.
+
+Every query reads whole tables. Doubles are rounded on both sides, to `digits` decimals.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import capability, describe, inference, msa, multivariate, nonparametric, regression, reliability, rows, spc, timeseries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, tables: str, sql: str | None = None, rounded: str = "", digits: int = 6):
+    """Register a function of the named tables; `rounded` columns are rounded in the result and in the SQL."""
+    columns = rounded.split()
+
+    def register(function):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = function(*[table(spark, sf_dir, t) for t in tables.split()])
+            return out.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in columns})
+
+        QUERIES[name] = run
+        if sql is not None:
+            swap = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in columns)
+            SQL[name] = f"SELECT * REPLACE ({swap}) FROM ({sql})" if columns else sql
+        return function
+
+    return register
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["imr_chart"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# Rows and cells ---------------------------------------------------------------------------------------------
+
+_PROPS = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '*' WHEN event_id % 11 = 0 THEN 'n/a' WHEN event_id % 13 = 0 THEN 'abc' ELSE CAST(value AS VARCHAR) END AS cell FROM events"
+
+
+def _cells(e: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    return e.withColumn("cell", F.when(i % 7 == 0, "*").when(i % 11 == 0, "n/a").when(i % 13 == 0, "abc").otherwise(F.col("value").cast("string")))
+
+
+@query("column_kinds", "events", f"""
+SELECT 'cell' AS "column", 'numeric' AS kind, count(*) FILTER (cell NOT IN ('*', 'n/a', 'abc')) AS n_valid, count(*) FILTER (cell IN ('*', 'n/a')) AS n_missing, count(*) FILTER (cell = 'abc') AS n_invalid FROM ({_PROPS})
+UNION ALL SELECT 'event_type', CASE WHEN bool_and(regexp_matches(event_type, '[-/:Tt]')) THEN 'time' ELSE 'categorical' END, count(*), 0, 0 FROM events""")
+def _(e):
+    return rows.column_kinds(_cells(e), ["cell", "event_type"])
+
+
+@query("extract_counts", "events", f"SELECT count(*) FILTER (event_id % 5 = 0) AS n_excluded, count(*) FILTER (event_id % 5 <> 0 AND cell IN ('*', 'n/a')) AS n_missing, count(*) FILTER (event_id % 5 <> 0 AND cell = 'abc') AS n_invalid, count(*) FILTER (event_id % 5 <> 0 AND cell NOT IN ('*', 'n/a', 'abc')) AS n_used FROM ({_PROPS})")
+def _(e):
+    return rows.extract_counts(_cells(e), "cell", F.col("event_id") % 5 == 0)
+
+
+@query("extract_number", "events", f"SELECT event_id, CAST(cell AS DOUBLE) AS value FROM ({_PROPS}) WHERE cell NOT IN ('*', 'n/a', 'abc')", "value")
+def _(e):
+    return rows.extract_number(_cells(e).drop("value"), "cell").select("event_id", "value")
+
+
+@query("row_visibility", "events", "SELECT count(*) AS n_rows, count(*) FILTER (event_id % 3 = 0) AS n_hidden, count(*) FILTER (event_id % 4 = 0) AS n_excluded, count(*) FILTER (event_id % 12 = 0) AS n_both, count(*) FILTER (event_id % 3 <> 0) AS n_shown, count(*) FILTER (event_id % 4 <> 0) AS n_analysed FROM events")
+def _(e):
+    return rows.visibility(e, F.col("event_id") % 3 == 0, F.col("event_id") % 4 == 0)
+
+
+@query("structured_filter", "orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice >= 100000 AND o_orderstatus IS NOT NULL AND o_custkey <> 5")
+def _(o):
+    return rows.structured_filter(o, [("o_orderpriority", "LIKE", "1%"), ("o_totalprice", ">=", 100000), ("o_orderstatus", "IS NOT NULL"), ("o_custkey", "!=", 5)]).select("o_orderkey", "o_totalprice")
+
+
+@query("worksheet_filter", "customer", "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_mktsegment), 'build') AND (contains(CAST(c_custkey AS VARCHAR), '1') OR contains(lower(c_name), '1') OR contains(CAST(c_nationkey AS VARCHAR), '1') OR contains(CAST(c_acctbal AS VARCHAR), '1') OR contains(lower(c_mktsegment), '1'))")
+def _(c):
+    return rows.worksheet_filter(c, "1", {"c_mktsegment": "BUILD"}).select("c_custkey", "c_name")
+
+
+@query("keyset_page", "lineitem", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey > 20 OR (l_orderkey = 20 AND l_linenumber > 2) ORDER BY 1, 2 LIMIT 100")
+def _(li):
+    return rows.keyset_page(li.select("l_orderkey", "l_linenumber").distinct(), ["l_orderkey", "l_linenumber"], (20, 2), 100)
+
+
+@query("rows_except", "orders customer", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def _(o, c):
+    return rows.without_rows(c, o.where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey").select("c_custkey")
+
+
+@query("stack_columns", "part", "SELECT p_partkey, factor, response FROM (UNPIVOT (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) ON p_size, p_retailprice INTO NAME factor VALUE response)", "response")
+def _(p):
+    return rows.stack(p.select("p_partkey", F.col("p_size").cast("double"), "p_retailprice"), ["p_partkey"], ["p_size", "p_retailprice"])
+
+
+@query("mid_ranks", "part", "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS mid_rank FROM part", "mid_rank")
+def _(p):
+    return rows.mid_ranks(p, "p_size").select("p_partkey", "mid_rank")
+
+
+# Summaries and the data of plots ----------------------------------------------------------------------------
+
+_DESCRIBE = """count({x}) AS n, count(*) FILTER ({x} IS NULL) AS n_missing, avg({x}) AS mean, stddev_samp({x}) / sqrt(count({x})) AS se_mean, stddev_samp({x}) AS stdev, stddev_pop({x}) AS stdev_pop,
+var_samp({x}) AS variance, min({x}) AS minimum, quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.5) AS median, quantile_cont({x}, 0.75) AS q3, max({x}) AS maximum,
+quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) AS iqr, max({x}) - min({x}) AS "range", sum({x}) AS "sum", skewness({x}) AS skewness, kurtosis({x}) AS kurtosis"""
+_DESCRIBED = "mean se_mean stdev stdev_pop variance minimum q1 median q3 maximum iqr range sum skewness kurtosis"
+
+
+@query("descriptive", "lineitem", f"SELECT {_DESCRIBE.format(x='l_quantity')} FROM lineitem", _DESCRIBED, 5)
+def _(li):
+    return describe.descriptive(li, "l_quantity")
+
+
+@query("descriptive_by", "events", f"SELECT event_type, {_DESCRIBE.format(x='value')} FROM events GROUP BY event_type", _DESCRIBED, 4)
+def _(e):
+    return describe.descriptive(e, "value", ["event_type"])
+
+
+@query("histogram", "events", """
+WITH s AS (SELECT min(value) AS lo, max(value) AS hi, greatest(5, least(30, ceil(log2(count(*)) + 1)))::INT AS k FROM events),
+c AS (SELECT least(floor((value - lo) / ((hi - lo) / k)), k - 1)::INT AS bin, count(*) AS c FROM events, s GROUP BY 1)
+SELECT b::INT AS bin, lo + b * ((hi - lo) / k) AS low, lo + (b + 1) * ((hi - lo) / k) AS high, coalesce(c, 0) AS count FROM (SELECT *, unnest(range(k)) AS b FROM s) LEFT JOIN c ON b = bin""", "low high")
+def _(e):
+    return describe.histogram(e, "value")
+
+
+@query("histogram_edges", "part", """
+SELECT b::INT AS bin, [900, 1000, 1200, 1500, 2000][b + 1]::DOUBLE AS low, [900, 1000, 1200, 1500, 2000][b + 2]::DOUBLE AS high, count(p_partkey) AS count
+FROM (SELECT unnest(range(4)) AS b) LEFT JOIN part ON p_retailprice >= [900, 1000, 1200, 1500, 2000][b + 1] AND (p_retailprice < [900, 1000, 1200, 1500, 2000][b + 2] OR (b = 3 AND p_retailprice = 2000)) GROUP BY b""")
+def _(p):
+    return describe.histogram_edges(p, "p_retailprice", [900, 1000, 1200, 1500, 2000])
+
+
+@query("box_plot", "orders", """
+WITH q AS (SELECT o_orderpriority, count(*) AS n, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
+r AS (SELECT *, o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM orders JOIN q USING (o_orderpriority))
+SELECT o_orderpriority, n, q1, median, q3, min(o_totalprice) FILTER (inside) AS whisker_low, max(o_totalprice) FILTER (inside) AS whisker_high, count(*) FILTER (NOT inside) AS n_outliers FROM r GROUP BY ALL""", "q1 median q3 whisker_low whisker_high", 4)
+def _(o):
+    return describe.box_plot(o, "o_totalprice", ["o_orderpriority"])
+
+
+@query("ecdf", "part", "SELECT DISTINCT p_retailprice AS x, cume_dist() OVER (ORDER BY p_retailprice) AS probability FROM part", "probability")
+def _(p):
+    return describe.ecdf(p, "p_retailprice")
+
+
+@query("bar_counts", "events", "SELECT event_type AS category, sum(value) AS total, min(event_id) AS first_row FROM events GROUP BY 1", "total", 4)
+def _(e):
+    return describe.bar_counts(e, "event_type", "event_id", "value")
+
+
+@query("pareto", "part", """
+WITH c AS (SELECT p_type AS category, count(*) AS n FROM part WHERE trim(p_type) NOT IN ('', '*') GROUP BY 1),
+s AS (SELECT *, sum(n) OVER () AS total, coalesce(sum(n) OVER (ORDER BY n DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+g AS (SELECT CASE WHEN 100 * before / total > 80 THEN 'Other' ELSE category END AS category, 100 * before / total > 80 AS other, sum(n) AS n, max(total) AS total FROM s GROUP BY 1, 2)
+SELECT category, CAST(n AS BIGINT) AS count, 100 * n / total AS percent, 100 * sum(n) OVER (ORDER BY other, n DESC, category) / total AS cumulative_percent FROM g""", "percent cumulative_percent")
+def _(p):
+    return describe.pareto(p, "p_type", threshold=80.0)
+
+
+@query("pie", "part", """
+WITH c AS (SELECT p_brand AS category, sum(p_size)::DOUBLE AS w FROM part GROUP BY 1), s AS (SELECT *, 100 * w / sum(w) OVER () AS percent FROM c)
+SELECT CASE WHEN percent < 4 THEN 'Other' ELSE category END AS category, sum(w) AS weight, sum(percent) AS percent FROM s GROUP BY 1""", "percent")
+def _(p):
+    return describe.pie(p, "p_brand", "p_size", 4.0)
+
+
+@query("density", "part", """
+WITH s AS (SELECT count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi, 0.9 * least(stddev_samp(p_retailprice), (quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25)) / 1.34) * count(*) ** -0.2 AS h FROM part),
+g AS (SELECT *, lo - 3 * h + i * ((hi - lo + 6 * h) / 63) AS x FROM s, unnest(range(64)) AS t(i)),
+v AS (SELECT p_retailprice AS v, count(*) AS c FROM part GROUP BY 1)
+SELECT x, sum(c * exp(-0.5 * ((x - v) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density FROM g, v GROUP BY x""", "x density", 8)
+def _(p):
+    return describe.kde(p, "p_retailprice", bins=1 << 20)
+
+
+@query("bins_2d", "orders lineitem", """
+WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem), s AS (SELECT min(x) AS x0, (max(x) - min(x)) / 10 AS xw, min(y) AS y0, (max(y) - min(y)) / 10 AS yw FROM r)
+SELECT least(floor((x - x0) / xw), 9)::INT AS x_bin, least(floor((y - y0) / yw), 9)::INT AS y_bin, count(*) AS count FROM r, s GROUP BY 1, 2""")
+def _(o, li):
+    return describe.bins_2d(li, "l_quantity", "l_extendedprice", 10)
+
+
+@query("interval_plot", "orders")
+def _(o):
+    return describe.interval(o, "o_totalprice", ["o_orderpriority"])
+
+
+@query("category_heatmap", "lineitem", "SELECT l_returnflag, l_linestatus, avg(l_quantity) AS mean, count(*) AS count FROM lineitem GROUP BY 1, 2", "mean")
+def _(li):
+    return describe.category_heatmap(li, "l_returnflag", "l_linestatus", "l_quantity")
+
+
+@query("variability", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_discount) AS mean, coalesce(stddev_samp(l_discount), 0) AS s FROM lineitem GROUP BY 1, 2", "mean s")
+def _(li):
+    return describe.variability(li, "l_discount", ["l_returnflag", "l_linestatus"])
+
+
+@query("multi_vari", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_quantity) AS mean FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_returnflag, l_linestatus))", "mean")
+def _(li):
+    return describe.multi_vari(li, "l_quantity", ["l_returnflag", "l_linestatus"])
+
+
+@query("cause_and_effect", "nation region", "SELECT r_name, string_agg(DISTINCT n_name, '; ' ORDER BY n_name) AS causes, count(DISTINCT n_name) AS n_causes FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _(n, r):
+    return describe.cause_and_effect(n.join(r, n.n_regionkey == r.r_regionkey), "r_name", "n_name")
+
+
+_CROSS = """WITH c AS (SELECT l_returnflag AS r, l_linestatus AS c, count(*) AS o FROM lineitem GROUP BY 1, 2), a AS (SELECT r, sum(o) AS rn FROM c GROUP BY 1), b AS (SELECT c, sum(o) AS cn FROM c GROUP BY 1), t AS (SELECT sum(o) AS n FROM c),
+cells AS (SELECT r, c, coalesce(o, 0) AS o, rn * cn / n AS e, rn, cn, n FROM a CROSS JOIN b CROSS JOIN t LEFT JOIN c USING (r, c)) """
+
+
+@query("cross_table", "lineitem", _CROSS + "SELECT r AS l_returnflag, c AS l_linestatus, CAST(o AS BIGINT) AS count, e AS expected, 100 * o / rn AS row_percent, 100 * o / cn AS column_percent, 100 * o / n AS total_percent, (o - e) / sqrt(e) AS residual, (o - e) / sqrt(e) / sqrt((1 - rn / n) * (1 - cn / n)) AS adjusted_residual FROM cells", "expected row_percent column_percent total_percent residual adjusted_residual")
+def _(li):
+    return describe.cross_table(li, "l_returnflag", "l_linestatus")
+
+
+@query("chi_square", "lineitem", _CROSS + "SELECT sum((o - e) ** 2 / e) AS chi_square, 2 * sum(CASE WHEN o > 0 THEN o * ln(o / e) ELSE 0 END) AS likelihood_ratio, (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS df, min(e) AS least_expected, CAST(sum(o) AS BIGINT) AS n FROM cells", "chi_square likelihood_ratio least_expected")
+def _(li):
+    return describe.chi_square(li, "l_returnflag", "l_linestatus").drop("p_value")
+
+
+@query("chi_square_p", "orders")
+def _(o):
+    return describe.chi_square(o, "o_orderstatus", "o_orderpriority")
+
+
+@query("chi_square_fit", "events", "WITH c AS (SELECT event_type AS category, count(*) AS observed FROM events GROUP BY 1), e AS (SELECT *, sum(observed) OVER () / count(*) OVER () AS expected FROM c) SELECT category, observed, expected, (observed - expected) ** 2 / expected AS contribution FROM e", "expected contribution")
+def _(e):
+    return describe.chi_square_fit(e, "event_type")
+
+
+# Control charts ---------------------------------------------------------------------------------------------
+
+_IMR = """WITH r AS (SELECT *, abs(value - lag(value) OVER w) AS moving_range FROM events WINDOW w AS (ORDER BY event_id)),
+l AS (SELECT avg(value) AS centre, avg(moving_range) AS mr_centre, avg(moving_range) / 1.128 AS sigma FROM r) """
+
+
+@query("imr_chart", "events", _IMR + """
+, p AS (SELECT event_id, value, moving_range, centre, sigma, centre - 3 * sigma AS lower, centre + 3 * sigma AS upper, sign(value - centre) AS side, (value - centre) / sigma AS z, sign(value - lag(value) OVER (ORDER BY event_id)) AS step FROM r, l),
+q AS (SELECT *, step * lag(step) OVER (ORDER BY event_id) AS turn FROM p),
+e AS (SELECT *, sum((side = 1)::INT) OVER w9 = 9 OR sum((side = -1)::INT) OVER w9 = 9 AS e2, sum((step = 1)::INT) OVER w5 = 5 OR sum((step = -1)::INT) OVER w5 = 5 AS e3, sum((turn = -1)::INT) OVER w12 = 12 AS e4,
+  count(*) OVER w3 = 3 AND (sum((z > 2)::INT) OVER w3 >= 2 OR sum((z < -2)::INT) OVER w3 >= 2) AS e5, count(*) OVER w5 = 5 AND (sum((z > 1)::INT) OVER w5 >= 4 OR sum((z < -1)::INT) OVER w5 >= 4) AS e6,
+  sum((abs(z) < 1)::INT) OVER w15 = 15 AS e7, sum((abs(z) > 1)::INT) OVER w8 = 8 AS e8
+  FROM q WINDOW w3 AS (ORDER BY event_id ROWS 2 PRECEDING), w5 AS (ORDER BY event_id ROWS 4 PRECEDING), w8 AS (ORDER BY event_id ROWS 7 PRECEDING), w9 AS (ORDER BY event_id ROWS 8 PRECEDING), w12 AS (ORDER BY event_id ROWS 11 PRECEDING), w15 AS (ORDER BY event_id ROWS 14 PRECEDING))
+SELECT event_id, value, moving_range, centre, lower, upper, value < lower OR value > upper AS test_1,
+  bool_or(coalesce(e2, false)) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS test_2, bool_or(coalesce(e3, false)) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS test_3,
+  bool_or(coalesce(e4, false)) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS test_4, bool_or(e5) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS test_5,
+  bool_or(e6) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS test_6, bool_or(e7) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS test_7, bool_or(e8) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS test_8 FROM e""", "value moving_range centre lower upper", 5)
+def _(e):
+    return spc.individuals(e, "value", "event_id").select("event_id", "value", "moving_range", "centre", "lower", "upper", *[f"test_{t}" for t in spc.TESTS])
+
+
+@query("imr_by_type", "events", f"""
+WITH r AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS moving_range FROM events),
+l AS (SELECT event_type, avg(value) AS centre, avg(moving_range) AS mr_centre FROM r GROUP BY 1)
+SELECT event_type, event_id, value, moving_range, centre, mr_centre, centre - 3 * mr_centre / 1.128 AS lower, centre + 3 * mr_centre / 1.128 AS upper, {spc.range_factors(2)[2]!r} * mr_centre AS mr_upper FROM r JOIN l USING (event_type)""", "value moving_range centre mr_centre lower upper mr_upper", 2)
+def _(e):
+    return spc.individuals(e, "value", "event_id", ["event_type"]).select("event_type", "event_id", "value", "moving_range", "centre", "mr_centre", "lower", "upper", "mr_upper")
+
+
+_SG = "WITH sg AS (SELECT event_id // 5 AS sg, count(*) AS n, avg(value) AS mean, max(value) - min(value) AS r, stddev_samp(value) AS s FROM events GROUP BY 1 HAVING count(*) = 5) "
+
+
+def _grouped(e: DataFrame) -> DataFrame:
+    return e.withColumn("sg", F.floor(F.col("event_id") / 5))
+
+
+@query("xbar_r", "events", _SG + f", l AS (SELECT avg(mean) AS c, avg(r) AS rc FROM sg) SELECT sg, mean, r AS \"range\", c AS centre, c - {spc.range_factors(5)[0]!r} * rc AS lower, c + {spc.range_factors(5)[0]!r} * rc AS upper, rc AS r_centre, 0.0 * rc AS r_lower, {spc.range_factors(5)[2]!r} * rc AS r_upper, mean < c - {spc.range_factors(5)[0]!r} * rc OR mean > c + {spc.range_factors(5)[0]!r} * rc AS out FROM sg, l", "mean range centre lower upper r_centre r_lower r_upper", 5)
+def _(e):
+    return spc.xbar_r(_grouped(e), "value", "sg", 5)
+
+
+@query("xbar_s", "events", _SG + f", l AS (SELECT avg(mean) AS c, avg(s) AS sc, {spc.c4(5)!r} AS k FROM sg) SELECT sg, mean, s, c AS centre, c - 3 / (k * sqrt(5)) * sc AS lower, c + 3 / (k * sqrt(5)) * sc AS upper, sc AS s_centre, 0.0 * sc AS s_lower, (1 + 3 * sqrt(1 - k * k) / k) * sc AS s_upper, abs(mean - c) > 3 / (k * sqrt(5)) * sc AS out FROM sg, l", "mean s centre lower upper s_centre s_lower s_upper", 5)
+def _(e):
+    return spc.xbar_s(_grouped(e), "value", "sg", 5)
+
+
+@query("within_sigma", "events", _SG + "SELECT avg(r) / 2.326 AS sigma_within, count(*) AS n_subgroups FROM sg", "sigma_within")
+def _(e):
+    return spc.within_sigma(_grouped(e), "value", "sg", 5)
+
+
+@query("imr_rs", "events", _SG + """, m AS (SELECT *, abs(mean - lag(mean) OVER (ORDER BY sg)) AS mr FROM sg), t AS (SELECT count(*) AS n_subgroups, avg(mean) AS centre, avg(mr) AS mr_centre, avg(r) / 2.326 AS sigma_within FROM m)
+SELECT *, centre - 3 * mr_centre / 1.128 AS lower, centre + 3 * mr_centre / 1.128 AS upper, sqrt(greatest(0, (mr_centre / 1.128) ** 2 - sigma_within ** 2 / 5)) AS sigma_between, sqrt(greatest(0, (mr_centre / 1.128) ** 2 - sigma_within ** 2 / 5) + sigma_within ** 2) AS sigma_total FROM t""", "centre mr_centre lower upper sigma_within sigma_between sigma_total", 5)
+def _(e):
+    return spc.imr_rs(_grouped(e), "value", "sg", 5)
+
+
+_MONTH = "WITH m AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) FILTER (l_returnflag = 'R') AS d, count(*) AS n FROM lineitem GROUP BY 1) "
+
+
+def _monthly(li: DataFrame) -> DataFrame:
+    return li.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count_if(F.col("l_returnflag") == "R").alias("d"), F.count("*").alias("n"))
+
+
+for _kind, _value, _centre, _sd, _cap in (
+    ("p", "d / n", "b", "sqrt(b * (1 - b) / n)", "least(1, {})"), ("np", "d", "n * b", "sqrt(n * b * (1 - b))", "{}"), ("u", "d / n", "b", "sqrt(b / n)", "{}"), ("c", "d", "b", "sqrt(b)", "{}"),
+):
+    @query(f"{_kind}_chart", "lineitem", _MONTH + f", t AS (SELECT {'sum(d) / count(*)' if _kind == 'c' else 'sum(d) / sum(n)'} AS b FROM m), p AS (SELECT month, d, n, CAST({_value} AS DOUBLE) AS value, {_centre} AS centre, {_sd} AS sd FROM m, t) SELECT month, d, n, value, centre, greatest(0, centre - 3 * sd) AS lower, {_cap.format('centre + 3 * sd')} AS upper, value < greatest(0, centre - 3 * sd) OR value > centre + 3 * sd AS out FROM p", "value centre lower upper")
+    def _(li, kind=_kind):
+        return spc.attribute_chart(_monthly(li), kind, "d", None if kind == "c" else "n")
+
+for _kind in ("p", "u"):
+    _sd = "sqrt(b * (1 - b) / n)" if _kind == "p" else "sqrt(b / n)"
+
+    @query(f"laney_{_kind}_chart", "lineitem", _MONTH + f", t AS (SELECT sum(d) / sum(n) AS b FROM m), p AS (SELECT month, d, n, d / n AS value, b AS centre, {_sd} AS sd FROM m, t), z AS (SELECT avg(mr) / 1.128 AS sigma_z FROM (SELECT abs((value - centre) / sd - lag((value - centre) / sd) OVER (ORDER BY month)) AS mr FROM p)) SELECT month, d, n, value, centre, sigma_z, greatest(0, centre - 3 * sd * sigma_z) AS lower, {'least(1, centre + 3 * sd * sigma_z)' if _kind == 'p' else 'centre + 3 * sd * sigma_z'} AS upper, value < centre - 3 * sd * sigma_z OR value > centre + 3 * sd * sigma_z AS out FROM p, z", "value centre sigma_z lower upper")
+    def _(li, kind=_kind):
+        return spc.attribute_chart(_monthly(li), kind, "d", "n", laney=True, order="month")
+
+
+@query("moving_average_chart", "events", """
+WITH r AS (SELECT *, count(*) OVER w AS k, avg(value) OVER w AS ma, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS mr FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS 4 PRECEDING)), l AS (SELECT event_type, avg(value) AS centre, avg(mr) / 1.128 / sqrt(5) * 3 AS reach FROM r GROUP BY 1)
+SELECT event_type, event_id, ma AS moving_average, centre, centre - reach AS lower, centre + reach AS upper, abs(ma - centre) > reach AS out FROM r JOIN l USING (event_type) WHERE k = 5""", "moving_average centre lower upper", 5)
+def _(e):
+    return spc.moving_average(e, "value", "event_id", ["event_type"]).select("event_type", "event_id", "moving_average", "centre", "lower", "upper", "out")
+
+
+@query("ewma_chart", "events", """
+WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER w AS i, avg(value) OVER (PARTITION BY user_id) AS m, stddev_samp(value) OVER (PARTITION BY user_id) AS sd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+z AS (SELECT user_id, event_id, i, m, sd, 0.2 * value + 0.8 * m AS ewma FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, s.m, s.sd, 0.2 * s.value + 0.8 * z.ewma FROM s JOIN z ON s.user_id = z.user_id AND s.i = z.i + 1)
+SELECT user_id, event_id, ewma, m AS centre, m - 3 * sd * sqrt(0.2 / 1.8 * (1 - 0.8 ** (2 * i))) AS lower, m + 3 * sd * sqrt(0.2 / 1.8 * (1 - 0.8 ** (2 * i))) AS upper, abs(ewma - m) > 3 * sd * sqrt(0.2 / 1.8 * (1 - 0.8 ** (2 * i))) AS out FROM z""", "ewma centre lower upper", 5)
+def _(e):
+    return spc.ewma(e, "value", "event_id", ["user_id"])
+
+
+@query("cusum_chart", "events", """
+WITH s AS (SELECT event_type, event_id, sum(value - 70) OVER w AS u, sum(value - 30) OVER w AS l FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
+SELECT event_type, event_id, u - least(0, min(u) OVER w) AS cusum_upper, l - greatest(0, max(l) OVER w) AS cusum_lower FROM s WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""", "cusum_upper cusum_lower", 3)
+def _(e):
+    return spc.cusum(e, "value", "event_id", ["event_type"], 50.0, 40.0).select("event_type", "event_id", "cusum_upper", "cusum_lower")
+
+
+@query("zone_chart", "events", """
+WITH r AS (SELECT *, abs(value - lag(value) OVER w) AS mr FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)), l AS (SELECT event_type, avg(value) AS c, avg(mr) / 1.128 AS s FROM r GROUP BY 1),
+z AS (SELECT event_type, event_id, (value - c) / s AS z FROM r JOIN l USING (event_type)), y AS (SELECT *, CASE WHEN abs(z) < 1 THEN 0 WHEN abs(z) < 2 THEN 1 WHEN abs(z) < 3 THEN 2 ELSE 4 END AS weight, sign(z) AS side FROM z),
+n AS (SELECT *, (weight = 0 OR side <> coalesce(lag(side) OVER (PARTITION BY event_type ORDER BY event_id), 0))::INT AS new FROM y), g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM n)
+SELECT event_type, event_id, weight, CAST(sum(weight) OVER (PARTITION BY event_type, run ORDER BY event_id) AS BIGINT) AS score FROM g""")
+def _(e):
+    return spc.zone(e, "value", "event_id", ["event_type"]).select("event_type", "event_id", "weight", "score")
+
+
+@query("z_mr_chart", "events", """
+WITH r AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS mr, avg(value) OVER (PARTITION BY event_type) AS c FROM events), l AS (SELECT avg(mr) / 1.128 AS s FROM r)
+SELECT event_type, event_id, (value - c) / s AS z, mr / s AS z_range FROM r, l""", "z z_range")
+def _(e):
+    return spc.z_mr(e, "value", "event_id", "event_type").select("event_type", "event_id", "z", "z_range")
+
+
+@query("g_chart", "part", """
+WITH s AS (SELECT count(*) AS n, avg(p_size) AS mean, 1 - 1 / (avg(p_size) + 1) AS q FROM part), k AS (SELECT *, [floor(ln(1 - p) / ln(q)) + 1 FOR p IN [0.00135, 0.5, 0.99865]] AS ks FROM s),
+v AS (SELECT n, mean, [greatest(0, ks[i] - 1 + ([0.00135, 0.5, 0.99865][i] - (1 - q ** (ks[i] - 1))) / ((1 - q ** ks[i]) - (1 - q ** (ks[i] - 1))) - 1) FOR i IN [1, 2, 3]] AS v FROM k) SELECT n, mean, v[1] AS lower, v[2] AS centre, v[3] AS upper FROM v""", "mean lower centre upper")
+def _(p):
+    return spc.g_chart(p, "p_size")
+
+
+@query("runs_about_median", "events", """
+WITH m AS (SELECT event_type, median(value) AS c FROM events GROUP BY 1), u AS (SELECT e.event_type, event_id, c, value > c AS up FROM events e JOIN m USING (event_type)), n AS (SELECT *, coalesce(up <> lag(up) OVER (PARTITION BY event_type ORDER BY event_id), true) AS new FROM u),
+s AS (SELECT event_type, any_value(c) AS criterion, count(*) FILTER (new) AS runs, count(*) FILTER (up) AS above, count(*) FILTER (NOT up) AS below FROM n GROUP BY 1)
+SELECT *, 1 + 2.0 * above * below / (above + below) AS expected, (runs - (1 + 2.0 * above * below / (above + below))) / sqrt(2.0 * above * below * (2.0 * above * below - (above + below)) / ((above + below) * (above + below) * (above + below - 1.0))) AS z FROM s""", "criterion expected z")
+def _(e):
+    return spc.runs(e, "value", "event_id", ["event_type"])
+
+
+@query("hotelling_t2", "lineitem", """
+WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_discount) AS my, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount) AS b, var_samp(l_discount) AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, (d * (l_quantity - mx) ** 2 - 2 * b * (l_quantity - mx) * (l_discount - my) + a * (l_discount - my) ** 2) / (a * d - b * b) AS t2 FROM lineitem, s""", "t2")
+def _(li):
+    return spc.hotelling(li, ["l_quantity", "l_discount"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "t2")
+
+
+@query("generalized_variance", "lineitem", "SELECT l_suppkey, var_samp(l_quantity) * var_samp(l_discount) - covar_samp(l_quantity, l_discount) ** 2 AS gv FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1", "gv")
+def _(li):
+    g = li.groupBy("l_suppkey").agg((F.var_samp("l_quantity") * F.var_samp("l_discount") - F.covar_samp("l_quantity", "l_discount") ** 2).alias("gv"))
+    return g
+
 
-def queries() -> dict:
-    return {}
+@query("generalized_variance_chart", "events")
+def _(e):
+    return spc.generalized_variance(_grouped(e).withColumn("second", F.col("event_id") % 17 + F.col("value") / 3), "value", "second", "sg", 5)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("mewma_chart", "events")
+def _(e):
+    return spc.mewma(e.withColumn("second", (F.col("user_id") % 10).cast("double")), ["value", "second"], "event_id", ["event_type"])
