@@ -80,19 +80,19 @@ def nonparametric(df: DataFrame, value: str, lsl: float, usl: float, by: list[st
 
 
 def box_cox(df: DataFrame, value: str, lambdas: tuple[float, float, float] = (-5.0, 5.0, 0.01)) -> DataFrame:
-    """The deviation of the scaled transform at each lambda of a grid, in one pass: a sum and a square sum a lambda."""
+    """The deviation of the scaled transform at each power of a grid: a sum and a square sum a power over distinct values."""
     low, high, step = lambdas
     grid = [round(low + i * step, 10) for i in range(round((high - low) / step) + 1)]
     rows = df.where(F.col(value) > 0).select(F.log(F.col(value).cast("double")).alias("l"))
     g = F.avg("l")
     counts = rows.groupBy("l").agg(F.count("*").alias("c"))
     centre = rows.agg(g.alias("g"), F.count("*").alias("n"))
-    k = F.explode(F.array(*[F.lit(x) for x in grid])).alias("lambda")
+    k = F.explode(F.array(*[F.lit(x) for x in grid])).alias("power")
     r = counts.crossJoin(F.broadcast(centre)).select("l", "c", "g", "n", k)
-    lam = F.col("lambda")
+    lam = F.col("power")
     w = F.when(lam == 0, F.exp(F.col("g")) * (F.col("l") - F.col("g"))).otherwise((F.exp(lam * (F.col("l") - F.col("g"))) - 1) / lam * F.exp(F.col("g")))
-    s = r.withColumn("w", w).groupBy("lambda").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("w")).alias("s"), F.sum(F.col("c") * F.col("w") ** 2).alias("ss"))
-    return s.select("lambda", F.sqrt((F.col("ss") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)).alias("stdev"))
+    s = r.withColumn("w", w).groupBy("power").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("w")).alias("s"), F.sum(F.col("c") * F.col("w") ** 2).alias("ss"))
+    return s.select("power", F.sqrt((F.col("ss") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)).alias("stdev"))
 
 
 def box_cox_apply(value: Column, lam: float) -> Column:

@@ -103,8 +103,8 @@ def with_bonferroni(pairs: DataFrame, confidence: float = 0.95) -> DataFrame:
 def analysis_of_means(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
     """Level means against the grand mean, within z(1 - alpha/2k) s sqrt((k-1)/N)."""
     g = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("v"), F.sum(value).alias("s"))
-    total = g.agg(F.count("*").alias("k"), F.sum("n").alias("N"), (F.sum("s") / F.sum("n")).alias("grand"), F.sqrt(F.sum((F.col("n") - 1) * F.col("v")) / (F.sum("n") - F.count("*"))).alias("sp")).first()
-    reach = normal_quantile(1 - alpha / (2 * total.k)) * total.sp * math.sqrt((total.k - 1) / total.N)
+    total = g.agg(F.count("*").alias("k"), F.sum("n").alias("total"), (F.sum("s") / F.sum("n")).alias("grand"), F.sqrt(F.sum((F.col("n") - 1) * F.col("v")) / (F.sum("n") - F.count("*"))).alias("sp")).first()
+    reach = normal_quantile(1 - alpha / (2 * total.k)) * total.sp * math.sqrt((total.k - 1) / total.total)
     out = (F.col("mean") < total.grand - reach) | (F.col("mean") > total.grand + reach)
     return g.select(group, "n", "mean", F.lit(total.grand).alias("grand"), F.lit(total.grand - reach).alias("lower"), F.lit(total.grand + reach).alias("upper"), out.alias("out"))
 

@@ -46,8 +46,8 @@ def mood_median(df: DataFrame, value: str, group: str) -> DataFrame:
     mid = rows.agg(F.percentile(value, F.lit(0.5)).alias("median"))
     c = rows.crossJoin(F.broadcast(mid)).groupBy(group, "median").agg(F.count_if(F.col(value) <= F.col("median")).alias("low"), F.count_if(F.col(value) > F.col("median")).alias("high"))
     t = c.agg(F.sum("low").alias("tl"), F.sum("high").alias("th"))
-    r = c.crossJoin(F.broadcast(t)).withColumn("n", F.col("low") + F.col("high")).withColumn("N", F.col("tl") + F.col("th"))
-    e = [F.col("n") * F.col(k) / F.col("N") for k in ("tl", "th")]
+    r = c.crossJoin(F.broadcast(t)).withColumn("n", F.col("low") + F.col("high"))
+    e = [F.col("n") * F.col(k) / (F.col("tl") + F.col("th")) for k in ("tl", "th")]
     return r.agg(F.first("median").alias("median"), F.sum((F.col("low") - e[0]) ** 2 / e[0] + (F.col("high") - e[1]) ** 2 / e[1]).alias("chi_square"), (F.count("*") - 1).alias("df"))
 
 
@@ -55,17 +55,17 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     """H, H corrected for ties, and degrees of freedom."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     g = mid_ranks(rows, value).groupBy(group).agg(F.count("*").alias("n"), F.sum("mid_rank").alias("r"))
-    s = g.agg(F.sum("n").cast("double").alias("N"), F.sum(F.col("r") ** 2 / F.col("n")).alias("q"), (F.count("*") - 1).alias("df")).crossJoin(F.broadcast(_ties(rows, value)))
-    h = 12 / (F.col("N") * (F.col("N") + 1)) * F.col("q") - 3 * (F.col("N") + 1)
-    return s.select(F.col("N").cast("long").alias("n"), "df", h.alias("h"), (h / (1 - F.col("ties") / (F.col("N") ** 3 - F.col("N")))).alias("h_adjusted"))
+    s = g.agg(F.sum("n").cast("double").alias("total"), F.sum(F.col("r") ** 2 / F.col("n")).alias("q"), (F.count("*") - 1).alias("df")).crossJoin(F.broadcast(_ties(rows, value)))
+    h = 12 / (F.col("total") * (F.col("total") + 1)) * F.col("q") - 3 * (F.col("total") + 1)
+    return s.select(F.col("total").cast("long").alias("n"), "df", h.alias("h"), (h / (1 - F.col("ties") / (F.col("total") ** 3 - F.col("total")))).alias("h_adjusted"))
 
 
 def mean_ranks(df: DataFrame, value: str, group: str) -> DataFrame:
     """Mean rank and its z by level, as a Kruskal-Wallis report has them."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     g = mid_ranks(rows, value).groupBy(group).agg(F.count("*").alias("n"), F.avg("mid_rank").alias("mean_rank"))
-    total = g.agg(F.sum("n").cast("double").alias("N"))
-    z = (F.col("mean_rank") - (F.col("N") + 1) / 2) / F.sqrt((F.col("N") + 1) * (F.col("N") / F.col("n") - 1) / 12)
+    total = g.agg(F.sum("n").cast("double").alias("total"))
+    z = (F.col("mean_rank") - (F.col("total") + 1) / 2) / F.sqrt((F.col("total") + 1) * (F.col("total") / F.col("n") - 1) / 12)
     return g.crossJoin(F.broadcast(total)).select(group, "n", "mean_rank", z.alias("z"))
 
 
@@ -73,10 +73,10 @@ def dunn(df: DataFrame, value: str, group: str) -> DataFrame:
     """z of the difference of mean ranks of every pair of levels, tie-corrected."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     g = mean_ranks(df, value, group)
-    total = rows.agg(F.count("*").cast("double").alias("N")).crossJoin(_ties(rows, value))
+    total = rows.agg(F.count("*").cast("double").alias("total")).crossJoin(_ties(rows, value))
     a, b = g.alias("a"), g.alias("b")
     r = a.join(b, F.col(f"a.{group}") < F.col(f"b.{group}")).crossJoin(F.broadcast(total))  # levels, not rows
-    var = (F.col("N") * (F.col("N") + 1) / 12 - F.col("ties") / (12 * (F.col("N") - 1))) * (1 / F.col("a.n") + 1 / F.col("b.n"))
+    var = (F.col("total") * (F.col("total") + 1) / 12 - F.col("ties") / (12 * (F.col("total") - 1))) * (1 / F.col("a.n") + 1 / F.col("b.n"))
     return r.select(F.col(f"a.{group}").alias("first"), F.col(f"b.{group}").alias("second"), ((F.col("a.mean_rank") - F.col("b.mean_rank")) / F.sqrt(var)).alias("z"))
 
 

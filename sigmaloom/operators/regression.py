@@ -70,7 +70,7 @@ def linear_regression(df: DataFrame, response: str, predictors: list[str], confi
     rows = []
     for k, name in enumerate(fit.names):
         se = math.sqrt(fit.cov[k, k])
-        t = fit.beta[k] / se if se else math.nan
+        t = float(fit.beta[k]) / se if se else math.nan
         vif = float(fit.sxx[k - 1, k - 1] * fit.inverse[k - 1, k - 1]) if k else None
         rows.append((name, float(fit.beta[k]), se, t, 2 * (1 - t_cdf(abs(t), fit.df)), float(fit.beta[k] - q * se), float(fit.beta[k] + q * se), vif))
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double, se double, t double, p_value double, low double, high double, vif double")
@@ -136,7 +136,7 @@ def stepwise(df: DataFrame, response: str, predictors: list[str], enter: float =
         sse, inverse = _subset(fit, keep)
         d = fit.n - len(keep) - 1
         b = (inverse @ fit.sxy[keep])[keep.index(k)]
-        return 2 * (1 - t_cdf(abs(b / math.sqrt(sse / d * inverse[keep.index(k), keep.index(k)])), d))
+        return float(2 * (1 - t_cdf(abs(b / math.sqrt(sse / d * inverse[keep.index(k), keep.index(k)])), d)))
 
     for step in range(1, 2 * len(predictors) + 1):
         options = sorted((p_of(k, sorted([*chosen, k])), k) for k in range(len(predictors)) if k not in chosen)

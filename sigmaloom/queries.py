@@ -397,3 +397,587 @@ def _(e):
 @query("mewma_chart", "events")
 def _(e):
     return spc.mewma(e.withColumn("second", (F.col("user_id") % 10).cast("double")), ["value", "second"], "event_id", ["event_type"])
+
+
+# Inference --------------------------------------------------------------------------------------------------
+
+
+@query("one_sample_t", "orders", "SELECT count(*) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS stdev, stddev_samp(o_totalprice) / sqrt(count(*)) AS se, (avg(o_totalprice) - 250000) / (stddev_samp(o_totalprice) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM orders", "mean stdev se t", 4)
+def _(o):
+    return inference.one_sample_t(o, "o_totalprice", 250000)
+
+
+@query("one_sample_t_p", "orders")
+def _(o):
+    t = inference.one_sample_t(o, "o_totalprice", 250000).withColumn("difference", F.col("mean") - 250000)
+    return inference.with_t_p(t, difference="difference")
+
+
+@query("one_sample_z", "lineitem", "SELECT count(l_quantity) AS n, avg(l_quantity) AS mean, 14.0 / sqrt(count(l_quantity)) AS se, (avg(l_quantity) - 25) / (14.0 / sqrt(count(l_quantity))) AS z FROM lineitem", "mean se z")
+def _(li):
+    return inference.one_sample_z(li, "l_quantity", 25, 14.0)
+
+
+_SIDES = """(SELECT count(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS n1, avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS mean1, var_samp(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS var1,
+count(c_acctbal) FILTER (c_mktsegment = 'MACHINERY') AS n2, avg(c_acctbal) FILTER (c_mktsegment = 'MACHINERY') AS mean2, var_samp(c_acctbal) FILTER (c_mktsegment = 'MACHINERY') AS var2 FROM customer)"""
+
+
+@query("two_sample_t", "customer", f"SELECT *, mean1 - mean2 AS difference, sqrt(var1 / n1 + var2 / n2) AS se, (var1 / n1 + var2 / n2) ** 2 / ((var1 / n1) ** 2 / (n1 - 1) + (var2 / n2) ** 2 / (n2 - 1)) AS df, (mean1 - mean2) / sqrt(var1 / n1 + var2 / n2) AS t FROM {_SIDES}", "mean1 mean2 var1 var2 difference se df t", 3)
+def _(c):
+    return inference.two_sample_t(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY")
+
+
+@query("two_sample_t_pooled", "customer", f"SELECT difference, se, difference / se AS t, df FROM (SELECT mean1 - mean2 AS difference, n1 + n2 - 2.0 AS df, sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS se FROM {_SIDES})", "difference se t df", 4)
+def _(c):
+    return inference.two_sample_t(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY", pooled=True).select("difference", "se", "t", "df")
+
+
+@query("paired_t", "lineitem", "SELECT count(*) AS n, avg(l_discount - l_tax) AS mean, stddev_samp(l_discount - l_tax) AS stdev, stddev_samp(l_discount - l_tax) / sqrt(count(*)) AS se, avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM lineitem", "mean stdev se t")
+def _(li):
+    return inference.paired_t(li, "l_discount", "l_tax")
+
+
+_ANOVA = """WITH r AS (SELECT {g} AS g, CAST({x} AS DOUBLE) AS x FROM {t}), s AS (SELECT g, count(*) AS n, avg(x) AS m, coalesce(var_samp(x), 0) AS v FROM r GROUP BY 1), t AS (SELECT avg(x) AS grand FROM r),
+a AS (SELECT sum(n * (m - grand) ** 2) AS ss_between, sum((n - 1) * v) AS ss_within, count(*) - 1 AS df_between, CAST(sum(n) - count(*) AS BIGINT) AS df_within FROM s, t)
+SELECT *, (ss_between / df_between) / (ss_within / df_within) AS f, ss_between / (ss_between + ss_within) AS r_squared FROM a"""
+
+
+@query("one_way_anova", "customer", _ANOVA.format(g="c_mktsegment", x="c_acctbal", t="customer"), "ss_between ss_within f r_squared", 2)
+def _(c):
+    return inference.one_way_anova(c, "c_acctbal", "c_mktsegment")
+
+
+@query("one_way_anova_p", "customer")
+def _(c):
+    return inference.with_f_p(inference.one_way_anova(c, "c_acctbal", "c_mktsegment"))
+
+
+_PAIRS = """WITH s AS (SELECT c_mktsegment AS g, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY 1), p AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS mse, CAST(sum(n) - count(*) AS BIGINT) AS df, count(*) * (count(*) - 1) / 2 AS pairs FROM s)
+SELECT a.g AS first, b.g AS second, a.m - b.m AS difference, sqrt(mse * (1.0 / a.n + 1.0 / b.n)) AS se, (a.m - b.m) / sqrt(mse * (1.0 / a.n + 1.0 / b.n)) AS t, df, pairs FROM s a JOIN s b ON a.g < b.g, p"""
+
+
+@query("pairwise_means", "customer", _PAIRS, "difference se t pairs", 4)
+def _(c):
+    return inference.pairwise_means(c, "c_acctbal", "c_mktsegment")
+
+
+@query("pairwise_means_p", "customer")
+def _(c):
+    return inference.with_bonferroni(inference.pairwise_means(c, "c_acctbal", "c_mktsegment"))
+
+
+@query("analysis_of_means", "orders")
+def _(o):
+    return inference.analysis_of_means(o, "o_totalprice", "o_orderpriority")
+
+
+@query("two_factor_anova", "lineitem", """
+WITH r AS (SELECT l_returnflag AS a, l_linestatus AS b, l_quantity AS y FROM lineitem),
+ca AS (SELECT sum(d * d) AS ss FROM (SELECT y - avg(y) OVER () AS d FROM r)), ra AS (SELECT sum(d * d) AS ss FROM (SELECT y - avg(y) OVER (PARTITION BY a) AS d FROM r)), rf AS (SELECT sum(d * d) AS ss FROM (SELECT y - avg(y) OVER (PARTITION BY a, b) AS d FROM r)),
+x AS (SELECT y - avg(y) OVER (PARTITION BY a) AS dy, (b = 'O')::INT - avg((b = 'O')::INT) OVER (PARTITION BY a) AS dx FROM r), rb AS (SELECT sum(dx * dy) ** 2 / sum(dx * dx) AS gain FROM x)
+SELECT 'l_returnflag' AS term, ca.ss - ra.ss AS ss, 2 AS df FROM ca, ra UNION ALL SELECT 'l_linestatus', gain, 1 FROM rb UNION ALL SELECT 'l_returnflag*l_linestatus', ra.ss - gain - rf.ss, 2 FROM ra, rb, rf UNION ALL SELECT 'error', rf.ss, (SELECT count(*) - 6 FROM r) FROM rf""", "ss", 2)
+def _(li):
+    return inference.two_factor_anova(li, "l_quantity", "l_returnflag", "l_linestatus").select("term", "ss", "df")
+
+
+_PROP = "(SELECT count(*) FILTER (l_returnflag = 'R') AS events, count(*) AS trials FROM lineitem)"
+
+
+@query("one_proportion", "lineitem", f"SELECT events, trials, events / trials AS proportion, (events / trials - 0.33) / sqrt(0.33 * 0.67 / trials) AS z, ((events / trials + z2 / (2 * trials)) - sqrt(z2) * sqrt((events / trials) * (1 - events / trials) / trials + z2 / (4.0 * trials * trials))) / (1 + z2 / trials) AS wilson_low, ((events / trials + z2 / (2 * trials)) + sqrt(z2) * sqrt((events / trials) * (1 - events / trials) / trials + z2 / (4.0 * trials * trials))) / (1 + z2 / trials) AS wilson_high FROM {_PROP}, (SELECT 1.959963984540054 ** 2 AS z2)", "proportion z wilson_low wilson_high")
+def _(li):
+    return inference.one_proportion(li, F.col("l_returnflag") == "R", 0.33)
+
+
+@query("one_proportion_exact", "lineitem")
+def _(li):
+    return inference.with_exact_proportion(inference.one_proportion(li, F.col("l_returnflag") == "R", 0.33), 0.33)
+
+
+@query("two_proportions", "lineitem", """
+WITH s AS (SELECT count(*) FILTER (l_linestatus = 'O' AND l_returnflag = 'R') AS events1, count(*) FILTER (l_linestatus = 'O') AS trials1, count(*) FILTER (l_linestatus = 'F' AND l_returnflag = 'R') AS events2, count(*) FILTER (l_linestatus = 'F') AS trials2 FROM lineitem),
+p AS (SELECT *, events1 / trials1 AS a, events2 / trials2 AS b FROM s) SELECT events1, trials1, events2, trials2, a - b AS difference, sqrt(a * (1 - a) / trials1 + b * (1 - b) / trials2) AS se, (a - b) / sqrt(a * (1 - a) / trials1 + b * (1 - b) / trials2) AS z FROM p""", "difference se z")
+def _(li):
+    return inference.two_proportions(li, F.col("l_returnflag") == "R", "l_linestatus", "O", "F")
+
+
+@query("two_proportions_p", "lineitem")
+def _(li):
+    return inference.with_z_p(inference.two_proportions(li, F.col("l_returnflag") == "R", "l_linestatus", "O", "F"))
+
+
+@query("one_poisson_rate", "part")
+def _(p):
+    return inference.one_poisson_rate(p, "p_size", 25.0)
+
+
+@query("two_poisson_rates", "orders lineitem", """
+WITH s AS (SELECT sum(l_quantity) FILTER (l_linestatus = 'O') AS events1, count(*) FILTER (l_linestatus = 'O') AS exposure1, sum(l_quantity) FILTER (l_linestatus = 'F') AS events2, count(*) FILTER (l_linestatus = 'F') AS exposure2 FROM lineitem)
+SELECT *, events1 / exposure1 - events2 / exposure2 AS difference, (events1 / exposure1) / (events2 / exposure2) AS ratio, (events1 / exposure1 - events2 / exposure2) / sqrt(events1 / exposure1 / exposure1 + events2 / exposure2 / exposure2) AS z FROM s""", "difference ratio z")
+def _(o, li):
+    return inference.two_poisson_rates(li, "l_quantity", "l_linestatus", "O", "F")
+
+
+@query("equivalence_paired", "lineitem", "WITH s AS (SELECT avg(l_discount - l_tax) AS difference, stddev_samp(l_discount - l_tax) / sqrt(count(*)) AS se FROM lineitem) SELECT difference, se, (difference + 0.02) / se AS t_lower, (difference - 0.02) / se AS t_upper FROM s", "difference se t_lower t_upper")
+def _(li):
+    t = inference.paired_t(li, "l_discount", "l_tax").withColumn("difference", F.col("mean"))
+    return inference.equivalence(t, -0.02, 0.02).select("difference", "se", "t_lower", "t_upper")
+
+
+@query("equivalence_two_sample", "customer", f"WITH s AS (SELECT mean1 - mean2 AS difference, sqrt(var1 / n1 + var2 / n2) AS se FROM {_SIDES}) SELECT difference, se, (difference + 500) / se AS t_lower, (difference - 500) / se AS t_upper FROM s", "difference se t_lower t_upper", 4)
+def _(c):
+    return inference.equivalence(inference.two_sample_t(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY"), -500, 500).select("difference", "se", "t_lower", "t_upper")
+
+
+@query("equivalence_p", "customer")
+def _(c):
+    return inference.with_equivalence_p(inference.equivalence(inference.two_sample_t(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY"), -500, 500))
+
+
+@query("one_variance", "lineitem", "SELECT count(*) AS n, var_samp(l_quantity) AS variance, (count(*) - 1) * var_samp(l_quantity) / 200 AS chi_square, count(*) - 1 AS df FROM lineitem", "variance chi_square", 4)
+def _(li):
+    return inference.one_variance(li, "l_quantity", 200.0)
+
+
+@query("one_variance_p", "customer")
+def _(c):
+    return inference.with_variance_p(inference.one_variance(c, "c_acctbal", 1e7))
+
+
+@query("two_variances", "customer", f"SELECT n1, n2, var1 / var2 AS f, n1 - 1 AS df1, n2 - 1 AS df2 FROM {_SIDES}", "f")
+def _(c):
+    return inference.two_variances(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY").select("n1", "n2", "f", "df1", "df2")
+
+
+@query("brown_forsythe", "customer", _ANOVA.format(g="c_mktsegment", x="off", t="(SELECT c_mktsegment, abs(c_acctbal - m) AS off FROM customer JOIN (SELECT c_mktsegment, median(c_acctbal) AS m FROM customer GROUP BY 1) USING (c_mktsegment))"), "ss_between ss_within f r_squared", 2)
+def _(c):
+    return inference.levene(c, "c_acctbal", "c_mktsegment")
+
+
+@query("bartlett", "customer", """
+WITH g AS (SELECT count(*) - 1.0 AS d, var_samp(c_acctbal) AS v FROM customer GROUP BY c_mktsegment), s AS (SELECT count(*) AS k, sum(d) AS d, sum(d * v) AS ss, sum(d * ln(v)) AS lv, sum(1 / d) AS inv FROM g)
+SELECT k, k - 1 AS df, (d * ln(ss / d) - lv) / (1 + (inv - 1 / d) / (3 * (k - 1))) AS chi_square FROM s""", "chi_square")
+def _(c):
+    return inference.bartlett(c, "c_acctbal", "c_mktsegment")
+
+
+@query("correlations", "lineitem", " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, count(*) AS n, corr({a}, {b}) AS r, corr({a}, {b}) * sqrt((count(*) - 2) / (1 - corr({a}, {b}) ** 2)) AS t FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))), "r t", 5)
+def _(li):
+    return inference.correlations(li, ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@query("grubbs", "part", "SELECT count(*) AS n, CASE WHEN max(p_retailprice) - avg(p_retailprice) >= avg(p_retailprice) - min(p_retailprice) THEN max(p_retailprice) ELSE min(p_retailprice) END AS outlier, greatest(max(p_retailprice) - avg(p_retailprice), avg(p_retailprice) - min(p_retailprice)) / stddev_samp(p_retailprice) AS g FROM part", "outlier g")
+def _(p):
+    return inference.grubbs(p, "p_retailprice")
+
+
+@query("dixon", "supplier", "WITH s AS (SELECT list_sort(list(s_acctbal)) AS v FROM supplier) SELECT (v[2] - v[1]) / (v[-1] - v[1]) AS r_low, (v[-1] - v[-2]) / (v[-1] - v[1]) AS r_high FROM s", "r_low r_high")
+def _(s):
+    return inference.dixon(s, "s_acctbal")
+
+
+@query("normal_plot", "events", "SELECT event_type, event_id, value AS x, (row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 0.375) / (count(*) OVER (PARTITION BY event_type) + 0.25) AS position FROM events", "x position")
+def _(e):
+    return inference.normal_plot(e, "value", "event_id", ["event_type"])
+
+
+@query("anderson_darling", "events")
+def _(e):
+    return inference.anderson_darling(e, "value", ["event_type"])
+
+
+@query("normal_tolerance", "part")
+def _(p):
+    return inference.normal_tolerance(p, "p_retailprice")
+
+
+@query("bootstrap_mean", "part")
+def _(p):
+    return inference.bootstrap_mean(p, "p_retailprice", "p_partkey")
+
+
+# Rank tests -------------------------------------------------------------------------------------------------
+
+_RANKED = "SELECT *, rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS r FROM {t}"
+
+
+@query("mann_whitney", "part", f"""
+WITH p AS (SELECT * FROM part WHERE p_brand IN ('Brand#11', 'Brand#12')), b AS (SELECT min(p_brand) AS lo, max(p_brand) AS hi FROM part), q AS (SELECT p_size, p_brand FROM part, b WHERE p_brand IN (lo, hi)), r AS ({_RANKED.format(x='p_size', t='q')}),
+k AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM q GROUP BY p_size)),
+s AS (SELECT count(*) FILTER (p_brand = lo) AS n1, count(*) FILTER (p_brand = hi) AS n2, sum(r.r) FILTER (p_brand = lo) AS w FROM r, b)
+SELECT n1, n2, w, w - n1 * (n1 + 1) / 2 AS u, (w - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z, 1 - 2 * (w - n1 * (n1 + 1) / 2) / (n1 * n2) AS effect FROM s, k""", "w u z effect")
+def _(p):
+    ends = p.agg(F.min("p_brand"), F.max("p_brand")).first()
+    return nonparametric.mann_whitney(p, "p_size", "p_brand", ends[0], ends[1])
+
+
+@query("wilcoxon", "lineitem", f"""
+WITH d AS (SELECT l_discount - l_tax AS d, abs(l_discount - l_tax) AS a FROM lineitem WHERE l_discount - l_tax <> 0), r AS ({_RANKED.format(x='a', t='d')}), k AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM d GROUP BY a)), s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r.r ELSE 0 END) AS w FROM r)
+SELECT n, w, (w - n * (n + 1.0) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48) AS z FROM s, k""", "w z", 3)
+def _(li):
+    return nonparametric.wilcoxon(li, F.col("l_discount") - F.col("l_tax"))
+
+
+@query("sign_test", "lineitem", "SELECT count(*) FILTER (l_quantity < 25) AS below, count(*) FILTER (l_quantity = 25) AS equal, count(*) FILTER (l_quantity > 25) AS above FROM lineitem")
+def _(li):
+    return nonparametric.sign_test(li, F.col("l_quantity"), 25)
+
+
+@query("mood_median", "orders", """
+WITH m AS (SELECT median(o_totalprice) AS median FROM orders), c AS (SELECT o_orderpriority, count(*) FILTER (o_totalprice <= median) AS l, count(*) FILTER (o_totalprice > median) AS h, count(*) AS n FROM orders, m GROUP BY 1), t AS (SELECT sum(l) AS tl, sum(h) AS th, sum(n) AS tn FROM c)
+SELECT any_value(median) AS median, sum((l - n * tl / tn) ** 2 / (n * tl / tn) + (h - n * th / tn) ** 2 / (n * th / tn)) AS chi_square, count(*) - 1 AS df FROM c, t, m""", "median chi_square", 4)
+def _(o):
+    return nonparametric.mood_median(o, "o_totalprice", "o_orderpriority")
+
+
+_KW = f"""WITH r AS ({_RANKED.format(x='p_size', t='part')}), k AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM part GROUP BY p_size)), g AS (SELECT p_brand, count(*) AS n, sum(r.r) AS rs, avg(r.r) AS mr FROM r GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS nn FROM g) """
+
+
+@query("kruskal_wallis", "part", _KW + ", h AS (SELECT any_value(nn) AS nn, count(*) - 1 AS df, 12 / (any_value(nn) * (any_value(nn) + 1)) * sum(rs * rs / n) - 3 * (any_value(nn) + 1) AS h FROM g, t) SELECT CAST(nn AS BIGINT) AS n, df, h, h / (1 - ties / (nn ** 3 - nn)) AS h_adjusted FROM h, k", "h h_adjusted")
+def _(p):
+    return nonparametric.kruskal_wallis(p, "p_size", "p_brand")
+
+
+@query("mean_ranks", "part", _KW + "SELECT p_brand, n, mr AS mean_rank, (mr - (nn + 1) / 2) / sqrt((nn + 1) * (nn / n - 1) / 12) AS z FROM g, t", "mean_rank z")
+def _(p):
+    return nonparametric.mean_ranks(p, "p_size", "p_brand")
+
+
+@query("dunn", "part", _KW + "SELECT a.p_brand AS first, b.p_brand AS second, (a.mr - b.mr) / sqrt((nn * (nn + 1) / 12 - ties / (12 * (nn - 1))) * (1.0 / a.n + 1.0 / b.n)) AS z FROM g a JOIN g b ON a.p_brand < b.p_brand, t, k", "z")
+def _(p):
+    return nonparametric.dunn(p, "p_size", "p_brand")
+
+
+@query("friedman", "lineitem", """
+WITH x AS (SELECT row_number() OVER () AS id, l_discount * 100 AS a, l_tax * 100 AS b, l_quantity / 5 AS c FROM lineitem), u AS (SELECT id, t, v FROM x UNPIVOT (v FOR t IN (a, b, c))),
+r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY v) + (count(*) OVER (PARTITION BY id, v) - 1) / 2 AS r, count(*) OVER (PARTITION BY id, v)::DOUBLE AS m FROM u), s AS (SELECT t, sum(r) AS rs, sum(m * m - 1) AS ties FROM r GROUP BY 1), q AS (SELECT sum(rs * rs) AS q, sum(ties) AS ties, (SELECT count(*) FROM x)::DOUBLE AS n FROM s)
+SELECT CAST(n AS BIGINT) AS blocks, 2 AS df, 12 / (n * 12) * q - 12 * n AS s, (12 / (n * 12) * q - 12 * n) / (1 - ties / (n * 24)) AS s_adjusted FROM q""", "s s_adjusted", 2)
+def _(li):
+    return nonparametric.friedman(li.select((F.col("l_discount") * 100).alias("a"), (F.col("l_tax") * 100).alias("b"), (F.col("l_quantity") / 5).alias("c")), "", ["a", "b", "c"])
+
+
+@query("mcnemar", "labels", """WITH s AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS "both", count(*) FILTER (quality = 1 AND toxic <> 1) AS only_first, count(*) FILTER (quality <> 1 AND toxic = 1) AS only_second, count(*) FILTER (quality <> 1 AND toxic <> 1) AS neither FROM labels)
+SELECT *, greatest(0, abs(only_first - only_second) - 1.0) ** 2 / (only_first + only_second) AS chi_square FROM s""", "chi_square")
+def _(x):
+    return nonparametric.mcnemar(x, F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("cochran_q", "lineitem", """
+WITH x AS (SELECT (l_quantity > 25)::INT AS a, (l_discount > 0.05)::INT AS b, (l_tax > 0.04)::INT AS c FROM lineitem), s AS (SELECT count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(a + b + c) AS t, sum((a + b + c) ** 2) AS rr FROM x)
+SELECT n, 2 AS df, 2 * (3 * (a * a + b * b + c * c) - t * t) / (3 * t - rr) AS q FROM s""", "q", 4)
+def _(li):
+    return nonparametric.cochran_q(li, [F.col("l_quantity") > 25, F.col("l_discount") > 0.05, F.col("l_tax") > 0.04])
+
+
+@query("spearman", "part", "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS b FROM part) SELECT count(*) AS n, corr(a, b) AS rho FROM r", "rho")
+def _(p):
+    return nonparametric.spearman(p, "p_size", "p_retailprice")
+
+
+# Capability -------------------------------------------------------------------------------------------------
+
+
+@query("normal_capability", "events", _SG + """, w AS (SELECT avg(r) / 2.326 AS sw FROM sg), s AS (SELECT count(*) AS n, avg(value) AS mean, sw AS sigma_within, stddev_samp(value) AS sigma_overall, 1e6 * count(*) FILTER (value < 5 OR value > 200) / count(*) AS observed_ppm FROM events, w GROUP BY sw)
+SELECT *, 195 / (6 * sigma_within) AS cp, (mean - 5) / (3 * sigma_within) AS cpl, (200 - mean) / (3 * sigma_within) AS cpu, least((mean - 5), (200 - mean)) / (3 * sigma_within) AS cpk, 195 / (6 * sigma_overall) AS pp, (mean - 5) / (3 * sigma_overall) AS ppl, (200 - mean) / (3 * sigma_overall) AS ppu, least((mean - 5), (200 - mean)) / (3 * sigma_overall) AS ppk, 195 / (6 * sqrt(sigma_overall ** 2 + (mean - 50) ** 2)) AS cpm FROM s""", "mean sigma_within sigma_overall observed_ppm cp cpl cpu cpk pp ppl ppu ppk cpm", 5)
+def _(e):
+    return capability.normal_capability(_grouped(e), "value", "sg", 5, 5.0, 200.0, 50.0)
+
+
+@query("capability_ppm", "events")
+def _(e):
+    c = capability.normal_capability(_grouped(e), "value", "sg", 5, 5.0, 200.0)
+    return capability.with_index_intervals(capability.with_expected_ppm(c, 5.0, 200.0))
+
+
+@query("between_within_capability", "events", _SG + """, m AS (SELECT *, abs(mean - lag(mean) OVER (ORDER BY sg)) AS mr FROM sg), t AS (SELECT count(*) AS n_subgroups, avg(mean) AS c, avg(mr) / 1.128 AS sm, avg(r) / 2.326 AS sigma_within FROM m), b AS (SELECT *, sqrt(greatest(0, sm ** 2 - sigma_within ** 2 / 5)) AS sigma_between FROM t), u AS (SELECT *, sqrt(sigma_between ** 2 + sigma_within ** 2) AS sigma_total FROM b)
+SELECT n_subgroups, sigma_within, sigma_between, sigma_total, 195 / (6 * sigma_total) AS cp, least(c - 5, 200 - c) / (3 * sigma_total) AS cpk FROM u""", "sigma_within sigma_between sigma_total cp cpk", 5)
+def _(e):
+    return capability.between_within(_grouped(e), "value", "sg", 5, 5.0, 200.0)
+
+
+@query("batch_capability", "part", "WITH s AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS mean, stddev_samp(p_retailprice) AS s FROM part GROUP BY 1 HAVING count(*) >= 2 AND stddev_samp(p_retailprice) > 0) SELECT *, 1000 / (6 * s) AS cp, least(mean - 900, 1900 - mean) / (3 * s) AS cpk, 1000 / (6 * s) AS pp, least(mean - 900, 1900 - mean) / (3 * s) AS ppk FROM s", "mean s cp cpk pp ppk", 4)
+def _(p):
+    return capability.batch_capability(p, "p_retailprice", "p_brand", 900.0, 1900.0)
+
+
+@query("nonparametric_capability", "part", """
+WITH s AS (SELECT p_brand, count(*) AS n, list_sort(list(p_retailprice)) AS v FROM part GROUP BY 1 HAVING count(*) >= 10), q AS (SELECT p_brand, n, [v[floor(k)::INT] + (k - floor(k)) * (v[least(floor(k) + 1, n)::INT] - v[floor(k)::INT]) FOR k IN [least(greatest(p * (n + 1), 1), n) FOR p IN [0.00135, 0.5, 0.99865]]] AS q FROM s),
+r AS (SELECT p_brand, n, q[1] AS low, q[2] AS median, q[3] AS high FROM q) SELECT *, 1000 / (high - low) AS cnp, (median - 900) / (median - low) AS cnpl, (1900 - median) / (high - median) AS cnpu, least((median - 900) / (median - low), (1900 - median) / (high - median)) AS cnpk FROM r""", "low median high cnp cnpl cnpu cnpk", 4)
+def _(p):
+    return capability.nonparametric(p, "p_retailprice", 900.0, 1900.0, ["p_brand"])
+
+
+@query("box_cox", "part", """
+WITH l AS (SELECT ln(p_retailprice) AS l FROM part WHERE p_retailprice > 0), g AS (SELECT avg(l) AS g FROM l), k AS (SELECT round(-5 + i * 0.01, 10)::DOUBLE AS power FROM range(1001) AS t(i))
+SELECT power, stddev_samp(CASE WHEN power = 0 THEN exp(g) * (l - g) ELSE (exp(power * (l - g)) - 1) / power * exp(g) END) AS stdev FROM l, g, k GROUP BY 1""", "power stdev", 3)
+def _(p):
+    return capability.box_cox(p, "p_retailprice")
+
+
+@query("binomial_capability", "lineitem")
+def _(li):
+    return capability.binomial_capability(_monthly(li), "d", "n")
+
+
+@query("poisson_capability", "lineitem")
+def _(li):
+    return capability.poisson_capability(_monthly(li), "d", "n")
+
+
+@query("stability_screen", "events", """
+WITH r AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS mr FROM events), l AS (SELECT event_type, avg(value) AS c, avg(mr) / 1.128 AS s FROM r GROUP BY 1)
+SELECT event_type, count(*) AS n, count(*) FILTER (abs(value - c) > 3 * s) AS n_out FROM events JOIN l USING (event_type) GROUP BY 1""")
+def _(e):
+    return capability.stability(e, "value", "event_id", ["event_type"])
+
+
+# Measurement systems ----------------------------------------------------------------------------------------
+
+def _gage(e: DataFrame) -> DataFrame:
+    r = e.select("value", (F.col("event_id") % 30).alias("k"), F.floor(F.col("event_id") / 30).alias("rep"))
+    full = r.groupBy("rep").agg(F.count("*").alias("n")).where("n = 30").select("rep")
+    return r.join(full, "rep").select((F.col("k") % 10).alias("part"), F.floor(F.col("k") / 10).alias("operator"), "value")
+
+
+_GAGE = "(SELECT k % 10 AS part, k // 10 AS operator, value FROM (SELECT value, event_id % 30 AS k, event_id // 30 AS rep, count(*) OVER (PARTITION BY event_id // 30) AS n FROM events) WHERE n = 30)"
+
+
+@query("crossed_gage", "events", f"""
+WITH d AS {_GAGE}, c AS (SELECT part, operator, count(*) AS r, avg(value) AS m, var_samp(value) AS v FROM d GROUP BY 1, 2), a AS (SELECT part, avg(m) AS m FROM c GROUP BY 1), b AS (SELECT operator, avg(m) AS m FROM c GROUP BY 1),
+s AS (SELECT min(r)::DOUBLE AS r, var_pop(m) AS vm, avg(v) AS e, (SELECT var_pop(m) FROM a) AS va, (SELECT var_pop(m) FROM b) AS vb FROM c), q AS (SELECT r, e, 3 * r * 10 * va / 9 AS p, 10 * r * 3 * vb / 2 AS o, r * 30 * (vm - va - vb) / 18 AS po FROM s),
+v AS (SELECT e AS rep, (o - po) / (10 * r) AS op, (po - e) / r AS it, (p - po) / (3 * r) AS pt FROM q), w AS (SELECT *, e0 + o0 + i0 AS g0, e0 + o0 + i0 + p0 AS t0 FROM (SELECT *, greatest(0, rep) AS e0, greatest(0, op) AS o0, greatest(0, it) AS i0, greatest(0, pt) AS p0 FROM v)),
+u AS (SELECT unnest([struct_pack(s := 'repeatability', x := e0, y := rep), struct_pack(s := 'operator', x := o0, y := op), struct_pack(s := 'interaction', x := i0, y := it), struct_pack(s := 'part', x := p0, y := pt), struct_pack(s := 'reproducibility', x := o0 + i0, y := o0 + i0), struct_pack(s := 'gage', x := g0, y := g0), struct_pack(s := 'total', x := t0, y := t0)]) AS u, t0 FROM w)
+SELECT u.s AS source, u.x AS variance, u.y AS raw_variance, sqrt(u.x) AS stdev, 6 * sqrt(u.x) AS study_variation, 100 * u.x / t0 AS percent_contribution, 100 * sqrt(u.x) / sqrt(t0) AS percent_study FROM u""", "variance raw_variance stdev study_variation percent_contribution percent_study", 4)
+def _(e):
+    return msa.crossed_gage(_gage(e), "value", "part", "operator").drop("ndc")
+
+
+@query("emp_class", "events")
+def _(e):
+    return msa.emp_class(msa.crossed_gage(_gage(e), "value", "part", "operator"))
+
+
+@query("nested_gage", "events", f"""
+WITH d AS {_GAGE}, c AS (SELECT operator, part, count(*) AS r, avg(value) AS m, var_samp(value) AS v FROM d GROUP BY 1, 2), o AS (SELECT operator, count(*) AS p, min(r) AS r, avg(m) AS m, var_samp(m) AS vp, avg(v) AS e FROM c GROUP BY 1), s AS (SELECT min(p) AS p, min(r) AS r, var_samp(m) AS vo, avg(vp) AS vp, avg(e) AS e FROM o)
+SELECT e AS repeatability, greatest(0, vo - vp / p) AS reproducibility, greatest(0, vp - e / r) AS part, e + greatest(0, vo - vp / p) + greatest(0, vp - e / r) AS total FROM s""", "repeatability reproducibility part total", 4)
+def _(e):
+    return msa.nested_gage(_gage(e), "value", "part", "operator")
+
+
+@query("msa_type1", "lineitem", "WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS s, avg(l_quantity) - 25 AS bias FROM lineitem) SELECT n, mean, s, bias, bias / (s / sqrt(n)) AS t, 90 / (6 * s) AS cg, least(45 + bias, 45 - bias) / (3 * s) AS cgk, 600 * s / 90 AS percent_tolerance FROM s", "mean s bias t cg cgk percent_tolerance")
+def _(li):
+    return msa.type_1(li, "l_quantity", 25.0, 90.0)
+
+
+@query("bias_linearity", "lineitem", "SELECT count(*) AS n, avg(l_discount - l_tax) AS mean_bias, regr_slope(l_discount - l_tax, l_tax) AS slope, regr_intercept(l_discount - l_tax, l_tax) AS intercept, regr_r2(l_discount - l_tax, l_tax) AS r_squared FROM lineitem", "mean_bias slope intercept r_squared")
+def _(li):
+    return msa.bias_linearity(li, "l_tax", "l_discount")
+
+
+@query("attribute_agreement", "labels", """WITH c AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS c FROM labels GROUP BY 1, 2), t AS (SELECT sum(c) AS n, sum(c) FILTER (a = b) AS same FROM c), e AS (SELECT sum(x * y) AS xy FROM (SELECT a AS k, sum(c) AS x FROM c GROUP BY 1) JOIN (SELECT b AS k, sum(c) AS y FROM c GROUP BY 1) USING (k))
+SELECT CAST(n AS BIGINT) AS n, same / n AS agreement, (same / n - xy / n ** 2) / (1 - xy / n ** 2) AS kappa FROM t, e""", "agreement kappa")
+def _(x):
+    return msa.agreement(x, F.col("quality"), F.col("toxic"))
+
+
+@query("fleiss_kappa", "lineitem", """
+WITH c AS (SELECT l_partkey, l_returnflag, count(*)::DOUBLE AS c FROM lineitem GROUP BY 1, 2), i AS (SELECT l_partkey, sum(c) AS m, sum(c * c) AS cc FROM c GROUP BY 1 HAVING sum(c) > 1), p AS (SELECT avg((cc - m) / (m * (m - 1))) AS p, count(*) AS items FROM i), s AS (SELECT l_returnflag, sum(c) AS c FROM c WHERE l_partkey IN (SELECT l_partkey FROM i) GROUP BY 1), e AS (SELECT sum(c * c) / sum(c) ** 2 AS pe FROM s)
+SELECT items, p AS agreement, (p - pe) / (1 - pe) AS kappa FROM p, e""", "agreement kappa")
+def _(li):
+    return msa.fleiss_kappa(li, "l_partkey", "l_returnflag")
+
+
+# Regression and multivariate --------------------------------------------------------------------------------
+
+
+@query("simple_regression", "lineitem", "SELECT 'constant' AS term, regr_intercept(l_extendedprice, l_quantity) AS coefficient FROM lineitem UNION ALL SELECT 'l_quantity', regr_slope(l_extendedprice, l_quantity) FROM lineitem", "coefficient", 3)
+def _(li):
+    return regression.linear_regression(li, "l_extendedprice", ["l_quantity"]).select("term", "coefficient")
+
+
+@query("linear_regression", "lineitem")
+def _(li):
+    return regression.linear_regression(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("regression_summary", "lineitem", """WITH s AS (SELECT count(*) AS n, regr_r2(l_extendedprice, l_quantity) AS r_squared, regr_syy(l_extendedprice, l_quantity) AS sst FROM lineitem)
+SELECT n, sqrt(sst * (1 - r_squared) / (n - 2)) AS s, r_squared, 1 - (1 - r_squared) * (n - 1) / (n - 2) AS r_squared_adjusted, r_squared / ((1 - r_squared) / (n - 2)) AS f FROM s""", "s r_squared r_squared_adjusted f", 4)
+def _(li):
+    return regression.regression_summary(li, "l_extendedprice", ["l_quantity"]).select("n", "s", "r_squared", "r_squared_adjusted", "f")
+
+
+@query("regression_diagnostics", "part", """
+WITH s AS (SELECT count(*) AS n, regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a, avg(p_size) AS m, regr_sxx(p_retailprice, p_size) AS sxx, regr_syy(p_retailprice, p_size) * (1 - regr_r2(p_retailprice, p_size)) / (count(*) - 2) AS mse FROM part),
+r AS (SELECT p_partkey, a + b * p_size AS fitted, p_retailprice - a - b * p_size AS residual, 1.0 / n + (p_size - m) ** 2 / sxx AS leverage, mse, n FROM part, s), z AS (SELECT *, residual / sqrt(mse * (1 - leverage)) AS standardised FROM r)
+SELECT p_partkey, fitted, residual, leverage, standardised, standardised * sqrt((n - 3) / (n - 2 - standardised ** 2)) AS deleted, standardised ** 2 * leverage / ((1 - leverage) * 2) AS cook, standardised * sqrt((n - 3) / (n - 2 - standardised ** 2)) * sqrt(leverage / (1 - leverage)) AS dfits FROM z""", "fitted residual leverage standardised deleted cook dfits", 5)
+def _(p):
+    return regression.regression_diagnostics(p, "p_retailprice", ["p_size"]).select("p_partkey", "fitted", "residual", "leverage", "standardised", "deleted", "cook", "dfits")
+
+
+@query("durbin_watson", "events", """
+WITH m AS (SELECT *, value - avg(value) OVER (PARTITION BY event_type) AS e FROM events), s AS (SELECT *, e - lag(e) OVER (PARTITION BY event_type ORDER BY event_id) AS d FROM m) SELECT event_type, sum(d * d) / sum(e * e) AS durbin_watson FROM s GROUP BY 1""", "durbin_watson")
+def _(e):
+    means = e.groupBy("event_type").agg(F.avg("value").alias("m"))
+    return regression.durbin_watson(e.join(means, "event_type").withColumn("residual", F.col("value") - F.col("m")), "residual", "event_id", ["event_type"])
+
+
+@query("best_subsets", "lineitem")
+def _(li):
+    return regression.best_subsets(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
+
+
+@query("stepwise", "lineitem")
+def _(li):
+    return regression.stepwise(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
+
+
+@query("fitted_line", "part")
+def _(p):
+    return regression.fitted_line(p, "p_retailprice", "p_size")
+
+
+@query("logistic_regression", "labels documents")
+def _(x, d):
+    rows_ = x.join(d.select("doc_id", (F.col("n_chars") / 1000).alias("k_chars")), "doc_id")
+    return regression.glm(rows_, F.col("quality"), ["k_chars"], "binomial")
+
+
+@query("poisson_regression", "part")
+def _(p):
+    return regression.glm(p, F.col("p_size"), ["p_retailprice"], "poisson")
+
+
+@query("pca", "lineitem")
+def _(li):
+    return multivariate.pca(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@query("pca_total_variance", "lineitem", "SELECT 4.0 AS total", "total")
+def _(li):
+    p = multivariate.pca(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return p.select("component", "eigenvalue").distinct().agg(F.sum("eigenvalue").alias("total"))
+
+
+@query("kmeans_clusters", "part")
+def _(p):
+    return multivariate.kmeans(p, ["p_size", "p_retailprice"], "p_partkey", 4)[1]
+
+
+@query("discriminant", "lineitem")
+def _(li):
+    return multivariate.confusion(multivariate.discriminant(li, ["l_quantity", "l_extendedprice"], "l_linestatus"), "l_linestatus")
+
+
+# Time series ------------------------------------------------------------------------------------------------
+
+
+@query("acf", "events", "WITH d AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS d, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), c AS (SELECT event_type, count(*) AS n, sum(d * d) AS c0 FROM d GROUP BY 1), p AS (SELECT a.event_type, b.i - a.i AS lag, sum(a.d * b.d) AS ck FROM d a JOIN d b ON a.event_type = b.event_type AND b.i BETWEEN a.i + 1 AND a.i + 20 GROUP BY 1, 2) SELECT event_type, n, CAST(lag AS INT) AS lag, ck / c0 AS acf, 1.959963984540054 / sqrt(n) AS band FROM p JOIN c USING (event_type)", "acf band")
+def _(e):
+    return timeseries.acf(e, "value", "event_id", ["event_type"])
+
+
+@query("ljung_box", "events", "WITH d AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS d, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), c AS (SELECT event_type, count(*)::DOUBLE AS n, sum(d * d) AS c0 FROM d GROUP BY 1), p AS (SELECT a.event_type, b.i - a.i AS lag, sum(a.d * b.d) AS ck FROM d a JOIN d b ON a.event_type = b.event_type AND b.i BETWEEN a.i + 1 AND a.i + 20 GROUP BY 1, 2) SELECT event_type, CAST(lag AS INT) AS lag, n * (n + 2) * sum((ck / c0) ** 2 / (n - lag)) OVER (PARTITION BY event_type ORDER BY lag) AS ljung_box FROM p JOIN c USING (event_type)", "ljung_box", 5)
+def _(e):
+    return timeseries.ljung_box(timeseries.acf(e, "value", "event_id", ["event_type"]), ["event_type"]).select("event_type", "lag", "ljung_box")
+
+
+@query("pacf", "events")
+def _(e):
+    return timeseries.pacf(timeseries.acf(e, "value", "event_id", ["event_type"]), ["event_type"])
+
+
+@query("ccf", "events", "WITH d AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS x, user_id - avg(user_id) OVER (PARTITION BY event_type) AS y, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), c AS (SELECT event_type, sqrt(sum(x * x) * sum(y * y)) AS c FROM d GROUP BY 1) SELECT a.event_type, CAST(a.i - b.i AS INT) AS lag, sum(a.x * b.y) / any_value(c) AS ccf FROM d a JOIN d b ON a.event_type = b.event_type AND a.i BETWEEN b.i - 10 AND b.i + 10 JOIN c ON c.event_type = a.event_type GROUP BY 1, 2", "ccf")
+def _(e):
+    return timeseries.ccf(e, "value", "user_id", "event_id", ["event_type"])
+
+
+_SES = """WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), z AS (SELECT user_id, event_id, i, value, value AS fitted, value AS level FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, s.value, z.level, 0.2 * s.value + 0.8 * z.level FROM s JOIN z ON s.user_id = z.user_id AND s.i = z.i + 1) """
+
+
+@query("single_smoothing", "events", _SES + "SELECT user_id, event_id, fitted, value - fitted AS residual FROM z", "fitted residual")
+def _(e):
+    return timeseries.single_smoothing(e, "value", "event_id", ["user_id"])
+
+
+@query("smoothing_accuracy", "events", _SES + "SELECT user_id, count(*) AS n, avg(abs(value - fitted)) AS mad, avg((value - fitted) ** 2) AS msd, 100 * sum(CASE WHEN value <> 0 THEN abs((value - fitted) / value) ELSE 0 END) / count(*) AS mape FROM z GROUP BY 1", "mad msd mape", 3)
+def _(e):
+    return timeseries.accuracy(timeseries.single_smoothing(e, "value", "event_id", ["user_id"]), ["user_id"])
+
+
+@query("double_smoothing", "events")
+def _(e):
+    return timeseries.double_smoothing(e, "value", "event_id", ["event_type"])
+
+
+@query("seasonal_smoothing", "events")
+def _(e):
+    return timeseries.seasonal_smoothing(e, "value", "event_id", ["event_type"], 12)
+
+
+_CENTRED = "SELECT event_type, event_id, value, CASE WHEN count(*) OVER a = 4 AND count(*) OVER b = 4 THEN (avg(value) OVER a + avg(value) OVER b) / 2 END AS centred, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 4 AS phase FROM events WINDOW a AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), b AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)"
+
+
+@query("centred_means", "events", f"SELECT event_type, event_id, centred FROM ({_CENTRED})", "centred")
+def _(e):
+    return timeseries.moving_average(e, "value", "event_id", ["event_type"], 4).select("event_type", "event_id", "centred")
+
+
+@query("decomposition", "events", f"WITH r AS (SELECT event_type, phase, median(value - centred) AS raw FROM ({_CENTRED}) WHERE centred IS NOT NULL GROUP BY 1, 2) SELECT event_type, CAST(phase AS INT) AS phase, raw - (SELECT median(raw) FROM r AS q WHERE q.event_type = r.event_type) AS seasonal_index FROM r", "seasonal_index", 5)
+def _(e):
+    return timeseries.decompose(e, "value", "event_id", ["event_type"], 4)
+
+
+@query("trend_line", "events", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS t FROM events) SELECT event_type, count(*) AS n, regr_intercept(value, t) AS intercept, regr_slope(value, t) AS slope, regr_r2(value, t) AS r_squared FROM r GROUP BY 1", "intercept slope r_squared")
+def _(e):
+    return timeseries.trend(e, "value", "event_id", ["event_type"])
+
+
+@query("dickey_fuller", "events", "WITH r AS (SELECT event_type, value - lag(value) OVER w AS d, lag(value) OVER w AS l FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)), s AS (SELECT event_type, count(l) AS n, regr_slope(d, l) AS b, regr_sxx(d, l) AS sxx, regr_syy(d, l) * (1 - regr_r2(d, l)) AS sse FROM r WHERE l IS NOT NULL GROUP BY 1) SELECT event_type, n, b AS coefficient, b / sqrt(sse / (n - 2) / sxx) AS statistic, -2.86 AS critical_5 FROM s", "coefficient statistic critical_5", 5)
+def _(e):
+    return timeseries.dickey_fuller(e, "value", "event_id", ["event_type"])
+
+
+@query("arima_candidates", "events")
+def _(e):
+    return timeseries.arima_candidates(e, "value", "event_id", ["event_type"])
+
+
+# Reliability ------------------------------------------------------------------------------------------------
+
+_RISK = "WITH c AS (SELECT l_quantity AS time, count(*) FILTER (l_linestatus = 'F') AS events, count(*) FILTER (l_linestatus <> 'F') AS censored FROM lineitem GROUP BY 1), r AS (SELECT *, CAST(sum(events + censored) OVER (ORDER BY time DESC) AS BIGINT) AS at_risk FROM c) "
+
+
+@query("kaplan_meier", "lineitem", _RISK + """, s AS (SELECT *, CASE WHEN max((events = at_risk)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END) OVER w) END AS survival, sum(CASE WHEN events < at_risk THEN events / (at_risk * (at_risk - events)) ELSE 0 END) OVER w AS g FROM r WINDOW w AS (ORDER BY time))
+SELECT time, events, censored, at_risk, survival, survival * sqrt(g) AS se, CASE WHEN survival > 0 AND survival < 1 THEN survival ** exp(1.959963984540054 * sqrt(g) / abs(ln(survival))) END AS low, CASE WHEN survival > 0 AND survival < 1 THEN survival ** (1 / exp(1.959963984540054 * sqrt(g) / abs(ln(survival)))) END AS high FROM s""", "survival se low high")
+def _(li):
+    return reliability.kaplan_meier(li, "l_quantity", F.col("l_linestatus") == "F")
+
+
+@query("log_rank", "lineitem", """
+WITH t AS (SELECT l_quantity AS time, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS e1, count(*) FILTER (l_returnflag = 'R') AS a1, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS e0, count(*) FILTER (l_returnflag = 'A') AS a0 FROM lineitem GROUP BY 1),
+n AS (SELECT *, sum(a1) OVER (ORDER BY time DESC) AS n1, sum(a0) OVER (ORDER BY time DESC) AS n0 FROM t), s AS (SELECT sum(e1) AS observed, sum((e1 + e0) * n1 / (n1 + n0)) AS expected, sum(CASE WHEN n1 + n0 > 1 THEN n1 * n0 * (e1 + e0) * (n1 + n0 - e1 - e0) / ((n1 + n0)::DOUBLE ** 2 * (n1 + n0 - 1)) ELSE 0 END) AS variance FROM n)
+SELECT CAST(observed AS BIGINT) AS observed, expected, variance, (observed - expected) ** 2 / variance AS chi_square FROM s""", "expected variance chi_square", 5)
+def _(li):
+    return reliability.log_rank(li, "l_quantity", F.col("l_linestatus") == "F", "l_returnflag", "R", "A")
+
+
+@query("exponential_life", "lineitem", "WITH s AS (SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS events, sum(l_quantity) AS exposure, count(*) AS n FROM lineitem WHERE l_quantity > 0 GROUP BY 1) SELECT *, events / exposure AS rate, exposure / events AS mean_life, events * ln(events / exposure) - events AS log_likelihood FROM s", "exposure rate mean_life log_likelihood", 4)
+def _(li):
+    return reliability.exponential(li, "l_quantity", F.col("l_linestatus") == "F", ["l_returnflag"])
+
+
+@query("weibull_life", "lineitem")
+def _(li):
+    return reliability.weibull(li, "l_quantity", F.col("l_linestatus") == "F")
+
+
+@query("cumulative_incidence", "lineitem", """
+WITH r AS (SELECT l_quantity AS time, CASE WHEN l_linestatus = 'F' THEN l_returnflag END AS mode FROM lineitem), c AS (SELECT time, mode, count(*) AS c FROM r GROUP BY 1, 2), t AS (SELECT time, sum(c) AS a, sum(c) FILTER (mode IS NOT NULL) AS d FROM c GROUP BY 1), n AS (SELECT time, coalesce(d, 0) AS d, sum(a) OVER (ORDER BY time DESC) AS n FROM t),
+s AS (SELECT *, coalesce(exp(sum(CASE WHEN d < n THEN ln(1 - d / n) ELSE -800 END) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS s FROM n)
+SELECT mode, time, c AS events, CAST(n AS BIGINT) AS at_risk, sum(s * c / n) OVER (PARTITION BY mode ORDER BY time) AS incidence FROM c JOIN s USING (time) WHERE mode IS NOT NULL""", "incidence")
+def _(li):
+    return reliability.cumulative_incidence(li, "l_quantity", F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")))
+
+
+@query("warranty", "lineitem", "WITH s AS (SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS events, count(*) FILTER (l_linestatus = 'F') / sum(l_quantity) AS rate FROM lineitem GROUP BY 1) SELECT *, exp(-rate * 12) AS reliability, 1000 * (1 - exp(-rate * 12)) AS claims_per_1000 FROM s", "rate reliability claims_per_1000")
+def _(li):
+    return reliability.warranty(li, "l_quantity", F.col("l_linestatus") == "F", 12.0, ["l_returnflag"])
