@@ -10,7 +10,8 @@ The table comes in batches. A new batch gets its suffix array, is merge-scanned
 family (both sorted and bucketed by the key, so the join moves no rows), and becomes a level of size 1; two
 levels of equal size merge before the next batch comes. What the scans return are the keys that occur more
 than once. If all occurrences of a key have one context, every window of theirs repeats. Otherwise one
-member of each distinct context gives fingerprints of its single windows, and these are counted.
+member of each distinct context is compared with the key's other contexts, window by window: in one task
+for a key, but for keys of more than HOT contexts, whose windows' fingerprints are counted by a shuffle.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import written
 from .words import BYTE_VALUES, prefix_hashes, slice_hashes
 
 MATCH, GRAM, BATCHES = 200, 40, 4
-#: Bytes hashed at once.
-CHUNK = 1 << 20
+#: Bytes hashed at once, and contexts of a key that one task compares.
+CHUNK, HOT = 1 << 20, 512
 ENTRIES = "ref long, start long, windows int, key long, ctx long"
 SPAN_LIST = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -176,44 +177,83 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, batche
     member = F.struct("ref", "start", "windows")
     classes = written(mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(member).alias("m")).withColumn("id", F.xxhash64("key", "ctx")), "contexts")
     copies = mixed.join(classes.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("ref", F.col("start").alias("a"), last.alias("b"))
-    shown = classes.select("m.ref", F.struct("id", "m.start", "m.windows").alias("c")).groupBy("ref").agg(F.collect_list("c").alias("c"))
-    windows = written(_windows(docs.join(shown, "ref"), match), "windows")
-    again = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    kept = windows.join(again, "hash", "left_semi").groupBy("id").agg(F.min("place").alias("p"), F.max("place").alias("q"))
+    hot = classes.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key", F.lit(True).alias("hot"))
+    shown = classes.join(hot, "key", "left").select("m.ref", F.struct("id", "key", F.coalesce("hot", F.lit(False)).alias("hot"), "m.start", "m.windows").alias("c"))
+    contexts = written(_contexts(docs.join(shown.groupBy("ref").agg(F.collect_list("c").alias("c")), "ref"), match), "context-bytes")
+    few = contexts.where("not hot").repartition("key").sortWithinPartitions("key").select("key", "id", "windows", "data")
+    many = _windows(contexts.where("hot"), match)
+    again = many.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    kept = many.join(again, "hash", "left_semi").groupBy("id").agg(F.min("place").alias("p"), F.max("place").alias("q"))
+    kept = kept.union(_compared(few, match))
     single = classes.where("n = 1").join(kept, "id")
     single = single.select("m.ref", (F.col("m.start") + F.col("p")).alias("a"), (F.col("m.start") + F.col("q") + match).alias("b"))
     spans = pure.union(copies).union(single)
     return spans.groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def _windows(rows: DataFrame, match: int) -> DataFrame:
-    """(id, place, hash) of every single window of the contexts in rows(text, c)."""
+def _contexts(rows: DataFrame, match: int) -> DataFrame:
+    """(key, id, hot, windows, data) of the contexts in rows(text, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces, held = [], 0
-            for text, contexts in zip(batch.column(0).cast(pa.binary()), batch.column(1), strict=True):
-                raw = text.as_py()
-                for c in contexts.as_py():
-                    pieces.append((c["id"], c["windows"], raw[c["start"] : c["start"] + c["windows"] + match - 1]))
-                    held += len(pieces[-1][2])
-                if held >= CHUNK:
-                    yield _window_hashes(pieces, match)
-                    pieces, held = [], 0
-            if pieces:
-                yield _window_hashes(pieces, match)
-
-    return rows.select("text", "c").mapInArrow(run, "id long, place int, hash long")
-
-
-def _window_hashes(pieces: list[tuple[int, int, bytes]], match: int) -> pa.RecordBatch:
-    ids, counts = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces])
-    prefix = prefix_hashes(BYTE_VALUES[np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)])
-    sizes = np.array([len(p[2]) for p in pieces])
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), []
+                for text, contexts in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    out += [(c["key"], c["id"], c["hot"], c["windows"], text[c["start"] : c["start"] + c["windows"] + match - 1]) for c in contexts]
+                types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "id", "hot", "windows", "data"])
+
+    return rows.select("text", "c").mapInArrow(run, "key long, id long, hot boolean, windows int, data binary")
+
+
+def _window_hashes(counts: np.ndarray, data: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, place, hash) of every window of contexts."""
+    prefix = prefix_hashes(BYTE_VALUES[np.frombuffer(b"".join(data), np.uint8)])
+    sizes = np.array([len(d) for d in data])
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.repeat(np.cumsum(sizes) - sizes, counts) + place
-    hashes = slice_hashes(prefix, at, at + match).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(place.astype(np.int32)), pa.array(hashes)], ["id", "place", "hash"])
+    return np.repeat(np.arange(len(data)), counts), place, slice_hashes(prefix, at, at + match)
+
+
+def _windows(contexts: DataFrame, match: int) -> DataFrame:
+    """(id, place, hash) of every window of contexts(id, windows, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                ids, counts, data = batch.slice(at, 2048).columns
+                of, place, hashes = _window_hashes(counts.to_numpy().astype(np.int64), data.to_pylist(), match)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.to_numpy()[of]), pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))], ["id", "place", "hash"])
+
+    return contexts.select("id", "windows", "data").mapInArrow(run, "id long, place int, hash long")
+
+
+def _compared(contexts: DataFrame, match: int) -> DataFrame:
+    """(id, p, q): first and last place of a context's windows that repeat; contexts(key, id, windows, data) come sorted by key."""
+
+    def find(rows: list[tuple]) -> pa.RecordBatch:
+        of, place, hashes = _window_hashes(np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], match)
+        _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = times[back] > 1
+        of, place = of[again], place[again]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(of)) - 1 if len(of) else first
+        ids = np.array([r[1] for r in rows], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[of[first]]), pa.array(place[first].astype(np.int32)), pa.array(place[last].astype(np.int32))], ["id", "p", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held >= CHUNK and row[0] != rows[-1][0]:
+                    yield find(rows)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[3])
+        if rows:
+            yield find(rows)
+
+    return contexts.mapInArrow(run, "id long, p int, q int")
 
 
 def removed_mask(n: int, spans: list[dict] | None) -> np.ndarray:
