@@ -200,3 +200,39 @@ def chi_square_fit(df: DataFrame, category: str, proportions: dict[str, float] |
     share = 1 / F.count("*").over(all_) if proportions is None else F.create_map(*[F.lit(x) for kv in proportions.items() for x in kv])[F.col("category")]
     rows = counts.withColumn("expected", share * F.sum("observed").over(all_))
     return rows.withColumn("contribution", (F.col("observed") - F.col("expected")) ** 2 / F.col("expected"))
+
+
+def scaled(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with columns from 0 to 1 by their least and greatest; 0.5 where these are equal."""
+    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"_{a}_{c}") for c in names for a, f in (("lo", F.min), ("hi", F.max))])
+    rows = df.crossJoin(F.broadcast(ends))  # one row
+    for c, alias in names.items():
+        width = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
+        rows = rows.withColumn(alias, F.when(width > 0, (F.col(c) - F.col(f"_lo_{c}")) / F.when(width > 0, width)).when(F.col(c).isNotNull(), 0.5))
+    return rows.drop(*ends.columns)
+
+
+def first_levels(df: DataFrame, facet: str, order: str, most: int = 6) -> DataFrame:
+    """Rows of the levels that appear first: a plot has panels for these alone."""
+    levels = df.where(F.col(facet).isNotNull()).groupBy(facet).agg(F.min(order).alias("_first")).orderBy("_first", facet).limit(most)
+    return df.join(F.broadcast(levels.select(facet)), facet, "left_semi")
+
+
+def lagged(df: DataFrame, value: str, order: str, by: list[str], lag: int = 1) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).withColumn("before", F.lag(value, lag).over(Window.partitionBy(*by).orderBy(order)))
+
+
+def poisson_fit(df: DataFrame, count: str) -> DataFrame:
+    """Observed and expected rows of each count that occurs, by a Poisson distribution of the same mean."""
+    x = F.col(count)
+    c = df.where(x >= 0).groupBy(x.cast("long").alias("x")).agg(F.count("*").alias("observed"))
+    total = c.agg(F.sum("observed").alias("n"), (F.sum(F.col("x") * F.col("observed")) / F.sum("observed")).alias("mean"))
+    log_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("x"), F.lit(1))), F.lit(0.0), lambda a, k: a + F.log(k.cast("double")))
+    return c.crossJoin(F.broadcast(total)).select("x", "observed", (F.col("n") * F.exp(-F.col("mean") + F.col("x") * F.log("mean") - log_factorial)).alias("expected"))
+
+
+def contour(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """Mean z of every x and y that occur, and whether all pairs of their levels do (a regular grid)."""
+    cells = df.where(F.col(z).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.avg(z).alias("z"))
+    whole = cells.agg((F.count("*") == F.countDistinct("x") * F.countDistinct("y")).alias("regular"))
+    return cells.crossJoin(F.broadcast(whole))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import capability, describe, inference, msa, multivariate, nonparametric, regression, reliability, rows, spc, timeseries
+from .operators import capability, describe, design, inference, msa, multivariate, nonparametric, regression, reliability, rows, spc, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -981,3 +981,122 @@ def _(li):
 @query("warranty", "lineitem", "WITH s AS (SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS events, count(*) FILTER (l_linestatus = 'F') / sum(l_quantity) AS rate FROM lineitem GROUP BY 1) SELECT *, exp(-rate * 12) AS reliability, 1000 * (1 - exp(-rate * 12)) AS claims_per_1000 FROM s", "rate reliability claims_per_1000")
 def _(li):
     return reliability.warranty(li, "l_quantity", F.col("l_linestatus") == "F", 12.0, ["l_returnflag"])
+
+
+# Designs ----------------------------------------------------------------------------------------------------
+
+
+def _factors(li: DataFrame) -> DataFrame:
+    sign = lambda c: F.when(c, 1.0).otherwise(-1.0)
+    return li.select(F.col("l_quantity").alias("y"), sign(F.col("l_linestatus") == "O").alias("a"), sign(F.col("l_discount") > 0.05).alias("b"), sign(F.col("l_tax") > 0.04).alias("c"))
+
+
+_SIGNS = "WITH x AS (SELECT l_quantity AS y, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS a, CASE WHEN l_discount > 0.05 THEN 1 ELSE -1 END AS b, CASE WHEN l_tax > 0.04 THEN 1 ELSE -1 END AS c FROM lineitem) "
+
+
+@query("factorial_effects", "lineitem", _SIGNS + " UNION ALL ".join(f"SELECT '{t}' AS term, avg(y) FILTER ({t} > 0) - avg(y) FILTER ({t} < 0) AS effect FROM x" for t in ("a", "b", "c", "a*b", "a*c", "b*c")), "effect")
+def _(li):
+    return design.effects(_factors(li), "y", ["a", "b", "c"])
+
+
+@query("response_surface", "lineitem")
+def _(li):
+    rows_ = li.select("l_extendedprice", design.coded(F.col("l_quantity"), 1, 50).alias("q"), design.coded(F.col("l_discount"), 0, 0.1).alias("d"))
+    return design.response_surface(rows_, "l_extendedprice", ["q", "d"])
+
+
+@query("lack_of_fit", "lineitem")
+def _(li):
+    rows_ = li.select("l_extendedprice", design.coded(F.col("l_quantity"), 1, 50).alias("q"), design.coded(F.col("l_linenumber"), 1, 7).alias("n"))
+    return design.lack_of_fit(rows_, "l_extendedprice", ["q", "n"])
+
+
+@query("desirability", "part", "SELECT p_partkey, sqrt(greatest(0, least(1, (p_size - 1) / 49)) * greatest(0, least(1, CASE WHEN p_retailprice <= 1400 THEN (p_retailprice - 900) / 500 ELSE (2000 - p_retailprice) / 600 END))) AS desirability FROM part", "desirability")
+def _(p):
+    size, price = design.desirability(F.col("p_size"), "maximize", 1, 50), design.desirability(F.col("p_retailprice"), "target", 900, 2000, 1400)
+    return p.select("p_partkey", F.sqrt(size * price).alias("desirability"))
+
+
+@query("coded_units", "part", "SELECT p_partkey, (p_retailprice - 1450) / 550 AS coded, 1450 + (p_retailprice - 1450) / 550 * 550 AS actual FROM part", "coded actual")
+def _(p):
+    c = design.coded(F.col("p_retailprice"), 900, 2000)
+    return p.select("p_partkey", c.alias("coded"), design.actual(c, 900, 2000).alias("actual"))
+
+
+# Further summaries ------------------------------------------------------------------------------------------
+
+
+@query("scatter_points", "part", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, p_brand AS level FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL", "x y")
+def _(p):
+    return rows.complete_rows(p, ["p_size", "p_retailprice"]).select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.col("p_brand").alias("level"))
+
+
+@query("parallel_scaled", "part", "SELECT p_partkey, (p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) AS size_scaled, (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) AS price_scaled FROM part", "size_scaled price_scaled")
+def _(p):
+    return describe.scaled(p, {"p_size": "size_scaled", "p_retailprice": "price_scaled"}).select("p_partkey", "size_scaled", "price_scaled")
+
+
+@query("facet_levels", "events", "WITH f AS (SELECT event_type, min(event_id) AS first_row FROM events GROUP BY 1 ORDER BY 2 LIMIT 3) SELECT event_type, count(*) AS n, avg(value) AS mean FROM events WHERE event_type IN (SELECT event_type FROM f) GROUP BY 1", "mean")
+def _(e):
+    return describe.descriptive(describe.first_levels(e, "event_type", "event_id", 3), "value", ["event_type"]).select("event_type", "n", "mean")
+
+
+@query("lag_points", "events", "SELECT event_type, event_id, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS before, value FROM events", "before value")
+def _(e):
+    return describe.lagged(e, "value", "event_id", ["event_type"]).select("event_type", "event_id", "before", "value")
+
+
+@query("quantile_ranks", "customer", "SELECT c_custkey, percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS percent_rank, cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS cume_dist FROM customer", "percent_rank cume_dist")
+def _(c):
+    return nonparametric.quantile_ranks(c, "c_acctbal", ["c_mktsegment"]).select("c_custkey", "percent_rank", "cume_dist")
+
+
+@query("poisson_fit", "orders", """
+WITH d AS (SELECT o_custkey, count(*) AS x FROM orders GROUP BY 1), m AS (SELECT avg(x) AS mean, count(*) AS n FROM d), c AS (SELECT x, count(*) AS observed FROM d GROUP BY 1)
+SELECT x, observed, n * exp(-mean + x * ln(mean) - lgamma(x + 1)) AS expected FROM c, m""", "expected", 5)
+def _(o):
+    return describe.poisson_fit(o.groupBy("o_custkey").agg(F.count("*").alias("x")), "x")
+
+
+@query("contour_cells", "lineitem", "SELECT l_linenumber AS x, l_quantity AS y, avg(l_extendedprice) AS z FROM lineitem GROUP BY 1, 2", "y z", 3)
+def _(li):
+    return describe.contour(li, "l_linenumber", "l_quantity", "l_extendedprice").select("x", "y", "z")
+
+
+def _streamed_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of their file, against limits of the whole table, to the end of what is there."""
+    from .plans.ordered import _scratch
+    from .streaming.monitor import monitor
+
+    still = table(spark, sf_dir, "events")
+    limits = still.groupBy("event_type").agg(F.avg("value").alias("c"), F.stddev_samp("value").alias("s")).select("event_type", F.col("c").alias("centre"), (F.col("c") - 2 * F.col("s")).alias("lower"), (F.col("c") + 2 * F.col("s")).alias("upper"))
+    stream = spark.readStream.schema(still.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    scratch, seen = _scratch(spark), []
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{scratch}/out")
+        seen.append(True)
+
+    out = monitor(stream, limits, "event_type", "value", "ts", "1 day").select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", F.round("mean", 6).alias("mean"), "n_out")
+    out.writeStream.outputMode("complete").option("checkpointLocation", f"{scratch}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{scratch}/out") if seen else spark.createDataFrame([], out.schema)
+
+
+QUERIES["streamed_monitor"] = _streamed_monitor
+SQL["streamed_monitor"] = """WITH l AS (SELECT event_type, avg(value) - 2 * stddev_samp(value) AS lower, avg(value) + 2 * stddev_samp(value) AS upper FROM events GROUP BY 1)
+SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS mean, count(*) FILTER (value < lower OR value > upper) AS n_out FROM events JOIN l USING (event_type) GROUP BY 1, 2"""
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as CSV to the shared folder and read back, columns typed by their cells."""
+    from .plans.ordered import _scratch
+    from .sources.tables import read_csv
+
+    path = _scratch(spark)
+    table(spark, sf_dir, "orders").write.csv(path, header=True)
+    text = read_csv(spark, path)
+    return rows.column_kinds(text, ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"]).select("column", "kind", "n_valid")
+
+
+QUERIES["csv_round_trip"] = _csv_round_trip
+SQL["csv_round_trip"] = " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{k}' AS kind, count({c}) AS n_valid FROM orders""" for c, k in (("o_orderkey", "numeric"), ("o_totalprice", "numeric"), ("o_orderdate", "time"), ("o_orderpriority", "time")))
