@@ -311,3 +311,83 @@ def bootstrap_mean(df: DataFrame, value: str, order: str, replicates: int = 200,
     means = rows.groupBy("r").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("m"))
     tail = (1 - confidence) / 2
     return means.agg(F.count("*").alias("replicates"), F.avg("m").alias("mean"), F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+
+
+def fisher_exact(df: DataFrame, row: Column, column: Column) -> DataFrame:
+    """Two-sided exact p of a 2 x 2 table of two conditions."""
+    import math as m
+
+    a, b, c, d = df.agg(F.count_if(row & column), F.count_if(row & ~column), F.count_if(~row & column), F.count_if(~row & ~column)).first()
+    lf = lambda n: m.lgamma(n + 1)
+    fixed = lf(a + b) + lf(c + d) + lf(a + c) + lf(b + d) - lf(a + b + c + d)
+    log_p = lambda x: fixed - lf(x) - lf(a + b - x) - lf(a + c - x) - lf(d - a + x)
+    here = log_p(a)
+    p = sum(m.exp(v) for x in range(max(0, a - d), min(a + b, a + c) + 1) if (v := log_p(x)) <= here + 1e-7)
+    return df.sparkSession.createDataFrame([(a, b, c, d, min(1.0, p))], "a long, b long, c long, d long, p_value double")
+
+
+def equivalence_ratio(df: DataFrame, value: str, group: str, first, second, lower: float, upper: float) -> DataFrame:
+    """One-sided statistics of the ratio of two means against limits, in the form mean1 - limit * mean2."""
+    s = sides(df, value, group, first, second)
+
+    def t(limit: float) -> Column:
+        return (F.col("mean1") - limit * F.col("mean2")) / F.sqrt(F.col("var1") / F.col("n1") + limit**2 * F.col("var2") / F.col("n2"))
+
+    return s.select("n1", "n2", (F.col("mean1") / F.col("mean2")).alias("ratio"), t(lower).alias("t_lower"), t(upper).alias("t_upper"))
+
+
+def proportion_equivalence(df: DataFrame, event: Column, target: float, lower: float, upper: float) -> DataFrame:
+    """One-sided normal statistics of a proportion less a target against limits."""
+    s = df.agg(F.count_if(event).alias("events"), F.count(event).alias("trials"))
+    p = F.col("events") / F.col("trials")
+    s = s.withColumn("difference", p - target).withColumn("se", F.sqrt(p * (1 - p) / F.col("trials")))
+    return s.withColumn("z_lower", (F.col("difference") - lower) / F.col("se")).withColumn("z_upper", (F.col("difference") - upper) / F.col("se"))
+
+
+def nonparametric_tolerance(df: DataFrame, value: str, coverage: float = 0.95, confidence: float = 0.95) -> DataFrame:
+    """The narrowest symmetric order-statistic interval (Wilks) that reaches the confidence, else the extremes."""
+    from ..functions.special import binomial_cdf
+
+    rows = df.where(F.col(value).isNotNull())
+    n = rows.count()
+    k = 0
+    while 2 * (k + 1) < n and binomial_cdf(n - 2 * (k + 1), n, coverage) >= confidence:
+        k += 1
+    reached = binomial_cdf(n - 2 * max(k, 1), n, coverage) if n > 1 else 0.0
+    r = max(k, 1)
+    low = rows.select(value).orderBy(value).limit(r).agg(F.max(value).alias("low"))
+    high = rows.select(value).orderBy(F.desc(value)).limit(r).agg(F.min(value).alias("high"))
+    return low.crossJoin(high).select(F.lit(n).alias("n"), F.lit(r).alias("rank"), "low", "high", F.lit(float(reached)).alias("confidence"))
+
+
+def two_sample_bootstrap(df: DataFrame, value: str, group: str, first, second, order: str, replicates: int = 200) -> DataFrame:
+    """Percentile interval of the difference of two means, Poisson weights by hash."""
+    a, b = (bootstrap_rows(df.where(F.col(group) == g), value, order, replicates) for g in (first, second))
+    d = a.select("r", F.col("m").alias("a")).join(b.select("r", F.col("m").alias("b")), "r").select((F.col("a") - F.col("b")).alias("d"))
+    return d.agg(F.count("*").alias("replicates"), F.avg("d").alias("difference"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+
+
+def bootstrap_rows(df: DataFrame, value: str, order: str, replicates: int, seed: int = 1) -> DataFrame:
+    """(r, m): the mean of each replicate."""
+    u = F.pmod(F.xxhash64(F.col(order), F.col("r"), F.lit(seed)), F.lit(1 << 53)) / (1 << 53)
+    weight, p, total = F.lit(0), math.exp(-1), 0.0
+    for k in range(8):
+        total += p
+        weight = weight + F.when(u > total, 1).otherwise(0)
+        p /= k + 1
+    rows = df.where(F.col(value).isNotNull()).select(order, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
+    return rows.groupBy("r").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("m"))
+
+
+def nemenyi(df: DataFrame, treatments: list[str]) -> DataFrame:
+    """Differences of mean ranks of every pair of treatments, a row a block, with their normal statistic."""
+    from functools import reduce
+    from itertools import combinations
+    from operator import add
+
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in treatments]))
+    k = len(treatments)
+    rank = {t: 1 + reduce(add, [(F.col(o) < F.col(t)).cast("int") + (F.col(o) == F.col(t)).cast("int") / 2 for o in treatments if o != t]) for t in treatments}
+    s = rows.agg(F.count("*").alias("b"), *[F.avg(rank[t]).alias(f"r{i}") for i, t in enumerate(treatments)])
+    pairs = [F.struct(F.lit(treatments[i]).alias("first"), F.lit(treatments[j]).alias("second"), (F.col(f"r{i}") - F.col(f"r{j}")).alias("difference"), ((F.col(f"r{i}") - F.col(f"r{j}")) / F.sqrt(k * (k + 1) / (6 * F.col("b")))).alias("z")) for i, j in combinations(range(k), 2)]
+    return s.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import capability, describe, design, inference, msa, multivariate, nonparametric, regression, reliability, rows, spc, timeseries
+from .operators import capability, describe, design, inference, models, msa, multivariate, nonparametric, regression, reliability, rows, spc, survival_models, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1100,3 +1100,115 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["csv_round_trip"] = _csv_round_trip
 SQL["csv_round_trip"] = " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{k}' AS kind, count({c}) AS n_valid FROM orders""" for c, k in (("o_orderkey", "numeric"), ("o_totalprice", "numeric"), ("o_orderdate", "time"), ("o_orderpriority", "time")))
+
+
+# Further tests and life models ------------------------------------------------------------------------------
+
+
+@query("fisher_exact", "labels")
+def _(x):
+    return inference.fisher_exact(x, F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("equivalence_ratio", "customer", f"SELECT n1, n2, mean1 / mean2 AS ratio, (mean1 - 0.8 * mean2) / sqrt(var1 / n1 + 0.64 * var2 / n2) AS t_lower, (mean1 - 1.25 * mean2) / sqrt(var1 / n1 + 1.5625 * var2 / n2) AS t_upper FROM {_SIDES}", "ratio t_lower t_upper")
+def _(c):
+    return inference.equivalence_ratio(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY", 0.8, 1.25)
+
+
+@query("equivalence_proportion", "lineitem", f"WITH s AS (SELECT events, trials, events / trials - 0.33 AS difference, sqrt(events / trials * (1 - events / trials) / trials) AS se FROM {_PROP}) SELECT *, (difference + 0.02) / se AS z_lower, (difference - 0.02) / se AS z_upper FROM s", "difference se z_lower z_upper")
+def _(li):
+    return inference.proportion_equivalence(li, F.col("l_returnflag") == "R", 0.33, -0.02, 0.02)
+
+
+@query("nonparametric_tolerance", "orders")
+def _(o):
+    return inference.nonparametric_tolerance(o, "o_totalprice")
+
+
+@query("bootstrap_two_sample", "customer")
+def _(c):
+    return inference.two_sample_bootstrap(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY", "c_custkey")
+
+
+@query("nemenyi", "lineitem", """
+WITH x AS (SELECT row_number() OVER () AS id, l_discount * 100 AS a, l_tax * 100 AS b, l_quantity / 5 AS c FROM lineitem), u AS (SELECT id, t, v FROM x UNPIVOT (v FOR t IN (a, b, c))), r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY v) + (count(*) OVER (PARTITION BY id, v) - 1) / 2 AS r FROM u), s AS (SELECT t, avg(r) AS m, count(*) AS n FROM r GROUP BY 1)
+SELECT p.t AS first, q.t AS second, p.m - q.m AS difference, (p.m - q.m) / sqrt(12 / (6.0 * p.n)) AS z FROM s p JOIN s q ON p.t < q.t""", "difference z")
+def _(li):
+    return inference.nemenyi(li.select((F.col("l_discount") * 100).alias("a"), (F.col("l_tax") * 100).alias("b"), (F.col("l_quantity") / 5).alias("c")), ["a", "b", "c"])
+
+
+@query("cox_regression", "lineitem")
+def _(li):
+    return survival_models.cox(li, "l_quantity", F.col("l_linestatus") == "F", ["l_discount", "l_tax"])
+
+
+@query("log_rank_groups", "lineitem", """
+WITH r AS (SELECT l_returnflag AS g, l_quantity AS time, count(*) FILTER (l_linestatus = 'F') AS e, count(*) AS a FROM lineitem GROUP BY 1, 2), t AS (SELECT time, sum(e) AS d, sum(a) AS a FROM r GROUP BY 1), n AS (SELECT time, d, sum(a) OVER (ORDER BY time DESC) AS n FROM t), gs AS (SELECT DISTINCT g FROM r),
+x AS (SELECT n.time, gs.g, d, n, coalesce(e, 0) AS e, sum(coalesce(r.a, 0)) OVER (PARTITION BY gs.g ORDER BY n.time DESC) AS own FROM n CROSS JOIN gs LEFT JOIN r ON r.time = n.time AND r.g = gs.g) SELECT g AS l_returnflag, CAST(sum(e) AS BIGINT) AS observed, sum(d * own / n) AS expected FROM x GROUP BY 1""", "expected", 4)
+def _(li):
+    return survival_models.log_rank_groups(li, "l_quantity", F.col("l_linestatus") == "F", "l_returnflag")
+
+
+@query("lognormal_life", "lineitem")
+def _(li):
+    return survival_models.lognormal(li, "l_quantity", F.col("l_linestatus") == "F")
+
+
+@query("weibull_by_mode", "lineitem")
+def _(li):
+    return survival_models.weibull_by_mode(li, "l_quantity", F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")), ["A", "N", "R"])
+
+
+@query("isolation_forest", "part")
+def _(p):
+    return models.isolation_forest(p, ["p_size", "p_retailprice"], "p_partkey").select("p_partkey", "score")
+
+
+@query("classification_tree", "lineitem")
+def _(li):
+    return models.tree(li, "l_linestatus", ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("normal_mixture", "part")
+def _(p):
+    return models.mixture(p, "p_retailprice")
+
+
+@query("nominal_logistic", "lineitem")
+def _(li):
+    return models.nominal_logistic(li, "l_returnflag", ["l_quantity", "l_discount"])
+
+
+@query("ryan_joiner", "events")
+def _(e):
+    return models.ryan_joiner(e, "value", "event_id", ["event_type"])
+
+
+@query("identify_distributions", "events")
+def _(e):
+    return models.identify_distributions(e, "value", "event_id", ["event_type"])
+
+
+@query("t_chart", "events")
+def _(e):
+    return models.t_chart(e, "value")
+
+
+@query("lognormal_capability", "part", "WITH s AS (SELECT p_brand, count(*) AS n, avg(ln(p_retailprice)) AS location, stddev_samp(ln(p_retailprice)) AS scale FROM part WHERE p_retailprice > 0 GROUP BY 1) SELECT *, (location - ln(900)) / scale / 3 AS ppl, (ln(1900) - location) / scale / 3 AS ppu, least((location - ln(900)) / scale / 3, (ln(1900) - location) / scale / 3) AS ppk FROM s", "location scale ppl ppu ppk")
+def _(p):
+    return models.lognormal_capability(p, "p_retailprice", 900.0, 1900.0, ["p_brand"])
+
+
+@query("pairwise_rank_sums", "lineitem", " UNION ALL ".join(f"""SELECT '{a}' AS first, '{b}' AS second, sum(r) FILTER (l_returnflag = '{a}') AS w FROM (SELECT l_returnflag, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem WHERE l_returnflag IN ('{a}', '{b}'))""" for a, b in (("A", "N"), ("A", "R"), ("N", "R"))), "w", 1)
+def _(li):
+    return models.pairwise_rank_sums(li, "l_quantity", "l_returnflag", ["A", "N", "R"]).drop("z")
+
+
+@query("median_interval", "orders")
+def _(o):
+    return models.median_interval(o, "o_totalprice")
+
+
+@query("rolling_origin", "events")
+def _(e):
+    return models.rolling_origin(e, "value", "event_id", ["event_type"])
