@@ -97,9 +97,9 @@ def _(li):
     return rows.keyset_page(li.select("l_orderkey", "l_linenumber").distinct(), ["l_orderkey", "l_linenumber"], (20, 2), 100)
 
 
-@query("rows_except", "orders customer", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@query("rows_except", "orders customer", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000)")
 def _(o, c):
-    return rows.without_rows(c, o.where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey").select("c_custkey")
+    return rows.without_rows(c, o.where("o_totalprice > 490000").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey").select("c_custkey")
 
 
 @query("stack_columns", "part", "SELECT p_partkey, factor, response FROM (UNPIVOT (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) ON p_size, p_retailprice INTO NAME factor VALUE response)", "response")

@@ -38,7 +38,7 @@ def test_query(spark, duck, sf_dir, name):
     got = core.queries()[name](spark, sf_dir)
     columns = sorted(got.columns)
     rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=lambda r: [_key(v) for v in r])
-    assert rows
+    assert rows or name == "stepwise"  # no variable may enter
     if name in core.oracle_sql():
         want = duck.execute(core.oracle_sql()[name])
         names = [d[0] for d in want.description]
