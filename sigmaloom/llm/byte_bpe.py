@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's table from a chunk of text to its ids, beyond which it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
 
 
