@@ -177,3 +177,43 @@ def acceptance_curve(spark: SparkSession, n: int, c: int, places: int = 21, most
 
     rows = [(most * k / (places - 1), binomial_cdf(c, n, most * k / (places - 1))) for k in range(places)]
     return spark.createDataFrame(rows, "defective double, accepted double")
+
+
+def two_proportion_power(n: int, p1: float, p2: float, alpha: float = 0.05) -> float:
+    """Power of the two-sided normal test of two proportions, n each."""
+    z, mid = normal_quantile(1 - alpha / 2), (p1 + p2) / 2
+    s0, s1 = math.sqrt(2 * mid * (1 - mid) / n), math.sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / n)
+    return normal_cdf((abs(p1 - p2) - z * s0) / s1) + normal_cdf((-abs(p1 - p2) - z * s0) / s1)
+
+
+def poisson_power(n: int, rate0: float, rate1: float, alpha: float = 0.05) -> float:
+    """Power of the two-sided normal test of a rate over n units."""
+    z, s0, s1 = normal_quantile(1 - alpha / 2), math.sqrt(rate0 / n), math.sqrt(rate1 / n)
+    return normal_cdf((rate1 - rate0 - z * s0) / s1) + normal_cdf((rate0 - rate1 - z * s0) / s1)
+
+
+def two_poisson_power(n: int, rate1: float, rate2: float, alpha: float = 0.05) -> float:
+    z, s = normal_quantile(1 - alpha / 2), math.sqrt((rate1 + rate2) / n)
+    return normal_cdf(abs(rate1 - rate2) / s - z) + normal_cdf(-abs(rate1 - rate2) / s - z)
+
+
+def two_variance_power(n: int, ratio: float, alpha: float = 0.05) -> float:
+    """Power of the two-sided F test of two samples of n whose variances have this ratio."""
+    d = n - 1
+    return f_right(f_quantile(1 - alpha / 2, d, d) / ratio, d, d) + 1 - f_right(f_quantile(alpha / 2, d, d) / ratio, d, d)
+
+
+def equivalence_power(n: int, difference: float, lower: float, upper: float, sigma: float, alpha: float = 0.05, samples: int = 1) -> float:
+    """Normal approximation of the power of two one-sided tests of one sample, or of two of n each."""
+    z, se = normal_quantile(1 - alpha), sigma * math.sqrt(samples / n)
+    return max(0.0, normal_cdf((upper - difference) / se - z) + normal_cdf((difference - lower) / se - z) - 1)
+
+
+def factorial_power(replicates: int, factors: int, effect: float, sigma: float, alpha: float = 0.05) -> float:
+    """Power to see an effect in a replicated two-level design of all factors with main effects and pairs."""
+    n = replicates * 2**factors
+    df = n - 1 - factors - factors * (factors - 1) // 2
+    if df < 1:
+        return 0.0
+    c, delta = t_quantile(1 - alpha / 2, df), effect / (2 * sigma / math.sqrt(n))
+    return 1 - noncentral_t_cdf(c, df, delta) + noncentral_t_cdf(-c, df, delta)

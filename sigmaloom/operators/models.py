@@ -194,3 +194,42 @@ def rolling_origin(df: DataFrame, value: str, order: str, by: list[str], alpha:
 
     schema = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes) + ", origins long, mad double, msd double, mase double"
     return df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(run, schema)
+
+
+def ordinal_logistic(df: DataFrame, label: str, levels: list, predictors: list[str], rounds: int = 40) -> DataFrame:
+    """Proportional odds of ordered levels, P(y <= j) = logistic(cut_j - xb), by Fisher scoring: one aggregation a step."""
+    rows = complete(df, predictors).where(F.col(label).isin(levels)).select((F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(label))).cast("int").alias("_y"), *[F.col(p).cast("double").alias(f"x{i}") for i, p in enumerate(predictors)])
+    stats = rows.agg(F.count("*"), *[F.count_if(F.col("_y") <= j) for j in range(1, len(levels))], *[f(f"x{i}") for i in range(len(predictors)) for f in (F.avg, F.stddev_samp)]).first()
+    k, p = len(levels) - 1, len(predictors)
+    share = np.clip(np.array(stats[1 : k + 1], float) / stats[0], 1e-6, 1 - 1e-6)
+    mean, sd = np.array(stats[k + 1 :: 2], float), np.array([s or 1.0 for s in stats[k + 2 :: 2]], float)
+    rows = rows.withColumns({f"x{i}": (F.col(f"x{i}") - float(mean[i])) / float(sd[i]) for i in range(p)})
+    theta, beta = np.log(share / (1 - share)), np.zeros(p)
+    for _ in range(rounds):
+        eta = reduce(add, [float(b) * F.col(f"x{i}") for i, b in enumerate(beta)], F.lit(0.0))
+        below = [F.lit(0.0)] + [1 / (1 + F.exp(eta - float(t))) for t in theta] + [F.lit(1.0)]
+        wide = rows.withColumns({f"c{j}": c for j, c in enumerate(below)})
+        c = [F.col(f"c{j}") for j in range(k + 2)]
+        f = [x * (1 - x) for x in c]
+        prob = [F.greatest(c[j + 1] - c[j], F.lit(1e-12)) for j in range(k + 1)]
+        # the derivative of each level's probability by each parameter
+        slope = [[(f[j + 1] if m == j else -f[j] if m == j - 1 else None) for m in range(k)] + [-(f[j + 1] - f[j]) * F.col(f"x{i}") for i in range(p)] for j in range(k + 1)]
+        q = k + p
+        score = [reduce(add, [F.when(F.col("_y") == j + 1, slope[j][m] / prob[j]).otherwise(0.0) for j in range(k + 1) if slope[j][m] is not None]) for m in range(q)]
+        info = [(m, n, reduce(add, [slope[j][m] * slope[j][n] / prob[j] for j in range(k + 1) if slope[j][m] is not None and slope[j][n] is not None] or [F.lit(0.0)])) for m in range(q) for n in range(m, q)]
+        out = wide.agg(*[F.sum(s).alias(f"s{i}") for i, s in enumerate(score)], *[F.sum(v).alias(f"i{m}_{n}") for m, n, v in info]).first()
+        g, h = np.array(out[:q], float), np.zeros((q, q))
+        for at, (m, n, _) in enumerate(info):
+            h[m, n] = h[n, m] = out[q + at]
+        step = np.linalg.solve(h, g)
+        step /= max(1.0, float(np.abs(step).max()))
+        theta, beta = theta + step[:k], beta + step[k:]
+        if np.abs(step).max() < 1e-9:
+            break
+    cov, table = np.linalg.inv(h), []
+    for j in range(k):
+        change = np.append(np.eye(k)[j], mean / sd)
+        b = float(theta[j] + beta @ (mean / sd))
+        table.append((f"cut {levels[j]}", b, math.sqrt(change @ cov @ change)))
+    table += [(name, float(beta[i] / sd[i]), math.sqrt(cov[k + i, k + i]) / float(sd[i])) for i, name in enumerate(predictors)]
+    return df.sparkSession.createDataFrame([(t, b, se, b / se, 2 * normal_cdf(-abs(b / se))) for t, b, se in table], "term string, coefficient double, se double, z double, p_value double")

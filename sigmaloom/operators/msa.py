@@ -83,3 +83,40 @@ def fleiss_kappa(df: DataFrame, item: str, rating: str) -> DataFrame:
     shares = c.join(items.select(item), item).groupBy(rating).agg(F.sum("c").alias("c"))
     pe = shares.agg((F.sum(F.col("c") ** 2) / F.sum("c") ** 2).alias("pe"))
     return p_item.crossJoin(pe).select("items", F.col("p").alias("agreement"), ((F.col("p") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+
+
+def expanded_gage(df: DataFrame, value: str, part: str, operator: str, extra: str) -> DataFrame:
+    """Variance components of a balanced study crossed in three random factors, a row a source.
+
+    Sums of squares come from the spread of the means of every grouping of the factors. Negative components
+    count as 0, raw_variance keeps them; an unbalanced study gives no rows.
+    """
+    from functools import reduce
+    from itertools import combinations
+
+    f = {"a": part, "b": operator, "c": extra}
+    cells = df.where(F.col(value).isNotNull()).groupBy(*f.values()).agg(F.count("*").alias("_r"), F.avg(value).alias("_m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("_v"))
+    row = cells.agg(F.min("_r").alias("r"), F.max("_r").alias("rx"), F.count("*").alias("cells"), F.avg("_v").alias("e"), F.var_pop("_m").alias("vabc"), *[F.countDistinct(f[k]).alias(f"n{k}") for k in "abc"])
+    for size in (1, 2):
+        for k in combinations("abc", size):
+            name = "".join(k)
+            row = row.crossJoin(cells.groupBy(*[f[x] for x in k]).agg(F.avg("_m").alias("_m")).agg(F.var_pop("_m").alias(f"v{name}")))  # one row each
+    row = row.where("r = rx and cells = na * nb * nc and r > 1 and na > 1 and nb > 1 and nc > 1")
+    v = {k: F.col(f"v{k}") for k in ("a", "b", "c", "ab", "ac", "bc", "abc")}
+    n, total = {k: F.col(f"n{k}").cast("double") for k in "abc"}, F.col("r") * F.col("cells")
+    own = {k: v[k] for k in "abc"} | {k: v[k] - v[k[0]] - v[k[1]] for k in ("ab", "ac", "bc")}
+    own["abc"] = v["abc"] - v["ab"] - v["ac"] - v["bc"] + v["a"] + v["b"] + v["c"]
+    ms = {k: total * own[k] / reduce(lambda x, y: x * y, [n[c] - 1 for c in k]) for k in own}
+    r, e = F.col("r"), F.col("e")
+    raw = {"repeatability": e, "abc": (ms["abc"] - e) / r}
+    for k in ("ab", "ac", "bc"):
+        (other,) = set("abc") - set(k)
+        raw[k] = (ms[k] - ms["abc"]) / (r * n[other])
+    for k in "abc":
+        x, y = sorted(set("abc") - {k})
+        raw[k] = (ms[k] - ms["".join(sorted(k + x))] - ms["".join(sorted(k + y))] + ms["abc"]) / (r * n[x] * n[y])
+    label = {"repeatability": "repeatability"} | {k: "*".join(f[c] for c in k) for k in raw if k != "repeatability"}
+    kept = {k: F.greatest(F.lit(0.0), c) for k, c in raw.items()}
+    sum_ = reduce(lambda x, y: x + y, kept.values())
+    rows = F.array(*[F.struct(F.lit(label[k]).alias("source"), kept[k].alias("variance"), raw[k].alias("raw_variance"), (100 * kept[k] / sum_).alias("percent_contribution")) for k in raw])
+    return row.select(F.explode(rows).alias("x")).select("x.*")

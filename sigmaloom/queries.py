@@ -1212,3 +1212,16 @@ def _(o):
 @query("rolling_origin", "events")
 def _(e):
     return models.rolling_origin(e, "value", "event_id", ["event_type"])
+
+
+@query("expanded_gage", "events")
+def _(e):
+    r = e.select("value", (F.col("event_id") % 60).alias("k"), F.floor(F.col("event_id") / 60).alias("rep"))
+    full = r.groupBy("rep").agg(F.count("*").alias("n")).where("n = 60").select("rep")
+    cells = r.join(full, "rep").select((F.col("k") % 10).alias("part"), (F.floor(F.col("k") / 10) % 3).alias("operator"), F.floor(F.col("k") / 30).alias("day"), "value")
+    return msa.expanded_gage(cells, "value", "part", "operator", "day")
+
+
+@query("ordinal_logistic", "lineitem")
+def _(li):
+    return models.ordinal_logistic(li, "l_returnflag", ["A", "N", "R"], ["l_quantity", "l_discount"])

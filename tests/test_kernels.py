@@ -205,3 +205,40 @@ def test_project_round_trip(spark, tmp_path):
     tables.save_project(df, str(tmp_path / "p"), [{"op": "drop", "row": 3}], {"page": df})
     back, log = tables.load_project(spark, str(tmp_path / "p"))
     assert tables.fingerprint(back) == tables.fingerprint(df) and log == [{"op": "drop", "row": 3}]
+
+
+def test_expanded_gage_adds_up_and_refuses_unbalanced(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(p, o, d, p + 0.5 * o + 0.2 * d + rng.gauss(0, 0.3)) for p in range(6) for o in range(3) for d in range(2) for _ in range(2)], "p int, o int, d int, y double")
+    v = {r.source: r for r in msa.expanded_gage(df, "y", "p", "o", "d").collect()}
+    assert len(v) == 8 and sum(r.percent_contribution for r in v.values()) == pytest.approx(100)
+    assert v["p"].variance > 1 and v["repeatability"].variance == pytest.approx(0.09, abs=0.05)
+    assert msa.expanded_gage(df.where("not (p = 0 and d = 0)"), "y", "p", "o", "d").count() == 0
+
+
+def test_ordinal_with_two_levels_is_logistic(spark):
+    from sigmaloom.operators import models
+
+    rng = random.Random(8)
+    data = [(x, "b" if rng.random() < 1 / (1 + math.exp(-(0.4 + 1.2 * x))) else "a") for x in (rng.gauss(1, 2) for _ in range(400))]
+    df = spark.createDataFrame(data, "x double, y string")
+    o = {r.term: r for r in models.ordinal_logistic(df, "y", ["a", "b"], ["x"]).collect()}
+    g = {r.term: r for r in regression.glm(df, F.col("y") == "b", ["x"], "binomial").collect()}
+    assert o["x"].coefficient == pytest.approx(g["x"].coefficient, rel=1e-6) and o["cut a"].coefficient == pytest.approx(-g["constant"].coefficient, rel=1e-6)
+    assert o["x"].se == pytest.approx(g["x"].se, rel=1e-5)
+    m = {(r.level, r.term): r.coefficient for r in models.nominal_logistic(df, "y", ["x"]).collect()}
+    assert m["a", "x"] == pytest.approx(-g["x"].coefficient, rel=1e-6)
+
+
+def test_registry():
+    from sigmaloom.plans import registry
+
+    names = [n for n, _ in registry.recommend({"a": "numeric", "b": "categorical"}, "compare")]
+    assert {"one_way_anova", "two_sample_t", "kruskal_wallis"} <= set(names[:4]) and "pca" not in names
+    with pytest.raises(KeyError):
+        registry.run("nothing", None)
+
+
+@pytest.mark.parametrize("value,known", [(design.two_proportion_power(100, 0.5, 0.7), 0.83), (design.poisson_power(50, 2.0, 2.6), 0.8), (design.two_variance_power(30, 2.5), 0.67), (design.equivalence_power(40, 0.0, -0.5, 0.5, 1.0), 0.87), (design.factorial_power(4, 2, 1.0, 1.0), 0.46)])
+def test_power_is_near(value, known):
+    assert value == pytest.approx(known, abs=0.06)
