@@ -34,20 +34,22 @@ class TestWindows:
         words = [word_hashes(text.encode()) for _, text in items]
         self.ids = [i for i, _ in items]
         self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
-        rows, of, at, size = [], [], [], []
+        blocks = [np.zeros((0, window), np.int64)]
+        of, at, size = [], [], []
         for k, w in enumerate(words):
-            ranks = np.searchsorted(self.vocabulary, w).astype(np.int64) + 1
             m = min(window, len(w))
-            for i in range(len(w) - m + 1 if m else 0):
-                rows.append(np.pad(ranks[i : i + m], (0, window - m)))
-                of.append(k)
-                at.append(i)
-                size.append(m)
-        self.rows = np.array(rows, np.int64).reshape(len(rows), window)
-        self.of, self.at, self.size = (np.array(x, np.int64) for x in (of, at, size))
+            if m:
+                ranks = np.searchsorted(self.vocabulary, w).astype(np.int64) + 1
+                found = np.lib.stride_tricks.sliding_window_view(ranks, m)
+                blocks.append(np.pad(found, ((0, 0), (0, window - m))))
+                of.append(np.full(len(found), k))
+                at.append(np.arange(len(found)))
+                size.append(np.full(len(found), m))
+        self.rows = np.concatenate(blocks)
+        self.of, self.at, self.size = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (of, at, size))
         single = self.size == 1
         self.singles = np.unique(self.rows[single, 0])
-        second = self.rows[:, 1] if window > 1 else np.zeros(len(rows), np.int64)
+        second = self.rows[:, 1] if window > 1 else np.zeros(len(self.rows), np.int64)
         self.pair = self.rows[:, 0] << 32 | second
         self.pairs = np.unique(self.pair[~single])
 

@@ -57,21 +57,20 @@ def table_shape(rows: int, threshold: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - same)))
 
 
-def _usable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, values, unit vectors) of the usable rows of the batch's last column; rows differ in length: the first usable length counts."""
-    column, places, values = batch.column(batch.num_columns - 1), [], []
-    for k, v in enumerate(column.to_pylist()):
+def _usable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the batch's vectors, its last column, that can be scaled to length 1."""
+    places, values = [], []
+    for k, v in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
         if v is not None and len(v) and None not in v:
             places.append(k)
             values.append(v)
     if not places:
-        return np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros((0, 1))
+        return np.zeros(0, np.int64), np.zeros((0, 1))
     raw = np.array(values, np.float64)
     scale = np.abs(raw).max(axis=1)
     good = np.isfinite(raw).all(axis=1) & (scale > 0)
-    raw, scale = raw[good], scale[good]
-    scaled = raw / scale[:, None]
-    return np.array(places)[good], raw, scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
+    scaled = raw[good] / scale[good][:, None]
+    return np.array(places)[good], scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
 
 
 def coded(classes: DataFrame, dim: int, bits: int, tables: int) -> DataFrame:
@@ -85,7 +84,7 @@ def coded(classes: DataFrame, dim: int, bits: int, tables: int) -> DataFrame:
         planes = np.random.default_rng(SEED + 1).standard_normal((tables * bits, dim))
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            places, _, unit = _usable(batch)
+            places, unit = _usable(batch)
             if not len(places):
                 continue
             code, factor = codes(unit, turn)

@@ -190,7 +190,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicate component, with their columns."""
+    """The rows of docs whose doc_id is the smallest of its near-duplicate component, with their columns.
+
+    Rows that repeat that doc_id stay together; rows without doc_id stay.
+    """
     found = near_duplicates(docs, shingle, distance)
     kept = found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
