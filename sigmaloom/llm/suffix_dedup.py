@@ -11,7 +11,8 @@ family (both sorted and bucketed by the key, so the join moves no rows), and bec
 levels of equal size merge before the next batch comes. What the scans return are the keys that occur more
 than once. If all occurrences of a key have one context, every window of theirs repeats. Otherwise one
 member of each distinct context is compared with the key's other contexts, window by window: in one task
-for a key, but for keys of more than HOT contexts, whose windows' fingerprints are counted by a shuffle.
+for a key, but for keys of more than HOT contexts. These are compared in parts of about HOT, and what has
+not met in its part is counted over all parts by fingerprints of windows, each distinct one once a part.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, batche
             for part in family.add(spark.table(stored).where(F.col("batch") == k)):
                 part = written(part, "repeated-keys")
                 found = part if found is None else found.union(part)
-        keys = found.groupBy("key").agg((F.min("lo") == F.max("hi")).alias("pure"))
+        keys = written(found.groupBy("key").agg((F.min("lo") == F.max("hi")).alias("pure")), "keys")  # so that Spark can split a frequent key in the join
         hits = written(spark.table(stored).join(keys, "key").drop("batch"), "repeated-entries")
     finally:
         tables.drop()
@@ -177,13 +178,17 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, batche
     member = F.struct("ref", "start", "windows")
     classes = written(mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(member).alias("m")).withColumn("id", F.xxhash64("key", "ctx")), "contexts")
     copies = mixed.join(classes.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("ref", F.col("start").alias("a"), last.alias("b"))
-    hot = classes.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key", F.lit(True).alias("hot"))
-    shown = classes.join(hot, "key", "left").select("m.ref", F.struct("id", "key", F.coalesce("hot", F.lit(False)).alias("hot"), "m.start", "m.windows").alias("c"))
+    hot = classes.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
+    shown = classes.join(hot, "key", "left").select("m.ref", F.struct("id", "key", "k", "m.start", "m.windows").alias("c"))
     contexts = written(_contexts(docs.join(shown.groupBy("ref").agg(F.collect_list("c").alias("c")), "ref"), match), "context-bytes")
     few = contexts.where("not hot").repartition("key").sortWithinPartitions("key").select("key", "id", "windows", "data")
-    many = _windows(contexts.where("hot"), match)
+    busy = contexts.where("hot").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / HOT)))
+    busy = written(_screened(busy.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "id", "windows", "data"), match), "hot-contexts")
+    many = _windows(busy.repartition("id"), match)  # evenly, whatever the key
     again = many.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    kept = many.join(again, "hash", "left_semi").groupBy("id").agg(F.min("place").alias("p"), F.max("place").alias("q"))
+    near = busy.where("p is not null").select("id", "p", "q")
+    kept = many.join(again, "hash", "left_semi").select("id", F.col("place").alias("p"), F.col("place").alias("q")).union(near)
+    kept = kept.groupBy("id").agg(F.min("p").alias("p"), F.max("q").alias("q"))
     kept = kept.union(_compared(few, match))
     single = classes.where("n = 1").join(kept, "id")
     single = single.select("m.ref", (F.col("m.start") + F.col("p")).alias("a"), (F.col("m.start") + F.col("q") + match).alias("b"))
@@ -192,18 +197,18 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, batche
 
 
 def _contexts(rows: DataFrame, match: int) -> DataFrame:
-    """(key, id, hot, windows, data) of the contexts in rows(text, c)."""
+    """(key, id, k, hot, windows, data) of the contexts in rows(text, c); k counts a hot key's contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 for text, contexts in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    out += [(c["key"], c["id"], c["hot"], c["windows"], text[c["start"] : c["start"] + c["windows"] + match - 1]) for c in contexts]
-                types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "id", "hot", "windows", "data"])
+                    out += [(c["key"], c["id"], c["k"], c["k"] is not None, c["windows"], text[c["start"] : c["start"] + c["windows"] + match - 1]) for c in contexts]
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "id", "k", "hot", "windows", "data"])
 
-    return rows.select("text", "c").mapInArrow(run, "key long, id long, hot boolean, windows int, data binary")
+    return rows.select("text", "c").mapInArrow(run, "key long, id long, k long, hot boolean, windows int, data binary")
 
 
 def _window_hashes(counts: np.ndarray, data: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,42 +221,79 @@ def _window_hashes(counts: np.ndarray, data: list[bytes], match: int) -> tuple[n
 
 
 def _windows(contexts: DataFrame, match: int) -> DataFrame:
-    """(id, place, hash) of every window of contexts(id, windows, data)."""
+    """(id, place, hash) of the windows of contexts(id, windows, data, shown) whose bit in shown is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                ids, counts, data = batch.slice(at, 2048).columns
-                of, place, hashes = _window_hashes(counts.to_numpy().astype(np.int64), data.to_pylist(), match)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.to_numpy()[of]), pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))], ["id", "place", "hash"])
+                ids, counts, data, shown = batch.slice(at, 2048).columns
+                counts = counts.to_numpy().astype(np.int64)
+                of, place, hashes = _window_hashes(counts, data.to_pylist(), match)
+                keep = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(shown.to_pylist(), counts.tolist(), strict=True)]).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.to_numpy()[of[keep]]), pa.array(place[keep].astype(np.int32)), pa.array(hashes[keep].view(np.int64))], ["id", "place", "hash"])
 
-    return contexts.select("id", "windows", "data").mapInArrow(run, "id long, place int, hash long")
+    return contexts.select("id", "windows", "data", "shown").mapInArrow(run, "id long, place int, hash long")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of whole groups (rows alike in the first columns) of about CHUNK bytes of their last column."""
+    rows, held = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held >= CHUNK and row[:keys] != rows[-1][:keys]:
+                yield rows
+                rows, held = [], 0
+            rows.append(row)
+            held += len(row[-1])
+    if rows:
+        yield rows
+
+
+def _ends(of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last place) of sorted windows."""
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(of)) - 1 if len(of) else first
+    return of[first], place[first], place[last]
+
+
+def _screened(contexts: DataFrame, match: int) -> DataFrame:
+    """contexts(key, part, id, windows, data), sorted by key and part, with p, q and shown.
+
+    p and q are the first and last place of windows that repeat within the part, null if none does. shown
+    has a bit a window: those still to be compared with other parts, each distinct one in one context.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, 2):
+            counts = np.array([r[3] for r in rows], np.int64)
+            of, place, hashes = _window_hashes(counts, [r[4] for r in rows], match)
+            part = np.cumsum([0, *(a[:2] != b[:2] for a, b in zip(rows, rows[1:], strict=False))])[of]
+            order = np.lexsort((hashes, part))
+            new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (part[order][1:] != part[order][:-1]))
+            shown, again = np.zeros(len(of), bool), np.zeros(len(of), bool)
+            shown[order[new]] = True
+            again[order] = ~new | np.append(~new[1:], False)
+            p, q = np.full(len(rows), -1), np.full(len(rows), -1)
+            at, low, high = _ends(of[again], place[again])
+            p[at], q[at] = low, high
+            bits = [np.packbits(x).tobytes() for x in np.split(shown, np.cumsum(counts)[:-1])]
+            columns = [pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.binary()), pa.array(p.astype(np.int32), mask=p < 0), pa.array(q.astype(np.int32), mask=q < 0), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "windows", "data", "p", "q", "shown"])
+
+    return contexts.mapInArrow(run, "id long, windows int, data binary, p int, q int, shown binary")
 
 
 def _compared(contexts: DataFrame, match: int) -> DataFrame:
     """(id, p, q): first and last place of a context's windows that repeat; contexts(key, id, windows, data) come sorted by key."""
 
-    def find(rows: list[tuple]) -> pa.RecordBatch:
-        of, place, hashes = _window_hashes(np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], match)
-        _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = times[back] > 1
-        of, place = of[again], place[again]
-        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(of)) - 1 if len(of) else first
-        ids = np.array([r[1] for r in rows], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[of[first]]), pa.array(place[first].astype(np.int32)), pa.array(place[last].astype(np.int32))], ["id", "p", "q"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held >= CHUNK and row[0] != rows[-1][0]:
-                    yield find(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[3])
-        if rows:
-            yield find(rows)
+        for rows in _grouped(batches, 1):
+            of, place, hashes = _window_hashes(np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], match)
+            _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            again = times[back] > 1
+            at, low, high = _ends(of[again], place[again])
+            ids = np.array([r[1] for r in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["id", "p", "q"])
 
     return contexts.mapInArrow(run, "id long, p int, q int")
 
