@@ -16,7 +16,8 @@ block's index and one frame.
 from __future__ import annotations
 
 import hashlib
-import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ from .common import shared_dir
 BLOCK_BYTES = 1 << 20
 #: Bounds of the dictionary's training sample and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 16 << 20, 64 << 10
-#: Entries of a worker's table from a chunk of text to its ids, beyond which it starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Entries of a worker's tables from a chunk of text and from a word to its ids, beyond which they start anew.
+CHUNK_ENTRIES, WORD_ENTRIES = 150_000, 300_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, first_doc long, last_doc long, n_docs int, n_ids long, dict_hash string, "
@@ -39,7 +40,7 @@ BLOCK_SCHEMA = (
 )
 
 #: Characters that end a chunk and that the pre-tokenizer keeps apart from letters.
-PLAIN_END = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|()\[\]-]*)", re.UNICODE)
+PLAIN_ENDS = b".,;:!?#$%&*|()[]-"
 
 
 class ChunkEncoder:
@@ -54,54 +55,63 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.id_type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.id_type, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 65536 else (np.dtype("<u4"), "I")
         self.end = self.id_type.type(end_id).tobytes()
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.id_type).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            mapped = word if word.isascii() else "".join(self.byte_chars[b] for b in word.encode())
-            ids = self.words[word] = self._pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a lower-cased word, kept."""
+        mapped = word.decode() if word.isascii() else word.decode("latin-1").translate(self.byte_chars)
+        ids = self.words[word] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
         return ids
 
     def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > CACHE_ENTRIES:
-            self.known.clear()
-            self.words.clear()
-        rest, texts = [], []
+        known, words, rest = self.known, self.words, []
         for chunk in chunks:
-            text = chunk.decode()
-            if (m := PLAIN_END.fullmatch(text)) and m[1].isalpha() and max(m[1]) < "Ā":
-                ids = self._word(m[1].lower())
-                if m[2]:
-                    if (tail := self.words.get(m[2])) is None:
-                        tail = self.words[m[2]] = self._pack(self.tokenizer.encode(m[2], add_special_tokens=False).ids)
-                    ids += tail
-                self.known[chunk] = ids
+            core = chunk.rstrip(PLAIN_ENDS)
+            if core.isalpha():
+                word = core.lower()
+            elif (text := core.decode()).isalpha() and max(text) < "Ā":
+                word = text.lower().encode()
             else:
                 rest.append(chunk)
-                texts.append(text)
-        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[chunk] = self._pack(e.ids)
+                continue
+            ids = words.get(word) or self._word(word)
+            if len(core) < len(chunk):
+                tail = chunk[len(core) :]
+                if tail not in words:
+                    words[tail] = array(self.code, self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+                ids += words[tail]
+            known[chunk] = ids
+        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
+            known[chunk] = array(self.code, e.ids).tobytes()
 
     def texts(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The serialized ids of each text, the end id last."""
         for at in range(0, len(texts), 256):
             split = [(t or b"").split() for t in texts[at : at + 256]]
-            new: set[bytes] = set().union(*split) - self.known.keys()
-            if new:
-                self._learn(new)
-                if not self.known.keys() >= new or any(c not in self.known for s in split for c in s):
-                    self._learn(set().union(*split))
+            for table, most in ((self.known, CHUNK_ENTRIES), (self.words, WORD_ENTRIES)):
+                if len(table) > most:
+                    table.clear()
+            self._learn(set().union(*split) - self.known.keys())
+            get, end = self.known.__getitem__, self.end
             for chunks in split:
-                yield b"".join(map(self.known.__getitem__, chunks)) + self.end
+                yield b"".join(map(get, chunks)) + end
+
+
+_worker_encoders: dict[tuple[int, int], ChunkEncoder] = {}
+
+
+def worker_encoder(key: tuple[int, int], tokenizer_json) -> ChunkEncoder:
+    """The encoder of this Python worker for a broadcast vocabulary; later tasks find its tables filled."""
+    if key not in _worker_encoders:
+        _worker_encoders.clear()
+        _worker_encoders[key] = ChunkEncoder(tokenizer_json.value, key[1])
+    return _worker_encoders[key]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -116,10 +126,8 @@ def _spark_encoder(spark: SparkSession, tokenizer_json: str, end_id: int):
     """A broadcast of the vocabulary (a file of fixed size) and a function that gives a worker's encoder."""
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)
 
-    def encoder() -> ChunkEncoder:
-        return ChunkEncoder(vocabulary.value, end_id)
-
-    return encoder
+    key = (zlib.crc32(tokenizer_json.encode()), end_id)
+    return lambda: worker_encoder(key, vocabulary)
 
 
 def train_dictionary(docs: DataFrame, encoder, sample_docs: int = SAMPLE_DOCS) -> bytes:
@@ -165,7 +173,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
     dictionary = train_dictionary(docs, encoder)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     shared = spark.sparkContext.broadcast(dictionary)
-    id_bytes = encoder().id_type.itemsize
+    id_bytes = ChunkEncoder(tokenizer_json, end_id).id_type.itemsize
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -185,15 +193,16 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
             return pa.RecordBatch.from_pylist([row], schema=ARROW_BLOCK)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc, raw in zip(ids, enc.texts(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                docs_.append(doc)
-                counts.append(len(raw) // id_bytes)
-                frames.append(zip_.compress(raw))
-                held += len(frames[-1])
-                if held >= BLOCK_BYTES:
-                    yield flush()
-                    docs_, counts, frames, held, block = [], [], [], 0, block + 1
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for doc, raw in zip(part.column(0).to_pylist(), enc.texts(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                    docs_.append(doc)
+                    counts.append(len(raw) // id_bytes)
+                    frames.append(zip_.compress(raw))
+                    held += len(frames[-1])
+                    if held >= BLOCK_BYTES:
+                        yield flush()
+                        docs_, counts, frames, held, block = [], [], [], 0, block + 1
         if docs_:
             yield flush()
 
