@@ -30,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tiled(df: DataFrame, key: str, item: str, tile_rows: int) -> DataFrame:
+def tiled(df: DataFrame, key: str, item: str, tile_rows: int, weight: str | None = None) -> DataFrame:
     """Deal the rows of each key into tiles so that no task holds more than about two tiles of a key.
 
     Adds tile_a, tile_b and tile: a key of up to tile_rows rows has the one tile pair (0, 0). A larger key

@@ -6,6 +6,10 @@ leading block form a group; within it fingerprints are sorted by Gray rank, runs
 the bits all members share (a mask and their values), and runs of nodes are upper nodes. A search starts at
 the upper nodes, adds up the differences from shared bits, and leaves whole nodes out once these exceed the
 distance. Only a spanning forest of the links found in a group leaves its task.
+
+Pairs of a given shingle Jaccard differ in too many bits for such blocks: at 0.8 in about 10 of 64, and for
+nearly all of them in up to 20. keep_first_similar therefore forms groups by bands of min-hashes instead, uses
+the fingerprints to leave pairs of a group out, and decides by the exact Jaccard of the shingle sets.
 """
 
 from __future__ import annotations
@@ -23,25 +27,39 @@ from .common import components, tiled, written
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Members of a node, rows of a group that one task compares, and rows and pairs in memory at once.
 FANOUT, TILE_ROWS, BUFFER_ROWS, FRONTIER = 8, 4096, 400_000, 2_000_000
+#: Near-duplicate stages: words of a shingle and least Jaccard; bands of min-hashes (a pair at 0.8 shares one of
+#: them with probability 0.997), bits a linked pair may differ in (over 4 deviations more than at 0.8), and
+#: shingles of a group that one task compares.
+STAGE_SHINGLE, JACCARD, BANDS, BAND_ROWS, MOST_BITS, TILE_SHINGLES = 5, 0.8, 25, 7, 24, 1 << 21
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 BYTE_PLACES = np.arange(8, dtype=np.int64) * 256
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's word shingles in order; a text of fewer words is one shingle, one without words has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.append(0, spaces + 1), np.append(spaces, len(joined))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     last = ends[min(shingle, len(words)) - 1 :]
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """The 64 bits that are set in more than half of the hashes."""
     by_byte = np.bincount((h.view(np.uint8).reshape(-1, 8) + BYTE_PLACES).ravel(), minlength=2048).reshape(8, 256)
-    return int(np.packbits((by_byte @ BYTE_BITS).ravel() * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits((by_byte @ BYTE_BITS).ravel() * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+    return majority_bits(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
@@ -197,3 +215,117 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     found = near_duplicates(docs, shingle, distance)
     kept = found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A hash of the min-hashes of each band of a set of shingle hashes; sets without shingles share all."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, (_MULTIPLIERS[:, None] * shingles[None, at : at + 2048]).min(axis=1))
+    rows = least.reshape(BANDS, -1)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def set_mark(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash that stands for a sorted set of shingle hashes."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
+def similar_roots(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
+    """Root of each set's component by links of pairs at jaccard or more; pairs already joined are not compared."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[k]) for k in order.tolist()])
+    prints = np.array([majority_bits(sets[k]) for k in order.tolist()], np.uint64)
+    names, flat = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)
+    edges = np.append(0, np.cumsum(sizes))
+    root, inside = np.arange(len(sets)), np.zeros(len(names), bool)
+    for i in range(len(sets)):
+        end = int(np.searchsorted(sizes, sizes[i] / jaccard * (1 + 1e-9), "right"))
+        near = (root[i + 1 : end] != root[i]) & (np.bitwise_count(prints[i + 1 : end] ^ prints[i]) <= MOST_BITS)
+        js = np.flatnonzero(near) + i + 1
+        if not len(js):
+            continue
+        own = flat[edges[i] : edges[i + 1]]
+        inside[own] = True
+        starts = np.append(0, np.cumsum(sizes[js]))
+        places = np.arange(starts[-1]) + np.repeat(edges[js] - starts[:-1], sizes[js])
+        hits = np.append(0, np.cumsum(inside[flat[places]]))
+        inside[own] = False
+        shared = hits[starts[1:]] - hits[starts[:-1]]
+        linked = js[shared * (1 + jaccard) >= jaccard * (sizes[i] + sizes[js]) - 1e-6]
+        if len(linked):
+            root[np.isin(root, root[linked])] = root[i]
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[root]
+    return out
+
+
+def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, mark, n, keys) of docs(doc_id, text): what stands for a text's set of shingles, its size and its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sets = [np.unique(shingle_hashes(t or b"", shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                columns = [pa.array([set_mark(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+                keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, keys], ["doc_id", "mark", "n", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, keys array<long>")
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, shingle: int, jaccard: float, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Edges (a, b) of marks that span the links of classes(mark, id, n, keys); texts are read from docs(doc_id, text).
+
+    Classes that share a band go to the group of the band's least mark. Groups above tile_shingles are
+    compared tile by tile, none is cut.
+    """
+    rows = classes.select("mark", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("mark").alias("centre"), F.max("mark").alias("last")).where("centre <> last").drop("last")
+    groups = written(rows.join(shared, "key").select("centre", "mark").distinct(), "similar-groups")
+    dealt = tiled(groups.join(classes.drop("keys"), "mark"), "centre", "mark", tile_shingles, "n")
+    dealt = dealt.select(F.xxhash64("centre", "tile_a", "tile_b").alias("grp"), "mark", "id")
+    dealt = dealt.join(docs.where("doc_id is not null"), F.col("id") == F.col("doc_id")).select("grp", "mark", "text")
+    dealt = dealt.repartition("grp").sortWithinPartitions("grp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        now = None
+
+        def flush() -> pa.RecordBatch:
+            marks = np.fromiter(held, np.int64, len(held))
+            root = similar_roots(list(held.values()), jaccard)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(marks[moved]), pa.array(marks[root[moved]])], ["a", "b"])
+
+        for batch in batches:
+            for group, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                if group != now and held:
+                    yield flush()
+                    held.clear()
+                now = group
+                found = np.unique(shingle_hashes(text.as_py() or b"", shingle))
+                if set_mark(found) == mark:  # not another text of a repeated doc_id
+                    held[mark] = found
+        if held:
+            yield flush()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def keep_first_similar(docs: DataFrame, shingle: int = STAGE_SHINGLE, jaccard: float = JACCARD, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component by Jaccard of word shingles, with their columns.
+
+    Documents link where the sets of their shingles have a Jaccard of `jaccard` or more; texts without words
+    link with each other. Rows that repeat a kept doc_id stay together; rows without doc_id stay.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profiles = written(_profiles(texts, shingle), "similar-profiles")
+    classes = profiles.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = written(classes, "similar-classes")
+    member = components(similar_links(classes, texts, shingle, jaccard, tile_shingles))
+    named = classes.join(member, classes.mark == member.node, "left").select("id", F.coalesce("component", "mark").alias("component"))
+    first = named.groupBy("component").agg(F.min("id").alias("_kept"))
+    kept = first.select("_kept").union(docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("_kept"))).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)

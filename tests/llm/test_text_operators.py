@@ -189,6 +189,45 @@ def test_simhash(docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def _shingles(text, size=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+@pytest.mark.parametrize("tile_shingles", [1 << 21, 400])
+def test_keep_first_similar_finds_pairs_from_a_jaccard_of_08(spark, tile_shingles):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for k in range(120):  # the second text of a pair lacks words at its end
+        base = [rng.choice(words) for _ in range(204)]
+        cut = round(200 * (1 - (0.7 + 0.05 * (k % 6))))
+        texts += [" ".join(base), " ".join(base[: len(base) - cut])]
+    base = [rng.choice(words) for _ in range(104)]
+    texts += [" ".join(base + [f"end{k}"] * (k % 3)) + f" x{k}" for k in range(60)]  # a large group of near copies
+    texts += ["", None, "two words", "Two  words", "two word", "say " * 400 + texts[0]]
+    docs = spark.createDataFrame([(len(texts) - i, t, "x") for i, t in enumerate(texts)] + [(None, texts[0], "x")], "doc_id long, text string, kept string").repartition(3)
+    sets = {len(texts) - i: _shingles(t or "") for i, t in enumerate(texts)}
+    linked = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    want = _components(sets, linked)
+    wide = sum((_fingerprint(texts[-a]) ^ _fingerprint(texts[-b])).bit_count() > 4 for a, b in linked if max(a, b) > 66)
+    assert wide > 40  # the distance of op5 is too tight for these
+    kept = simhash.keep_first_similar(docs, tile_shingles=tile_shingles)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {None} | {d for d in sets if want[d] == d}
+    assert simhash.keep_first_similar(docs.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies_at_08(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(304)]
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(base[:250]), "en", "s", 1), (3, " ".join(base[:220]) + " other", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir).collect()] == [1]
+
+
 @pytest.mark.parametrize("n,groups", [(1500, 30), (2500, 3), (200, 1)])
 def test_gray_index_finds_all_links(n, groups):
     rng = np.random.default_rng(n)
