@@ -47,6 +47,8 @@ TOKEN = re.compile(
 )
 ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SLOT, PARTIAL_HOSTS = "#", 2000
+#: Labels of text slots: of a page without main elements, and inside main elements.
+BODY, MAIN = 1, 2
 #: Elements nested deeper are dissolved in the one at this depth.
 DEPTH = 60
 
@@ -57,7 +59,7 @@ class Item:
     __slots__ = ("kind", "optional", "repeated", "text", "items", "main")
 
     def __init__(self, kind: str, optional: bool = False, repeated: bool = False, text: int | None = None, items: list | None = None):
-        self.kind, self.optional, self.repeated, self.text, self.items, self.main = kind, optional, repeated, text, items or [], False
+        self.kind, self.optional, self.repeated, self.text, self.items, self.main = kind, optional, repeated, text, items or [], 0
 
     def dump(self) -> list:
         return [self.kind, int(self.optional), int(self.repeated), self.text, [i.dump() for i in self.items]]
@@ -222,7 +224,7 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
 
 
 def label(wrapper: list[Item], pages: int) -> None:
-    """Mark the text slots of main text: in an article or main element if there is one, else in the body.
+    """Mark the text slots of the body with BODY, of article and main elements with MAIN.
 
     Text beside such elements that is the same on all of several pages is the host's, not the page's.
     """
@@ -239,30 +241,25 @@ def label(wrapper: list[Item], pages: int) -> None:
         tag, words = about(kind)
         return tag in MAIN_TAGS or bool(words & MAIN_WORDS)
 
-    def holds(items: list[Item]) -> bool:
-        return any(not is_aside(i.kind, False) and (is_main(i.kind) and has_slot(i) or holds(i.items)) for i in items if i.kind != SLOT)
-
-    def has_slot(item: Item) -> bool:
-        return item.kind == SLOT or any(map(has_slot, item.items))
-
-    def mark(items: list[Item], inside: bool, needed: bool) -> None:
+    def mark(items: list[Item], inside: bool) -> None:
         for i in items:
             if i.kind == SLOT:
-                i.main = inside or not needed and not (pages > 2 and i.text is not None)
+                i.main = MAIN if inside else BODY if not (pages > 2 and i.text is not None) else 0
             elif i.kind[0] == "(" or not is_aside(i.kind, inside):
-                mark(i.items, inside or is_main(i.kind), needed)
+                mark(i.items, inside or is_main(i.kind))
 
-    mark(wrapper, False, holds(wrapper))
+    mark(wrapper, False)
 
 
 def main_text(page: str, wrapper: list[Item]) -> str:
-    """The texts of a page that stand in main slots of a labelled wrapper, joined by one space."""
-    out: list[str] = []
+    """The texts of a page in MAIN slots of a labelled wrapper, joined by one space; in BODY slots if it has none in MAIN."""
+    out: list[tuple[int, str]] = []
     _read([(i, m) for i, m in expression(parse(page).parts)], wrapper, out)
-    return " ".join(out)
+    best = max((main for main, _ in out), default=MAIN)
+    return " ".join(text for main, text in out if main == best)
 
 
-def _read(own: list[tuple[Item, list]], wrapper: list[Item], out: list[str]) -> None:
+def _read(own: list[tuple[Item, list]], wrapper: list[Item], out: list[tuple[int, str]]) -> None:
     match = {j: wrapper[i] for i, j in pairs(wrapper, [x for x, _ in own]) if i is not None and j is not None}
     for j, (item, members) in enumerate(own):
         held = match.get(j)
@@ -270,7 +267,7 @@ def _read(own: list[tuple[Item, list]], wrapper: list[Item], out: list[str]) ->
             continue
         if item.kind == SLOT:
             if held.main:
-                out += members
+                out += [(held.main, m) for m in members]
         elif item.kind[0] == "(":
             for member in members:
                 _read(member, held.items, out)

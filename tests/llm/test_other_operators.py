@@ -43,6 +43,15 @@ def test_main_text_of_odd_pages(page, text):
     assert _page(page) == [text]
 
 
+def test_main_text_of_a_host_with_mixed_templates(spark):
+    plain = [f"<body><nav>menu</nav><div><p>plain {k}</p><p>more {k * k}</p></div></body>" for k in range(6)]
+    made = [f"<body><nav>menu</nav><article><p>made {k}</p></article><div><p>beside {k}</p></div></body>" for k in range(2)]
+    assert _page(*plain, *made) == [f"plain {k} more {k * k}" for k in range(6)] + ["made 0", "made 1"]
+    rows = [(k, "http://one.example/", p) for k, p in enumerate(plain + made)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[0] == "plain 0 more 0" and got[5] == "plain 5 more 25" and got[7] == "made 1"
+
+
 def test_extract_over_hosts(spark):
     rows = [(i, f"http://h{i % 3}.example.com/{i}", FRAME.format(f"<article><h1>t{i}</h1>" + "".join(f"<p>w{i} {j}</p>" for j in range(i % 4)) + "</article>"), "x") for i in range(30)]
     rows += [(100, None, None, "x"), (101, "nonsense", "", "x"), (101, "nonsense", "", "x")]
