@@ -16,6 +16,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +50,8 @@ ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 SLOT, PARTIAL_HOSTS = "#", 2000
 #: Labels of text slots: of a page without main elements, and inside main elements.
 BODY, MAIN = 1, 2
+#: Differing pages from which on a text they share is their host's.
+FEW = 3
 #: Elements nested deeper are dissolved in the one at this depth.
 DEPTH = 60
 
@@ -56,17 +59,18 @@ DEPTH = 60
 class Item:
     """An item of a wrapper: an element or group with its sequence, or a text slot (kind SLOT)."""
 
-    __slots__ = ("kind", "optional", "repeated", "text", "items", "main")
+    __slots__ = ("kind", "optional", "repeated", "text", "items", "seen", "main")
 
-    def __init__(self, kind: str, optional: bool = False, repeated: bool = False, text: int | None = None, items: list | None = None):
+    def __init__(self, kind: str, optional: bool = False, repeated: bool = False, text: int | None = None, items: list | None = None, seen: tuple = ()):
+        self.seen = seen  # of a slot: digests of pages that have it, FEW at most
         self.kind, self.optional, self.repeated, self.text, self.items, self.main = kind, optional, repeated, text, items or [], 0
 
     def dump(self) -> list:
-        return [self.kind, int(self.optional), int(self.repeated), self.text, [i.dump() for i in self.items]]
+        return [self.kind, int(self.optional), int(self.repeated), self.text, [i.dump() for i in self.items], self.seen]
 
     @staticmethod
     def load(x: list) -> Item:
-        return Item(x[0], bool(x[1]), bool(x[2]), x[3], [Item.load(i) for i in x[4]])
+        return Item(x[0], bool(x[1]), bool(x[2]), x[3], [Item.load(i) for i in x[4]], tuple(x[5]))
 
 
 class Element:
@@ -152,14 +156,43 @@ def _settle(root: Element) -> None:
         todo += [p for p in e.parts if isinstance(p, Element)]
 
 
-def expression(parts: list) -> list[tuple[Item, list]]:
+def _about(kind: str) -> tuple[str, set[str]]:
+    tag, _, words = kind.partition(".")
+    return tag, set(words.split())
+
+
+@lru_cache(1 << 14)
+def _is_aside(kind: str, in_main: bool) -> bool:
+    tag, words = _about(kind)
+    return bool(words & ASIDE_WORDS) or tag in ASIDE_TAGS and not (tag == "header" and in_main)
+
+
+@lru_cache(1 << 14)
+def _is_main(kind: str) -> bool:
+    tag, words = _about(kind)
+    return tag in MAIN_TAGS or bool(words & MAIN_WORDS)
+
+
+def digest(parts: list, inside: bool = False, start: int = 0) -> int:
+    """A checksum of the texts and elements outside asides."""
+    for p in parts:
+        if isinstance(p, str):
+            start = zlib.crc32(p.encode(), start)
+        elif not _is_aside(p.kind, inside):
+            start = zlib.crc32(b">", digest(p.parts, inside or _is_main(p.kind), zlib.crc32(f"<{p.kind}>".encode(), start)))
+    return start
+
+
+def expression(parts: list, page: int | None = None) -> list[tuple[Item, list]]:
     """The sequence of an element's parts as items, each with the parts it stands for.
 
-    An element or slot stands for its repetitions; a group for a list of such sequences.
+    An element or slot stands for its repetitions; a group for a list of such sequences. page is the digest
+    of the page; by default parts are all of it.
     """
+    page = digest(parts) if page is None else page
     out: list[tuple[Item, list]] = []
     for p in parts:
-        item = Item(SLOT, text=zlib.crc32(p.encode())) if isinstance(p, str) else Item(p.kind, items=[i for i, _ in expression(p.parts)])
+        item = Item(SLOT, text=zlib.crc32(p.encode()), seen=(page,)) if isinstance(p, str) else Item(p.kind, items=[i for i, _ in expression(p.parts, page)])
         if out and out[-1][0].kind == item.kind:
             last, members = out[-1]
             merged = merge(last, item)
@@ -186,7 +219,8 @@ def expression(parts: list) -> list[tuple[Item, list]]:
 
 
 def merge(a: Item, b: Item) -> Item:
-    return Item(a.kind, a.optional or b.optional, a.repeated or b.repeated, a.text if a.text == b.text else None, align(a.items, b.items))
+    seen = a.seen if len(a.seen) == FEW or a.seen == b.seen else (a.seen + tuple(p for p in b.seen if p not in a.seen))[:FEW]
+    return Item(a.kind, a.optional or b.optional, a.repeated or b.repeated, a.text if a.text == b.text else None, align(a.items, b.items), seen)
 
 
 def pairs(a: list[Item], b: list[Item]) -> list[tuple[int | None, int | None]]:
@@ -219,34 +253,23 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
             out.append(merge(a[i], b[j]))
         else:
             only = a[i] if j is None else b[j]
-            out.append(Item(only.kind, True, only.repeated, only.text, only.items))
+            out.append(Item(only.kind, True, only.repeated, only.text, only.items, only.seen))
     return out
 
 
 def label(wrapper: list[Item], pages: int) -> None:
     """Mark the text slots of the body with BODY, of article and main elements with MAIN.
 
-    Text beside such elements that is the same on all of several pages is the host's, not the page's.
+    Text beside such elements that is the same on FEW or more pages and all that have it is the host's, not
+    the page's; pages count as different where their texts outside asides differ, so copies are one page.
     """
 
-    def about(kind: str) -> tuple[str, set[str]]:
-        tag, _, words = kind.partition(".")
-        return tag, set(words.split())
-
-    def is_aside(kind: str, in_main: bool) -> bool:
-        tag, words = about(kind)
-        return bool(words & ASIDE_WORDS) or tag in ASIDE_TAGS and not (tag == "header" and in_main)
-
-    def is_main(kind: str) -> bool:
-        tag, words = about(kind)
-        return tag in MAIN_TAGS or bool(words & MAIN_WORDS)
-
     def mark(items: list[Item], inside: bool) -> None:
         for i in items:
             if i.kind == SLOT:
-                i.main = MAIN if inside else BODY if not (pages > 2 and i.text is not None) else 0
-            elif i.kind[0] == "(" or not is_aside(i.kind, inside):
-                mark(i.items, inside or is_main(i.kind))
+                i.main = MAIN if inside else BODY if i.text is None or min(pages, len(i.seen)) < FEW else 0
+            elif i.kind[0] == "(" or not _is_aside(i.kind, inside):
+                mark(i.items, inside or _is_main(i.kind))
 
     mark(wrapper, False)
 
@@ -254,7 +277,7 @@ def label(wrapper: list[Item], pages: int) -> None:
 def main_text(page: str, wrapper: list[Item]) -> str:
     """The texts of a page in MAIN slots of a labelled wrapper, joined by one space; in BODY slots if it has none in MAIN."""
     out: list[tuple[int, str]] = []
-    _read([(i, m) for i, m in expression(parse(page).parts)], wrapper, out)
+    _read(expression(parse(page).parts, 0), wrapper, out)
     best = max((main for main, _ in out), default=MAIN)
     return " ".join(text for main, text in out if main == best)
 
@@ -273,7 +296,7 @@ def _read(own: list[tuple[Item, list]], wrapper: list[Item], out: list[tuple[int
                 _read(member, held.items, out)
         else:
             for member in members:
-                _read(expression(member.parts), held.items, out)
+                _read(expression(member.parts, 0), held.items, out)
 
 
 def host(url):

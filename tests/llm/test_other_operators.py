@@ -52,6 +52,24 @@ def test_main_text_of_a_host_with_mixed_templates(spark):
     assert got[0] == "plain 0 more 0" and got[5] == "plain 5 more 25" and got[7] == "made 1"
 
 
+def test_main_text_of_copies_is_that_of_the_page():
+    page = "<body><h1>title</h1><div>some text<p>and more</p></div><footer>{}</footer><script>{}</script></body>"
+    want = "title some text and more"
+    assert _page(*[page.format("f", 1)] * 2) == [want] * 2
+    assert _page(*[page.format("f", 1)] * 5) == [want] * 5
+    assert _page(*[page.format(k, k) for k in range(5)]) == [want] * 5  # only the host's parts differ
+    made = [f"<body><article><p>made {k}</p></article></body>" for k in range(4)]
+    assert _page(*made, page.format("f", 1))[-1] == want  # alone of its kind on the host
+
+
+def test_host_texts_of_copies_and_other_pages(spark):
+    page = "<body><p>all pages say so</p><div>text {}</div></body>"
+    rows = [(k, "http://h/", page.format(max(0, k - 20))) for k in range(24)]
+    rows += [(100 + k, "http://copies/", page.format(0)) for k in range(24)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(got[k] == f"text {max(0, k - 20)}" for k in range(24)) and all(got[100 + k] == "all pages say so text 0" for k in range(24))
+
+
 def test_extract_over_hosts(spark):
     rows = [(i, f"http://h{i % 3}.example.com/{i}", FRAME.format(f"<article><h1>t{i}</h1>" + "".join(f"<p>w{i} {j}</p>" for j in range(i % 4)) + "</article>"), "x") for i in range(30)]
     rows += [(100, None, None, "x"), (101, "nonsense", "", "x"), (101, "nonsense", "", "x")]
