@@ -15,6 +15,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +42,7 @@ ASIDE_WORDS = frozenset(
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset(("article", "main", "articlebody", "post", "entry", "story"))
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<(?P<close2>/?)(?P<name2>[a-z][\w:-]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<\Z",
     re.S | re.I,
@@ -52,7 +53,7 @@ SLOT, PARTIAL_HOSTS = "#", 2000
 BODY, MAIN = 1, 2
 #: Differing pages from which on a text they share is their host's.
 FEW = 3
-#: Elements nested deeper are dissolved in the one at this depth.
+#: Elements nested deeper are dissolved in the one at this depth, but for a main element; asides there are left out.
 DEPTH = 60
 
 
@@ -96,6 +97,18 @@ def parse(page: str) -> Element:
     """
     root = Element("", "")
     stack, at = [root], 0
+    opened: Counter[str] = Counter()  # elements on the stack by tag, and those of main text
+    mains = 0
+
+    def shut(depth: int) -> None:
+        nonlocal mains
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+            mains -= _is_main(e.kind)
+        del stack[depth:]
+        if depth > DEPTH:
+            stack[-1].add(" ")
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             stack[-1].add(html.unescape(page[at : m.start()]))
@@ -111,28 +124,31 @@ def parse(page: str) -> Element:
         if name in INLINE and not words and not (closes and stack[-1].tag == name):
             continue
         if closes:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name:
-                    del stack[depth:]
-                    break
+            if opened[name]:
+                shut(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth].tag == name))
             continue
         if stack[-1].tag == "p" and name not in INLINE:
-            stack.pop()
-        if name in ENDS:
+            shut(len(stack) - 1)
+        if name in ENDS and any(opened[tag] for tag in ENDS[name][0]):
             ended, within = ENDS[name]
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in within:
                     break
                 if stack[depth].tag in ended:
-                    del stack[depth:]
+                    shut(depth)
                     break
-        if len(stack) > DEPTH:
-            stack[-1].add(" ")
-            continue
         element = Element(f"{name}.{words}" if words else name, name)
-        stack[-1].parts.append(element)
+        aside = _is_aside(element.kind, mains > 0)
+        if len(stack) <= DEPTH or _is_main(element.kind) and not mains and not aside:
+            stack[-1].parts.append(element)
+        else:
+            stack[-1].add(" ")
+            if not aside:  # asides at this depth are left out, as nothing reads them
+                element.parts = stack[-1].parts
         if name not in VOID:
             stack.append(element)
+            opened[name] += 1
+            mains += _is_main(element.kind)
     if at < len(page):
         stack[-1].add(html.unescape(page[at:]))
     _settle(root)

@@ -43,6 +43,21 @@ def test_main_text_of_odd_pages(page, text):
     assert _page(page) == [text]
 
 
+DEEP = "<div>" * 100 + "{}" + "</div>" * 100
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<div><article><p>a</p>" + DEEP.format("deep") + "<p>b</p></article></div>x", "a deep b"),
+    ("<article>" + DEEP.format("a<nav>no <p>no</p></nav>b<div>c</div>d") + "e</article>", "a b c d e"),
+    ("x" + DEEP.format("<article>a<div>b</div><header>h</header></article>y"), "a b h"),
+    ("<div>" * 2000 + "a<ul><li>b<li>c</ul></section></td>" + "</div>" * 2000 + "d", "a b c d"),
+    ("<article>a<svg viewBox='0 > 1' />b<math/>c<svg><path/></svg>d</article>x", "abcd"),
+    ("<article>a<svg class=x><path d='m'/>no</svg>b</article>", "ab"),
+])
+def test_main_text_of_deep_pages_and_closed_raw_elements(page, text):
+    assert _page(page) == [text]
+
+
 def test_main_text_of_a_host_with_mixed_templates(spark):
     plain = [f"<body><nav>menu</nav><div><p>plain {k}</p><p>more {k * k}</p></div></body>" for k in range(6)]
     made = [f"<body><nav>menu</nav><article><p>made {k}</p></article><div><p>beside {k}</p></div></body>" for k in range(2)]
