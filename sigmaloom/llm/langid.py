@@ -21,6 +21,8 @@ from .common import written
 #: Hashed features, and the expected number of sample texts of a language.
 FEATURES, SAMPLE = 2048, 1000
 UNKNOWN = "und"
+#: Held-out rows from which on their scores tell what is too unsure to keep.
+HELD_OUT_ROWS = 100
 #: Families of common language codes. A code that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy", "yi"),
@@ -167,7 +169,22 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def least_score(docs: DataFrame, model: dict) -> float:
+    """The least score of the held-out rows of docs(doc_id, text, lang) that have a lang and a letter; 0 if these are few."""
+    known = docs.where(held_out() & F.col("lang").isNotNull())
+    seen = identify(known, model).where(F.col("lang_pred") != UNKNOWN).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+    return float(seen.least) if seen.n >= HELD_OUT_ROWS else 0.0
+
+
 def identified_only(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose text has a language, with their columns; texts without a letter go."""
-    found = identify(docs, fit(docs, per_language), docs.columns)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """The rows of docs whose text is in one of the languages learnt, with their columns.
+
+    A text without a letter goes, and so does one whose score, of family and language together, is below that
+    of every held-out row with a known language. Where there is nothing to learn from, texts with a letter stay.
+    """
+    model = fit(docs, per_language)
+    if not model["families"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model, docs.columns)
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score(docs, model))
+    return found.where(sure).select(*docs.columns)

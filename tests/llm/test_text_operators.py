@@ -11,6 +11,7 @@ import pytest
 pytest.importorskip("sigmaloom.llm")
 import public_tokenizers  # noqa: E402
 import xxhash  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from sigmaloom.llm import byte_bpe, decontam, langid, simhash, suffix_dedup, token_output  # noqa: E402
 
@@ -275,3 +276,18 @@ def test_language_id_never_reads_labels_of_held_out_rows(spark):
     assert {r.lang_pred for r in langid.identify(table, langid.fit(table)).collect()} == {"en"}
 
 
+
+
+def test_language_stage_uses_the_prediction_and_keeps_what_it_cannot_judge(spark, sf_dir):
+    import corpus_pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = random.Random(6)
+    other = lambda: " ".join("".join(rng.choice("бвгджзклмнпрстфхцчшщаеиоуыюя") for _ in range(rng.randint(2, 9))) for _ in range(200))
+    foreign = spark.createDataFrame([(10**9 + i, other(), None, "x", 1) for i in range(20)], table.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, table.union(foreign), sf_dir).collect()}
+    labelled = [r.doc_id for r in table.where(langid.held_out() & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]")).collect()]
+    assert len(labelled) > 100 and set(labelled) <= kept
+    assert len(kept & {r.doc_id for r in table.collect()}) >= 0.99 * table.count() and sum(d >= 10**9 for d in kept) <= 12  # all 20 stayed before
+    unlabelled = spark.createDataFrame([(1, "some words", None, "x", 1), (2, "漢字", None, "x", 1), (3, "12 !", None, "x", 1), (4, None, None, "x", 1)], table.schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, unlabelled, sf_dir).collect()) == [1, 2]
