@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,26 +168,29 @@ def links(vectors: DataFrame, dim: int, bits: int, tables: int, threshold: float
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of embeddings(vec_id, embedding).
 
-    n_links counts the other rows found at a cosine of threshold or more, component_id is the smallest
+    n_links counts the other rows of the same length found at a cosine of threshold or more, component_id is the smallest
     vec_id reachable by links, kept says whether it is the row's own. Vectors that are null, empty, zero or
-    hold null or non-finite components link with nothing, and only vectors of the most frequent length are
-    compared. Exact copies are compared once and counted each. Other columns are ignored.
+    hold null or non-finite components link with nothing; the lengths found are taken one after another. Exact
+    copies are compared once and counted each. Other columns are ignored.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sizes = rows.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), "dim").first()
+    dims = [int(r.dim) for r in sizes.orderBy("dim").collect()]
     none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if top is None:
+    if not dims:
         return none
-    dim = int(top.dim)
     plain = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = rows.withColumn("usable", F.coalesce((F.size("embedding") == dim) & plain, F.lit(False)))
+    rows = rows.withColumn("usable", F.coalesce((F.size("embedding") > 0) & plain, F.lit(False)))
     keyed = rows.withColumn("mark", F.when(F.col("usable"), F.sha2(F.to_json(F.struct("embedding")), 256)))
     classes = keyed.where("usable and vec_id is not null").groupBy("mark").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.min_by("embedding", "vec_id").alias("embedding"))
     classes = written(classes, "vector-classes")
-    bits, tables = table_shape(classes.count(), threshold)
-    vectors = written(coded(classes, dim, bits, tables), "vector-codes")
-    found = written(links(vectors, dim, bits, tables, threshold, tile_rows), "vector-links")
+    counted = {r.dim: r.n for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    parts = []
+    for dim in dims:
+        bits, tables = table_shape(counted.get(dim, 0), threshold)
+        vectors = written(coded(classes, dim, bits, tables), "vector-codes")
+        parts.append(written(links(vectors, dim, bits, tables, threshold, tile_rows), "vector-links"))
+    found = reduce(DataFrame.union, parts)
     counts = found.where("root is null").groupBy("id").agg(F.sum("n_links").alias("l"))
     member = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = classes.select("mark", "id", "n").join(counts, "id", "left").join(member, F.col("id") == F.col("node"), "left")

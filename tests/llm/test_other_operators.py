@@ -124,6 +124,12 @@ def test_embedding_links(spark, tile_rows):
     assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_links_of_every_length(spark):
+    rows = [(i, [1.0, float(i), 2.0 * i]) for i in range(5)] + [(10, [3.0, 1.0]), (11, [3.0, 1.0]), (12, [6.0, 2.0]), (13, [-1.0, 3.0]), (20, [2.0]), (21, [5.0]), (22, [-5.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert [got[k] for k in (10, 11, 12, 13, 20, 21, 22)] == [(2, 10), (2, 10), (2, 10), (0, 13), (1, 20), (1, 20), (0, 22)]
+
+
 def test_estimates_are_unbiased_and_within_their_bounds():
     x = _vectors(600, 32, 9).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
