@@ -1,4 +1,4 @@
-"""Operator 3: removal of long repeated byte strings through a logarithmic family of suffix arrays.
+"""Operator 3: removal of long repeated byte strings through a logarithmic family of sampled suffix arrays.
 
 A string of `match` bytes is judged by content alone, so suffixes are sampled by content: of every window of
 `match` bytes the leftmost k-gram of least hash is its anchor, and a suffix array holds the suffixes at
@@ -9,16 +9,22 @@ bytes of all windows that have this anchor: `lo` and `hi`, the least and greates
 The table comes in batches. A new batch gets its suffix array, is merge-scanned against each level of the
 family (both sorted and bucketed by the key, so the join moves no rows), and becomes a level of size 1; two
 levels of equal size merge before the next batch comes. What the scans return are the keys that occur more
-than once. If all occurrences of a key have one context, every window of theirs repeats. Otherwise one
-member of each distinct context is compared with the key's other contexts, window by window: in one task
-for a key, but for keys of more than HOT contexts. These are compared in parts of about HOT, and what has
-not met in its part is counted over all parts by fingerprints of windows, each distinct one once a part.
+than once. If all occurrences of a key have one context, every window of theirs repeats.
+
+Otherwise the distinct contexts of a key are refined as in suffix sorting by doubling, from coarse to fine. A
+window is named by t, the bytes it has before the anchor. Ranges of t are halved twice a round, and in a range
+contexts are ordered by their core, the bytes that all windows of the range share. A context alone with its
+core has no repeat there and leaves the range. Contexts with equal bytes over all of the range repeat in all
+of it, and one of them stays to be compared. What is left goes to the quarters of the range, until ranges are
+single windows. A round has about one row a context, however many contexts a key has, and groups them with
+partial aggregation, so a frequent key needs no other way.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +34,15 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import BYTE_VALUES, prefix_hashes, slice_hashes
 
-MATCH, GRAM, BATCHES = 200, 40, 4
-#: Bytes hashed at once, and contexts of a key that one task compares.
-CHUNK, HOT = 1 << 20, 512
-ENTRIES = "ref long, start long, windows int, key long, ctx long"
+MATCH, GRAM, BATCHES = 200, 40, 8
+#: Bytes hashed at once.
+CHUNK = 1 << 20
+ENTRIES = "ref binary, start long, windows int, lead int, key long, ctx long"
 SPAN_LIST = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def anchors(texts: list[bytes], match: int = MATCH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, first window, windows, key, context) of every anchor of texts, in arrays by chunks.
+    """(text, first window, windows, anchor's place in the first, key, context) of every anchor of texts, in arrays by chunks.
 
     A text longer than a chunk is cut into overlapping pieces; each window is in one piece.
     """
@@ -82,7 +88,7 @@ def _chunk_anchors(pieces: list[tuple[int, int, bytes]], match: int, gram: int)
     context = slice_hashes(prefix, first, first + count + match - 1) ^ (((spot - first) << 20) + count).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     of = piece[first]
     start = first - begins[of] + np.array([a for _, a, _ in pieces])[of]
-    return np.array([k for k, _, _ in pieces])[of], start, count, grams[spot].view(np.int64), context.view(np.int64)
+    return np.array([k for k, _, _ in pieces])[of], start, count, spot - first, grams[spot].view(np.int64), context.view(np.int64)
 
 
 class Tables:
@@ -91,12 +97,14 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.names = spark, []
 
-    def write(self, df: DataFrame, bucket: str | None = None) -> str:
+    def write(self, df: DataFrame, bucket: tuple[str, ...] = (), split: str | None = None) -> str:
         name = f"sigmaloom_{uuid.uuid4().hex}"
         writer = df.write.format("parquet")
         if bucket:
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            writer = writer.bucketBy(parts, bucket).sortBy(bucket)
+            writer = writer.bucketBy(parts, *bucket).sortBy(*bucket)
+        if split:
+            writer = writer.partitionBy(split)
         self.names.append(name)
         writer.saveAsTable(name)
         return name
@@ -109,15 +117,15 @@ class Tables:
 
 
 def sampled_suffixes(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
-    """An entry (ref, start, windows, key, ctx) for every anchor of docs(ref, text)."""
+    """An entry (ref, start, windows, lead, key, ctx) for every anchor of docs(ref, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                refs = part.column(0).to_numpy()
-                for text, start, count, key, ctx in anchors([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], match, gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(refs[text]), pa.array(start), pa.array(count.astype(np.int32)), pa.array(key), pa.array(ctx)], ["ref", "start", "windows", "key", "ctx"])
+                for text, start, count, lead, key, ctx in anchors([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], match, gram):
+                    columns = [part.column(0).take(pa.array(text)), pa.array(start), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(key), pa.array(ctx)]
+                    yield pa.RecordBatch.from_arrays(columns, ["ref", "start", "windows", "lead", "key", "ctx"])
 
     return docs.select("ref", "text").mapInArrow(run, ENTRIES)
 
@@ -129,173 +137,108 @@ class SuffixFamily:
         self.tables, self.spark = tables, tables.spark
         self.levels: list[tuple[int, str]] = []
 
-    def add(self, entries: DataFrame) -> list[DataFrame]:
+    def add(self, entries: DataFrame) -> DataFrame:
         """Take in a batch; the keys (key, lo, hi) that repeat in it or between it and a level."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             self._merge()
         array = entries.groupBy("key").agg(F.min("ctx").alias("lo"), F.max("ctx").alias("hi"), F.count("*").alias("n"))
-        name = self.tables.write(array, bucket="key")
+        name = self.tables.write(array, bucket=("key",))
         new = self.spark.table(name)
-        found = [new.where("n > 1").select("key", "lo", "hi")]
+        found = new.where("n > 1").select("key", "lo", "hi")
         for _, level in self.levels:
-            old = self.spark.table(level)
-            both = new.alias("x").join(old.alias("y"), "key")
-            found.append(both.select("key", F.least("x.lo", "y.lo").alias("lo"), F.greatest("x.hi", "y.hi").alias("hi")))
+            both = new.alias("x").join(self.spark.table(level).alias("y"), "key")
+            found = found.union(both.select("key", F.least("x.lo", "y.lo").alias("lo"), F.greatest("x.hi", "y.hi").alias("hi")))
         self.levels.append((1, name))
-        return found
+        return written(found, "repeated-keys")
 
     def _merge(self) -> None:
         (size, a), (_, b) = self.levels[-2:]
         x, y = self.spark.table(a).alias("x"), self.spark.table(b).alias("y")
         n = F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))
         both = x.join(y, "key", "full").select("key", F.least("x.lo", "y.lo").alias("lo"), F.greatest("x.hi", "y.hi").alias("hi"), n.alias("n"))
-        self.levels[-2:] = [(2 * size, self.tables.write(both, bucket="key"))]
+        self.levels[-2:] = [(2 * size, self.tables.write(both, bucket=("key",)))]
         self.tables.drop(a, b)
 
 
 def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """(ref, spans) of the rows of docs(ref, text) that hold a string of `match` bytes which also starts elsewhere.
 
-    spans: an array of (a, b), byte a up to byte b, that together cover all such strings.
+    spans: an array of (a, b), byte a up to byte b, that together cover all such strings; their number is
+    bounded by the length of a text, as rows alike in ref have each once.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
     try:
-        entries = sampled_suffixes(docs, match, gram).withColumn("batch", F.pmod("ref", F.lit(batches)).cast("int"))
-        stored = tables.write(entries)
-        family, found = SuffixFamily(tables), None
-        for k in range(batches):
-            for part in family.add(spark.table(stored).where(F.col("batch") == k)):
-                part = written(part, "repeated-keys")
-                found = part if found is None else found.union(part)
+        entries = sampled_suffixes(docs, match, gram).withColumn("batch", F.pmod(F.xxhash64("ref"), F.lit(batches)).cast("int"))
+        stored = tables.write(entries, split="batch")
+        family = SuffixFamily(tables)
+        found = reduce(DataFrame.union, [family.add(spark.table(stored).where(F.col("batch") == k)) for k in range(batches)])
         keys = written(found.groupBy("key").agg((F.min("lo") == F.max("hi")).alias("pure")), "keys")  # so that Spark can split a frequent key in the join
         hits = written(spark.table(stored).join(keys, "key").drop("batch"), "repeated-entries")
+        tables.drop()
+        mixed = hits.where("not pure")
+        member = F.struct("ref", "start", "windows", "lead")
+        classes = written(mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(member).alias("m")), "contexts")
+        shown = classes.select("m.ref", F.struct("key", "ctx", (F.col("n") == 1).alias("open"), "m.start", "m.windows", "m.lead").alias("c"))
+        contexts = _contexts(docs.join(shown.groupBy("ref").agg(F.collect_list("c").alias("c")), "ref"), match).dropDuplicates(["key", "ctx"])
+        kept = _refined(spark.table(tables.write(contexts, bucket=("key", "ctx"))), match, gram)
     finally:
         tables.drop()
     last = F.col("start") + F.col("windows") - 1 + match
     pure = hits.where("pure").select("ref", F.col("start").alias("a"), last.alias("b"))
-    mixed = hits.where("not pure")
-    member = F.struct("ref", "start", "windows")
-    classes = written(mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(member).alias("m")).withColumn("id", F.xxhash64("key", "ctx")), "contexts")
     copies = mixed.join(classes.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("ref", F.col("start").alias("a"), last.alias("b"))
-    hot = classes.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
-    shown = classes.join(hot, "key", "left").select("m.ref", F.struct("id", "key", "k", "m.start", "m.windows").alias("c"))
-    contexts = written(_contexts(docs.join(shown.groupBy("ref").agg(F.collect_list("c").alias("c")), "ref"), match), "context-bytes")
-    few = contexts.where("not hot").repartition("key").sortWithinPartitions("key").select("key", "id", "windows", "data")
-    busy = contexts.where("hot").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / HOT)))
-    busy = written(_screened(busy.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "id", "windows", "data"), match), "hot-contexts")
-    many = _windows(busy.repartition("id"), match)  # evenly, whatever the key
-    again = many.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    near = busy.where("p is not null").select("id", "p", "q")
-    kept = many.join(again, "hash", "left_semi").select("id", F.col("place").alias("p"), F.col("place").alias("q")).union(near)
-    kept = kept.groupBy("id").agg(F.min("p").alias("p"), F.max("q").alias("q"))
-    kept = kept.union(_compared(few, match))
-    single = classes.where("n = 1").join(kept, "id")
-    single = single.select("m.ref", (F.col("m.start") + F.col("p")).alias("a"), (F.col("m.start") + F.col("q") + match).alias("b"))
+    anchor = F.col("m.start") + F.col("m.lead")
+    single = classes.where("n = 1").join(kept, ["key", "ctx"]).select("m.ref", (anchor - F.col("most")).alias("a"), (anchor - F.col("least") + match).alias("b"))
     spans = pure.union(copies).union(single)
-    return spans.groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return spans.groupBy("ref").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def _contexts(rows: DataFrame, match: int) -> DataFrame:
-    """(key, id, k, hot, windows, data) of the contexts in rows(text, c); k counts a hot key's contexts."""
+    """(key, ctx, open, low, high, data) of the contexts in rows(text, c): their windows have low to high bytes before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 for text, contexts in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    out += [(c["key"], c["id"], c["k"], c["k"] is not None, c["windows"], text[c["start"] : c["start"] + c["windows"] + match - 1]) for c in contexts]
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "id", "k", "hot", "windows", "data"])
-
-    return rows.select("text", "c").mapInArrow(run, "key long, id long, k long, hot boolean, windows int, data binary")
-
-
-def _window_hashes(counts: np.ndarray, data: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, place, hash) of every window of contexts."""
-    prefix = prefix_hashes(BYTE_VALUES[np.frombuffer(b"".join(data), np.uint8)])
-    sizes = np.array([len(d) for d in data])
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(np.cumsum(sizes) - sizes, counts) + place
-    return np.repeat(np.arange(len(data)), counts), place, slice_hashes(prefix, at, at + match)
-
-
-def _windows(contexts: DataFrame, match: int) -> DataFrame:
-    """(id, place, hash) of the windows of contexts(id, windows, data, shown) whose bit in shown is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                ids, counts, data, shown = batch.slice(at, 2048).columns
-                counts = counts.to_numpy().astype(np.int64)
-                of, place, hashes = _window_hashes(counts, data.to_pylist(), match)
-                keep = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(shown.to_pylist(), counts.tolist(), strict=True)]).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.to_numpy()[of[keep]]), pa.array(place[keep].astype(np.int32)), pa.array(hashes[keep].view(np.int64))], ["id", "place", "hash"])
-
-    return contexts.select("id", "windows", "data", "shown").mapInArrow(run, "id long, place int, hash long")
+                    out += [(c["key"], c["ctx"], c["open"], c["lead"] - c["windows"] + 1, c["lead"], text[c["start"] : c["start"] + c["windows"] + match - 1]) for c in contexts]
+                types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "ctx", "open", "low", "high", "data"])
 
+    return rows.select("text", "c").mapInArrow(run, "key long, ctx long, open boolean, low int, high int, data binary")
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Runs of whole groups (rows alike in the first columns) of about CHUNK bytes of their last column."""
-    rows, held = [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held >= CHUNK and row[:keys] != rows[-1][:keys]:
-                yield rows
-                rows, held = [], 0
-            rows.append(row)
-            held += len(row[-1])
-    if rows:
-        yield rows
 
+def _refined(contexts: DataFrame, match: int, gram: int) -> DataFrame:
+    """(key, ctx, least, most) of the open ones of contexts that have windows which repeat: fewest and most bytes before the anchor.
 
-def _ends(of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first, last place) of sorted windows."""
-    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(of)) - 1 if len(of) else first
-    return of[first], place[first], place[last]
-
-
-def _screened(contexts: DataFrame, match: int) -> DataFrame:
-    """contexts(key, part, id, windows, data), sorted by key and part, with p, q and shown.
-
-    p and q are the first and last place of windows that repeat within the part, null if none does. shown
-    has a bit a window: those still to be compared with other parts, each distinct one in one context.
+    contexts: (key, ctx, open, low, high, data), bucketed by key and ctx. Bytes are compared by fingerprints
+    of 128 bits, and of 64 more where a core is equal.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, 2):
-            counts = np.array([r[3] for r in rows], np.int64)
-            of, place, hashes = _window_hashes(counts, [r[4] for r in rows], match)
-            part = np.cumsum([0, *(a[:2] != b[:2] for a, b in zip(rows, rows[1:], strict=False))])[of]
-            order = np.lexsort((hashes, part))
-            new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (part[order][1:] != part[order][:-1]))
-            shown, again = np.zeros(len(of), bool), np.zeros(len(of), bool)
-            shown[order[new]] = True
-            again[order] = ~new | np.append(~new[1:], False)
-            p, q = np.full(len(rows), -1), np.full(len(rows), -1)
-            at, low, high = _ends(of[again], place[again])
-            p[at], q[at] = low, high
-            bits = [np.packbits(x).tobytes() for x in np.split(shown, np.cumsum(counts)[:-1])]
-            columns = [pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.binary()), pa.array(p.astype(np.int32), mask=p < 0), pa.array(q.astype(np.int32), mask=q < 0), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "windows", "data", "p", "q", "shown"])
-
-    return contexts.mapInArrow(run, "id long, windows int, data binary, p int, q int, shown binary")
-
-
-def _compared(contexts: DataFrame, match: int) -> DataFrame:
-    """(id, p, q): first and last place of a context's windows that repeat; contexts(key, id, windows, data) come sorted by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, 1):
-            of, place, hashes = _window_hashes(np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], match)
-            _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            again = times[back] > 1
-            at, low, high = _ends(of[again], place[again])
-            ids = np.array([r[1] for r in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["id", "p", "q"])
-
-    return contexts.mapInArrow(run, "id long, p int, q int")
+    width, asked, settled = 1, None, []
+    while 4 * width <= match - gram + 1:
+        width *= 4
+    while width:
+        if asked is None:
+            rows = contexts.withColumn("from", F.col("low")).withColumn("to", F.col("high"))
+        else:
+            reach = [F.greatest("low", F.col("cell") * before).alias("from"), F.least("high", F.col("cell") * before + (before - 1)).alias("to")]
+            rows = contexts.drop("open").join(asked, ["key", "ctx"]).select("key", "ctx", "open", "low", "high", "data", *reach)
+        rows = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / width).cast("int"), F.floor(F.col("to") / width).cast("int"))))
+        rows = rows.withColumn("t1", F.greatest("low", F.col("cell") * width)).withColumn("t2", F.least("high", F.col("cell") * width + (width - 1)))
+        core = F.substring("data", F.col("high") - F.col("cell") * width + 1, F.lit(match + 1 - width))
+        whole = F.substring("data", F.col("high") - F.col("t2") + 1, F.col("t2") - F.col("t1") + match)
+        prints = [F.xxhash64("cell", core).alias("core1"), F.xxhash64(F.lit(width), core, "cell").alias("core2"), F.xxhash64("t1", "t2", whole).alias("whole")]
+        rows = written(rows.select("key", "ctx", "open", "cell", "t1", "t2", *prints), "cells")
+        alike = rows.groupBy("core1", "core2", "whole").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct("key", "ctx", "cell")).alias("m"))
+        alike = written(alike, "alike-cells")
+        again = alike.where("n > 1 and open").select("core1", "core2", "whole")
+        settled.append(rows.where("open").join(again, ["core1", "core2", "whole"], "left_semi").select("key", "ctx", "t1", "t2"))
+        still = F.col("open") & (F.col("n") == 1)
+        cores = alike.groupBy("core1", "core2").agg(F.count("*").alias("kinds"), F.max(still).alias("any")).where("kinds > 1 and any")
+        split = alike.join(cores.select("core1", "core2"), ["core1", "core2"], "left_semi")
+        asked = split.select("m.key", "m.ctx", "m.cell", still.alias("open"))
+        before, width = width, width // 4
+    return reduce(DataFrame.union, settled).groupBy("key", "ctx").agg(F.min("t1").alias("least"), F.max("t2").alias("most"))
 
 
 def removed_mask(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -307,8 +250,9 @@ def removed_mask(n: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, match: int, gram: int, batches: int) -> DataFrame:
-    """docs with _ref and _spans. Rows alike in doc_id and text share a ref, and so their spans."""
-    known = docs.withColumn("_ref", F.xxhash64("doc_id", "text"))
+    """docs with _ref, 128 bits that stand for doc_id and text, and _spans. Rows alike in both share their spans."""
+    marks = [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id")]
+    known = docs.withColumn("_ref", F.unhex(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in marks))))
     spans = repeated_spans(known.select(F.col("_ref").alias("ref"), "text"), match, gram, batches)
     return known.join(spans.select(F.col("ref").alias("_ref"), F.col("spans").alias("_spans")), "_ref", "left")
 
@@ -363,5 +307,3 @@ def cut_texts(docs: DataFrame, match: int = MATCH, gram: int = GRAM, batches: in
     if "n_chars" in others:
         cut = cut.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
-
-

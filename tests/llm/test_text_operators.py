@@ -135,9 +135,27 @@ def _brute_repeats(texts, match):
     return data, out
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_suffix_dedup(docs, texts, empty, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def _patchwork():
+    """Texts of passages of 150 to 400 letters, cut at random places and put between random letters."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [noise(rng.randint(150, 400)) for _ in range(6)]
+    out = {}
+    for d in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            p = passages[min(rng.randrange(6), rng.randrange(6))]
+            a = rng.choice([0, 0, rng.randint(0, 60)])
+            parts += [noise(rng.choice([0, 1, 5, 90])), p[a : len(p) - rng.choice([0, 0, rng.randint(0, 60)])]]
+        out[d] = "".join([*parts, noise(rng.choice([0, 30]))])
+    return out
+
+
+@pytest.mark.parametrize("case", ["few", "many"])
+def test_suffix_dedup(spark, docs, texts, empty, case):
+    if case == "many":
+        texts = _patchwork()
+        docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(4)
     data, gone = _brute_repeats(texts, 200)
     for r in suffix_dedup.remove_repeats(docs).collect():
         mask = gone[r.doc_id]
