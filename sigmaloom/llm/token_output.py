@@ -3,10 +3,11 @@
 Layout of a token store (a folder that Spark writes and reads, on any file system Spark knows):
 
 * ``dictionary/``  one row: dict_hash (SHA-256 of the dictionary), dict_bytes, id_bytes (2 or 4).
-* ``blocks/``      rows of about block_bytes: shard, block, first_doc, last_doc, n_docs, n_ids, dict_hash,
-  doc_ids (int64 little-endian), counts (uint32 ids of each document), offsets (int64, n_docs + 1 places
-  in payload) and payload, the documents' frames one after another. A frame holds one document's ids as
-  little-endian unsigned integers of id_bytes.
+* ``blocks/``      rows of about block_bytes: shard, block, ahead (ids of earlier blocks of the shard), first_doc,
+  last_doc, n_docs, n_null (of which the first have no doc_id), n_ids, dict_hash, doc_ids (int64
+  little-endian), counts (uint32 ids of each document), offsets (int64, n_docs + 1 places in payload) and
+  payload, the documents' frames one after another. A frame holds one document's ids as little-endian
+  unsigned integers of id_bytes.
 * ``shards/``      rows (shard, start): ids of all documents in earlier shards.
 
 Documents stand in ascending doc_id order over blocks and shards. A reader of one short document needs its
@@ -16,6 +17,7 @@ block's index and one frame.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,76 +33,88 @@ from .common import shared_dir
 BLOCK_BYTES = 1 << 20
 #: Bounds of the dictionary's training sample and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 16 << 20, 64 << 10
-#: Entries of a worker's tables from a chunk of text and from a word to its ids, beyond which they start anew.
-CHUNK_ENTRIES, WORD_ENTRIES = 150_000, 300_000
+#: Entries of a worker's table from a chunk of text to its ids, beyond which it becomes the older one of two.
+CHUNK_ENTRIES = 300_000
 
 BLOCK_SCHEMA = (
-    "shard int, block int, first_doc long, last_doc long, n_docs int, n_ids long, dict_hash string, "
+    "shard int, block int, ahead long, first_doc long, last_doc long, n_docs int, n_null int, n_ids long, dict_hash string, "
     "doc_ids binary, counts binary, offsets binary, payload binary"
 )
 
 #: Characters that end a chunk and that the pre-tokenizer keeps apart from letters.
 PLAIN_ENDS = b".,;:!?#$%&*|()[]-"
+#: The normaliser and the pre-tokenizer under which texts are encoded chunk by chunk.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
-class ChunkEncoder:
-    """Ids of whole texts through the tokenizers library, each distinct chunk between white space once.
+class ChunkEncoder(dict):
+    """Ids of whole texts through the tokenizers library; as a dict, from the chunks between white space to their ids.
 
     White space is dropped by this tokenizer's pattern and no normaliser looks across it, so a text's ids
-    are those of its chunks in order. Letters of Latin-1 followed by plain punctuation are two pre-tokens;
-    their lower-cased letters go to the model directly.
+    are those of its chunks in order, each tokenized when first met. Letters of Latin-1 followed by plain
+    punctuation are two pre-tokens; their lower-cased letters go to the model directly. A tokenizer with
+    another normaliser or pre-tokenizer encodes texts as they are.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int):
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.id_type, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 65536 else (np.dtype("<u4"), "I")
         self.end = self.id_type.type(end_id).tobytes()
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        shape = json.loads(tokenizer_json)
+        self.by_chunk = shape.get("normalizer") == WORD_NORMALIZER and shape.get("pre_tokenizer") == WORD_SPLIT and not shape.get("post_processor")
+        self.marks = [t["content"].encode() for t in shape.get("added_tokens") or ()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _word(self, word: bytes) -> bytes:
-        """The ids of a lower-cased word, kept."""
-        mapped = word.decode() if word.isascii() else word.decode("latin-1").translate(self.byte_chars)
-        ids = self.words[word] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
+        core = chunk.rstrip(PLAIN_ENDS)
+        if core.isalpha():
+            word = core.lower().decode()
+        elif (text := core.decode()).isalpha() and max(text) < "\u0100":
+            word = text.lower().encode().decode("latin-1").translate(self.byte_chars)
+        else:
+            ids = self[chunk] = array(self.code, self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+            return ids
+        if len(core) == len(chunk):
+            ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        else:
+            tail = chunk[len(core) :]
+            end = self.get(tail) or array(self.code, self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+            self[tail] = end
+            ids = self[core] + end
+        self[chunk] = ids
         return ids
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        known, words, rest = self.known, self.words, []
-        for chunk in chunks:
-            core = chunk.rstrip(PLAIN_ENDS)
-            if core.isalpha():
-                word = core.lower()
-            elif (text := core.decode()).isalpha() and max(text) < "Ā":
-                word = text.lower().encode()
-            else:
-                rest.append(chunk)
-                continue
-            ids = words.get(word) or self._word(word)
-            if len(core) < len(chunk):
-                tail = chunk[len(core) :]
-                if tail not in words:
-                    words[tail] = array(self.code, self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
-                ids += words[tail]
-            known[chunk] = ids
-        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
-            known[chunk] = array(self.code, e.ids).tobytes()
-
     def texts(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The serialized ids of each text, the end id last."""
-        for at in range(0, len(texts), 256):
-            split = [(t or b"").split() for t in texts[at : at + 256]]
-            for table, most in ((self.known, CHUNK_ENTRIES), (self.words, WORD_ENTRIES)):
-                if len(table) > most:
-                    table.clear()
-            self._learn(set().union(*split) - self.known.keys())
-            get, end = self.known.__getitem__, self.end
-            for chunks in split:
-                yield b"".join(map(get, chunks)) + end
+        get, end = self.__getitem__, self.end
+        if not self.by_chunk:
+            for e in self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False):
+                yield array(self.code, e.ids).tobytes() + end
+            return
+        for text in texts:
+            if len(self) > CHUNK_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            text = text or b""
+            low = text.lower()  # added tokens are matched as they stand
+            yield b"".join(map(get, (text if any(m in low for m in self.marks) else low).split())) + end
 
 
 _worker_encoders: dict[tuple[int, int], ChunkEncoder] = {}
@@ -179,15 +193,15 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
         from pyspark import TaskContext
 
         enc, zip_, shard, block = encoder(), _compressor(shared.value), TaskContext.get().partitionId(), 0
-        docs_, counts, frames, held = [], [], [], 0
+        docs_, counts, frames, held, ahead = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             offsets = np.cumsum([0, *map(len, frames)]).astype("<i8")
             known = [d for d in docs_ if d is not None]
             row = {
-                "shard": shard, "block": block, "first_doc": min(known, default=None), "last_doc": max(known, default=None),
-                "n_docs": len(docs_), "n_ids": sum(counts), "dict_hash": dict_hash,
-                "doc_ids": np.array([np.iinfo(np.int64).min if d is None else d for d in docs_], "<i8").tobytes(),
+                "shard": shard, "block": block, "ahead": ahead, "first_doc": min(known, default=None), "last_doc": max(known, default=None),
+                "n_docs": len(docs_), "n_null": len(docs_) - len(known), "n_ids": sum(counts), "dict_hash": dict_hash,
+                "doc_ids": np.array([d or 0 for d in docs_], "<i8").tobytes(),
                 "counts": np.array(counts, "<u4").tobytes(), "offsets": offsets.tobytes(), "payload": b"".join(frames),
             }
             return pa.RecordBatch.from_pylist([row], schema=ARROW_BLOCK)
@@ -202,13 +216,15 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
                     held += len(frames[-1])
                     if held >= BLOCK_BYTES:
                         yield flush()
+                        ahead += sum(counts)
                         docs_, counts, frames, held, block = [], [], [], 0, block + 1
         if docs_:
             yield flush()
 
     spark.createDataFrame([(dict_hash, dictionary, id_bytes)], "dict_hash string, dict_bytes binary, id_bytes int").write.parquet(f"{path}/dictionary")
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(pack, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    tie = F.xxhash64("text").alias("_tie")  # so that rows of one doc_id can be dealt to several ranges
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    dealt.select("doc_id", "text").mapInArrow(pack, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -216,7 +232,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
 
 
 ARROW_BLOCK = pa.schema(
-    [("shard", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()),
+    [("shard", pa.int32()), ("block", pa.int32()), ("ahead", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_null", pa.int32()), ("n_ids", pa.int64()),
      ("dict_hash", pa.string()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("offsets", pa.binary()), ("payload", pa.binary())]
 )
 
@@ -233,10 +249,7 @@ def read_token_store(spark: SparkSession, path: str, doc_ids: list[int] | None =
     shared, dict_hash, id_type = spark.sparkContext.broadcast(bytes(head.dict_bytes)), head.dict_hash, np.dtype(f"<u{head.id_bytes}")
     wanted = None if doc_ids is None else set(doc_ids)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    index = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("ahead"))
-    index = index.join(spark.read.schema("shard int, start long").parquet(f"{path}/shards"), "shard")
-    index = index.select("shard", "block", (F.col("ahead") + F.col("start")).alias("start"))
+    shards = spark.read.schema("shard int, start long").parquet(f"{path}/shards")  # a row for each task that wrote
     if wanted is not None:
         blocks = blocks.where(F.exists(F.lit(sorted(wanted)), lambda d: (d >= F.col("first_doc")) & (d <= F.col("last_doc"))))
 
@@ -248,18 +261,19 @@ def read_token_store(spark: SparkSession, path: str, doc_ids: list[int] | None =
                     raise ValueError(f"shard {row['shard']}, block {row['block']}: another dictionary's frames")
                 docs = np.frombuffer(row["doc_ids"], "<i8")
                 counts, offsets = np.frombuffer(row["counts"], "<u4").astype(np.int64), np.frombuffer(row["offsets"], "<i8")
-                starts = row["start"] + np.cumsum(counts) - counts
+                starts = row["start"] + row["ahead"] + np.cumsum(counts) - counts
                 out = []
                 for k, doc in enumerate(docs.tolist()):
+                    doc = None if k < row["n_null"] else doc
                     if wanted is None or doc in wanted:
                         ids = np.frombuffer(unzip.decompress(row["payload"][offsets[k] : offsets[k + 1]]), id_type)
                         if len(ids) != counts[k]:
                             raise ValueError(f"document {doc}: {len(ids)} ids, the index has {counts[k]}")
-                        out.append((None if doc == np.iinfo(np.int64).min else doc, int(starts[k]), len(ids), ids.astype("<u4").tobytes()))
+                        out.append((doc, int(starts[k]), len(ids), ids.astype("<u4").tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(index, ["shard", "block"]).mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(F.broadcast(shards), "shard").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_output(docs: DataFrame, tokenizer_json: str, end_id: int = 1) -> DataFrame:
@@ -267,5 +281,3 @@ def token_output(docs: DataFrame, tokenizer_json: str, end_id: int = 1) -> DataF
     path = shared_dir(docs.sparkSession, "tokens")
     write_token_store(docs, path, tokenizer_json, end_id)
     return read_token_store(docs.sparkSession, path)
-
-

@@ -88,6 +88,31 @@ def test_token_store_round_trip(docs, texts, empty, spark, tmp_path):
     few = token_output.read_token_store(spark, store, [3, 50]).collect()
     assert sorted(r.doc_id for r in few) == [3, 3, 50]
     assert len({zlib.crc32(bytes(r.ids)) for r in few if r.doc_id == 3}) == 1
+    odd = [(None, "a b"), (-(2**63), "c"), (None, None), *[(7, f"copy {k}") for k in range(50)]]
+    rows = token_output.token_output(spark.createDataFrame(odd, "doc_id long, text string"), vocabulary).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, -(2**63)] + [7] * 50
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+
+
+def test_chunk_encoder_equals_the_library_on_random_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(3)
+    encoder = token_output.ChunkEncoder(open(path).read(), 1)
+    pieces = ["a", "B", "É", "é", "İ", "Σ", "K", "'s", "'T", " ", ". ", "..", ",", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0301", "\n", "\u00a0", "1", "漢", "ſ", "¿", "”", "-", "\x1c"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.texts([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, encoder.id_type).tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_chunk_encoder_takes_other_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, text = Tokenizer.from_file(path), "Two  spaces, Case and\nlines."
+    (ids,) = token_output.ChunkEncoder(open(path).read(), 1).texts([text.encode()])
+    assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
 
 
 def _words(text):
