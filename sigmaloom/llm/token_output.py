@@ -34,7 +34,7 @@ BLOCK_BYTES = 1 << 20
 #: Bounds of the dictionary's training sample and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 16 << 20, 64 << 10
 #: Entries of a worker's table from a chunk of text to its ids, beyond which it becomes the older one of two.
-CHUNK_ENTRIES = 300_000
+CHUNK_ENTRIES = 240_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, ahead long, first_doc long, last_doc long, n_docs int, n_null int, n_ids long, dict_hash string, "
