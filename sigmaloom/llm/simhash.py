@@ -1,11 +1,12 @@
 """Operator 5: SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints at up to `distance` differing bits agree on at least one of distance + 1 blocks of bits. Each
-distinct fingerprint is therefore indexed once per block, rotated so that the block leads. Rows that share a
-leading block form a group; within it fingerprints are sorted by Gray rank, runs of them are nodes that keep
-the bits all members share (a mask and their values), and runs of nodes are upper nodes. A search starts at
-the upper nodes, adds up the differences from shared bits, and leaves whole nodes out once these exceed the
-distance. Only a spanning forest of the links found in a group leaves its task.
+Of distance + c blocks of bits, fingerprints at up to `distance` differing bits agree on c at least. Each
+distinct fingerprint is therefore indexed once for every choice of c blocks, and rows that share the bits of
+these blocks form a group; c follows the number of fingerprints, so that groups stay small. Within a group
+fingerprints are sorted by Gray rank, runs of them are nodes that keep the bits all members share (a mask and
+their values) and that their upper node does not have, and runs of nodes are upper nodes. A search starts at
+the upper nodes, carries the differences from shared bits down, and leaves whole nodes out once these exceed
+the distance. Only a spanning forest of the links found in a group leaves its task.
 
 Pairs of a given shingle Jaccard differ in too many bits for such blocks: at 0.8 in about 10 of 64, and for
 nearly all of them in up to 20. keep_first_similar therefore forms groups by bands of min-hashes instead, uses
@@ -14,7 +15,9 @@ the fingerprints to leave pairs of a group out, and decides by the exact Jaccard
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from .common import components, tiled, written
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Members of a node, rows of a group that one task compares, and rows and pairs in memory at once.
 FANOUT, TILE_ROWS, BUFFER_ROWS, FRONTIER = 8, 4096, 400_000, 2_000_000
+#: Fingerprints of a group that are expected at most, were their bits random.
+GROUP_ROWS = 256
 #: Near-duplicate stages: words of a shingle and least Jaccard; bands of min-hashes (a pair at 0.8 shares one of
 #: them with probability 0.997), bits a linked pair may differ in (over 4 deviations more than at 0.8), and
 #: shingles of a group that one task compares.
@@ -89,7 +94,7 @@ class GrayIndex:
     """The hierarchical index of the groups of one buffer; group and codes are sorted by (group, Gray rank)."""
 
     def __init__(self, group: np.ndarray, codes: np.ndarray):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # shared bits, their values, first child
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # shared bits that the upper node lacks, values, first child
         shared, values = np.full(len(codes), ~np.uint64(0)), codes
         while True:
             n = len(values)
@@ -105,17 +110,21 @@ class GrayIndex:
             values = values[runs] & shared
             self.levels.append((shared, values, np.append(runs, n)))
         self.top_group = group
+        above = [np.repeat(upper, np.diff(children)) for upper, _, children in self.levels]  # of each level's children
+        self.leaf_bits = ~above[0]
+        self.levels = [(s & ~above[k + 1] if k + 1 < len(above) else s, v, c) for k, (s, v, c) in enumerate(self.levels)]
 
     def pairs(self, codes: np.ndarray, query: np.ndarray, top: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) at up to distance, of the queries and the top nodes paired with them."""
-        node = top
+        node, differ = top, np.zeros(len(top), np.uint8)
         for shared, values, children in reversed(self.levels):
-            near = np.bitwise_count((codes[query] ^ values[node]) & shared[node]) <= distance
-            query, node = query[near], node[near]
+            differ = differ + np.bitwise_count((codes[query] ^ values[node]) & shared[node])
+            near = differ <= distance
+            query, node, differ = query[near], node[near], differ[near]
             counts = children[node + 1] - children[node]
             offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            query, node = np.repeat(query, counts), np.repeat(children[node], counts) + offsets
-        near = (node < query) & (np.bitwise_count(codes[query] ^ codes[node]) <= distance)
+            query, node, differ = np.repeat(query, counts), np.repeat(children[node], counts) + offsets, np.repeat(differ, counts)
+        near = (node < query) & (differ + np.bitwise_count((codes[query] ^ codes[node]) & self.leaf_bits[node]) <= distance)
         return query[near], node[near]
 
 
@@ -154,41 +163,40 @@ def group_forest(group: np.ndarray, codes: np.ndarray, distance: int) -> tuple[n
     return order[linked], order[root[linked]]
 
 
-def _blocks(distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of distance + 1 blocks of the 64 bits."""
-    edges = [64 * k // (distance + 1) for k in range(distance + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def key_masks(distance: int, rows: int) -> list[int]:
+    """The bits of each key of an index of so many fingerprints; two at up to `distance` bits share some key."""
+    wanted, c = math.log2(max(1, rows / GROUP_ROWS)), 1
+    while 64 * c // (distance + c) < wanted and distance + c < 32:
+        c += 1
+    edges = [64 * k // (distance + c) for k in range(distance + c + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(blocks, c)]
 
 
 def links(classes: DataFrame, distance: int = DISTANCE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Edges (a, b) of ids that span the links of classes(fingerprint, id), one row a fingerprint."""
-    blocks = _blocks(distance)
-    tables = [F.struct(F.lit(k).alias("t"), F.shiftrightunsigned(F.col("fingerprint"), a).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for k, (a, n) in enumerate(blocks)]
-    rows = classes.select("fingerprint", "id", F.explode(F.array(*tables)).alias("x"))
-    rows = rows.select("fingerprint", "id", (F.col("x.t").cast("long") * (1 << 32) + F.col("x.v")).alias("block"))
-    dealt = tiled(rows, "block", "fingerprint", tile_rows)
-    dealt = dealt.select("fingerprint", "id", F.xxhash64("block", "tile_a", "tile_b").alias("grp"), "block")
+    signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(distance, classes.count())]
+    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fingerprint").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)))
+    dealt = tiled(classes.select("fingerprint", "id", F.explode(keys).alias("block")), "block", "fingerprint", tile_rows)
+    dealt = dealt.select("fingerprint", "id", F.xxhash64("block", "tile_a", "tile_b").alias("grp"))
     dealt = dealt.repartition("grp").sortWithinPartitions("grp")
 
-    def search(group: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        codes, ids, block = rows[:, 0].view(np.uint64), rows[:, 1], rows[:, 2] >> 32
-        turn = np.array([a + n for a, n in blocks], np.uint64)[block]  # the block's bits lead
-        rotated = np.where(turn % np.uint64(64) == 0, codes, (codes << (np.uint64(64) - turn)) | (codes >> (turn % np.uint64(64))))
-        a, b = group_forest(group, rotated, distance)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+    def search(rows: np.ndarray) -> pa.RecordBatch:
+        a, b = group_forest(rows[:, 2], np.ascontiguousarray(rows[:, 0]).view(np.uint64), distance)
+        return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1))
+            held.append(np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1))
             if sum(map(len, held)) >= BUFFER_ROWS:
                 rows = np.concatenate(held)
                 last = int(np.searchsorted(rows[:, 2], rows[-1, 2], "left"))  # the last group may go on
                 if last:
-                    yield search(rows[:last, 2], rows[:last][:, [0, 1, 3]])
+                    yield search(rows[:last])
                 held = [rows[last:]]
         if held and len(rows := np.concatenate(held)):
-            yield search(rows[:, 2], rows[:, [0, 1, 3]])
+            yield search(rows)
 
     return dealt.mapInArrow(run, "a long, b long")
 
