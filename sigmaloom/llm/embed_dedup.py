@@ -28,7 +28,7 @@ from .common import components, tiled, written
 from .simhash import join_roots
 
 THRESHOLD, EPSILON, RECALL = 0.9, 4.0, 0.99
-BUCKET_ROWS, TILE_ROWS, SEED = 256, 2048, 20240511
+BUCKET_ROWS, TILE_ROWS, SEED = 1024, 2048, 20240511
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -59,7 +59,7 @@ def table_shape(rows: int, threshold: float) -> tuple[int, int]:
 
 
 def _usable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(places, unit vectors) of the batch's vectors, its last column, that can be scaled to length 1."""
+    """(places, vectors) of the batch's vectors, its last column, that can be scaled to length 1."""
     places, values = [], []
     for k, v in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
         if v is not None and len(v) and None not in v:
@@ -68,44 +68,58 @@ def _usable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     if not places:
         return np.zeros(0, np.int64), np.zeros((0, 1))
     raw = np.array(values, np.float64)
-    scale = np.abs(raw).max(axis=1)
-    good = np.isfinite(raw).all(axis=1) & (scale > 0)
-    scaled = raw[good] / scale[good][:, None]
-    return np.array(places)[good], scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
+    good = np.isfinite(raw).all(axis=1) & (raw != 0).any(axis=1)
+    return np.array(places)[good], raw[good]
+
+
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Vectors scaled to length 1."""
+    even = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return even / np.sqrt((even * even).sum(axis=1))[:, None]
+
+
+def bucket_keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The bucket of each vector in each table."""
+    planes = np.random.default_rng(SEED + 1).standard_normal((tables * bits, unit.shape[1]))
+    return ((unit @ planes.T >= 0).reshape(len(unit), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
 
 
 def coded(classes: DataFrame, dim: int, bits: int, tables: int) -> DataFrame:
-    """(id, n, unit, code, factor, keys) of classes(id, n, embedding) of dim components.
+    """(id, n, raw, code, factor, keys) of classes(id, n, embedding) of dim components.
 
-    unit is the vector scaled to length 1 as doubles, keys its bucket in each table.
+    raw is the vector's bytes, as floats if the column holds floats, else as doubles; keys its bucket in each table.
     """
+    kind = component_type(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dim)
-        planes = np.random.default_rng(SEED + 1).standard_normal((tables * bits, dim))
-        weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            places, unit = _usable(batch)
+            places, raw = _usable(batch)
             if not len(places):
                 continue
+            unit = scaled(raw)
             code, factor = codes(unit, turn)
-            keys = ((unit @ planes.T >= 0).reshape(len(unit), tables, bits) * weights).sum(axis=2)
             pick = batch.take(pa.array(places))
-            packed = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (unit, code)]
-            yield pa.RecordBatch.from_arrays([pick.column(0), pick.column(1), *packed, pa.array(factor), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["id", "n", "unit", "code", "factor", "keys"])
+            packed = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (raw.astype(kind), code)]
+            keys = pa.array(bucket_keys(unit, bits, tables).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pick.column(0), pick.column(1), *packed, pa.array(factor), keys], ["id", "n", "raw", "code", "factor", "keys"])
 
     rows = classes.where(F.size("embedding") == dim).select("id", "n", F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "id long, n long, unit binary, code binary, factor double, keys array<long>")
+    return rows.mapInArrow(run, "id long, n long, raw binary, code binary, factor double, keys array<long>")
+
+
+def component_type(vectors: DataFrame) -> str:
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
 
 class _Bucket:
     """Rows of one bucket (or of two of its tiles) as arrays."""
 
-    def __init__(self, rows: dict[str, list], turn: np.ndarray):
+    def __init__(self, rows: dict[str, list], turn: np.ndarray, kind: str, bits: int, tables: int):
         self.id, self.n, self.tile = (np.array(rows[c], np.int64) for c in ("id", "n", "tile"))
-        self.unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(self.id), -1)
+        self.unit = scaled(np.frombuffer(b"".join(rows["raw"]), kind).reshape(len(self.id), -1).astype(np.float64))
         self.code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(self.id), -1)
-        self.factor, self.keys = np.array(rows["factor"]), np.array(rows["keys"], np.int64)
+        self.factor, self.keys = np.array(rows["factor"]), bucket_keys(self.unit, bits, tables)
         self.turned = self.unit @ turn.T
 
     def links(self, table: int, two_tiles: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -128,11 +142,11 @@ class _Bucket:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
-def links(vectors: DataFrame, dim: int, bits: int, tables: int, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(id, n_links, root) from coded vectors: counts of links, and in separate rows edges (id, root) that span them."""
-    rows = vectors.select("*", F.posexplode("keys").alias("table", "key")).withColumn("bucket", F.col("table").cast("long") * (1 << 40) + F.col("key")).drop("key")
+def links(vectors: DataFrame, kind: str, dim: int, bits: int, tables: int, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(id, n_links, root) from coded vectors of components of a kind: counts of links, and in separate rows edges (id, root) that span them."""
+    rows = vectors.select("id", "n", "raw", "code", "factor", F.posexplode("keys").alias("table", "key")).withColumn("bucket", F.col("table").cast("long") * (1 << 40) + F.col("key")).drop("key")
     dealt = tiled(rows, "bucket", "id", tile_rows).withColumn("grp", F.xxhash64("bucket", "tile_a", "tile_b"))
-    names = ["grp", "table", "tile_a", "tile_b", "id", "n", "tile", "unit", "code", "factor", "keys"]
+    names = ["grp", "table", "tile_a", "tile_b", "id", "n", "tile", "raw", "code", "factor"]
     dealt = dealt.select(*names).repartition("grp").sortWithinPartitions("grp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +154,7 @@ def links(vectors: DataFrame, dim: int, bits: int, tables: int, threshold: float
         held: dict[str, list] = {c: [] for c in names}
 
         def flush() -> pa.RecordBatch:
-            bucket = _Bucket(held, turn)
+            bucket = _Bucket(held, turn, kind, bits, tables)
             i, j = bucket.links(held["table"][0], held["tile_a"][0] != held["tile_b"][0], threshold)
             counts = np.bincount(i, bucket.n[j], len(bucket.id)) + np.bincount(j, bucket.n[i], len(bucket.id))
             root = join_roots(np.arange(len(bucket.id)), i, j)
@@ -189,7 +203,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile_ro
     for dim in dims:
         bits, tables = table_shape(counted.get(dim, 0), threshold)
         vectors = written(coded(classes, dim, bits, tables), "vector-codes")
-        parts.append(written(links(vectors, dim, bits, tables, threshold, tile_rows), "vector-links"))
+        parts.append(written(links(vectors, component_type(classes), dim, bits, tables, threshold, tile_rows), "vector-links"))
     found = reduce(DataFrame.union, parts)
     counts = found.where("root is null").groupBy("id").agg(F.sum("n_links").alias("l"))
     member = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
