@@ -87,17 +87,18 @@ class RankEncoder:
     def text(self, text: str) -> bytes:
         """The ranks of a text as little-endian unsigned 32-bit integers.
 
-        A single space between two characters that are not spaces always begins a match, so a text
-        without runs of spaces is cut there first.
+        A single space between two characters that are no white space begins a match, so a text in which
+        every space stands so is cut there first.
         """
-        if "  " in text:
+        first, *rest = text.split(" ")
+        chunks = [first, *[" " + c for c in rest]]
+        new = [c for c in dict.fromkeys(chunks) if c not in self.chunks]
+        if any(not (bare := c.removeprefix(" ")) or bare[0].isspace() or bare[-1].isspace() for c in new):
             words = self.find(text)
             self._learn(words)
             out = b"".join(map(self.words.__getitem__, words))
         else:
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + c for c in rest]]
-            if new := [c for c in dict.fromkeys(chunks) if c not in self.chunks]:
+            if new:
                 found = [self.find(c) for c in new]
                 self._learn([w for f in found for w in f])
                 for chunk, words in zip(new, found, strict=True):
@@ -116,7 +117,8 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """(doc_id, ids, n_tokens): each text's ranks as little-endian unsigned 32-bit integers, no special tokens.
 
     Null and empty texts have no ids. Repeated rows stay, other columns are ignored. No shuffle.
-    vocabulary: the bytes of a rank file (of fixed size, so it is broadcast).
+    vocabulary: the bytes of a rank file (of fixed size, so it is broadcast). pattern: a regular expression
+    in which a space between two characters that are no white space begins a match.
     """
     ranks = read_ranks(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, sentencepiece_model(ranks)))
