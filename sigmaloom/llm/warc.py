@@ -93,11 +93,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages(page_id, url, html) with refers_to: the page that holds the payload, null for responses.
 
     Of rows with equal payloads of at least min_bytes bytes the largest page_id is the response. Rows of
-    that same page_id (repeated rows) and rows without page_id are responses too. Digests are counted
+    that same page_id (repeated rows) and rows without page_id are responses too. Payloads are equal where
+    their SHA-256 is; the records' own label is SHA-1. Digests are counted
     before they meet the pages again, and Spark can split a frequent digest in that join.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     known = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
     held = known.where("n > 1").select("digest", "holder")
     differs = (F.col("page_id") != F.col("holder")) & (F.octet_length("payload") >= min_bytes)
