@@ -2,7 +2,8 @@
 
 Features of a text are hashed byte trigrams of its letters (A-Z lower-cased, other ASCII as blanks), damped
 by a square root and scaled to length 1. Families are told apart by one-versus-one linear support vector
-machines, and so are the languages of each family. Machines are fitted by Spark ML on a bounded sample.
+machines, and so are the languages of each family. Machines are fitted on a bounded sample, a pair to a task, by
+dual coordinate descent on the hinge loss.
 """
 
 from __future__ import annotations
@@ -72,46 +73,70 @@ def held_out():
 
 
 def _sample(docs: DataFrame, per_language: int) -> tuple[list[str], DataFrame]:
-    """(languages, sample of (lang, features)): of each language about per_language texts of smallest hash of doc_id."""
-    rows = train_part(docs.select("doc_id", "text", "lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """(languages, sample of (lang, features)): of each language about per_language rows of smallest hash, repeated ones once."""
+    place = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 40))
+    rows = train_part(docs.select("doc_id", "text", "lang")).withColumn("place", place)
+    sizes = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()}
     if not sizes:
         return [], rows
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # of a language at least the row of least hash
+    bound = {lang: max(r.least, min(1 << 40, (1 << 40) * per_language // r.n)) for lang, r in sizes.items()}
+    chosen = rows.where(F.col("place") <= F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])[F.col("lang")])
+    chosen = chosen.dropDuplicates(["lang", "place"]).select("lang", "text")  # repeated rows once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x = [features(t.as_py()).tolist() for t in part.column(1).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], ["lang", "x"])
+                x = [features(t.as_py()).astype("<f4").tobytes() for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
-    return sorted(sizes), written(chosen.select("lang", "text").mapInArrow(run, "lang string, x array<double>"), "language-sample")
+    return sorted(sizes), written(chosen.mapInArrow(run, "lang string, x binary"), "language-sample")
+
+
+def support_vectors(x: np.ndarray, label: np.ndarray, rounds: int, penalty: float = 1e-3) -> np.ndarray:
+    """Weights, the bias last, of a linear machine with hinge loss for labels 1 and -1."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    most, norms = 1 / (penalty * len(x)), (x * x).sum(axis=1)
+    weights, dual, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(7)
+    for _ in range(rounds):
+        for i in rng.permutation(len(x)).tolist():
+            row, y = x[i], label[i]
+            new = min(max(dual[i] - (y * (row @ weights) - 1) / norms[i], 0.0), most)
+            if new != dual[i]:
+                weights += (new - dual[i]) * y * row
+                dual[i] = new
+    return weights
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE, rounds: int = 15) -> dict:
     """A model of the languages in docs(doc_id, text, lang): families, and a machine for each pair to decide.
 
-    Learns from train_part(docs) alone. Languages are those of its rows; none: every text is unknown.
+    Learns from train_part(docs) alone. Languages are those of its rows; none: every text is unknown. Each
+    language has a text in the sample at least.
     """
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
-
     languages, sample = _sample(docs, per_language)
     families: dict[str, list[str]] = defaultdict(list)
     for lang in languages:
         families[family_of(lang)].append(lang)
     model = {"families": dict(families), "machines": {}}
-    if not languages:
+    sides = [(a, b, families[a], families[b]) for a, b in combinations(sorted(families), 2)]
+    sides += [(a, b, [a], [b]) for members in families.values() for a, b in combinations(members, 2)]
+    if not sides:
         return model
-    sample = sample.withColumn("vector", array_to_vector("x")).select("lang", "vector")
-    sides = [((a, b), families[a], families[b]) for a, b in combinations(sorted(families), 2)]
-    sides += [((a, b), [a], [b]) for members in families.values() for a, b in combinations(members, 2)]
-    for pair, first, second in sides:
-        rows = sample.where(F.col("lang").isin(first + second)).withColumn("label", F.col("lang").isin(first).cast("double"))
-        machine = LinearSVC(featuresCol="vector", labelCol="label", maxIter=rounds, regParam=1e-3, standardization=False).fit(rows)
-        model["machines"][pair] = (np.array(machine.coefficients), float(machine.intercept))
+    spark = docs.sparkSession
+    dealt = [(lang, a, b, label) for a, b, *both in sides for label, members in zip((1, -1), both, strict=True) for lang in members]
+    pairs = spark.createDataFrame(dealt, "lang string, a string, b string, label int")  # a row for a language and a pair it takes part in
+
+    def train(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("label", "ascending"), ("x", "ascending")])
+        x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f4").reshape(rows.num_rows, -1).astype(np.float64)
+        weights = support_vectors(x, rows["label"].to_numpy(), rounds)
+        return pa.table({"a": [rows["a"][0].as_py()], "b": [rows["b"][0].as_py()], "weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
+
+    machines = sample.join(F.broadcast(pairs), "lang").groupBy("a", "b").applyInArrow(train, "a string, b string, weights array<double>")
+    for m in machines.collect():
+        model["machines"][m.a, m.b] = (np.array(m.weights[:-1]), m.weights[-1])
     return model
 
 

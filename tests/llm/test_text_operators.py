@@ -1,5 +1,6 @@
 """Operators 1, 2, 3, 5, 7 and 8 against brute force on small tables with nulls, empty texts, copies and extra columns."""
 
+import math
 import random
 import re
 import zlib
@@ -70,6 +71,13 @@ def test_byte_bpe_on_random_texts():
         assert encoder.text(text) == np.array(reference.encode_ordinary(text), "<u4").tobytes()
 
 
+def test_byte_bpe_cuts_only_where_a_match_begins():
+    """A vocabulary with a piece of white space, which a cut at the wrong place would miss."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"\n ": 256}
+    encoder = byte_bpe.RankEncoder(ranks, public_tokenizers.PATTERN)
+    assert np.frombuffer(encoder.text("a\n \nb"), "<u4").tolist() == [97, 256, 10, 98]
+
+
 def test_token_store_round_trip(docs, texts, empty, spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -272,6 +280,19 @@ def test_pipeline_drops_near_copies_at_08(spark, sf_dir):
     assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir).collect()] == [1]
 
 
+def test_gray_index_keys_meet_all_pairs_at_any_size():
+    rng = random.Random(2)
+    for rows in (10, 10**6, 10**9, 10**12):
+        masks = simhash.key_masks(4, rows)
+        assert min(m.bit_count() for m in masks) >= min(math.log2(rows / 256), 30) - 5
+        for _ in range(300):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), 4):
+                b ^= 1 << bit
+            assert any((a ^ b) & m == 0 for m in masks)
+
+
 @pytest.mark.parametrize("n,groups", [(1500, 30), (2500, 3), (200, 1)])
 def test_gray_index_finds_all_links(n, groups):
     rng = np.random.default_rng(n)
@@ -321,6 +342,14 @@ def test_language_id_never_reads_labels_of_held_out_rows(spark):
 
 
 
+def test_language_sample_holds_every_language(spark):
+    rows = [(4, "une langue que le monde parle et qui est belle", "fr")] * 1500
+    rows += [(10 + i, f"these are the english words number {i}", "en") for i in range(50)] + [(100 + i, f"dies sind die deutschen worte nummer {i}", "de") for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(table, langid.fit(table)).collect()}
+    assert (4, "fr") in got and sum(lang == "en" for d, lang in got if 10 <= d < 60) > 45 and sum(lang == "de" for d, lang in got if d >= 100) > 45
+
+
 def test_language_stage_uses_the_prediction_and_keeps_what_it_cannot_judge(spark, sf_dir):
     import corpus_pipeline
 
