@@ -4,9 +4,10 @@ A page is read as a tree of block elements and text slots. In each element, neig
 repeated group, and so do runs of two to four kinds that follow themselves. The expressions of a host's pages are then
 aligned one after another: what both have is merged (texts that differ become slots), what one lacks becomes
 optional. The result has no unions: an element is a sequence of items, each plain, optional, repeated or
-both. Its text slots are labelled as main text or not by the elements around them, and pages are read by
-aligning them with their host's wrapper. Pages are aligned where they lie first, so that only partial
-wrappers of a host move.
+both. Its text slots are labelled as main text or not by the elements around them and by what varies over the
+host's pages, and pages are read by aligning them with their host's wrapper; what the alignment does not place
+is judged by the elements around it alone, never dropped. Pages are aligned where they lie first, so that only
+partial wrappers of a host move.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Fixed values of HTML: elements dropped whole, elements without content, elements inside a line.
 RAW = "script style template noscript iframe svg textarea select title object canvas math".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +41,11 @@ ASIDE_WORDS = frozenset(
     "sidebar widget footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup share sharing "
     "social related recommended comments comment commentlist respond disqus replies pagination pager toolbar login search contentinfo complementary".split()
 )
+#: Words that stand beside those in a name without changing what it names (comment-list, ad-box), but not others (share-price).
+NAME_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons column container content entry footer form group header icon icons inline inner item items "
+    "left line link links list main menu module outer page pane panel post posts right row section site slot small tag text the title top unit wrap wrapper".split()
+)
 #: Elements and words that hold main text.
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset(("article", "main", "articlebody", "post", "entry", "story"))
 
@@ -49,6 +57,8 @@ TOKEN = re.compile(
 )
 ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SLOT, PARTIAL_HOSTS = "#", 2000
+#: Bytes of wrappers up to which every task gets them all; beyond, pages and wrappers are joined by host.
+SHARED_BYTES = 32 << 20
 #: Labels of text slots: of a page without main elements, and inside main elements.
 BODY, MAIN = 1, 2
 #: Differing pages from which on a text they share is their host's.
@@ -159,8 +169,15 @@ def _words(attrs: str) -> str:
     """The telling words of class, id and role, sorted."""
     if "=" not in attrs:
         return ""
-    found = {w for m in ATTRS.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return " ".join(sorted(found & (ASIDE_WORDS | MAIN_WORDS)))
+    names = {n for m in ATTRS.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").lower().split()}
+    found = set()
+    for name in names:
+        parts = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+        told = [w for w in parts if w in ASIDE_WORDS or w in MAIN_WORDS]
+        if any(w in ASIDE_WORDS for w in told):  # an aside only if nothing else is named
+            told = told if all(w in ASIDE_WORDS or w in NAME_WORDS for w in parts) else []
+        found.update(told)
+    return " ".join(sorted(found))
 
 
 def _settle(root: Element) -> None:
@@ -293,26 +310,26 @@ def label(wrapper: list[Item], pages: int) -> None:
 def main_text(page: str, wrapper: list[Item]) -> str:
     """The texts of a page in MAIN slots of a labelled wrapper, joined by one space; in BODY slots if it has none in MAIN."""
     out: list[tuple[int, str]] = []
-    _read(expression(parse(page).parts, 0), wrapper, out)
+    _read(expression(parse(page).parts, 0), wrapper, False, out)
     best = max((main for main, _ in out), default=MAIN)
     return " ".join(text for main, text in out if main == best)
 
 
-def _read(own: list[tuple[Item, list]], wrapper: list[Item], out: list[tuple[int, str]]) -> None:
+def _read(own: list[tuple[Item, list]], wrapper: list[Item], inside: bool, out: list[tuple[int, str]]) -> None:
+    """Add a page's texts with their labels; inside: of a main element."""
     match = {j: wrapper[i] for i, j in pairs(wrapper, [x for x, _ in own]) if i is not None and j is not None}
     for j, (item, members) in enumerate(own):
         held = match.get(j)
-        if held is None:
-            continue
         if item.kind == SLOT:
-            if held.main:
-                out += [(held.main, m) for m in members]
+            main = held.main if held is not None else MAIN if inside else BODY
+            if main:
+                out += [(main, m) for m in members]
         elif item.kind[0] == "(":
             for member in members:
-                _read(member, held.items, out)
-        else:
+                _read(member, held.items if held is not None else [], inside, out)
+        elif not _is_aside(item.kind, inside):
             for member in members:
-                _read(expression(member.parts, 0), held.items, out)
+                _read(expression(member.parts, 0), held.items if held is not None else [], inside or _is_main(item.kind), out)
 
 
 def host(url):
@@ -358,21 +375,32 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(whole, schema)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """(page_id, url, text) of pages(page_id, url, html); text is empty where a page has no main text.
 
     Null html is empty. Pages without a host in their url share one wrapper. Repeated rows stay, other
-    columns are ignored. Spark can split a frequent host in the join of pages and wrappers.
+    columns are ignored. Wrappers of up to shared_bytes in all go to every task, so pages do not move; beyond
+    that they are joined by host, and Spark can split a frequent host in that join.
     """
     rows = pages.select("page_id", "url", F.col("html"), host(F.col("url").cast("string")).alias("host"))
-    joined = rows.join(infer_wrappers(rows), "host")
+    wrappers = written(infer_wrappers(rows), "wrappers")
+    schema = ", ".join(f"{c} {t}" for c, t in pages.select("page_id", "url").dtypes) + ", text string"
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
+    shared = None
+    if size <= shared_bytes:
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: (r.pages, r.wrapper) for r in wrappers.toLocalIterator()})
+        joined = rows.select("page_id", "url", "host", "html")
+    else:
+        joined = rows.join(wrappers, "host").select("page_id", "url", "host", "html", "pages", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[Item]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, texts = batch.slice(at, 256), []
-                for h, n, wrapper, page in zip(*(part.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                hosts, html_ = part.column(2).to_pylist(), part.column(3).to_pylist()
+                found = zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True) if shared is None else (shared.value[h] for h in hosts)
+                for h, page, (n, wrapper) in zip(hosts, html_, found, strict=True):
                     if h not in known:
                         if len(known) > PARTIAL_HOSTS:
                             known.clear()
@@ -381,5 +409,4 @@ def extract(pages: DataFrame) -> DataFrame:
                     texts.append(main_text(page or "", known[h]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    schema = ", ".join(f"{c} {t}" for c, t in pages.select("page_id", "url").dtypes) + ", text string"
-    return joined.select("page_id", "url", "host", "pages", "wrapper", "html").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

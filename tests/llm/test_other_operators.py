@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -85,6 +86,24 @@ def test_host_texts_of_copies_and_other_pages(spark):
     assert all(got[k] == f"text {max(0, k - 20)}" for k in range(24)) and all(got[100 + k] == "all pages say so text 0" for k in range(24))
 
 
+def test_main_text_keeps_what_the_wrapper_does_not_place():
+    pages = ["<section>s1</section><div><table>T1</table></div>", "<div><table>T3 article text</table></div>", "<div><p>p2</p></div><section>s2</section><div><ul>q2</ul></div>"]
+    want = dict(zip(pages, ["s1 T1", "T3 article text", "p2 s2 q2"], strict=True))
+    for order in itertools.permutations(pages):
+        assert _page(*order) == [want[p] for p in order]
+
+
+@pytest.mark.parametrize("name,kept", [("social-impact", True), ("share-price", True), ("ad-box", False), ("comment-list", False), ("share", False), ("newsletter signup-form", False), ("post-body", True), ("related-posts", False)])
+def test_main_text_tells_asides_by_whole_names(name, kept):
+    assert _page(f"<article><p>a</p><div class='{name}'>b</div></article>") == ["a b" if kept else "a"]
+
+
+def test_extract_joins_large_tables_of_wrappers(spark):
+    rows = [(i, f"http://h{i % 3}/", f"<body><nav>n</nav><article><p>t{i}</p></article></body>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in html_main.extract(pages, shared_bytes=0).collect()} == {i: f"t{i}" for i in range(20)}
+
+
 def test_extract_over_hosts(spark):
     rows = [(i, f"http://h{i % 3}.example.com/{i}", FRAME.format(f"<article><h1>t{i}</h1>" + "".join(f"<p>w{i} {j}</p>" for j in range(i % 4)) + "</article>"), "x") for i in range(30)]
     rows += [(100, None, None, "x"), (101, "nonsense", "", "x"), (101, "nonsense", "", "x")]
@@ -97,6 +116,24 @@ def test_extract_over_hosts(spark):
     assert html_main.extract(pages.limit(0)).count() == 0
 
 
+def test_embedding_recall_on_the_embeddings_table(spark):
+    """Every row and a copy turned by an angle whose cosine is 0.9 to 0.97, against all pairs."""
+    own = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()], np.float64)
+    rng = np.random.default_rng(4)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    aside = rng.standard_normal(own.shape)
+    aside -= (aside * own).sum(axis=1, keepdims=True) * own
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.97, (len(own), 1))
+    x = np.concatenate([own, cosine * own + np.sqrt(1 - cosine**2) * aside]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = np.array([r.n_links for r in embed_dedup.near_duplicates(table).orderBy("vec_id").collect()])
+    assert (got <= true).all() and got.sum() >= 0.9 * true.sum() > 0
+
+
 def _vectors(n=400, dim=24, seed=2):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, dim))
