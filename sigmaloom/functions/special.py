@@ -157,6 +157,14 @@ def _udf(function):
     return lambda *columns: run(*[c if not isinstance(c, (int, float)) else F.lit(float(c)) for c in columns])
 
 
+def log_normal_cdf(z: float) -> float:
+    """Logarithm of the normal distribution function; far below by its asymptotic series, so it never is minus infinity."""
+    if z > -30:
+        return math.log(normal_cdf(z)) if z < 0 else math.log1p(-normal_cdf(-z))
+    return -z * z / 2 - math.log(-z) - 0.5 * math.log(2 * math.pi) + math.log1p(-1 / z**2 + 3 / z**4)
+
+
+log_normal_cdf_col = _udf(log_normal_cdf)
 normal_cdf_col, normal_quantile_col = _udf(normal_cdf), _udf(normal_quantile)
 t_cdf_col, t_quantile_col, f_right_col = _udf(t_cdf), _udf(t_quantile), _udf(f_right)
 chi2_right_col, chi2_quantile_col = _udf(chi2_right), _udf(chi2_quantile)

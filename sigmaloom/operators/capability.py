@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import beta_quantile_col, chi2_quantile_col, normal_cdf_col, normal_quantile, normal_quantile_col
+from ..plans.ordered import quantiles
 from .spc import d2, within_sigma
 
 
@@ -67,14 +73,8 @@ def batch_capability(df: DataFrame, value: str, batch: str, lsl: float, usl: flo
 
 def nonparametric(df: DataFrame, value: str, lsl: float, usl: float, by: list[str] | None = None) -> DataFrame:
     """Cnp, Cnpl, Cnpu, Cnpk from the 0.135, 50 and 99.865 percentiles by the p(n+1) rule, of 10 values or more."""
-    def at(p: float) -> Column:
-        place = F.least(F.greatest(p * (F.col("n") + 1), F.lit(1.0)), F.col("n").cast("double"))
-        k = F.floor(place).cast("int")
-        low, high = F.element_at("v", k), F.element_at("v", F.least(k + 1, F.col("n").cast("int")))
-        return low + (place - k) * (high - low)
-
-    v = df.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(value)).alias("v")).where("n >= 10")
-    q = v.select(*(by or []), "n", at(0.00135).alias("low"), at(0.5).alias("median"), at(0.99865).alias("high"))
+    places = {"low": 0.00135, "median": 0.5, "high": 0.99865}
+    q = quantiles(df, value, by, places, rule="n+1").withColumnRenamed("_n", "n").where("n >= 10")
     lower, upper = (F.col("median") - lsl) / (F.col("median") - F.col("low")), (usl - F.col("median")) / (F.col("high") - F.col("median"))
     return q.select("*", ((usl - lsl) / (F.col("high") - F.col("low"))).alias("cnp"), lower.alias("cnpl"), upper.alias("cnpu"), F.least(lower, upper).alias("cnpk"))
 
@@ -84,14 +84,24 @@ def box_cox(df: DataFrame, value: str, lambdas: tuple[float, float, float] = (-5
     low, high, step = lambdas
     grid = [round(low + i * step, 10) for i in range(round((high - low) / step) + 1)]
     rows = df.where(F.col(value) > 0).select(F.log(F.col(value).cast("double")).alias("l"))
-    g = F.avg("l")
+    centre = rows.agg(F.avg("l").alias("g")).first().g
+    powers = np.array(grid)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, ss = 0, np.zeros(len(powers)), np.zeros(len(powers))
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                off, c = part["l"].to_numpy()[:, None] - centre, part["c"].to_numpy(float)
+                zero = powers == 0
+                w = math.exp(centre) * np.where(zero, off, np.expm1(powers * off) / np.where(zero, 1.0, powers))
+                n, s, ss = n + c.sum(), s + c @ w, ss + c @ (w * w)
+        if n:
+            yield pd.DataFrame({"power": powers, "n": n, "s": s, "ss": ss})
+
     counts = rows.groupBy("l").agg(F.count("*").alias("c"))
-    centre = rows.agg(g.alias("g"), F.count("*").alias("n"))
-    k = F.explode(F.array(*[F.lit(x) for x in grid])).alias("power")
-    r = counts.crossJoin(F.broadcast(centre)).select("l", "c", "g", "n", k)
-    lam = F.col("power")
-    w = F.when(lam == 0, F.exp(F.col("g")) * (F.col("l") - F.col("g"))).otherwise((F.exp(lam * (F.col("l") - F.col("g"))) - 1) / lam * F.exp(F.col("g")))
-    s = r.withColumn("w", w).groupBy("power").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("w")).alias("s"), F.sum(F.col("c") * F.col("w") ** 2).alias("ss"))
+    parts = counts.mapInPandas(sums, "power double, n double, s double, ss double")  # a row a power and partition
+    s = parts.groupBy("power").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     return s.select("power", F.sqrt((F.col("ss") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)).alias("stdev"))
 
 

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import quantiles, running, with_levels
 
-def _quantile(column: str, p: float) -> Column:
-    return F.percentile(F.col(column), F.lit(p))
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def descriptive(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -17,14 +17,19 @@ def descriptive(df: DataFrame, column: str, by: list[str] | None = None) -> Data
     x, n = F.col(column), F.count(column)
     n_ = n.cast("double")
     g1, g2 = F.skewness(x), F.kurtosis(x)
-    return df.groupBy(*(by or [])).agg(
+    s = df.groupBy(*(by or [])).agg(
         n.alias("n"), F.count_if(x.isNull()).alias("n_missing"), F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(n_)).alias("se_mean"),
         F.stddev_samp(x).alias("stdev"), F.stddev_pop(x).alias("stdev_pop"), F.var_samp(x).alias("variance"), F.min(x).alias("minimum"),
-        _quantile(column, 0.25).alias("q1"), _quantile(column, 0.5).alias("median"), _quantile(column, 0.75).alias("q3"), F.max(x).alias("maximum"),
-        (_quantile(column, 0.75) - _quantile(column, 0.25)).alias("iqr"), (F.max(x) - F.min(x)).alias("range"), F.sum(x).alias("sum"),
+        F.max(x).alias("maximum"), (F.max(x) - F.min(x)).alias("range"), F.sum(x).alias("sum"),
         F.when(n > 2, g1 * F.sqrt(n_ * (n_ - 1)) / (n_ - 2)).alias("skewness"),
         F.when(n > 3, (n_ - 1) / ((n_ - 2) * (n_ - 3)) * ((n_ + 1) * g2 + 6)).alias("kurtosis"),
     )
+    q = quantiles(df, column, by, QUARTILES).withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = q.select(*[F.col(c).alias(f"_by_{c}") for c in by or []], "q1", "median", "q3", "iqr")
+    same = F.lit(True)
+    for c in by or []:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return s.join(q, same, "left").drop(*[f"_by_{c}" for c in by or []])  # a level without values has no quartiles
 
 
 def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
@@ -53,10 +58,10 @@ def histogram_edges(df: DataFrame, column: str, edges: list[float]) -> DataFrame
 
 def box_plot(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Quartiles, whiskers inside 1.5 interquartile ranges and the number of outliers, by level."""
-    q = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), *[_quantile(column, p).alias(a) for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    q = quantiles(df, column, by, QUARTILES).withColumnRenamed("_n", "n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(column) >= F.col("q1") - reach) & (F.col(column) <= F.col("q3") + reach)
-    rows = df.join(q, by)
+    rows = with_levels(df.where(F.col(column).isNotNull()), q, by)
     return rows.groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(column))).alias("whisker_low"), F.max(F.when(inside, F.col(column))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers")
     )
@@ -65,8 +70,8 @@ def box_plot(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """A step at each distinct value; counts are summed over distinct values, not over rows."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
-    upto, all_ = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return counts.select("x", (F.sum("c").over(upto) / F.sum("c").over(all_)).alias("probability"))
+    total = counts.agg(F.sum("c").alias("n"))
+    return running(counts, [], ["x"], {"u": F.col("c")}).crossJoin(F.broadcast(total)).select("x", (F.col("u") / F.col("n")).alias("probability"))
 
 
 def bar_counts(df: DataFrame, category: str, order: str, weight: str | None = None) -> DataFrame:
@@ -106,10 +111,11 @@ def kde(df: DataFrame, column: str, grid: int = 64, bandwidth: float | None = No
     """
     x = F.col(column).cast("double")
     rows = df.where(x.isNotNull()).select(x.alias("x"))
-    s = rows.agg(F.count("*").alias("n"), F.stddev_samp("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"), F.approx_count_distinct("x").alias("d")).first()
+    s = rows.agg(F.count("*").alias("n"), F.stddev_samp("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.approx_count_distinct("x").alias("d")).first()
     if not s.n or s.n < 2:
         return df.sparkSession.createDataFrame([], "x double, density double")
-    h = bandwidth or 0.9 * min(v for v in (s.s, s.iqr / 1.34) if v > 0) * s.n**-0.2 if (s.s or 0) > 0 else 1.0
+    q = quantiles(rows, "x", [], QUARTILES).first()
+    h = bandwidth or 0.9 * min(v for v in (s.s, (q.q3 - q.q1) / 1.34) if v > 0) * s.n**-0.2 if (s.s or 0) > 0 else 1.0
     place = F.col("x") if s.d <= bins / 2 else F.lit(s.lo) + (F.floor((F.col("x") - s.lo) / (s.hi - s.lo) * bins) + 0.5) * ((s.hi - s.lo) / bins)
     places = rows.groupBy(place.alias("v")).agg(F.count("*").alias("c"))
     step = (s.hi - s.lo + 6 * h) / (grid - 1)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import beta_quantile_col, binomial_cdf_col, chi2_quantile_col, chi2_right_col, f_right_col, normal_cdf_col, normal_quantile, t_cdf_col, t_quantile_col
+from ..functions.special import beta_quantile_col, binomial_cdf_col, chi2_quantile_col, chi2_right_col, f_right_col, log_normal_cdf_col, normal_cdf_col, normal_quantile, t_cdf_col, t_quantile_col
+from ..plans.ordered import quantiles, running, with_levels
 
 
 def two_sided(cdf: Column) -> Column:
@@ -219,8 +223,8 @@ def two_variances(df: DataFrame, value: str, group: str, first, second) -> DataF
 def levene(df: DataFrame, value: str, group: str, centre: str = "median") -> DataFrame:
     """ANOVA of absolute deviations from the level's median (Brown-Forsythe) or mean."""
     rows = df.where(F.col(value).isNotNull())
-    mid = F.percentile(value, F.lit(0.5)) if centre == "median" else F.avg(value)
-    off = rows.join(rows.groupBy(group).agg(mid.alias("_mid")), group).withColumn("_off", F.abs(F.col(value) - F.col("_mid")))
+    mid = quantiles(rows, value, [group], {"_mid": 0.5}).drop("_n") if centre == "median" else rows.groupBy(group).agg(F.avg(value).alias("_mid"))
+    off = rows.join(mid, group).withColumn("_off", F.abs(F.col(value) - F.col("_mid")))
     return one_way_anova(off, "_off", group)
 
 
@@ -267,19 +271,23 @@ def dixon(df: DataFrame, value: str) -> DataFrame:
 
 def normal_plot(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     """Values in order with plotting positions (i - 3/8) / (n + 1/4), by series."""
-    w = Window.partitionBy(*by)
-    i = F.row_number().over(w.orderBy(value, order))
-    return df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).alias("x"), ((i - 0.375) / (F.count("*").over(w) + 0.25)).alias("position"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).alias("x"))
+    rows = with_levels(running(rows, by, ["x", order], {"i": F.lit(1)}), rows.groupBy(*by).agg(F.count("*").alias("n")), by)
+    return rows.select(*by, order, "x", ((F.col("i") - 0.375) / (F.col("n") + 0.25)).alias("position"))
 
 
 def anderson_darling(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """A squared against a fitted normal distribution, adjusted, with Stephens' p; by series."""
-    x, w = F.col(value).cast("double"), Window.partitionBy(*by)
-    rows = df.where(x.isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_z", (x - F.avg(x).over(w)) / F.stddev_samp(x).over(w))
-    rows = rows.withColumn("_i", F.row_number().over(w.orderBy("_z"))).withColumn("_p", normal_cdf_col(F.col("_z"))).withColumn("_q", normal_cdf_col(-F.col("_z")))
-    n, i = F.col("_n"), F.col("_i")
-    terms = (2 * i - 1) * F.log("_p") + (2 * (n - i) + 1) * F.log("_q")
-    s = rows.groupBy(*by).agg(F.count("*").alias("n"), (-F.count("*") - F.sum(terms) / F.count("*")).alias("a2"))
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull()).select(*by, x.alias("_x"))
+    level = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_x").alias("_m"), F.stddev_samp("_x").alias("_s"))
+    # equal values come in any order, each place once: they are counted, and a value takes the sum of its places
+    rows = running(rows.groupBy(*by, "_x").agg(F.count("*").alias("_c")), by, ["_x"], {"_u": F.col("_c")})
+    rows = with_levels(rows, level, by).withColumn("_z", (F.col("_x") - F.col("_m")) / F.col("_s"))
+    n, c = F.col("_n"), F.col("_c")
+    places = c * (2 * F.col("_u") - c + 1) / 2
+    terms = (2 * places - c) * log_normal_cdf_col(F.col("_z")) + (2 * (n * c - places) + c) * log_normal_cdf_col(-F.col("_z"))
+    s = rows.groupBy(*by).agg(F.sum("_c").alias("n"), (-F.sum("_c") - F.sum(terms) / F.sum("_c")).alias("a2"))
     a = F.col("a2") * (1 + 0.75 / F.col("n") + 2.25 / F.col("n") ** 2)
     p = F.when(a > 0.6, F.exp(1.2937 - 5.709 * a + 0.0186 * a * a)).when(a > 0.34, F.exp(0.9177 - 4.279 * a - 1.38 * a * a)).when(a > 0.2, 1 - F.exp(-8.318 + 42.796 * a - 59.938 * a * a)).otherwise(1 - F.exp(-13.436 + 101.14 * a - 223.73 * a * a))
     return s.withColumn("a2_adjusted", a).withColumn("p_value", p)
@@ -295,20 +303,8 @@ def normal_tolerance(df: DataFrame, value: str, coverage: float = 0.95, confiden
 
 
 def bootstrap_mean(df: DataFrame, value: str, order: str, replicates: int = 200, confidence: float = 0.95, seed: int = 1) -> DataFrame:
-    """Percentile interval of the mean with Poisson weights: each row draws its weight in each replicate by hash.
-
-    One pass: a row adds to `replicates` sums in an array, so the resamples are never written out.
-    """
-    b = F.posexplode(F.sequence(F.lit(1), F.lit(replicates)))
-    u = F.pmod(F.xxhash64(F.col(order), F.col("r"), F.lit(seed)), F.lit(1 << 53)) / (1 << 53)
-    cuts, p, total = [], math.exp(-1), 0.0
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts[1:]), F.when(u > cuts[0], 1).otherwise(0))
-    rows = df.where(F.col(value).isNotNull()).select(order, value, b.alias("i", "r"))
-    means = rows.groupBy("r").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("m"))
+    """Percentile interval of the mean with Poisson weights: each row draws its weight in each replicate by hash."""
+    means = bootstrap_rows(df, value, order, replicates, seed)
     tail = (1 - confidence) / 2
     return means.agg(F.count("*").alias("replicates"), F.avg("m").alias("mean"), F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
 
@@ -368,15 +364,24 @@ def two_sample_bootstrap(df: DataFrame, value: str, group: str, first, second, o
 
 
 def bootstrap_rows(df: DataFrame, value: str, order: str, replicates: int, seed: int = 1) -> DataFrame:
-    """(r, m): the mean of each replicate."""
-    u = F.pmod(F.xxhash64(F.col(order), F.col("r"), F.lit(seed)), F.lit(1 << 53)) / (1 << 53)
-    weight, p, total = F.lit(0), math.exp(-1), 0.0
-    for k in range(8):
-        total += p
-        weight = weight + F.when(u > total, 1).otherwise(0)
-        p /= k + 1
-    rows = df.where(F.col(value).isNotNull()).select(order, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    return rows.groupBy("r").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("m"))
+    """(r, m): the mean of each replicate. A partition gives one row a replicate, so resamples are never written out."""
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weights = np.zeros(replicates), np.zeros(replicates)
+        each = (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch.iloc[at : at + 2048]
+                h = part["h"].to_numpy().astype(np.uint64)[:, None] ^ each[None, :]
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(cuts, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right").astype(float)
+                total, weights = total + part["x"].to_numpy(float) @ w, weights + w.sum(axis=0)
+        yield pd.DataFrame({"r": np.arange(1, replicates + 1), "s": total, "w": weights})
+
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.col(order)).alias("h"), F.col(value).cast("double").alias("x"))
+    return rows.mapInPandas(sums, "r long, s double, w double").groupBy("r").agg((F.sum("s") / F.sum("w")).alias("m"))
 
 
 def nemenyi(df: DataFrame, treatments: list[str]) -> DataFrame:

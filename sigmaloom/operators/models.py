@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.special import normal_cdf, normal_cdf_col, normal_quantile_col
+from ..functions.special import log_normal_cdf_col, normal_cdf, normal_quantile_col
+from ..plans.ordered import running, with_levels
 from .nonparametric import mann_whitney
 from .regression import complete
 from .reliability import weibull
@@ -132,14 +133,16 @@ def ryan_joiner(df: DataFrame, value: str, order: str, by: list[str]) -> DataFra
 
 def identify_distributions(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     """A squared of normal, lognormal and exponential fits of each series; the last two for positive values alone."""
-    w, x = Window.partitionBy(*by), F.col(value).cast("double")
-    rows = df.where(x.isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value, order))).withColumn("_low", F.min(x).over(w))
+    x = F.col(value).cast("double")
     log = F.when(x > 0, F.log(x))
-    rows = rows.withColumn("_a", (x - F.avg(x).over(w)) / F.stddev_samp(x).over(w)).withColumn("_b", (log - F.avg(log).over(w)) / F.stddev_samp(log).over(w)).withColumn("_m", F.avg(x).over(w))
-    tails = {"normal": (normal_cdf_col(F.col("_a")), normal_cdf_col(-F.col("_a"))), "lognormal": (normal_cdf_col(F.col("_b")), normal_cdf_col(-F.col("_b"))), "exponential": (1 - F.exp(-x / F.col("_m")), F.exp(-x / F.col("_m")))}
+    rows = df.where(x.isNotNull())
+    level = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min(x).alias("_low"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"), F.avg(log).alias("_lm"), F.stddev_samp(log).alias("_ls"))
+    rows = with_levels(running(rows.select(*by, order, value), by, [value, order], {"_i": F.lit(1)}), level, by)
+    rows = rows.withColumn("_a", (x - F.col("_m")) / F.col("_s")).withColumn("_b", (log - F.col("_lm")) / F.col("_ls"))
+    tails = {"normal": (log_normal_cdf_col(F.col("_a")), log_normal_cdf_col(-F.col("_a"))), "lognormal": (log_normal_cdf_col(F.col("_b")), log_normal_cdf_col(-F.col("_b"))), "exponential": (F.log(-F.expm1(-x / F.col("_m"))), -x / F.col("_m"))}
     for name, (p, q) in tails.items():
         rows = rows.withColumn(f"_p_{name}", p).withColumn(f"_q_{name}", q)
-    term = lambda d: (2 * F.col("_i") - 1) * F.log(f"_p_{d}") + (2 * (F.col("_n") - F.col("_i")) + 1) * F.log(f"_q_{d}")
+    term = lambda d: (2 * F.col("_i") - 1) * F.col(f"_p_{d}") + (2 * (F.col("_n") - F.col("_i")) + 1) * F.col(f"_q_{d}")
     s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_low").alias("low"), *[(-F.count("*") - F.sum(term(d)) / F.count("*")).alias(d) for d in tails])
     pairs = F.array(*[F.struct(F.lit(d).alias("distribution"), F.when((F.col("low") > 0) | F.lit(d == "normal"), F.col(d)).alias("a2")) for d in tails])
     return s.select(*by, "n", F.explode(pairs).alias("p")).select(*by, "n", "p.distribution", "p.a2")
@@ -175,7 +178,7 @@ def median_interval(df: DataFrame, value: str, confidence: float = 0.95) -> Data
     k, reached = median_interval_ranks(n, confidence) if n > 1 else (1, 0.0)
     k = max(k, 1)
     counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("u", F.sum("c").over(Window.partitionBy().orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = running(counts, [], ["v"], {"u": F.col("c")})
     return upto.agg(F.lit(n).cast("long").alias("n"), F.min(F.when(F.col("u") >= k, F.col("v"))).alias("low"), F.min(F.when(F.col("u") >= n - k + 1, F.col("v"))).alias("high"), F.lit(float(reached)).alias("confidence"))
 
 

@@ -8,6 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import quantiles
 from .rows import mid_ranks
 
 
@@ -43,7 +44,7 @@ def sign_test(df: DataFrame, value: Column, median: float) -> DataFrame:
 def mood_median(df: DataFrame, value: str, group: str) -> DataFrame:
     """Chi-square of counts not above and above the overall median, by level."""
     rows = df.where(F.col(value).isNotNull())
-    mid = rows.agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    mid = quantiles(rows, value, [], {"median": 0.5}).drop("_n")
     c = rows.crossJoin(F.broadcast(mid)).groupBy(group, "median").agg(F.count_if(F.col(value) <= F.col("median")).alias("low"), F.count_if(F.col(value) > F.col("median")).alias("high"))
     t = c.agg(F.sum("low").alias("tl"), F.sum("high").alias("th"))
     r = c.crossJoin(F.broadcast(t)).withColumn("n", F.col("low") + F.col("high"))

@@ -1,12 +1,14 @@
-"""Survival: risk sets come from counts of distinct times, summed by one window over these."""
+"""Survival: risk sets come from counts of distinct times, summed over parts of the time axis."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import running
+
 
 def event_flag(cell: Column) -> Column:
     """True, false, or null for what is neither, of an event column's usual encodings."""
@@ -19,18 +21,16 @@ def risk_table(df: DataFrame, time: str, event: Column, by: list[str] | None = N
     by = by or []
     rows = df.where(F.col(time).isNotNull()).select(*by, F.col(time).cast("double").alias("time"), event.alias("e")).where(F.col("e").isNotNull())
     c = rows.groupBy(*by, "time").agg(F.count_if("e").alias("events"), F.count_if(~F.col("e")).alias("censored"))
-    ahead = Window.partitionBy(*by).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("at_risk", F.sum(F.col("events") + F.col("censored")).over(ahead))
+    return running(c, by, [F.desc("time")], {"at_risk": F.col("events") + F.col("censored")})
 
 
 def kaplan_meier(df: DataFrame, time: str, event: Column, by: list[str] | None = None, z: float = 1.959963984540054) -> DataFrame:
     """Survival with Greenwood's error and log-log limits, by level."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     t = risk_table(df, time, event, by)
     d, n = F.col("events").cast("double"), F.col("at_risk").cast("double")
-    t = t.withColumn("_l", F.sum(F.when(d < n, F.log(1 - d / n)).otherwise(0.0)).over(w)).withColumn("_dead", F.max((d == n).cast("int")).over(w))
-    t = t.withColumn("survival", F.when(F.col("_dead") == 1, 0.0).otherwise(F.exp("_l"))).withColumn("_g", F.sum(F.when(d < n, d / (n * (n - d))).otherwise(0.0)).over(w))
+    t = running(t, by, ["time"], {"_l": F.when(d < n, F.log(1 - d / n)).otherwise(0.0), "_dead": (d == n).cast("int"), "_g": F.when(d < n, d / (n * (n - d))).otherwise(0.0)})
+    t = t.withColumn("survival", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_l")))
     s = F.col("survival")
     inner = (s > 0) & (s < 1)
     width = F.exp(z * F.sqrt("_g") / F.abs(F.log(F.when(inner, s))))
@@ -41,8 +41,7 @@ def log_rank(df: DataFrame, time: str, event: Column, group: str, first, second)
     """Observed and expected events of the first of two groups, variance and chi-square."""
     t = risk_table(df.where(F.col(group).isin(first, second)).withColumn("_g", (F.col(group) == first).cast("int")), time, event, ["_g"])
     c = t.groupBy("time").agg(*[F.sum(F.when(F.col("_g") == g, F.col(k)).otherwise(0)).alias(f"{k[0]}{g}") for g in (1, 0) for k in ("events", "censored")])
-    ahead = Window.partitionBy().orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("n1", F.sum(F.col("e1") + F.col("c1")).over(ahead)).withColumn("n0", F.sum(F.col("e0") + F.col("c0")).over(ahead))
+    c = running(c, [], [F.desc("time")], {"n1": F.col("e1") + F.col("c1"), "n0": F.col("e0") + F.col("c0")})
     n, d = (F.col("n1") + F.col("n0")).cast("double"), (F.col("e1") + F.col("e0")).cast("double")
     var = F.when(n > 1, F.col("n1") * F.col("n0") * d * (n - d) / (n * n * (n - 1))).otherwise(0.0)
     s = c.agg(F.sum("e1").alias("observed"), F.sum(d * F.col("n1") / n).alias("expected"), F.sum(var).alias("variance"))
@@ -88,13 +87,11 @@ def cumulative_incidence(df: DataFrame, time: str, mode: Column) -> DataFrame:
     rows = df.where(F.col(time).isNotNull()).select(F.col(time).cast("double").alias("time"), mode.cast("string").alias("mode"))
     c = rows.groupBy("time", "mode").agg(F.count("*").alias("c"))
     t = c.groupBy("time").agg(F.sum("c").alias("all"), F.sum(F.when(F.col("mode").isNotNull(), F.col("c")).otherwise(0)).alias("d"))
-    ahead = Window.partitionBy().orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy().orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("n", F.sum("all").over(ahead))
-    t = t.withColumn("s", F.coalesce(F.exp(F.sum(F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n"))).otherwise(-800.0)).over(before)), F.lit(1.0)))
+    t = running(t, [], [F.desc("time")], {"n": F.col("all")})
+    own = F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n"))).otherwise(-800.0)
+    t = running(t, [], ["time"], {"l": own}).withColumn("s", F.exp(F.col("l") - own))
     steps = c.where("mode is not null").join(t, "time").withColumn("step", F.col("s") * F.col("c") / F.col("n"))
-    upto = Window.partitionBy("mode").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("mode", "time", F.col("c").alias("events"), F.col("n").alias("at_risk"), F.sum("step").over(upto).alias("incidence"))
+    return running(steps, ["mode"], ["time"], {"incidence": F.col("step")}).select("mode", "time", F.col("c").alias("events"), F.col("n").alias("at_risk"), "incidence")
 
 
 def warranty(df: DataFrame, time: str, event: Column, months: float, strata: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import running
+
 #: Cells that mean missing, in upper case.
 MISSING = ("", "*", "NA", "N/A", "NAN", "NULL")
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|0[xX][0-9a-fA-F]+)$"
@@ -128,11 +130,8 @@ def stack(df: DataFrame, ids: list[str], columns: list[str], name: str = "factor
 
 
 def mid_ranks(df: DataFrame, column: str, by: list[str] | None = None, alias: str = "mid_rank") -> DataFrame:
-    """df with average ranks of a column within by, through counts of its distinct values (no window over rows)."""
-    from pyspark.sql import Window
-
+    """df with average ranks of a column within by, through counts of its distinct values."""
     by = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(alias, F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
+    ranks = running(counts, by, [column], {"_u": F.col("_c")}).withColumn(alias, F.col("_u") - (F.col("_c") - 1) / 2).drop("_c", "_u")
     return df.join(ranks, [*by, column])

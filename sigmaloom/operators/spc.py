@@ -14,7 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import blocked
+from ..plans.ordered import blocked, quantiles, with_levels
 
 #: Mean and standard deviation of the relative range for 2 to 25 values.
 D2 = (1.128, 1.693, 2.059, 2.326, 2.534, 2.704, 2.847, 2.970, 3.078, 3.173, 3.258, 3.336, 3.407, 3.472, 3.532, 3.588, 3.640, 3.689, 3.735, 3.778, 3.819, 3.858, 3.895, 3.931)
@@ -107,8 +107,9 @@ def individuals(df: DataFrame, value: str, order: str, by: list[str] | None = No
     full = F.count("value").over(frame) == length
     held = held.withColumn("moving_range", F.when(full, F.max("value").over(frame) - F.min("value").over(frame)))
     home = held.where("_home")
-    spread = F.avg("moving_range") / d2(length) if sigma_method == "average" else F.percentile("moving_range", F.lit(0.5)) / (0.954 if length == 2 else d2(length))
-    limits = home.groupBy(*by).agg(F.avg("value").alias("centre"), F.avg("moving_range").alias("mr_centre"), spread.alias("sigma"))
+    limits = home.groupBy(*by).agg(F.avg("value").alias("centre"), F.avg("moving_range").alias("mr_centre"), (F.avg("moving_range") / d2(length)).alias("sigma"))
+    if sigma_method != "average":
+        limits = with_levels(limits, quantiles(home, "moving_range", by, {"_m": 0.5}), by).withColumn("sigma", F.col("_m") / (0.954 if length == 2 else d2(length))).drop("_m", "_n")
     limits = limits.withColumn("lower", F.col("centre") - 3 * F.col("sigma")).withColumn("upper", F.col("centre") + 3 * F.col("sigma"))
     limits = limits.withColumn("mr_lower", range_factors(length)[1] * F.col("mr_centre")).withColumn("mr_upper", range_factors(length)[2] * F.col("mr_centre"))
     points = held.join(limits, by) if by else held.crossJoin(F.broadcast(limits))  # one row of limits
@@ -266,9 +267,9 @@ def g_chart(df: DataFrame, interval: str) -> DataFrame:
 def runs(df: DataFrame, value: str, order: str, by: list[str], about: str = "median") -> DataFrame:
     """Runs above and not above the median or mean: their number, what chance expects, and the normal statistic."""
     window = Window.partitionBy(*by).orderBy(order)
-    mid = F.percentile(value, F.lit(0.5)) if about == "median" else F.avg(value)
     rows = df.where(F.col(value).isNotNull())
-    rows = rows.join(rows.groupBy(*by).agg(mid.alias("_mid")), by).withColumn("_up", F.col(value) > F.col("_mid"))
+    mid = quantiles(rows, value, by, {"_mid": 0.5}).drop("_n") if about == "median" else rows.groupBy(*by).agg(F.avg(value).alias("_mid"))
+    rows = with_levels(rows, mid, by).withColumn("_up", F.col(value) > F.col("_mid"))
     rows = rows.withColumn("_new", F.coalesce(F.col("_up") != F.lag("_up").over(window), F.lit(True)))
     s = rows.groupBy(*by).agg(F.count_if("_new").alias("runs"), F.count_if("_up").alias("above"), F.count_if(~F.col("_up")).alias("below"), F.first("_mid").alias("criterion"))
     a, b = F.col("above").cast("double"), F.col("below").cast("double")

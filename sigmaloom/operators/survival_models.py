@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_right, normal_cdf, normal_cdf_col, normal_quantile
+from ..plans.ordered import running
 from .reliability import risk_table, weibull
 
 
@@ -16,7 +17,7 @@ def cox(df: DataFrame, time: str, event: Column, covariates: list[str], confiden
     """Cox regression with Breslow's ties by Newton steps.
 
     A step sums exp(xb), x exp(xb) and xx exp(xb) by distinct time in one grouping, then from the last time
-    back in one window over distinct times: risk sets never hold rows.
+    back over parts of the time axis: risk sets never hold rows.
     """
     p = len(covariates)
     rows = df.where(F.col(time).isNotNull()).select(F.col(time).cast("double").alias("t"), event.alias("e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)]).where("e is not null")
@@ -24,14 +25,13 @@ def cox(df: DataFrame, time: str, event: Column, covariates: list[str], confiden
     means = rows.agg(*[F.avg(f"x{i}") for i in range(p)]).first()
     rows = rows.withColumns({f"x{i}": F.col(f"x{i}") - float(means[i]) for i in range(p)})
     beta, pairs = np.zeros(p), [(i, j) for i in range(p) for j in range(i, p)]
-    ahead = Window.partitionBy().orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     like = 0.0
     for _ in range(rounds):
         eta = sum((float(b) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
         w = F.exp(eta)
         sums = {"s": w, **{f"s{i}": w * F.col(f"x{i}") for i in range(p)}, **{f"q{i}_{j}": w * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs}}
         at = rows.groupBy("t").agg(*[F.sum(c).alias(k) for k, c in sums.items()], F.count_if("e").alias("d"), F.sum(F.when(F.col("e"), eta).otherwise(0.0)).alias("de"), *[F.sum(F.when(F.col("e"), F.col(f"x{i}")).otherwise(0.0)).alias(f"d{i}") for i in range(p)])
-        risk = at.select("d", "de", *[f"d{i}" for i in range(p)], *[F.sum(k).over(ahead).alias(k) for k in sums]).where("d > 0")
+        risk = running(at, [], [F.desc("t")], {f"r_{k}": F.col(k) for k in sums}).select("d", "de", *[f"d{i}" for i in range(p)], *[F.col(f"r_{k}").alias(k) for k in sums]).where("d > 0")
         m = lambda i: F.col(f"s{i}") / F.col("s")
         out = risk.agg(
             F.sum(F.col("de") - F.col("d") * F.log("s")), *[F.sum(F.col(f"d{i}") - F.col("d") * m(i)) for i in range(p)],
@@ -54,13 +54,12 @@ def cox(df: DataFrame, time: str, event: Column, covariates: list[str], confiden
 
 
 def log_rank_groups(df: DataFrame, time: str, event: Column, group: str) -> DataFrame:
-    """Observed and expected events of every group, by one window over distinct times of each group."""
+    """Observed and expected events of every group, from the risk sets at every distinct time of any group."""
     t = risk_table(df.where(F.col(group).isNotNull()), time, event, [group])
     groups = t.select(group).distinct()
     total = risk_table(df.where(F.col(group).isNotNull()), time, event).select("time", F.col("events").alias("d"), F.col("at_risk").alias("n"))
     grid = total.crossJoin(F.broadcast(groups)).join(t, ["time", group], "left")  # distinct times x groups
-    here = Window.partitionBy(group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("own", F.sum(F.coalesce(F.col("events") + F.col("censored"), F.lit(0))).over(here))
+    grid = running(grid, [group], [F.desc("time")], {"own": F.coalesce(F.col("events") + F.col("censored"), F.lit(0))})
     return grid.groupBy(group).agg(F.sum(F.coalesce("events", F.lit(0))).alias("observed"), F.sum(F.col("d") * F.col("own") / F.col("n")).alias("expected"))
 
 

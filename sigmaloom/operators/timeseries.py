@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import quantiles
+
 
 def acf(df: DataFrame, value: str, order: str, by: list[str], lags: int = 20) -> DataFrame:
     """Autocorrelations with the fixed band, a row a series and lag, in one pass over the ordered rows."""
@@ -129,7 +131,7 @@ def decompose(df: DataFrame, value: str, order: str, by: list[str], period: int)
     """Additive seasonal indices: medians of value - centred mean by phase, less their median; a row a series and phase."""
     w = Window.partitionBy(*by).orderBy(order)
     rows = moving_average(df, value, order, by, period).withColumn("phase", (F.row_number().over(w) - 1) % period)
-    raw = rows.where("centred is not null").groupBy(*by, "phase").agg(F.percentile(F.col(value) - F.col("centred"), F.lit(0.5)).alias("raw"))
+    raw = quantiles(rows.where("centred is not null"), F.col(value) - F.col("centred"), [*by, "phase"], {"raw": 0.5}).drop("_n")
     mid = raw.groupBy(*by).agg(F.percentile("raw", F.lit(0.5)).alias("_mid"))
     joined = raw.join(mid, by) if by else raw.crossJoin(mid)
     return joined.select(*by, "phase", (F.col("raw") - F.col("_mid")).alias("seasonal_index"))

@@ -32,16 +32,74 @@ def ranked(df: DataFrame, order: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.col("_at") - F.col("_part") * (1 << 33) + 1).drop("_part", "_start", "_at")
 
 
-def blocked(df: DataFrame, order: str, before: int, after: int, rows: int = 100_000, by: list[str] | None = None) -> tuple[DataFrame, Window]:
+def running(df: DataFrame, by: list[str], order: list, sums: dict) -> DataFrame:
+    """df with running sums, each row's own value included, of columns in an order within by, for series of any length.
+
+    order: columns that tell the rows of a series apart. The rows are range-partitioned by series and order and
+    written once; a window then spans the rows of one part of a series, and what is before the part comes from
+    sums of the parts. sums: from a new column's name to the column that is summed.
+    """
+    spark = df.sparkSession
+    path = _scratch(spark)
+    keys = [*map(F.col, by), *(F.col(o) if isinstance(o, str) else o for o in order)]
+    names = list(sums)
+    dealt = df.withColumns({f"_v_{n}": c for n, c in sums.items()}).repartitionByRange(*keys)
+    dealt.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    inside = Window.partitionBy("_part", *by).orderBy(*keys[len(by) :]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in names})
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = spark.read.parquet(path).groupBy(*by, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])  # a row a part of a series
+    parts = parts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b_{c}") for c in by], *[F.sum(f"_t_{n}").over(before).alias(f"_a_{n}") for n in names])
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    out = rows.join(parts, same, "left").withColumns({n: F.col(n) + F.coalesce(F.col(f"_a_{n}"), F.lit(0)) for n in names})
+    return out.select(*[c for c in df.columns if c not in sums], *names)
+
+
+def with_levels(df: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
+    """df joined with a row of levels for each level of by (null is a level); without by, levels has one row."""
+    if not by:
+        return df.crossJoin(F.broadcast(levels))
+    same = F.lit(True)
+    for c in by:
+        same = same & df[c].eqNullSafe(levels[c])
+    return df.join(levels, same).select(*[df[c] for c in df.columns], *[levels[c] for c in levels.columns if c not in by])
+
+
+def quantiles(df: DataFrame, column, by: list[str] | None, places: dict[str, float], rule: str = "n-1") -> DataFrame:
+    """Exact quantiles by level, linear at p(n-1), or at p(n+1) kept within the ends (rule n+1), from counts of distinct values.
+
+    A row of (by, _n, quantiles); levels without values have none. No task holds the values of a level.
+    """
+    by = by or []
+    x = F.col(column) if isinstance(column, str) else column
+    counts = df.where(x.isNotNull()).groupBy(*by, x.cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    upto = running(counts, by, ["_x"], {"_u": F.col("_c")})
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    n, picks, out = F.col("_n"), [], []
+    for k, p in enumerate(places.values()):
+        place = p * (n - 1) if rule == "n-1" else F.least(F.greatest(p * (n + 1), F.lit(1.0)), n.cast("double")) - 1
+        low = F.floor(place)
+        picks += [F.min(F.when(F.col("_u") > low, F.col("_x"))).alias(f"_l{k}"), F.min(F.when(F.col("_u") > F.least(low + 1, n - 1), F.col("_x"))).alias(f"_h{k}"), F.max(place - low).alias(f"_f{k}")]
+    for k, name in enumerate(places):
+        out.append((F.col(f"_l{k}") + F.col(f"_f{k}") * (F.col(f"_h{k}") - F.col(f"_l{k}"))).alias(name))
+    return with_levels(upto, sizes, by).groupBy(*by, "_n").agg(*picks).select(*by, "_n", *out)
+
+
+def blocked(df: DataFrame, order: str, before: int, after: int, rows: int | None = None, by: list[str] | None = None) -> tuple[DataFrame, Window]:
     """(rows with _home, window) for frames that reach at most `before` rows back and `after` rows ahead.
 
-    With by, each series is its own window partition and every row is at home. Without, the series is cut
-    into blocks by rank; a block also holds its neighbours' rows within reach, as guests (_home false), which
-    give correct frames to the rows at home and are dropped by the caller.
+    Every series is cut into blocks by rank; a block also holds its neighbours' rows within reach, as guests
+    (_home false), which give correct frames to the rows at home and are dropped by the caller. Blocks have
+    `rows` rows; by default the table is dealt to a few blocks a core, of 2,000 to 100,000 rows.
     """
-    if by:
-        return df.withColumn("_home", F.lit(True)), Window.partitionBy(*by).orderBy(order)
+    by = by or []
+    held = running(df, by, [order], {"rank": F.lit(1)}) if by else ranked(df, order)
+    if rows is None:
+        rows = max(2_000, before, after, min(100_000, held.count() // (3 * df.sparkSession.sparkContext.defaultParallelism) + 1))
     block = F.floor((F.col("rank") - 1) / rows)
     first, last = F.floor((F.col("rank") - 1 - after) / rows), F.floor((F.col("rank") - 1 + before) / rows)
-    held = ranked(df, order).withColumn("_own", block).withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    return held.withColumn("_home", F.col("_block") == F.col("_own")), Window.partitionBy("_block").orderBy("rank")
+    held = held.withColumn("_own", block).withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return held.withColumn("_home", F.col("_block") == F.col("_own")), Window.partitionBy(*by, "_block").orderBy("rank")
