@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.special import log_normal_cdf_col, normal_cdf, normal_quantile_col
-from ..plans.ordered import running, with_levels
+from ..plans.ordered import folded, forgotten_after, running, with_levels
 from .nonparametric import mann_whitney
 from .regression import complete
 from .reliability import weibull
@@ -184,19 +184,21 @@ def median_interval(df: DataFrame, value: str, confidence: float = 0.95) -> Data
 
 def rolling_origin(df: DataFrame, value: str, order: str, by: list[str], alpha: float = 0.2, start: int = 10, horizon: int = 1) -> DataFrame:
     """Errors of single smoothing forecasts from every origin on, by series: MAD, MSD and the scaled MASE."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values(order)[value].to_numpy(float)
-        level, errors = y[0], []
-        for t, v in enumerate(y):
-            level = v if t == 0 else alpha * v + (1 - alpha) * level
-            if t + 1 >= start and t + horizon < len(y):
-                errors.append(y[t + horizon] - level)
-        e, naive = np.array(errors), np.abs(np.diff(y)).mean() if len(y) > 1 else np.nan
-        one = {**{c: rows[c].iloc[0] for c in by}, "origins": len(e), "mad": np.abs(e).mean() if len(e) else np.nan, "msd": (e**2).mean() if len(e) else np.nan}
-        return pd.DataFrame([{**one, "mase": one["mad"] / naive if naive else np.nan}])
-
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes) + ", origins long, mad double, msd double, mase double"
-    return df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(run, schema)
+    from .timeseries import smoothed_levels
+
+    def run(x: np.ndarray, at: int) -> dict:
+        y, n = x[:, 0], len(x)
+        error, step = np.full(n, np.nan), np.full(n, np.nan)
+        if n > horizon:
+            error[: n - horizon] = np.where(np.arange(at + 1, at + n + 1 - horizon) >= start, y[horizon:] - smoothed_levels(y, alpha)[: n - horizon], np.nan)
+        step[:-1] = np.abs(np.diff(y))
+        return {"e": error, "step": step}
+
+    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("_y"))
+    made = folded(rows, order, by, ["_y"], run, "e double, step double", forgotten_after(1 - alpha), after=max(1, horizon))
+    e, step = F.nanvl("e", F.lit(None).cast("double")), F.nanvl("step", F.lit(None).cast("double"))
+    s = made.groupBy(*by).agg(F.count(e).alias("origins"), F.avg(F.abs(e)).alias("mad"), F.avg(e * e).alias("msd"), F.avg(step).alias("_naive"))
+    return s.withColumn("mase", F.when(F.col("_naive") > 0, F.col("mad") / F.col("_naive"))).drop("_naive")
 
 
 def ordinal_logistic(df: DataFrame, label: str, levels: list, predictors: list[str], rounds: int = 40) -> DataFrame:

@@ -11,10 +11,11 @@ import math
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import blocked, quantiles, with_levels
+from ..plans.ordered import blocked, folded, forgotten_after, quantiles, with_levels
 
 #: Mean and standard deviation of the relative range for 2 to 25 values.
 D2 = (1.128, 1.693, 2.059, 2.326, 2.534, 2.704, 2.847, 2.970, 3.078, 3.173, 3.258, 3.336, 3.407, 3.472, 3.532, 3.588, 3.640, 3.689, 3.735, 3.778, 3.819, 3.858, 3.895, 3.931)
@@ -203,19 +204,17 @@ def moving_average(df: DataFrame, value: str, order: str, by: list[str], length:
 
 def ewma(df: DataFrame, value: str, order: str, by: list[str], weight: float = 0.2, width: float = 3.0) -> DataFrame:
     """Exponentially weighted means from the series mean, with exact limits; sigma is the sample deviation."""
-    import numpy as np
-    import pandas as pd
+    from .timeseries import smoothed_levels
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        x = rows[value].astype(float)
-        mean, n = x.mean(), np.arange(1, len(x) + 1)
-        z = pd.concat([pd.Series([mean]), x]).ewm(alpha=weight, adjust=False).mean().to_numpy()[1:]
-        reach = width * (x.std() if len(x) > 1 else 0.0) * np.sqrt(weight / (2 - weight) * (1 - (1 - weight) ** (2 * n)))
-        return rows[[*by, order]].assign(ewma=z, centre=mean, lower=mean - reach, upper=mean + reach, out=np.abs(z - mean) > reach)
+    def run(x: np.ndarray, at: int) -> dict:
+        z = smoothed_levels(np.append(0.0, x[:, 0] - x[:, 1]), weight)[1:]
+        n = np.arange(at + 1, at + len(x) + 1, dtype=float)
+        reach = width * x[:, 2] * np.sqrt(weight / (2 - weight) * (1 - (1 - weight) ** (2 * n)))
+        return {"ewma": x[:, 1] + z, "centre": x[:, 1], "lower": x[:, 1] - reach, "upper": x[:, 1] + reach, "out": np.abs(z) > reach}
 
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*by, order).dtypes) + ", ewma double, centre double, lower double, upper double, out boolean"
-    return df.where(F.col(value).isNotNull()).select(*by, order, value).groupBy(*by).applyInPandas(run, schema)
+    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("_x"))
+    rows = with_levels(rows, rows.groupBy(*by).agg(F.avg("_x").alias("_m"), F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("_s")), by)
+    return folded(rows, order, by, ["_x", "_m", "_s"], run, "ewma double, centre double, lower double, upper double, out boolean", forgotten_after(1 - weight)).drop("_x", "_m", "_s")
 
 
 def cusum(df: DataFrame, value: str, order: str, by: list[str], target: float, sigma: float, k: float = 0.5, h: float = 4.0) -> DataFrame:
@@ -307,23 +306,23 @@ def generalized_variance(df: DataFrame, first: str, second: str, group: str, siz
 
 def mewma(df: DataFrame, columns: list[str], order: str, by: list[str], weight: float = 0.1, alpha: float = 0.0027) -> DataFrame:
     """Multivariate EWMA statistic of a series; covariance of the series, limit by the chi-square quantile."""
-    import numpy as np
-    import pandas as pd
-
     from ..functions.special import chi2_quantile
 
-    limit = chi2_quantile(1 - alpha, len(columns))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        x = rows[columns].to_numpy(float)
-        centred, inverse = x - x.mean(axis=0), np.linalg.pinv(np.cov(x.T)) if len(x) > 1 else np.zeros((len(columns),) * 2)
-        z, out = np.zeros(len(columns)), []
-        for t, v in enumerate(centred, 1):
-            z = weight * v + (1 - weight) * z
-            out.append(z @ inverse @ z / (weight * (1 - (1 - weight) ** (2 * t)) / (2 - weight)))
-        return rows[[*by, order]].assign(statistic=out, upper=limit, out=np.array(out) > limit)
-
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*by, order).dtypes) + ", statistic double, upper double, out boolean"
-    rows = df.where(reduce(and_, [F.col(c).isNotNull() for c in columns]))
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    limit, p = chi2_quantile(1 - alpha, len(columns)), len(columns)
+
+    def run(x: np.ndarray, at: int) -> dict:
+        centred, cov = x[:, :p] - x[:, p : 2 * p], x[0, 2 * p :].reshape(p, p)
+        inverse = np.linalg.pinv(cov) if np.isfinite(cov).all() else np.zeros((p, p))
+        z = np.column_stack([_levels(np.append(0.0, c), weight)[1:] for c in centred.T])
+        n = np.arange(at + 1, at + len(x) + 1, dtype=float)
+        out = np.einsum("ij,jk,ik->i", z, inverse, z) / (weight * (1 - (1 - weight) ** (2 * n)) / (2 - weight))
+        return {"statistic": out, "upper": np.full(len(x), limit), "out": out > limit}
+
+    from .timeseries import smoothed_levels as _levels
+
+    rows = df.where(reduce(and_, [F.col(c).isNotNull() for c in columns])).select(*by, order, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    names = [f"_x{i}" for i in range(p)]
+    level = rows.groupBy(*by).agg(*[F.avg(n).alias(f"_m{n}") for n in names], *[F.covar_samp(a, b).alias(f"_c{a}{b}") for a in names for b in names])
+    held = with_levels(rows, level, by)
+    made = folded(held, order, by, [*names, *[f"_m{n}" for n in names], *[f"_c{a}{b}" for a in names for b in names]], run, "statistic double, upper double, out boolean", forgotten_after(1 - weight))
+    return made.select(*by, order, "statistic", "upper", "out")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import quantiles
+from ..plans.ordered import folded, forgotten_after, quantiles
 
 
 def acf(df: DataFrame, value: str, order: str, by: list[str], lags: int = 20) -> DataFrame:
@@ -55,61 +55,74 @@ def ccf(df: DataFrame, first: str, second: str, order: str, by: list[str], lags:
     return c.select(*by, F.explode(pairs).alias("p")).select(*by, "p.lag", "p.ccf")
 
 
-def _per_series(df: DataFrame, value: str, order: str, by: list[str], function, columns: str) -> DataFrame:
-    """function(values) -> dict of columns as long as the series, over each series in order."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows[[*by, order]].assign(**function(rows[value].to_numpy(float)))
+def _fits(df: DataFrame, value: str, order: str, by: list[str], function, reach: int) -> DataFrame:
+    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("_y"))
+    fits = folded(rows, order, by, ["_y"], lambda x, at: {"fitted": function(x[:, 0], at)}, "fitted double", reach)
+    return fits.select(*by, order, "fitted", (F.col("_y") - F.col("fitted")).alias("residual"))
 
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*by, order).dtypes) + ", " + columns
-    return df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(run, schema)
+
+def smoothed_levels(y: np.ndarray, alpha: float) -> np.ndarray:
+    """Levels of single exponential smoothing that begins at the first value."""
+    if len(y) > 200:
+        return pd.Series(y).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    out, level = np.empty(len(y)), y[0] if len(y) else 0.0
+    for t, v in enumerate(y.tolist()):
+        level = alpha * v + (1 - alpha) * level
+        out[t] = level
+    return out
 
 
 def single_smoothing(df: DataFrame, value: str, order: str, by: list[str], alpha: float = 0.2) -> DataFrame:
     """One-step fits of single exponential smoothing; the first fit is the first value."""
-    def run(y: np.ndarray) -> dict:
-        fit, level = np.empty(len(y)), y[0] if len(y) else 0.0
-        for t, v in enumerate(y):
-            fit[t] = level
-            level = alpha * v + (1 - alpha) * level
-        return {"fitted": fit, "residual": y - fit}
-
-    return _per_series(df, value, order, by, run, "fitted double, residual double")
+    return _fits(df, value, order, by, lambda y, at: np.append(y[:1], smoothed_levels(y, alpha)[:-1]), forgotten_after(1 - alpha))
 
 
 def double_smoothing(df: DataFrame, value: str, order: str, by: list[str], alpha: float = 0.2, gamma: float = 0.2) -> DataFrame:
     """One-step fits with a trend that begins as the second value less the first."""
-    def run(y: np.ndarray) -> dict:
+    def run(y: np.ndarray, at: int) -> np.ndarray:
         fit = np.empty(len(y))
         level, trend = (y[0], y[1] - y[0]) if len(y) > 1 else (y[0] if len(y) else 0.0, 0.0)
-        for t, v in enumerate(y):
+        for t, v in enumerate(y.tolist()):
             fit[t] = level if t == 0 else level + trend
             new = v if t == 0 else alpha * v + (1 - alpha) * (level + trend)
             trend = trend if t == 0 else gamma * (new - level) + (1 - gamma) * trend
             level = new
-        return {"fitted": fit, "residual": y - fit}
+        return fit
+
+    step = np.array([[1 - alpha, 1 - alpha], [-alpha * gamma, 1 - alpha * gamma]])
+    return _fits(df, value, order, by, run, forgotten_after(float(np.abs(np.linalg.eigvals(step)).max())))
+
 
-    return _per_series(df, value, order, by, run, "fitted double, residual double")
+def _seasonal_rate(period: int, alpha: float, gamma: float, delta: float) -> float:
+    """What additive seasonal smoothing keeps of its state a step, but for a constant moved from the level to the seasons."""
+    step = np.zeros((2 + period, 2 + period))  # level, trend, the seasons from the next one on
+    step[0, :3] = 1 - alpha, 1 - alpha, -alpha
+    step[1] = gamma * step[0] + np.eye(2 + period)[1] * (1 - gamma) - gamma * np.eye(2 + period)[0]
+    step[2:-1, 3:] = np.eye(period - 1)
+    step[-1] = -delta * step[0] + (1 - delta) * np.eye(2 + period)[2]
+    sizes = np.sort(np.abs(np.linalg.eigvals(step)))
+    return float(sizes[:-1].max()) if sizes[-1] > 1 - 1e-9 else float(sizes[-1])
 
 
 def seasonal_smoothing(df: DataFrame, value: str, order: str, by: list[str], period: int, alpha: float = 0.2, gamma: float = 0.2, delta: float = 0.2, multiplicative: bool = False) -> DataFrame:
-    """Holt-Winters one-step fits; level and seasons begin from the first period."""
-    def run(y: np.ndarray) -> dict:
+    """Holt-Winters one-step fits; level and seasons begin from the first period. Multiplicative fits take a series to a block."""
+    def run(y: np.ndarray, at: int) -> np.ndarray:
         if len(y) < 2 * period:
-            return {"fitted": np.full(len(y), np.nan), "residual": np.full(len(y), np.nan)}
+            return np.full(len(y), np.nan)
         level, trend = y[:period].mean(), (y[period : 2 * period].mean() - y[:period].mean()) / period
         season = y[:period] / level if multiplicative else y[:period] - level
         fit = np.empty(len(y))
-        for t, v in enumerate(y):
+        for t, v in enumerate(y.tolist()):
             s = season[t % period]
             fit[t] = (level + trend) * s if multiplicative else level + trend + s
             new = alpha * (v / s if multiplicative else v - s) + (1 - alpha) * (level + trend)
             trend = gamma * (new - level) + (1 - gamma) * trend
             level = new
             season[t % period] = delta * (v / level if multiplicative else v - level) + (1 - delta) * s
-        return {"fitted": fit, "residual": y - fit}
+        return fit
 
-    return _per_series(df, value, order, by, run, "fitted double, residual double")
+    whole = 1 << 40
+    return _fits(df, value, order, by, run, whole if multiplicative else max(2 * period, forgotten_after(_seasonal_rate(period, alpha, gamma, delta))))
 
 
 def accuracy(fits: DataFrame, by: list[str], value: str = "fitted", residual: str = "residual") -> DataFrame:

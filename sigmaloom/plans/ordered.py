@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +66,11 @@ def with_levels(df: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
     """df joined with a row of levels for each level of by (null is a level); without by, levels has one row."""
     if not by:
         return df.crossJoin(F.broadcast(levels))
+    named = levels.select(*[F.col(c).alias(f"_level_{c}") for c in by], *[c for c in levels.columns if c not in by])
     same = F.lit(True)
     for c in by:
-        same = same & df[c].eqNullSafe(levels[c])
-    return df.join(levels, same).select(*[df[c] for c in df.columns], *[levels[c] for c in levels.columns if c not in by])
+        same = same & F.col(c).eqNullSafe(F.col(f"_level_{c}"))
+    return df.join(named, same).drop(*[f"_level_{c}" for c in by])
 
 
 def quantiles(df: DataFrame, column, by: list[str] | None, places: dict[str, float], rule: str = "n-1") -> DataFrame:
@@ -103,3 +108,49 @@ def blocked(df: DataFrame, order: str, before: int, after: int, rows: int | None
     first, last = F.floor((F.col("rank") - 1 - after) / rows), F.floor((F.col("rank") - 1 + before) / rows)
     held = held.withColumn("_own", block).withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     return held.withColumn("_home", F.col("_block") == F.col("_own")), Window.partitionBy(*by, "_block").orderBy("rank")
+
+
+def forgotten_after(rate: float, left: float = 1e-17) -> int:
+    """Steps until a recursion that keeps `rate` of its state a step keeps no more than `left` of it."""
+    if not 0 <= rate < 1:
+        raise ValueError("the recursion does not forget")
+    return 1 if rate == 0 else math.ceil(math.log(left) / math.log(rate))
+
+
+def folded(df: DataFrame, order: str, by: list[str], values: list[str], function, columns: str, reach: int, after: int = 0) -> DataFrame:
+    """df with columns from a recursion along every series, in blocks that are folded side by side.
+
+    function(x, at) gets the values of consecutive rows as an array, a row a row, from place `at` of the
+    series on, and returns a dict of arrays as long. reach: rows after which the recursion has forgotten where
+    it began; a block starts that far ahead of its own rows. after: rows beyond its own that a block sees.
+    """
+    held, _ = blocked(df, order, reach, after, by=by)
+    rows = held.withColumns({v: F.col(v).cast("double") for v in values if v not in (*by, order)})
+    rows = rows.repartition(*by, "_block").sortWithinPartitions(*by, "_block", "rank")
+    names = [n.split()[0] for n in columns.split(", ")]
+    kept = [c for c in rows.columns if c not in ("_home", "_own", "_block", "rank", *names)]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes) + ", " + columns
+
+    def fold(block: pd.DataFrame) -> pd.DataFrame:
+        made = function(block[values].to_numpy(float), int(block["rank"].iloc[0]) - 1)
+        return block[kept].assign(**made)[block["_home"].to_numpy()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None  # the last block may go on in the next batch
+        for batch in batches:
+            rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            new = np.zeros(len(rows), bool)
+            for c in (*by, "_block"):
+                now, then = rows[c].iloc[1:].to_numpy(), rows[c].iloc[:-1].to_numpy()
+                new[1:] |= (now != then) & ~(pd.isna(now) & pd.isna(then))
+            starts = [0, *np.flatnonzero(new).tolist()]
+            done = [fold(rows.iloc[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            left = rows.iloc[starts[-1] :]
+        if left is not None:
+            yield fold(left)
+
+    return rows.mapInPandas(run, schema)
