@@ -242,3 +242,34 @@ def contour(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     cells = df.where(F.col(z).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.avg(z).alias("z"))
     whole = cells.agg((F.count("*") == F.countDistinct("x") * F.countDistinct("y")).alias("regular"))
     return cells.crossJoin(F.broadcast(whole))
+
+
+def bubble_points(df: DataFrame, x: str, y: str, size: str, order: str) -> DataFrame:
+    """Rows with both coordinates and a size of 0 or more."""
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(size) >= 0)).select(order, F.col(x).alias("x"), F.col(y).alias("y"), F.col(size).alias("size"))
+
+
+def matrix_points(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """The points of every pair of columns over rows that have all of them."""
+    whole = df.where(" and ".join(f"`{c}` is not null" for c in columns))
+    pairs = F.array(*[F.struct(F.lit(a).alias("x_column"), F.lit(b).alias("y_column"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(columns) for b in columns[i + 1 :]])
+    return whole.select(order, F.explode(pairs).alias("p")).select(order, "p.*")
+
+
+def marginal_counts(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """Histograms of both coordinates over the rows that have both: axis, bin, count."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ends = rows.agg(*[f(F.col(c).cast("double")).alias(f"{k}{a}") for k, c in (("x", x), ("y", y)) for a, f in (("lo", F.min), ("hi", F.max))])
+
+    def at(c: str, k: str) -> Column:
+        width = F.when(F.col(f"{k}hi") > F.col(f"{k}lo"), F.col(f"{k}hi") - F.col(f"{k}lo")).otherwise(1.0) / bins
+        return F.struct(F.lit(k).alias("axis"), F.least(F.floor((F.col(c) - F.col(f"{k}lo")) / width), F.lit(bins - 1)).cast("int").alias("bin"))
+
+    return rows.crossJoin(F.broadcast(ends)).select(F.explode(F.array(at(x, "x"), at(y, "y"))).alias("p")).groupBy("p.axis", "p.bin").agg(F.count("*").alias("count"))
+
+
+def stacked_area(df: DataFrame, value: str, order: str, by: str) -> DataFrame:
+    """Edges of stacked areas: at each place, series in order of their names one on the other."""
+    rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(order, by).agg(F.sum(F.col(value).cast("double")).alias("height"))
+    here = Window.partitionBy(order).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)  # a row a series
+    return rows.withColumn("top", F.sum("height").over(here)).select(order, by, (F.col("top") - F.col("height")).alias("bottom"), "top")

@@ -396,3 +396,38 @@ def nemenyi(df: DataFrame, treatments: list[str]) -> DataFrame:
     s = rows.agg(F.count("*").alias("b"), *[F.avg(rank[t]).alias(f"r{i}") for i, t in enumerate(treatments)])
     pairs = [F.struct(F.lit(treatments[i]).alias("first"), F.lit(treatments[j]).alias("second"), (F.col(f"r{i}") - F.col(f"r{j}")).alias("difference"), ((F.col(f"r{i}") - F.col(f"r{j}")) / F.sqrt(k * (k + 1) / (6 * F.col("b")))).alias("z")) for i, j in combinations(range(k), 2)]
     return s.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+
+
+def two_proportion_equivalence(df: DataFrame, event: Column, group: str, first, second, lower: float, upper: float) -> DataFrame:
+    """One-sided normal statistics of the difference of two proportions against limits, by Wald's error."""
+    own = lambda g: F.col(group) == g
+    s = df.where(event.isNotNull()).agg(*[f.alias(a) for g, k in ((first, 1), (second, 2)) for f, a in ((F.count_if(event & own(g)), f"events{k}"), (F.count_if(own(g)), f"trials{k}"))])
+    p1, p2 = F.col("events1") / F.col("trials1"), F.col("events2") / F.col("trials2")
+    s = s.withColumn("difference", p1 - p2).withColumn("se", F.sqrt(p1 * (1 - p1) / F.col("trials1") + p2 * (1 - p2) / F.col("trials2")))
+    return s.withColumn("z_lower", (F.col("difference") - lower) / F.col("se")).withColumn("z_upper", (F.col("difference") - upper) / F.col("se"))
+
+
+def one_sample_equivalence(df: DataFrame, value: str, target: float, lower: float, upper: float) -> DataFrame:
+    """The two one-sided t statistics of a mean less a target against limits."""
+    s = df.agg(F.count(value).alias("n"), (F.avg(value) - target).alias("difference"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"))
+    return equivalence(s, lower, upper).withColumn("df", F.col("n") - 1)
+
+
+def grouping_letters(pairs: DataFrame, means: DataFrame, level: str, alpha: float = 0.05) -> DataFrame:
+    """Letters of levels, greatest mean first; levels that share a letter do not differ. pairs: first, second, p_value.
+
+    A row a level and a row a pair of levels reach the driver. Each maximal run of levels, in order of their
+    means, of which no two differ has a letter.
+    """
+    order = [r[level] for r in means.orderBy(F.desc("mean"), level).collect()]
+    differ = {frozenset((r["first"], r["second"])) for r in pairs.where(F.col("p_value") < alpha).select("first", "second").collect()}
+    runs = []
+    for i, _ in enumerate(order):
+        j = i + 1
+        while j < len(order) and all(frozenset((order[k], order[j])) not in differ for k in range(i, j)):
+            j += 1
+        if not runs or j > runs[-1][1]:
+            runs.append((i, j))
+    letter = lambda k: (letter(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
+    rows = [(name, " ".join(letter(k) for k, (i, j) in enumerate(runs) if i <= at < j)) for at, name in enumerate(order)]
+    return means.sparkSession.createDataFrame(rows, f"`{level}` {dict(means.dtypes)[level]}, letters string")

@@ -120,3 +120,32 @@ def expanded_gage(df: DataFrame, value: str, part: str, operator: str, extra: st
     sum_ = reduce(lambda x, y: x + y, kept.values())
     rows = F.array(*[F.struct(F.lit(label[k]).alias("source"), kept[k].alias("variance"), raw[k].alias("raw_variance"), (100 * kept[k] / sum_).alias("percent_contribution")) for k in raw])
     return row.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def weighted_kappa(df: DataFrame, first: Column, second: Column, power: int = 1) -> DataFrame:
+    """Kappa of two raters' numeric ratings, disagreement weighted by the distance (power 1) or its square (2)."""
+    c = df.select(first.cast("double").alias("a"), second.cast("double").alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").cast("double").alias("c"))
+    left, right = c.groupBy("a").agg(F.sum("c").alias("x")), c.groupBy("b").agg(F.sum("c").alias("y"))  # a row a rating
+    far = lambda a, b: F.pow(F.abs(F.col(a) - F.col(b)), F.lit(power))
+    seen = c.agg(F.sum("c").alias("n"), F.sum(F.col("c") * far("a", "b")).alias("seen"))
+    chance = left.join(F.broadcast(right)).agg(F.sum(F.col("x") * F.col("y") * far("a", "b")).alias("chance"))
+    return seen.crossJoin(chance).select(F.col("n").cast("long").alias("n"), (1 - F.col("seen") * F.col("n") / F.col("chance")).alias("kappa"))
+
+
+def kendall_w(df: DataFrame, item: str, raters: list[str]) -> DataFrame:
+    """Kendall's concordance of columns of raters, a row an item, ties corrected, with its chi-square."""
+    from functools import reduce
+
+    from .rows import mid_ranks
+
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(r).isNotNull() for r in raters])).select(item, *raters)
+    ranks, ties = rows, None
+    for k, r in enumerate(raters):
+        ranks = mid_ranks(ranks, r, alias=f"_r{k}")
+        t = rows.groupBy(r).agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") ** 3 - F.col("c")).alias("t"))
+        ties = t if ties is None else ties.union(t)
+    total = reduce(lambda a, b: a + b, [F.col(f"_r{k}") for k in range(len(raters))])
+    s = ranks.agg(F.count("*").cast("double").alias("n"), (F.var_pop(total) * F.count("*")).alias("s")).crossJoin(ties.agg(F.sum("t").alias("t")))
+    m, n = len(raters), F.col("n")
+    w = 12 * F.col("s") / (m * m * (n**3 - n) - m * F.col("t"))
+    return s.select(n.cast("long").alias("items"), F.lit(m).alias("raters"), w.alias("w"), (m * (n - 1) * w).alias("chi_square"))

@@ -135,3 +135,9 @@ def mid_ranks(df: DataFrame, column: str, by: list[str] | None = None, alias: st
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
     ranks = running(counts, by, [column], {"_u": F.col("_c")}).withColumn(alias, F.col("_u") - (F.col("_c") - 1) / 2).drop("_c", "_u")
     return df.join(ranks, [*by, column])
+
+
+def key_faults(df: DataFrame, key: str) -> DataFrame:
+    """Validation of a table's row key: rows, rows without a key, and rows that repeat another's key."""
+    keys = df.groupBy(key).agg(F.count("*").alias("_n"))
+    return keys.agg(F.sum("_n").alias("rows"), F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("_n"))), F.lit(0)).alias("without_key"), F.coalesce(F.sum(F.when(F.col(key).isNotNull(), F.col("_n") - 1)), F.lit(0)).alias("repeated"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import capability, describe, design, inference, models, msa, multivariate, nonparametric, regression, reliability, rows, spc, survival_models, timeseries
+from .operators import capability, describe, design, forecasting, inference, models, msa, multivariate, nonparametric, regression, reliability, rows, spc, survival_models, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1225,3 +1225,104 @@ def _(e):
 @query("ordinal_logistic", "lineitem")
 def _(li):
     return models.ordinal_logistic(li, "l_returnflag", ["A", "N", "R"], ["l_quantity", "l_discount"])
+
+
+# Further forecasts, agreement, lives and checks ---------------------------------------------------------------
+
+
+@query("arima_forecasts", "events")
+def _(e):
+    return forecasting.arima(e, "value", "event_id", ["event_type"])
+
+
+@query("moving_average_model", "events")
+def _(e):
+    return forecasting.moving_average_model(e, "value", "event_id", ["event_type"])
+
+
+@query("augmented_dickey_fuller", "events")
+def _(e):
+    return forecasting.augmented_dickey_fuller(e, "value", "event_id", ["event_type"])
+
+
+@query("equivalence_two_proportions", "lineitem", "WITH c AS (SELECT count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS events1, count(*) FILTER (l_linestatus = 'F') AS trials1, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS events2, count(*) FILTER (l_linestatus = 'O') AS trials2 FROM lineitem), s AS (SELECT *, events1 / trials1 - events2 / trials2 AS difference, sqrt(events1 / trials1 * (1 - events1 / trials1) / trials1 + events2 / trials2 * (1 - events2 / trials2) / trials2) AS se FROM c) SELECT *, (difference + 0.02) / se AS z_lower, (difference - 0.02) / se AS z_upper FROM s", "difference se z_lower z_upper")
+def _(li):
+    return inference.two_proportion_equivalence(li, F.col("l_returnflag") == "R", "l_linestatus", "F", "O", -0.02, 0.02)
+
+
+@query("equivalence_one_sample", "customer", "WITH s AS (SELECT count(c_acctbal) AS n, avg(c_acctbal) - 4500 AS difference, stddev_samp(c_acctbal) / sqrt(count(c_acctbal)) AS se FROM customer) SELECT *, (difference + 300) / se AS t_lower, (difference - 300) / se AS t_upper, n - 1 AS df FROM s", "difference se t_lower t_upper", 4)
+def _(c):
+    return inference.one_sample_equivalence(c, "c_acctbal", 4500, -300, 300)
+
+
+@query("wilcoxon_one_sample", "lineitem", f"""
+WITH d AS (SELECT l_quantity - 25 AS d, abs(l_quantity - 25) AS a FROM lineitem WHERE l_quantity <> 25), r AS ({_RANKED.format(x='a', t='d')}), k AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM d GROUP BY a)), s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r.r ELSE 0 END) AS w FROM r)
+SELECT n, w, (w - n * (n + 1.0) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48) AS z FROM s, k""", "w z", 3)
+def _(li):
+    return nonparametric.wilcoxon(li, F.col("l_quantity") - 25)
+
+
+@query("grouping_letters", "customer")
+def _(c):
+    pairs = inference.with_bonferroni(inference.pairwise_means(c, "c_acctbal", "c_mktsegment"))
+    return inference.grouping_letters(pairs, c.groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("mean")), "c_mktsegment")
+
+
+@query("weighted_kappa", "lineitem", "WITH c AS (SELECT l_linenumber AS a, CAST(round(l_tax * 100) AS INT) AS b, count(*)::DOUBLE AS c FROM lineitem GROUP BY 1, 2), x AS (SELECT a, sum(c) AS x FROM c GROUP BY 1), y AS (SELECT b, sum(c) AS y FROM c GROUP BY 1), s AS (SELECT sum(c) AS n, sum(c * abs(a - b)) AS seen FROM c), e AS (SELECT sum(x * y * abs(a - b)) AS chance FROM x, y) SELECT CAST(n AS BIGINT) AS n, 1 - seen * n / chance AS kappa FROM s, e", "kappa")
+def _(li):
+    return msa.weighted_kappa(li, F.col("l_linenumber"), F.round(F.col("l_tax") * 100))
+
+
+@query("kendall_w", "part", "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 + rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS t FROM part), k AS (SELECT sum(c) AS t FROM (SELECT count(*)::DOUBLE ** 3 - count(*) AS c FROM part GROUP BY p_size UNION ALL SELECT count(*)::DOUBLE ** 3 - count(*) FROM part GROUP BY p_retailprice)), s AS (SELECT count(*) AS items, count(*)::DOUBLE AS n, var_pop(r.t) * count(*) AS s FROM r), w AS (SELECT items, n, 12 * s / (4 * (n ** 3 - n) - 2 * k.t) AS w FROM s, k) SELECT items, 2 AS raters, w, 2 * (n - 1) * w AS chi_square FROM w", "w chi_square", 4)
+def _(p):
+    return msa.kendall_w(p, "p_partkey", ["p_size", "p_retailprice"])
+
+
+@query("gage_stability", "events", "WITH m AS (SELECT event_type, event_id, value, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS mr FROM events), l AS (SELECT event_type, avg(value) AS centre, avg(mr) / 1.128 AS sigma FROM m GROUP BY 1) SELECT event_type, count(*) AS n, count(*) FILTER (abs(value - centre) > 3 * sigma) AS n_out FROM m JOIN l USING (event_type) GROUP BY 1")
+def _(e):
+    return capability.stability(e, "value", "event_id", ["event_type"])
+
+
+@query("compare_lives", "lineitem")
+def _(li):
+    return reliability.compare_lives(li, "l_quantity", F.col("l_linestatus") == "F")
+
+
+@query("interval_survival", "lineitem")
+def _(li):
+    return reliability.turnbull(li.select((F.floor(F.col("l_quantity") / 5) * 5).alias("low"), F.when(F.col("l_linestatus") == "F", F.floor(F.col("l_quantity") / 5) * 5 + 5).alias("high")), "low", "high")
+
+
+@query("bubble_points", "part", "SELECT p_partkey, p_size AS x, p_retailprice AS y, p_size % 7 - 1 AS size FROM part WHERE p_size % 7 >= 1")
+def _(p):
+    return describe.bubble_points(p.withColumn("s", F.col("p_size") % 7 - 1), "p_size", "p_retailprice", "s", "p_partkey")
+
+
+@query("matrix_points", "part", "SELECT p_partkey, 'p_size' AS x_column, 'p_retailprice' AS y_column, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL")
+def _(p):
+    return describe.matrix_points(p, ["p_size", "p_retailprice"], "p_partkey")
+
+
+@query("marginal_counts", "part", "WITH e AS (SELECT min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part), r AS (SELECT 'x' AS axis, CAST(least(floor((p_size - a) / ((b - a) / 10)), 9) AS INT) AS bin FROM part, e UNION ALL SELECT 'y', CAST(least(floor((p_retailprice - c) / ((d - c) / 10)), 9) AS INT) FROM part, e) SELECT axis, bin, count(*) AS count FROM r GROUP BY 1, 2")
+def _(p):
+    return describe.marginal_counts(p, "p_size", "p_retailprice", 10)
+
+
+@query("stacked_area", "orders", "WITH h AS (SELECT date_trunc('day', o_orderdate)::DATE AS day, o_orderpriority, sum(o_totalprice) AS height FROM orders GROUP BY 1, 2), t AS (SELECT *, sum(height) OVER (PARTITION BY day ORDER BY o_orderpriority ROWS UNBOUNDED PRECEDING) AS top FROM h) SELECT day, o_orderpriority, top - height AS bottom, top FROM t", "bottom top", 2)
+def _(o):
+    return describe.stacked_area(o.withColumn("day", F.to_date("o_orderdate")), "o_totalprice", "day", "o_orderpriority")
+
+
+@query("key_faults", "lineitem", "SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (l_orderkey IS NULL), 0) AS BIGINT) AS without_key, CAST(sum(n - 1) FILTER (l_orderkey IS NOT NULL) AS BIGINT) AS repeated FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
+def _(li):
+    return rows.key_faults(li, "l_orderkey")
+
+
+@query("worksheet_sort", "part", "SELECT p_partkey, p_size FROM part")
+def _(p):
+    return rows.worksheet_sort(p, "p_size").select("p_partkey", "p_size")
+
+
+@query("complete_rows", "events", f"SELECT event_id FROM ({_PROPS}) WHERE TRY_CAST(cell AS DOUBLE) IS NOT NULL")
+def _(e):
+    return rows.complete_rows(_cells(e).withColumn("number", rows.number(F.col("cell"))), ["number"]).select("event_id")
