@@ -7,6 +7,9 @@ The choice of least total cost is found by dynamic programming over the automato
 fixed table of costs from state to state, so a run of turns is the min-plus product of their tables. That
 lets a long conversation lie over many partitions: each gives the table of its piece, the pieces are
 stitched, and each then finds its own best path between its first and last state.
+
+Texts can be had back from the rows, one a turn: "<|" in them is written with a second bar. In the joined text
+merged turns stand two line breaks apart, as a text's own paragraphs may.
 """
 
 from __future__ import annotations
@@ -86,8 +89,14 @@ def best_path(roles: list[int], first: int, last: int | None) -> list[int]:
     return path[::-1]
 
 
-def _safe(text: str) -> str:
-    return text.replace("<|", "< |")
+def escaped(text: str) -> str:
+    """A text in which no marker begins: every "<|" has a second bar."""
+    return text.replace("<|", "<||")
+
+
+def unescaped(text: str) -> str:
+    """The text that escaped() was given."""
+    return text.replace("<||", "<|")
 
 
 def stitch(pieces: list[tuple]) -> dict[int, tuple[int, int]]:
@@ -151,7 +160,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
                     cost, action, inserted = STEPS[before, role][state]
                     done = n == len(held) - 1 and (not at_end or final[conv] == name)
                     text = (END + BREAK if before != START and action != "merge" else "") + "".join(f"{BEGIN}{NAMES[i]}\n{END}{BREAK}" for i in inserted)
-                    text += ("\n\n" if action == "merge" else f"{BEGIN}{NAMES[state]}\n") + _safe(row[4] or "") + (END + BREAK if done else "")
+                    text += ("\n\n" if action == "merge" else f"{BEGIN}{NAMES[state]}\n") + escaped(row[4] or "") + (END + BREAK if done else "")
                     out.append((row[0], conv, row[2], NAMES[state], action, [NAMES[i] for i in inserted], cost, text))
                     before = state
                     if len(out) >= 4096:
