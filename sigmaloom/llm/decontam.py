@@ -106,13 +106,15 @@ def _runs(tests: TestWindows, places: np.ndarray, windows: np.ndarray) -> list[t
     return [(int(item[f]), int(places[f]), int(at[f]), int(at[e] - at[f] + size[e])) for f, e in zip(first, last, strict=True)]
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES, keep: list[str] | None = None) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES, keep: list[str] | None = None, every: bool = False) -> DataFrame:
     """docs with _n_words, _n_hit, _hits (a packed bit a word) and _matches (item, places, length in words).
 
     The benchmark (item_id, text) is taken in passes of about pass_bytes, one if it is small; each pass
     broadcasts its items and adds to the new columns without a shuffle. Items without id or text, or
     without words, match nothing. Documents without words get 0, no bits and no matches. All columns of
-    docs stay, or those in keep; columns of docs named like the new ones are replaced.
+    docs stay, or those in keep; columns of docs named like the new ones are replaced. _matches has the
+    longest match of each item, the first of equals, or with every all of them (an item of one word then has
+    as many as the word occurs).
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in FOUND]
@@ -125,11 +127,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         tests = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part))
         after = now.select(*[c for c in now.columns if c in FOUND or c in (keep or names)]) if k == passes - 1 else now
-        now = now.mapInArrow(_scan(tests, window, after.columns), after.schema)
+        now = now.mapInArrow(_scan(tests, window, after.columns, every), after.schema)
     return now
 
 
-def _scan(tests, window: int, columns: list[str]):
+def _scan(tests, window: int, columns: list[str], every: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = TestWindows(tests.value, window)
         for batch in batches:
@@ -141,12 +143,12 @@ def _scan(tests, window: int, columns: list[str]):
                     n += len(words[-1]) + 1
                 part = batch.slice(at, len(words))
                 at += len(words)
-                yield _shard(test, part, words).select(columns)
+                yield _shard(test, part, words, every).select(columns)
 
     return scan
 
 
-def _shard(test: TestWindows, part: pa.RecordBatch, words: list[np.ndarray]) -> pa.RecordBatch:
+def _shard(test: TestWindows, part: pa.RecordBatch, words: list[np.ndarray], every: bool) -> pa.RecordBatch:
     gap = np.zeros(1, np.uint64)
     joined = np.concatenate([x for w in words for x in (w, gap)])
     start = np.cumsum([0, *(len(w) + 1 for w in words)])
@@ -162,6 +164,12 @@ def _shard(test: TestWindows, part: pa.RecordBatch, words: list[np.ndarray]) ->
     for d in np.unique(doc).tolist():
         mine = doc == d
         runs = _runs(test, places[mine] - start[d], windows[mine])
+        if not every:
+            longest: dict[int, tuple[int, int, int, int]] = {}
+            for run in runs:
+                if run[0] not in longest or run[3] > longest[run[0]][3]:
+                    longest[run[0]] = run
+            runs = longest.values()
         found[d] = [dict(zip(("item_id", "doc_word", "item_word", "n_words"), (test.ids[i], *rest), strict=True)) for i, *rest in runs]
     before_hits, before = part.column(part.schema.get_field_index("_hits")), part.column(part.schema.get_field_index("_matches"))
     hits, n_hit, matches = [], [], []
@@ -177,9 +185,9 @@ def _shard(test: TestWindows, part: pa.RecordBatch, words: list[np.ndarray]) ->
     return pa.RecordBatch.from_arrays([columns[c] for c in part.schema.names], part.schema.names)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES, every: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, items, matches, contaminated) of docs(doc_id, text); items in order, as strings."""
-    found = find_matches(docs.select("doc_id", "text"), benchmark, window, pass_bytes, keep=["doc_id"])
+    found = find_matches(docs.select("doc_id", "text"), benchmark, window, pass_bytes, keep=["doc_id"], every=every)
     items = F.array_sort(F.array_distinct(F.transform("_matches", lambda m: m["item_id"])))
     return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), items.alias("items"), F.col("_matches").alias("matches"), (F.size("_matches") > 0).alias("contaminated"))
 

@@ -149,6 +149,11 @@ def test_decontamination(docs, texts, empty, spark, pass_bytes):
         for match in r.matches:
             w = dict(tests)[match.item_id]
             assert words[match.doc_word : match.doc_word + match.n_words] == w[match.item_word : match.item_word + match.n_words]
+    many = docs.sparkSession.createDataFrame([(1, "the " * 50 + "end")], "doc_id long, text string")
+    single = docs.sparkSession.createDataFrame([("a", "the"), ("b", "the end")], "item_id string, text string")
+    for every, n in ((False, 2), (True, 51)):
+        (r,) = decontam.contamination(many, single, every=every).collect()
+        assert (r.n_hit, r["items"], len(r.matches)) == (51, ["a", "b"], n)
     kept = decontam.remove_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d in texts if not out[d].contaminated}
     assert decontam.contamination(empty, benchmark).count() == 0
