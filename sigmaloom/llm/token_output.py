@@ -34,7 +34,7 @@ BLOCK_BYTES = 1 << 20
 #: Bounds of the dictionary's training sample and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 16 << 20, 64 << 10
 #: Entries of a worker's table from a chunk of text to its ids, beyond which it becomes the older one of two.
-CHUNK_ENTRIES = 240_000
+CHUNK_ENTRIES = 160_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, ahead long, first_doc long, last_doc long, n_docs int, n_null int, n_ids long, dict_hash string, "
@@ -54,6 +54,13 @@ WORD_SPLIT = {
 }
 
 
+def token_shape(tokenizer_json: str) -> tuple[bool, list[bytes]]:
+    """Whether texts can be encoded chunk by chunk, and the added tokens, of a tokenizer."""
+    shape = json.loads(tokenizer_json)
+    by_chunk = shape.get("normalizer") == WORD_NORMALIZER and shape.get("pre_tokenizer") == WORD_SPLIT and not shape.get("post_processor")
+    return by_chunk, [t["content"].encode() for t in shape.get("added_tokens") or ()]
+
+
 class ChunkEncoder(dict):
     """Ids of whole texts through the tokenizers library; as a dict, from the chunks between white space to their ids.
 
@@ -63,7 +70,7 @@ class ChunkEncoder(dict):
     another normaliser or pre-tokenizer encodes texts as they are.
     """
 
-    def __init__(self, tokenizer_json: str, end_id: int):
+    def __init__(self, tokenizer_json: str, end_id: int, shape: tuple[bool, list[bytes]] | None = None):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -71,9 +78,7 @@ class ChunkEncoder(dict):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.id_type, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 65536 else (np.dtype("<u4"), "I")
         self.end = self.id_type.type(end_id).tobytes()
-        shape = json.loads(tokenizer_json)
-        self.by_chunk = shape.get("normalizer") == WORD_NORMALIZER and shape.get("pre_tokenizer") == WORD_SPLIT and not shape.get("post_processor")
-        self.marks = [t["content"].encode() for t in shape.get("added_tokens") or ()]
+        self.by_chunk, self.marks = shape or token_shape(tokenizer_json)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -120,11 +125,11 @@ class ChunkEncoder(dict):
 _worker_encoders: dict[tuple[int, int], ChunkEncoder] = {}
 
 
-def worker_encoder(key: tuple[int, int], tokenizer_json) -> ChunkEncoder:
+def worker_encoder(key: tuple[int, int], vocabulary) -> ChunkEncoder:
     """The encoder of this Python worker for a broadcast vocabulary; later tasks find its tables filled."""
     if key not in _worker_encoders:
         _worker_encoders.clear()
-        _worker_encoders[key] = ChunkEncoder(tokenizer_json.value, key[1])
+        _worker_encoders[key] = ChunkEncoder(vocabulary.value[0], key[1], vocabulary.value[1])
     return _worker_encoders[key]
 
 
@@ -138,7 +143,7 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 def _spark_encoder(spark: SparkSession, tokenizer_json: str, end_id: int):
     """A broadcast of the vocabulary (a file of fixed size) and a function that gives a worker's encoder."""
-    vocabulary = spark.sparkContext.broadcast(tokenizer_json)
+    vocabulary = spark.sparkContext.broadcast((tokenizer_json, token_shape(tokenizer_json)))
 
     key = (zlib.crc32(tokenizer_json.encode()), end_id)
     return lambda: worker_encoder(key, vocabulary)
