@@ -34,7 +34,7 @@ BLOCK_BYTES = 1 << 20
 #: Bounds of the dictionary's training sample and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 16 << 20, 64 << 10
 #: Entries of a worker's table from a chunk of text to its ids, beyond which it becomes the older one of two.
-CHUNK_ENTRIES = 160_000
+CHUNK_ENTRIES = 200_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, ahead long, first_doc long, last_doc long, n_docs int, n_null int, n_ids long, dict_hash string, "
@@ -90,20 +90,17 @@ class ChunkEncoder(dict):
             return ids
         core = chunk.rstrip(PLAIN_ENDS)
         if core.isalpha():
+            if len(core) < len(chunk):  # put together each time, so the table holds words once
+                return self[core] + self[chunk[len(core) :]]
             word = core.lower().decode()
         elif (text := core.decode()).isalpha() and max(text) < "\u0100":
+            if len(core) < len(chunk):
+                return self[core] + self[chunk[len(core) :]]
             word = text.lower().encode().decode("latin-1").translate(self.byte_chars)
         else:
             ids = self[chunk] = array(self.code, self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
             return ids
-        if len(core) == len(chunk):
-            ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-        else:
-            tail = chunk[len(core) :]
-            end = self.get(tail) or array(self.code, self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
-            self[tail] = end
-            ids = self[core] + end
-        self[chunk] = ids
+        ids = self[chunk] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
         return ids
 
     def texts(self, texts: list[bytes | None]) -> Iterator[bytes]:
