@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontam, embed_dedup, html_main, langid, simhash, suffix_dedup, token_output, warc
+from . import byte_bpe, chat_format, decontam, embed_dedup, html_main, langid, quality_rules, resample, simhash, suffix_dedup, token_output, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,6 +95,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark, and its rank among the drawn twentieth."""
+    found = resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's signals and the verdict of the base rules and of the rules certified by language."""
+    found = quality_rules.apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -103,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_html_main_text, op5_simhash, op6_embedding_dedup, op7_token_output, op8_byte_bpe, op9_chat_format, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_html_main_text, op5_simhash, op6_embedding_dedup, op7_token_output, op8_byte_bpe, op9_chat_format, op10_warc, op11_importance_resampling, op13_quality_rules, pipeline)}
 
 
 OP2_SQL = r"""
@@ -147,5 +159,54 @@ FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a
 """
 
 
+#: The CRC is made from its polynomial, bit by bit, over the hexadecimal digits of each distinct feature.
+OP11_SQL = r"""
+WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark),
+words AS (SELECT side, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts),
+runs AS (SELECT side, id, array_to_string(list_slice(w, k, k + m - 1), ' ') AS f FROM words, unnest([1, 2, 3]) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(k)),
+counted AS (SELECT side, id, f, count(*) AS n FROM runs GROUP BY ALL),
+digits AS (SELECT f, list_transform(range(1, length(hex(encode(f))) + 1), lambda i: instr('0123456789ABCDEF', substr(hex(encode(f)), i, 1)) - 1) AS d FROM (SELECT DISTINCT f FROM counted)),
+low AS (SELECT f, list_transform(range(0, len(d) // 2), lambda i: list_slice(d, (2 * i + 1)::INT, (2 * i + 2)::INT)) AS b FROM digits),
+halves AS (SELECT f, list_reduce(flatten(list_transform(b, lambda p: [p[2], p[1]])), lambda c, x: xor(xor(c, x) >> 4,
+    xor(xor(CASE WHEN xor(c, x) & 1 = 1 THEN 498536548 ELSE 0 END, CASE WHEN xor(c, x) & 2 = 2 THEN 997073096 ELSE 0 END),
+        xor(CASE WHEN xor(c, x) & 4 = 4 THEN 1994146192 ELSE 0 END, CASE WHEN xor(c, x) & 8 = 8 THEN 3988292384 ELSE 0 END))), 4294967295::BIGINT) AS c FROM low),
+crc AS (SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM halves),
+per AS (SELECT side, id, bucket, sum(n)::BIGINT AS n FROM counted JOIN crc USING (f) GROUP BY ALL),
+sums AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM per GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM sums),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (all_s + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (all_t + 10000))))::BIGINT AS g FROM sums, totals),
+weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM per JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (SELECT w.id AS doc_id, len(w.w) >= 20 AS enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM words AS w LEFT JOIN weights USING (id) WHERE side = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS r, count(*) FILTER (enough) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= 5 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, lang, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM documents),
+windows AS (SELECT doc_id, k, w[k] AS a, w[k + 1] AS b, w[k + 2] AS c FROM w, unnest(range(1, len(w) - 1)) AS t(k)),
+again AS (SELECT doc_id, k FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM again, unnest([k, k + 1, k + 2]) AS t(p) GROUP BY doc_id),
+s AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(list_distinct(l)), 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated USING (doc_id)),
+d AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+labelled AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+cuts AS (SELECT rule, sign, generate_subscripts(cs, 1) AS place, unnest(cs) AS cutoff FROM (VALUES ('symbols', 1, [2000, 1000, 500, 300, 200, 100, 50, 20]),
+    ('long_words', 1, [12000, 10000, 9000, 8000, 7500, 7000, 6500, 6250, 6000, 5750]), ('short_words', -1, [2000, 2500, 3000, 3500, 3750, 4000, 4250, 4500]),
+    ('repeated_lines', 1, [900, 800, 700, 600, 500, 450, 400, 350, 300, 250])) AS r(rule, sign, cs)),
+valued AS (SELECT d.*, rule, CASE rule WHEN 'symbols' THEN n_symbols WHEN 'repeated_lines' THEN n_dup_lines ELSE word_chars END * 1000 AS x, CASE rule WHEN 'repeated_lines' THEN n_lines ELSE n_words END AS y
+    FROM d, (SELECT DISTINCT rule FROM cuts)),
+counts AS (SELECT lang, v.rule, place, cutoff, count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (quality = 1 AND sign * (x - cutoff * y) > 0) AS good_out,
+    count(*) FILTER (quality = 0 AND sign * (x - cutoff * y) > 0) AS bad_out FROM valued AS v JOIN labelled USING (doc_id) JOIN cuts USING (rule) WHERE NOT base_failed GROUP BY ALL),
+tested AS (SELECT *, list_sum(list_transform(range(0, good_out + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln(0.005::DOUBLE) + (n_good - i) * ln(0.995::DOUBLE))))
+    <= 0.05 / (4 * (SELECT count(*) FROM (SELECT DISTINCT lang FROM counts))) AND good_out < n_good AS certified FROM counts WHERE n_good > 0),
+best AS (SELECT * FROM tested WHERE certified AND bad_out > 0 QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY bad_out DESC, place) = 1),
+failed AS (SELECT DISTINCT v.doc_id FROM valued AS v JOIN best AS b ON v.rule = b.rule AND v.lang IS NOT DISTINCT FROM b.lang WHERE CASE v.rule WHEN 'short_words' THEN -1 ELSE 1 END * (x - cutoff * y) > 0)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.doc_id IS NULL AS kept FROM d LEFT JOIN failed AS f USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op10_warc": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op13_quality_rules": OP13_SQL}
