@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontam, embed_dedup, html_main, langid, quality_rules, resample, simhash, suffix_dedup, token_output, warc
+from . import byte_bpe, chat_format, decontam, embed_dedup, html_main, langid, prefix_trie, quality_rules, resample, simhash, suffix_dedup, token_output, warc
+from .common import written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -101,6 +102,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, the first turns of each taken from a shared one."""
+    turns = written(prefix_trie.numbered_turns(_read(spark, sf_dir, "conversations")), "numbered")
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns), turns.select("conv_id"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's signals and the verdict of the base rules and of the rules certified by language."""
     found = quality_rules.apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -115,7 +122,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_html_main_text, op5_simhash, op6_embedding_dedup, op7_token_output, op8_byte_bpe, op9_chat_format, op10_warc, op11_importance_resampling, op13_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_html_main_text, op5_simhash, op6_embedding_dedup, op7_token_output, op8_byte_bpe, op9_chat_format, op10_warc, op11_importance_resampling, op12_prefix_trie, op13_quality_rules, pipeline)}
 
 
 OP2_SQL = r"""
@@ -183,6 +190,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC,
 SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= 5 * n // 100 THEN r END AS rank FROM ranked
 """
 
+#: The CRC as above; paths are lists of digests.
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: [ascii(s) & 15, ascii(s) >> 4])), lambda c, x: xor(xor(c, x) >> 4,
+    xor(xor(CASE WHEN xor(c, x) & 1 = 1 THEN 498536548 ELSE 0 END, CASE WHEN xor(c, x) & 2 = 2 THEN 997073096 ELSE 0 END),
+        xor(CASE WHEN xor(c, x) & 4 = 4 THEN 1994146192 ELSE 0 END, CASE WHEN xor(c, x) & 8 = 8 THEN 3988292384 ELSE 0 END))), 4294967295::BIGINT), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)),
+taken AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h),
+had AS (SELECT conv_id, count(*) AS n FROM taken GROUP BY conv_id),
+r AS (SELECT * FROM taken UNION ALL SELECT conv_id, pos - h + coalesce(n, 0), role, text FROM t JOIN c USING (conv_id) LEFT JOIN had USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, coalesce(list(sha256(sha256(role) || sha256(text)) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS p,
+    coalesce(list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS w FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+n AS (SELECT conv_id, d AS depth, list_slice(p, 1, d) AS key, len(p) = d AS ends, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words FROM p, unnest(range(0, len(p) + 1)) AS t(d)),
+node AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM n GROUP BY key, depth),
+kids AS (SELECT list_slice(key, 1, depth - 1) AS key, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+sums AS (SELECT list_slice(u.key, 1, k) AS key, sum((n_convs - 1) * words) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM node AS u LEFT JOIN kids USING (key), unnest(range(0, u.depth + 1)) AS t(k) GROUP BY 1)
+SELECT v.conv_id, v.depth, CASE WHEN v.depth > 0 THEN up.conv_id END AS parent_conv_id, v.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM node AS v LEFT JOIN node AS up ON up.key = list_slice(v.key, 1, v.depth - 1) AND up.depth = v.depth - 1 LEFT JOIN kids ON kids.key = v.key JOIN sums ON sums.key = v.key
+"""
+
 OP13_SQL = r"""
 WITH w AS (SELECT doc_id, lang, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM documents),
@@ -209,4 +236,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op10_warc": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op13_quality_rules": OP13_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op10_warc": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_quality_rules": OP13_SQL}
