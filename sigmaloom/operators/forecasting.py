@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_quantile
-from ..plans.ordered import blocked, folded, forgotten_after, running, with_levels
+from ..plans.ordered import block_arrays, blocked, forgotten_after, running, summed_arrays, with_levels, written_rows
 
 MOST_P, MOST_D = 3, 2
 #: Asymptotic 5 % points of the Dickey-Fuller distribution by deterministic terms.
@@ -121,30 +121,38 @@ def _ahead(tail: np.ndarray, d: int, coefficients: np.ndarray, steps: int) -> np
 def moving_average_model(df: DataFrame, value: str, order: str, by: list[str], d: int = 0, places: int = 41, rounds: int = 3, most: float = 0.98) -> DataFrame:
     """MA(1) of the d-th differences around their mean, by conditional sums of squares, by series: theta, mean, n, sse and criteria.
 
-    A round folds every series once for all places of a grid of theta, which then closes in on the best place.
+    A round folds the runs of every series once for all places of a grid of theta, of which a row of sums a run is left,
+    and the grid closes in on the best place.
     """
-    w = differenced(df, value, order, by, d, 0).where("w0 is not null")
-    level = w.groupBy(*by).agg(F.avg("w0").alias("_m"), F.count("*").alias("_n"))
-    rows = with_levels(w.select(*by, F.col("rank").alias("_i"), "w0"), level, by).withColumn("_c", F.col("w0") - F.col("_m"))
-    best = level.withColumn("theta", F.lit(0.0))
-    width = most
-
-    def fold(x: np.ndarray, at: int) -> dict:
-        grid = np.clip(x[0, 1] + steps, -most, most)
-        e, out = np.zeros(places), np.empty((len(x), places))
-        for t, v in enumerate(x[:, 0].tolist()):
-            e = v - grid * e
-            out[t] = e * e
-        return {"_q": list(out)}
+    runs = block_arrays(df, value, order, by, d + forgotten_after(most, 1e-12))
+    keys = "".join(f"`{c}` {t}, " for c, t in df.select(*by).dtypes)
+
+    def level_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                w = np.diff(np.asarray(row["_y"]), d)[-int(row["_own"]) :]
+                yield pd.DataFrame([[*(row[c] for c in by), len(w), float(w.sum())]], columns=[*by, "n", "total"])
+
+    level = runs.mapInPandas(level_sums, keys + "n long, total double").groupBy(*by).agg((F.sum("total") / F.sum("n")).alias("_m"), F.sum("n").alias("_n")).where("_n > 0")
+    best, width = level.withColumns({"theta": F.lit(0.0), "sse": F.lit(None).cast("double")}), most
+
+    def squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                c, grid = np.diff(np.asarray(row["_y"]), d) - row["_m"], np.clip(row["theta"] + steps, -most, most)
+                own, e, out = min(int(row["_own"]), len(c)), np.zeros(places), np.zeros(places)
+                for t, v in enumerate(c.tolist()):
+                    e = v - grid * e
+                    if t >= len(c) - own:
+                        out += e * e
+                yield pd.DataFrame([[*(row[k] for k in by), grid, out]], columns=[*by, "grid", "squares"])
 
     for _ in range(rounds):
         steps = np.linspace(-width, width, places)
-        held = with_levels(rows.select(*by, "_i", "_c"), best.select(*by, "theta"), by)
-        squares = folded(held, "_i", by, ["_c", "theta"], fold, "_q array<double>", forgotten_after(most, 1e-12))
-        at = [F.greatest(F.least(F.col("theta") + float(s), F.lit(most)), F.lit(-most)) for s in steps]
-        sums = squares.groupBy(*by, "theta").agg(*[F.sum(F.col("_q")[k]).alias(f"_s{k}") for k in range(places)])
-        least = F.array_min(F.array(*[F.struct(F.col(f"_s{k}").alias("sse"), a.alias("theta")) for k, a in enumerate(at)]))
-        best = with_levels(level, sums.select(*by, least.alias("b")), by).select(*by, "_m", "_n", F.col("b.theta").alias("theta"), F.col("b.sse").alias("sse"))
+        found = with_levels(runs, best.select(*by, "_m", "theta"), by).mapInPandas(squares, keys + "grid array<double>, squares array<double>")
+        sums = found.groupBy(*by, "grid").agg(F.array(*[F.sum(F.col("squares")[k]) for k in range(places)]).alias("s"))
+        least = F.array_min(F.arrays_zip(F.col("s").alias("sse"), F.col("grid").alias("theta")))
+        best = written_rows(with_levels(level, sums.select(*by, least.alias("b")), by).select(*by, "_m", "_n", F.col("b.theta").alias("theta"), F.col("b.sse").alias("sse")))
         width = 2 * width / (places - 1)
     n, k = F.col("_n"), 2
     base = n * (F.log(F.col("sse") / n) + 1 + math.log(2 * math.pi))
@@ -155,7 +163,8 @@ def augmented_dickey_fuller(df: DataFrame, value: str, order: str, by: list[str]
     """t of the level before in the regression of the step on it, on `lags` steps before and on a constant (drift) and time (trend).
 
     lags: by default the whole part of the cube root of a series' length less one. Series of fewer than 8
-    values, or too short for their lags, are left out.
+    values, or too short for their lags, are left out. Cross-products are summed within runs of values, a row of
+    sums a run, so the plan does not grow with the lags.
     """
     sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"))
     own = F.lit(lags) if lags is not None else F.floor(F.cbrt(F.col("_n") - 1) + 1e-9).cast("int")
@@ -164,25 +173,34 @@ def augmented_dickey_fuller(df: DataFrame, value: str, order: str, by: list[str]
     schema = "".join(f"{c} {t}, " for c, t in df.select(*by).dtypes) + "lags int, n long, coefficient double, statistic double, critical_5 double"
     if longest is None:
         return df.sparkSession.createDataFrame([], schema)
-    w = differenced(df, value, order, by, 1, longest).where("w0 is not null")
-    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("_y"))
-    before = running(rows, by, [order], {"rank": F.lit(1)}).select(*by, (F.col("rank") + 1).alias("rank"), F.col("_y").alias("level"))
-    before = before.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("rank").alias("_r"), "level")
-    same = F.col("rank") == F.col("_r")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    joined = with_levels(w.join(before, same), sizes, by).where(F.col("rank") > F.col("lags") + 1)
-    names = ["_t", "level", *[f"w{k}" for k in range(1, longest + 1)], "w0"]
-    scaled = joined.withColumn("_t", (F.col("rank") - 1) / F.col("_n")).fillna(0.0, [f"w{k}" for k in range(1, longest + 1)])
-    sums = scaled.groupBy(*by, "lags").agg(F.array(*_products(names)).alias("sums"))
+    size = longest + 4  # a constant, time, the level before, the steps before, the step
+    runs = with_levels(block_arrays(df, value, order, by, longest + 1), sizes, by)
+    keys = "".join(f"`{c}` {t}, " for c, t in df.select(*by).dtypes)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                y, at, own, lags, n = np.asarray(row["_y"]), int(row["_at"]), int(row["_own"]), int(row["lags"]), int(row["_n"])
+                sums, step = np.zeros((size, size)), np.diff(y)
+                first = max(len(y) - own, lags + 1)  # a value needs `lags` steps before its own
+                for low in range(first, len(y), max(1, (1 << 21) // size)):
+                    t = np.arange(low, min(len(y), low + max(1, (1 << 21) // size)))
+                    x = np.zeros((len(t), size))
+                    x[:, 0], x[:, 1], x[:, 2], x[:, -1] = 1.0, (at + t) / n, y[t - 1], step[t - 1]
+                    for k in range(1, lags + 1):
+                        x[:, 2 + k] = step[t - 1 - k]
+                    sums += x.T @ x
+                yield pd.DataFrame([[*(row[c] for c in by), lags, sums.ravel()]], columns=[*by, "lags", "sums"])
+
+    sums = summed_arrays(runs.mapInPandas(products, keys + "lags int, sums array<double>"), [*by, "lags"], "sums")
     fixed = {"none": [], "drift": [0], "trend": [0, 1]}[regression]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                m, used = _square(list(row["sums"]), len(names) + 1), int(row["lags"])
-                keep, y, n = [*fixed, 2, *range(3, 3 + used)], len(names), int(m[0, 0])
+                m, used = np.asarray(row["sums"]).reshape(size, size), int(row["lags"])
+                keep, y, n = [*fixed, 2, *range(3, 3 + used)], size - 1, int(m[0, 0])
                 if n <= len(keep):
                     continue
                 a = m[np.ix_(keep, keep)]

@@ -62,7 +62,14 @@ def running(df: DataFrame, by: list[str], order: list, sums: dict) -> DataFrame:
     return out.select(*[c for c in df.columns if c not in sums], *names)
 
 
-def with_levels(df: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
+def written_rows(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = _scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_levels(df: DataFrame, levels: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """df joined with a row of levels for each level of by (null is a level); without by, levels has one row."""
     if not by:
         return df.crossJoin(F.broadcast(levels))
@@ -70,7 +77,7 @@ def with_levels(df: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_level_{c}"))
-    return df.join(named, same).drop(*[f"_level_{c}" for c in by])
+    return df.join(named, same, how).drop(*[f"_level_{c}" for c in by])
 
 
 def quantiles(df: DataFrame, column, by: list[str] | None, places: dict[str, float], rule: str = "n-1") -> DataFrame:
@@ -154,3 +161,44 @@ def folded(df: DataFrame, order: str, by: list[str], values: list[str], function
             yield fold(left)
 
     return rows.mapInPandas(run, schema)
+
+
+def block_arrays(df: DataFrame, value: str, order: str, by: list[str], before: int, rows: int | None = None) -> DataFrame:
+    """(by, _block, _at, _own, _y): every series cut into runs of its values, a row of arrays a run, written once.
+
+    _y holds the values of a run and up to `before` values ahead of it, _at the number of values of the series ahead
+    of _y, _own how many at the end of _y are the run's. Nulls of value are left out. Jobs that pass over a series
+    again and again read these rows and send back sums.
+    """
+    spark = df.sparkSession
+    held = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("_y"))
+    if rows is None:
+        rows = max(2_000, before, min(100_000, held.count() // (3 * spark.sparkContext.defaultParallelism) + 1))
+    held = running(held, by, [order], {"_i": F.lit(1)})
+    first, last = F.floor((F.col("_i") - 1) / rows), F.floor((F.col("_i") - 1 + before) / rows)
+    dealt = held.select(*by, "_i", "_y", F.explode(F.sequence(first, last)).alias("_block"))
+    runs = dealt.groupBy(*by, "_block").agg(F.sort_array(F.collect_list(F.struct("_i", "_y"))).alias("_v"), F.max("_i").alias("_last"))
+    own = F.col("_last") - F.col("_block") * rows
+    runs = runs.where(own > 0).select(*by, "_block", (F.col("_v")[0]["_i"] - 1).alias("_at"), own.alias("_own"), F.transform("_v", lambda v: v["_y"]).alias("_y"))
+    return written_rows(runs)
+
+
+def summed_arrays(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, column): the elementwise sums of arrays of one length a level, added up as they stream by."""
+    schema = "".join(f"`{c}` {t}, " for c, t in rows.select(*by).dtypes) + f"{column} array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, None
+        for batch in batches:
+            for values in batch[[*by, column]].itertuples(index=False):
+                now = tuple(None if pd.isna(v) else v for v in values[:-1])
+                if now != key or total is None:
+                    if total is not None:
+                        yield pd.DataFrame([[*key, total]], columns=[*by, column])
+                    key, total = now, np.zeros(len(values[-1]))
+                total += values[-1]
+        if total is not None:
+            yield pd.DataFrame([[*key, total]], columns=[*by, column])
+
+    dealt = rows.repartition(*by) if by else rows.repartition(1)  # a row a task that saw the level
+    return dealt.sortWithinPartitions(*by).mapInPandas(run, schema) if by else dealt.mapInPandas(run, schema)
