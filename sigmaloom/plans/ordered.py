@@ -202,3 +202,43 @@ def summed_arrays(rows: DataFrame, by: list[str], column: str) -> DataFrame:
 
     dealt = rows.repartition(*by) if by else rows.repartition(1)  # a row a task that saw the level
     return dealt.sortWithinPartitions(*by).mapInPandas(run, schema) if by else dealt.mapInPandas(run, schema)
+
+
+def value_blocks(df: DataFrame, value, by: list[str] | None = None, rows: int = 50_000) -> DataFrame:
+    """(by, _part, _x, _c, _u): the distinct values of every series in order, in arrays of a bounded number of them.
+
+    _c counts a value and _u it and all smaller ones. Nulls and values that are not finite are left out. A series
+    of n rows has about n / rows parts; part k begins where k * rows values are below.
+    """
+    by = by or []
+    x = F.col(value) if isinstance(value, str) else value
+    counts = df.select(*by, x.cast("double").alias("_x")).where("_x > double('-inf') and _x < double('inf')").groupBy(*by, "_x").agg(F.count("*").alias("_c"))
+    upto = running(counts, by, ["_x"], {"_u": F.col("_c")})
+    parts = upto.groupBy(*by, F.floor((F.col("_u") - F.col("_c")) / rows).alias("_part")).agg(F.sort_array(F.collect_list(F.struct("_x", "_c", "_u"))).alias("_v"))
+    return written_rows(parts.select(*by, "_part", *[F.col(f"_v.{n}").alias(n) for n in ("_x", "_c", "_u")]))
+
+
+def dealt_by(df: DataFrame, order: list) -> DataFrame:
+    """df with _part, its range partition by the order, written once: what running_in sums over."""
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    return written_rows(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+
+
+def running_in(df: DataFrame, order: list, sums: dict | None = None, back: dict | None = None) -> DataFrame:
+    """df, whose _part comes from dealt_by, with sums up to each row and, for `back`, from each row on, its own included.
+
+    Rows of one part alone are in a window; what is before or behind comes from a row a part. Sums can follow upon sums
+    without dealing again.
+    """
+    sums, back = sums or {}, back or {}
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    each = {**sums, **back}
+    rows = df.withColumns({f"_v_{n}": c for n, c in each.items()})
+    totals = rows.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in each])
+    parts = Window.orderBy("_part")  # a row a part
+    before, behind = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(before if n in sums else behind), F.lit(0)).alias(f"_a_{n}") for n in each])
+    up, down = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({n: F.sum(f"_v_{n}").over(up if n in sums else down) for n in each})
+    return rows.join(F.broadcast(totals), "_part").select(*[c for c in df.columns if c not in each], *[(F.col(n) + F.col(f"_a_{n}")).alias(n) for n in each])
