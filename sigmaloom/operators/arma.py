@@ -168,25 +168,43 @@ def seasonal_arima(df: DataFrame, value: str, order: str, by: list[str], models:
     states = levels.select(*by, "n", "mean", F.explode(each).alias("_m")).where(F.col("n") > F.col("_m.lag") + 3).select(*by, "n", "mean", "_m.model")
     none = F.lit(None)
     states = states.withColumns({"trial": F.transform(F.sequence(F.lit(1), F.lit(max(1, most))), lambda _: F.lit(0.0)), "best": none.cast("array<double>"), "je": none.cast("array<double>"), "jj": none.cast("array<double>"), "sse": none.cast("double"), "damping": F.lit(1e-3), "done": F.lit(False)})
-    states = written_rows(states)
+    names = states.columns
+    schema = ", ".join(f"`{c}` {t}" for c, t in states.dtypes)
+    def sums_of(row: dict, mean: float, k: int, trial: np.ndarray) -> np.ndarray:
+        """Square sum, gradient and cross-products of a run's own residuals, padded to one width."""
+        own, model, m = int(row["_own"]), models[k], sum(models[k])
+        w = seasonally_differenced(np.asarray(row["_y"]), d, sd, s) - mean
+        mine = min(own, len(w))
+        known = max(0, lags[k] - int(row["_at"]))  # the series may begin in this run or in what it sees before it
+        e, slopes = residuals(w, model, trial[:m], s, known)
+        e, slopes = e[len(w) - mine :], slopes[:, len(w) - mine :]
+        sums = np.zeros(width)
+        sums[: 1 + m + m * m] = np.concatenate([[e @ e], slopes @ e, (slopes @ slopes.T).ravel()])
+        return sums
+
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                y, own, at = np.asarray(row["_y"]), int(row["_own"]), int(row["_at"])
-                w = seasonally_differenced(y, d, sd, s) - row["mean"]
-                mine = min(own, len(w))
                 for ask in row["_open"]:
-                    k = ask["model"]
-                    model, m = models[k], sum(models[k])
-                    known = max(0, lags[k] - at)  # the series may begin in this run or in what it sees before it
-                    e, slopes = residuals(w, model, np.asarray(ask["trial"])[:m], s, known)
-                    e, slopes = e[len(w) - mine :], slopes[:, len(w) - mine :]
-                    sums = np.zeros(width)
-                    sums[: 1 + m + m * m] = np.concatenate([[e @ e], slopes @ e, (slopes @ slopes.T).ravel()])
-                    out.append({**{c: row[c] for c in by}, "model": k, "sums": sums})
+                    out.append({**{c: row[c] for c in by}, "model": ask["model"], "sums": sums_of(row, row["mean"], ask["model"], np.asarray(ask["trial"]))})
             yield pd.DataFrame(out, columns=[*by, "model", "sums"])
 
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                for k, lag in enumerate(lags):
+                    if row["n"] <= lag + 3:
+                        continue
+                    state = {**{c: row[c] for c in by}, "n": row["n"], "mean": row["mean"], "model": k, "trial": [0.0] * max(1, most), "best": None, "je": None, "jj": None, "sse": None, "damping": 1e-3, "done": False}
+                    for _ in range(ROUNDS):
+                        state = _next(state | {"sums": sums_of(row, row["mean"], k, np.asarray(state["trial"]))}, sum(models[k]), models[k])
+                        if state["done"]:
+                            break
+                    out.append({c: state[c] for c in names})
+            yield pd.DataFrame(out, columns=names)
+
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -197,17 +215,20 @@ def seasonal_arima(df: DataFrame, value: str, order: str, by: list[str], models:
                 out.append({c: row[c] for c in names})
             yield pd.DataFrame(out, columns=names)
 
-    names = states.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in states.dtypes)
+    tops = runs.groupBy(*by).agg(F.max("_block").alias("_top"))
+    single = with_levels(with_levels(runs, tops.where("_top = 0"), by), levels, by).mapInPandas(alone, schema)  # a series of one run needs no rounds
+    states = with_levels(states, tops.where("_top > 0"), by).drop("_top")
+    states = written_rows(states)
     for _ in range(ROUNDS):
+        if states.where("not done").isEmpty():
+            break
         going = states.where("not done").groupBy(*by).agg(F.first("mean").alias("mean"), F.collect_list(F.struct("model", "trial")).alias("_open"))  # a few models a series
         sums = with_levels(runs, going, by).mapInPandas(products, keys + "model int, sums array<double>")
         sums = sums.groupBy(*by, "model").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"))
         states = written_rows(with_levels(states, sums, [*by, "model"], how="left").mapInPandas(step, schema))
-        if states.where("not done").isEmpty():
-            break
+    states = states.union(single.select(*names))
     z = normal_quantile(1 - (1 - confidence) / 2)
-    ends = with_levels(runs, runs.groupBy(*by).agg(F.max("_block").alias("_top")), by).where("_block = _top")
+    ends = with_levels(runs, tops, by).where("_block = _top")
     fitted = states.groupBy(*by).agg(F.collect_list(F.struct("model", "n", "mean", "best", "sse")).alias("_fits"))
     made = "n long, sse double, aic double, aicc double, bic double, mean double, coefficients array<double>, forecast array<double>, lower array<double>, upper array<double>"
 

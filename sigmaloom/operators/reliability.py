@@ -117,40 +117,3 @@ def compare_lives(df: DataFrame, time: str, event: Column) -> DataFrame:
     k, like = F.col("k"), F.col("log_likelihood")
     both = one.union(two).union(three).where(like.isNotNull())
     return both.select("distribution", "n", like, (2 * k - 2 * like).alias("aic"), (k * F.log("n") - 2 * like).alias("bic"))
-
-
-def turnbull(df: DataFrame, low: str, high: str, grid: int = 100, rounds: int = 500, tolerance: float = 1e-8) -> DataFrame:
-    """Survival from interval-censored times (low, high]; a null high is censored on the right, a null low on the left.
-
-    Expectation steps over counts of distinct intervals, cut at `grid` quantile-free equal places of the
-    observed ends (or at the ends themselves where there are fewer): one aggregation to counts, then a bounded
-    table of places by intervals on the driver. A row a place: time and the survival just after it.
-    """
-    import numpy as np
-
-    lo, hi = F.coalesce(F.col(low).cast("double"), F.lit(0.0)), F.col(high).cast("double")
-    ends = df.select(F.explode(F.array(lo, hi)).alias("x")).where("x is not null and x > 0")
-    s = ends.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.approx_count_distinct("x").alias("k")).first()
-    schema = "time double, survival double"
-    if s.a is None:
-        return df.sparkSession.createDataFrame([], schema)
-    if s.k <= grid // 2:
-        places = np.array([r.x for r in ends.distinct().orderBy("x").limit(grid).collect()])
-    else:
-        places = np.linspace(s.a, s.b, grid)
-    cuts = F.array(*[F.lit(float(x)) for x in places])
-    index = lambda c: F.size(F.filter(cuts, lambda x: x < c))
-    first, last = F.when(lo <= 0, 0).otherwise(index(lo) + F.array_contains(cuts, lo).cast("int")), F.when(hi.isNull(), len(places)).otherwise(index(hi))
-    counts = df.where(F.col(low).isNotNull() | F.col(high).isNotNull()).groupBy(first.alias("i"), F.least(F.greatest(first, last), F.lit(len(places))).alias("j")).agg(F.count("*").alias("c")).collect()  # at most grid squared rows
-    i, j, c = (np.array([r[k] for r in counts]) for k in ("i", "j", "c"))
-    held = (np.arange(len(places) + 1)[None, :] >= i[:, None]) & (np.arange(len(places) + 1)[None, :] <= j[:, None])
-    p = np.full(len(places) + 1, 1 / (len(places) + 1))
-    for _ in range(rounds):
-        share = held * p
-        new = (c[:, None] * share / share.sum(axis=1, keepdims=True)).sum(axis=0) / c.sum()
-        done = np.abs(new - p).max() < tolerance
-        p = new
-        if done:
-            break
-    survival = 1 - np.cumsum(p)[:-1]
-    return df.sparkSession.createDataFrame([(float(t), float(max(0.0, v))) for t, v in zip(places, survival, strict=True)], schema)

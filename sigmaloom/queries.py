@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import capability, describe, design, forecasting, inference, models, msa, multivariate, nonparametric, regression, reliability, rows, spc, survival_models, timeseries
+from .operators import arma, capability, competing, describe, design, forecasting, inference, interval_life, johnson, models, msa, multivariate, nonparametric, pairs, regression, reliability, rows, spc, survival_models, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1290,7 +1290,7 @@ def _(li):
 
 @query("interval_survival", "lineitem")
 def _(li):
-    return reliability.turnbull(li.select((F.floor(F.col("l_quantity") / 5) * 5).alias("low"), F.when(F.col("l_linestatus") == "F", F.floor(F.col("l_quantity") / 5) * 5 + 5).alias("high")), "low", "high")
+    return interval_life.turnbull(li.select((F.floor(F.col("l_quantity") / 5) * 5).alias("low"), F.when(F.col("l_linestatus") == "F", F.floor(F.col("l_quantity") / 5) * 5 + 5).alias("high")), "low", "high")
 
 
 @query("bubble_points", "part", "SELECT p_partkey, p_size AS x, p_retailprice AS y, p_size % 7 - 1 AS size FROM part WHERE p_size % 7 >= 1")
@@ -1326,3 +1326,52 @@ def _(p):
 @query("complete_rows", "events", f"SELECT event_id FROM ({_PROPS}) WHERE TRY_CAST(cell AS DOUBLE) IS NOT NULL")
 def _(e):
     return rows.complete_rows(_cells(e).withColumn("number", rows.number(F.col("cell"))), ["number"]).select("event_id")
+
+
+# Seasonal models, transforms, competing risks and pairs ------------------------------------------------------------
+
+
+@query("seasonal_arima", "events")
+def _(e):
+    return arma.seasonal_arima(e, "value", "event_id", ["event_type"], [(1, 1, 0, 0), (1, 0, 0, 1), (0, 1, 1, 1)], 0, 1, 7, 7)
+
+
+@query("johnson_fit", "events")
+def _(e):
+    return johnson.fit(e, "value", ["event_type"])
+
+
+@query("johnson_capability", "supplier")
+def _(s):
+    return johnson.capability(s, "s_acctbal", -900.0, 9900.0)
+
+
+@query("fine_gray", "lineitem")
+def _(li):
+    mode = F.when(F.col("l_returnflag") == "R", "returned").when(F.col("l_returnflag") == "A", "accepted")
+    return competing.fine_gray(li, "l_quantity", mode, "returned", ["l_discount", "l_tax"])
+
+
+@query("gray_test", "lineitem")
+def _(li):
+    mode = F.when(F.col("l_returnflag") == "R", "returned").when(F.col("l_returnflag") == "A", "accepted")
+    return competing.gray_test(li, "l_quantity", mode, "returned", "l_linenumber")
+
+
+@query("shift_interval", "customer", """
+WITH v AS (SELECT c_mktsegment AS g, c_acctbal AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), n AS (SELECT count(*) FILTER (g = 'BUILDING') AS n1, count(*) FILTER (g = 'MACHINERY') AS n2 FROM v),
+t AS (SELECT coalesce(sum(c * c * c - c), 0) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM v GROUP BY v)),
+d AS (SELECT list(a.v - b.v ORDER BY a.v - b.v) AS d FROM v AS a, v AS b WHERE a.g = 'BUILDING' AND b.g = 'MACHINERY'),
+k AS (SELECT n1, n2, greatest(0, floor(n1 * n2 / 2 - 1.959963984540054::DOUBLE * sqrt(n1::DOUBLE * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))))))::BIGINT AS low FROM n, t)
+SELECT n1, n2, (d[(n1 * n2 + 1) // 2] + d[n1 * n2 // 2 + 1]) / 2 AS estimate, d[low + 1] AS low, d[n1 * n2 - low] AS high FROM d, k""", "estimate low high")
+def _(c):
+    return pairs.shift_interval(c, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY")
+
+
+@query("kendall_tau", "supplier", """
+WITH s AS (SELECT s_suppkey AS i, s_acctbal AS x, s_nationkey AS y FROM supplier WHERE s_acctbal IS NOT NULL AND s_nationkey IS NOT NULL),
+p AS (SELECT count(*) FILTER ((a.x < b.x) = (a.y < b.y) AND a.x <> b.x AND a.y <> b.y) AS concordant, count(*) FILTER ((a.x < b.x) <> (a.y < b.y) AND a.x <> b.x AND a.y <> b.y) AS discordant,
+    count(*) FILTER (a.x = b.x) AS tx, count(*) FILTER (a.y = b.y) AS ty, count(*)::DOUBLE AS n0 FROM s AS a, s AS b WHERE a.i < b.i)
+SELECT (SELECT count(*) FROM s) AS n, concordant, discordant, (concordant - discordant) / sqrt((n0 - tx) * (n0 - ty)) AS tau_b FROM p""", "tau_b")
+def _(s):
+    return pairs.kendall(s, F.col("s_acctbal"), F.col("s_nationkey")).drop("z", "p_value")

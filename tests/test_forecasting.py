@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from sigmaloom.operators import forecasting, inference, reliability
+from sigmaloom.operators import forecasting, inference, interval_life
 from sigmaloom.plans import ordered
 
 SERIES = [100.0, 101.2, 100.8, 102.1, 103.0, 102.7, 104.2, 105.1, 104.8, 106.0, 107.2, 106.8, 108.1, 109.0, 108.7, 110.2]
@@ -82,5 +82,5 @@ def test_letters_join_levels_that_do_not_differ(spark):
 
 def test_interval_survival_of_exact_steps(spark):
     rows = [(0.0, 1.0)] * 4 + [(1.0, 2.0)] * 3 + [(2.0, None)] * 3
-    got = {r.time: r.survival for r in reliability.turnbull(spark.createDataFrame(rows, "low double, high double"), "low", "high").collect()}
+    got = {r.high: r.survival for r in interval_life.turnbull(spark.createDataFrame(rows, "low double, high double"), "low", "high").collect()}
     assert math.isclose(got[1.0], 0.6, abs_tol=1e-4) and math.isclose(got[2.0], 0.3, abs_tol=1e-4)
