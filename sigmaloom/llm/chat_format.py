@@ -130,13 +130,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     spark = turns.sparkSession
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    rows = rows.withColumn("tie", F.xxhash64("role", "text")).withColumn("row", F.monotonically_increasing_id())
-    ordered = rows.repartitionByRange("conv_id", "turn", "tie", "row").sortWithinPartitions("conv_id", "turn", "role", "text", "row")
+    order = ["conv_id", "turn", "role", "text", "row"]  # dealt and sorted alike, so ties too fall the same way over any partitions
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = written(ordered.select(F.monotonically_increasing_id().alias("pos"), "conv_id", "turn", "role", "text"), "turns")
     part = F.shiftrightunsigned("pos", 33)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, _, (first, last) in _pieces(batches, ends_only=True):
+        for piece, (first, last) in _ends(batches):
             found = [(c, piece * 2 + k, product(r).ravel().tolist()) for k, (c, r) in enumerate((first, last)) if r]
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["conv_id", "piece", "costs"])
@@ -148,26 +148,24 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states, final = known.value
-        for piece, convs, _ in _pieces(batches, ends_only=False):
-            out = []
-            for k, (conv, held) in enumerate(convs):
-                name = piece * 2 + (0 if k == 0 else 1)
-                at_end = k == 0 or k == len(convs) - 1
-                first, last = states[name] if at_end else (START, None)
-                run = [role_state(r[3]) for r in held]
-                before = first
-                for n, (row, role, state) in enumerate(zip(held, run, best_path(run, first, last), strict=True)):
-                    cost, action, inserted = STEPS[before, role][state]
-                    done = n == len(held) - 1 and (not at_end or final[conv] == name)
-                    text = (END + BREAK if before != START and action != "merge" else "") + "".join(f"{BEGIN}{NAMES[i]}\n{END}{BREAK}" for i in inserted)
-                    text += ("\n\n" if action == "merge" else f"{BEGIN}{NAMES[state]}\n") + escaped(row[4] or "") + (END + BREAK if done else "")
-                    out.append((row[0], conv, row[2], NAMES[state], action, [NAMES[i] for i in inserted], cost, text))
-                    before = state
-                    if len(out) >= 4096:
-                        yield _rendered(out)
-                        out = []
-            if out:
-                yield _rendered(out)
+        out = []
+        for piece, conv, held, is_first, is_last in _conversations(batches):
+            name, at_end = piece * 2 + (not is_first), is_first or is_last
+            first, last = states[name] if at_end else (START, None)
+            run = [role_state(r[3]) for r in held]
+            before = first
+            for n, (row, role, state) in enumerate(zip(held, run, best_path(run, first, last), strict=True)):
+                cost, action, inserted = STEPS[before, role][state]
+                done = n == len(held) - 1 and (not at_end or final[conv] == name)
+                text = (END + BREAK if before != START and action != "merge" else "") + "".join(f"{BEGIN}{NAMES[i]}\n{END}{BREAK}" for i in inserted)
+                text += ("\n\n" if action == "merge" else f"{BEGIN}{NAMES[state]}\n") + escaped(row[4] or "") + (END + BREAK if done else "")
+                out.append((row[0], conv, row[2], NAMES[state], action, [NAMES[i] for i in inserted], cost, text))
+                before = state
+                if len(out) >= 4096:
+                    yield _rendered(out)
+                    out = []
+        if out:
+            yield _rendered(out)
 
     whole = ordered.select("pos", "conv_id", "turn", "role", "text").repartition(part).sortWithinPartitions("pos")
     return whole.mapInArrow(render, SCHEMA)
@@ -178,15 +176,24 @@ def _rendered(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], ends_only: bool) -> Iterator[tuple]:
-    """(partition, [(conv_id, rows)], ((conv_id, roles) of the first, of the last)) of each partition in a task's rows."""
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(partition, ((conv_id, roles) of its first conversation, of its last if another)) of each partition in a task's rows."""
     rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
     for piece, held in groupby(rows, key=lambda r: r[0] >> 33):
-        convs, first, last = [], None, (None, [])
+        first, last = None, (None, [])
         for conv, run in groupby(held, key=lambda r: r[1]):
-            if ends_only:
-                last = (conv, [role_state(r[2]) for r in run])
-                first = first or last
-            else:
-                convs.append((conv, list(run)))
-        yield piece, convs, (first, last if first is not last else (None, []))
+            last = (conv, [role_state(r[2]) for r in run])
+            first = first or last
+        yield piece, (first, last if first is not last else (None, []))
+
+
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(partition, conv_id, rows, is its first, is its last) of each conversation; no more than two are held."""
+    rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
+    ready, piece_before = None, None
+    for (piece, conv), run in groupby(rows, key=lambda r: (r[0] >> 33, r[1])):
+        if ready:
+            yield *ready, ready[0] != piece
+        ready, piece_before = (piece, conv, list(run), piece != piece_before), piece
+    if ready:
+        yield *ready, True

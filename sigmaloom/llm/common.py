@@ -33,12 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def tiled(df: DataFrame, key: str, item: str, tile_rows: int, weight: str | None = None) -> DataFrame:
     """Deal the rows of each key into tiles so that no task holds more than about two tiles of a key.
 
-    Adds tile_a, tile_b and tile: a key of up to tile_rows rows has the one tile pair (0, 0). A larger key
-    is cut into p tiles by a hash of `item`, and each row goes to the p pairs that hold its own tile, so
+    Adds tile_a, tile_b and tile: a key of up to tile_rows rows, or of that sum of the column `weight` if one is
+    named, has the one tile pair (0, 0). A larger key is cut into p tiles by a hash of `item`, and each row goes to the p pairs that hold its own tile, so
     that every two rows of a key meet in exactly one pair (rows of one tile meet in the pair (t, t); the
     pair (a, b) is for rows of a against rows of b).
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > tile_rows)
+    size = F.count("*") if weight is None else F.sum(weight)
+    sizes = df.groupBy(key).agg(size.alias("_n")).where(F.col("_n") > tile_rows)
     parts = sizes.select(key, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_p"))
     dealt = df.join(parts, key, "left")
     tile = F.when(F.col("_p").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(7), item), F.col("_p")).cast("int"))

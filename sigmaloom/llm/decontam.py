@@ -30,7 +30,7 @@ class TestWindows:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         words = [word_hashes(text.encode()) for _, text in items]
         self.ids = [i for i, _ in items]
         self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
@@ -110,8 +110,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     """docs with _n_words, _n_hit, _hits (a packed bit a word) and _matches (item, places, length in words).
 
     The benchmark (item_id, text) is taken in passes of about pass_bytes, one if it is small; each pass
-    broadcasts its items and adds to the new columns without a shuffle. Items without id or text, or
-    without words, match nothing. Documents without words get 0, no bits and no matches. All columns of
+    broadcasts its items and adds to the new columns without a shuffle. Items without text or words match
+    nothing; one without id has matches with a null id. Documents without words get 0, no bits and no matches. All columns of
     docs stay, or those in keep; columns of docs named like the new ones are replaced. _matches has the
     longest match of each item, the first of equals, or with every all of them (an item of one word then has
     as many as the word occurs).
@@ -119,13 +119,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in FOUND]
     now = docs.select(*names)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // pass_bytes))
     now = now.withColumns({c: F.lit(None).cast(kind) for c, kind in FOUND.items()})
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        tests = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part))
+        tests = spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in part), key=lambda i: (i[0] is not None, i[0] or "", i[1])))
         after = now.select(*[c for c in now.columns if c in FOUND or c in (keep or names)]) if k == passes - 1 else now
         now = now.mapInArrow(_scan(tests, window, after.columns, every), after.schema)
     return now
@@ -186,9 +186,12 @@ def _shard(test: TestWindows, part: pa.RecordBatch, words: list[np.ndarray], eve
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES, every: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, matches, contaminated) of docs(doc_id, text); items in order, as strings."""
+    """(doc_id, n_words, n_hit, items, matches, contaminated) of docs(doc_id, text); items in order, as strings.
+
+    Words of an item without id count as hit, though it is not among the items.
+    """
     found = find_matches(docs.select("doc_id", "text"), benchmark, window, pass_bytes, keep=["doc_id"], every=every)
-    items = F.array_sort(F.array_distinct(F.transform("_matches", lambda m: m["item_id"])))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("_matches", lambda m: m["item_id"]))))
     return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), items.alias("items"), F.col("_matches").alias("matches"), (F.size("_matches") > 0).alias("contaminated"))
 
 

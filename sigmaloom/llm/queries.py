@@ -127,7 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP2_SQL = r"""
 WITH i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-           FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+           FROM benchmark WHERE text IS NOT NULL),
 test AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, list_slice(w, k, k + least(len(w), 10) - 1) AS win
          FROM i, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(k) WHERE len(w) > 0),
 d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),

@@ -223,6 +223,23 @@ def test_chat_texts_come_back():
         assert chat_format.BEGIN not in chat_format.escaped(text) and chat_format.END not in chat_format.escaped(text)
 
 
+def test_tied_turns_are_repaired_alike_over_any_partitions(spark):
+    rng = random.Random(9)
+    rows = [(c, 1 if c else None, rng.choice(["user", "assistant", "system", None, "tool?"]), f"t{rng.randrange(40)}") for c in (0, 1, 1, 1) for _ in range(20)]
+    rows += [(2, 0, "user", "long " * 200_000), (2, 0, "assistant", "answer")]
+    frame, seen = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), set()
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = chat_format.format_chats(frame.repartition(parts, "text")).orderBy("conv_id", "pos").collect()
+            assert len(got) == len(rows)
+            seen.add(tuple((r.conv_id, r.role, r.action, r.cost, r.rendered) for r in got))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(seen) == 1
+
+
 def test_chat_repair_is_legal_least_and_keeps_texts(spark):
     rng = random.Random(3)
     rows = [(c, t, rng.choice(["user", "assistant", "system", "Human ", "xx", None]), f"t{c}.{t}", 0) for c in range(40) for t in range(rng.randint(1, 6))]

@@ -14,7 +14,7 @@ import public_tokenizers  # noqa: E402
 import xxhash  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from sigmaloom.llm import byte_bpe, decontam, langid, simhash, suffix_dedup, token_output  # noqa: E402
+from sigmaloom.llm import byte_bpe, common, decontam, langid, simhash, suffix_dedup, token_output  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, fingerprint string, spans int, _n_words int, score string, kept int"
 
@@ -133,7 +133,7 @@ def test_decontamination(docs, texts, empty, spark, pass_bytes):
     items = [(i, t) for i, t in enumerate(picked)] + [(None, texts[5]), (100, "no such words at all in any of these texts here")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     out = {r.doc_id: r for r in decontam.contamination(docs, benchmark, pass_bytes=pass_bytes).collect()}
-    tests = [(str(i), _words(t or "")) for i, t in items if i is not None]
+    tests = [(None if i is None else str(i), _words(t or "")) for i, t in items]  # words of an item without id count, it is not named
     for doc, text in texts.items():
         words = _words(text)
         hit, found = set(), set()
@@ -143,7 +143,7 @@ def test_decontamination(docs, texts, empty, spark, pass_bytes):
                 for p in range(len(words) - m + 1):
                     if words[p : p + m] == w[k : k + m]:
                         hit |= set(range(p, p + m))
-                        found.add(item)
+                        found |= {item} - {None}
         r = out[doc]
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (len(words), len(hit), sorted(found), bool(hit))
         for match in r.matches:
@@ -269,6 +269,9 @@ def test_keep_first_similar_finds_pairs_from_a_jaccard_of_08(spark, tile_shingle
     want = _components(sets, linked)
     wide = sum((_fingerprint(texts[-a]) ^ _fingerprint(texts[-b])).bit_count() > 4 for a, b in linked if max(a, b) > 66)
     assert wide > 40  # the distance of op5 is too tight for these
+    profiles = simhash._profiles(docs.select("doc_id", "text"), 5).withColumn("one", F.lit(1))
+    tiles = common.tiled(profiles, "one", "mark", tile_shingles, "n").agg(F.max("tile_b")).first()[0]
+    assert (tiles > 20) == (tile_shingles == 400), "tiles follow the sum of shingles, not the rows"
     kept = simhash.keep_first_similar(docs, tile_shingles=tile_shingles)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {None} | {d for d in sets if want[d] == d}
