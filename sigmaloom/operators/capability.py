@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import beta_quantile_col, chi2_quantile_col, normal_cdf_col, normal_quantile, normal_quantile_col
-from ..plans.ordered import quantiles
+from ..plans.ordered import in_blocks, quantiles, with_levels
 from .spc import d2, within_sigma
 
 
@@ -131,7 +131,6 @@ def poisson_capability(df: DataFrame, defects: str, units: str | None = None, co
 
 def stability(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     """Values beyond the limits of individuals, by series: a screen before capability is read."""
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_mr", F.abs(F.col(value) - F.lag(value).over(w)))
+    rows = in_blocks(df.where(F.col(value).isNotNull()).select(*by, order, value), order, by, 1, 0, lambda w: {"_mr": F.abs(F.col(value) - F.lag(value).over(w))})
     limits = rows.groupBy(*by).agg(F.avg(value).alias("centre"), (F.avg("_mr") / d2(2)).alias("sigma"))
-    return rows.join(limits, by).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col(value) - F.col("centre")) > 3 * F.col("sigma")).alias("n_out"))
+    return with_levels(rows, limits, by).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col(value) - F.col("centre")) > 3 * F.col("sigma")).alias("n_out"))

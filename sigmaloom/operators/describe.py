@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import quantiles, running, with_levels
+from ..plans.ordered import in_blocks, quantiles, running, with_levels
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -225,7 +225,7 @@ def first_levels(df: DataFrame, facet: str, order: str, most: int = 6) -> DataFr
 
 
 def lagged(df: DataFrame, value: str, order: str, by: list[str], lag: int = 1) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).withColumn("before", F.lag(value, lag).over(Window.partitionBy(*by).orderBy(order)))
+    return in_blocks(df.where(F.col(value).isNotNull()), order, by, lag, 0, lambda w: {"before": F.lag(value, lag).over(w)})
 
 
 def poisson_fit(df: DataFrame, count: str) -> DataFrame:

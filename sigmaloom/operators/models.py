@@ -9,12 +9,13 @@ from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.special import log_normal_cdf_col, normal_cdf, normal_quantile_col
 from ..plans.ordered import folded, forgotten_after, running, with_levels
+from .inference import normal_plot
 from .nonparametric import mann_whitney
 from .regression import complete
 from .reliability import weibull
@@ -126,9 +127,8 @@ def nominal_logistic(df: DataFrame, label: str, predictors: list[str], rounds: i
 
 def ryan_joiner(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     """Correlation of values with normal scores of Blom's positions, by series."""
-    w = Window.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_p", (F.row_number().over(w.orderBy(value, order)) - 0.375) / (F.count("*").over(w) + 0.25))
-    return rows.withColumn("_z", normal_quantile_col(F.col("_p"))).groupBy(*by).agg(F.count("*").alias("n"), F.corr(F.col(value).cast("double"), F.col("_z")).alias("rj"))
+    rows = normal_plot(df, value, order, by).withColumn("_z", normal_quantile_col(F.col("position")))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(F.col("x").cast("double"), F.col("_z")).alias("rj"))
 
 
 def identify_distributions(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:

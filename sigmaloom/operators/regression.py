@@ -8,10 +8,11 @@ from itertools import combinations
 from operator import add, and_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_right, f_right, normal_cdf, normal_quantile, t_cdf, t_quantile
+from ..plans.ordered import in_blocks
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,8 +102,7 @@ def regression_diagnostics(df: DataFrame, response: str, predictors: list[str])
 
 
 def durbin_watson(rows: DataFrame, residual: str, order: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order)
-    step = rows.withColumn("_d", F.col(residual) - F.lag(residual).over(w))
+    step = in_blocks(rows.select(*by, order, residual), order, by, 1, 0, lambda w: {"_d": F.col(residual) - F.lag(residual).over(w)})
     return step.groupBy(*by).agg((F.sum(F.col("_d") ** 2) / F.sum(F.col(residual) ** 2)).alias("durbin_watson"))
 
 

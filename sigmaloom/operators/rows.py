@@ -117,6 +117,13 @@ def worksheet_sort(df: DataFrame, column: str, ascending: bool = True) -> DataFr
     return df.orderBy(*[k if ascending else k.desc() for k in keys])
 
 
+def sorted_places(df: DataFrame, column: str, key: str, ascending: bool = True) -> DataFrame:
+    """df with each row's position, 1, 2 and so on, in the order of worksheet_sort, ties by key."""
+    cell = F.col(column).cast("string")
+    ranks = [number(cell).isNull(), number(cell), F.lower(cell)]
+    return running(df, [], [*[k.asc() if ascending else k.desc() for k in ranks], key], {"position": F.lit(1)})
+
+
 def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns], F.lit(True)))
 

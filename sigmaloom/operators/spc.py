@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import blocked, folded, forgotten_after, quantiles, with_levels
+from ..plans.ordered import blocked, folded, forgotten_after, in_blocks, quantiles, with_levels
 
 #: Mean and standard deviation of the relative range for 2 to 25 values.
 D2 = (1.128, 1.693, 2.059, 2.326, 2.534, 2.704, 2.847, 2.970, 3.078, 3.173, 3.258, 3.336, 3.407, 3.472, 3.532, 3.588, 3.640, 3.689, 3.735, 3.778, 3.819, 3.858, 3.895, 3.931)
@@ -120,8 +120,11 @@ def individuals(df: DataFrame, value: str, order: str, by: list[str] | None = No
 
 def sigma_from_ranges(df: DataFrame, value: str, order: str, by: list[str], length: int = 2) -> DataFrame:
     """sigma by series from moving ranges of consecutive values."""
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-(length - 1), 0)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_mr", F.when(F.count(value).over(frame) == length, F.max(value).over(frame) - F.min(value).over(frame)))
+    def ranges(w: Window) -> dict:
+        frame = w.rowsBetween(-(length - 1), 0)
+        return {"_mr": F.when(F.count(value).over(frame) == length, F.max(value).over(frame) - F.min(value).over(frame))}
+
+    rows = in_blocks(df.where(F.col(value).isNotNull()).select(*by, order, value), order, by, length, 0, ranges)
     return rows.groupBy(*by).agg((F.avg("_mr") / d2(length)).alias("sigma"), F.count("*").alias("n"))
 
 
@@ -163,8 +166,7 @@ def within_sigma(df: DataFrame, value: str, group: str, size: int) -> DataFrame:
 def imr_rs(df: DataFrame, value: str, group: str, size: int) -> DataFrame:
     """Between and within spread of subgroups: limits of the means by their moving range, and sigmas."""
     sg = subgroups(df, value, [group]).where(F.col("n") == size)
-    window = Window.partitionBy().orderBy(group)
-    moving = sg.withColumn("mr", F.abs(F.col("mean") - F.lag("mean").over(window)))
+    moving = in_blocks(sg, group, [], 1, 0, lambda w: {"mr": F.abs(F.col("mean") - F.lag("mean").over(w))})
     sums = moving.agg(F.avg("mean").alias("centre"), F.avg("mr").alias("mr_centre"), (F.avg("range") / d2(size) if size <= 8 else F.avg("s") / c4(size)).alias("sigma_within"), F.count("*").alias("n_subgroups"))
     means = F.col("mr_centre") / d2(2)
     between = F.sqrt(F.greatest(F.lit(0.0), means**2 - F.col("sigma_within") ** 2 / size))
@@ -184,7 +186,7 @@ def attribute_chart(df: DataFrame, kind: str, count: str, size: str | None = Non
     rows = rows.withColumn("value", value).withColumn("centre", centre).withColumn("_sd", sd)
     if laney:
         z = rows.withColumn("_z", (F.col("value") - F.col("centre")) / F.col("_sd"))
-        steps = z.select(F.abs(F.col("_z") - F.lag("_z").over(Window.partitionBy().orderBy(order))).alias("_mr"))
+        steps = in_blocks(z.select(order, "_z"), order, [], 1, 0, lambda w: {"_mr": F.abs(F.col("_z") - F.lag("_z").over(w))})
         rows = rows.crossJoin(F.broadcast(steps.agg((F.avg("_mr") / d2(2)).alias("sigma_z")))).withColumn("_sd", F.col("_sd") * F.col("sigma_z"))
     rows = rows.withColumn("lower", F.greatest(F.lit(0.0), F.col("centre") - 3 * F.col("_sd")))
     upper = F.col("centre") + 3 * F.col("_sd")
@@ -194,12 +196,13 @@ def attribute_chart(df: DataFrame, kind: str, count: str, size: str | None = Non
 
 def moving_average(df: DataFrame, value: str, order: str, by: list[str], length: int = 5) -> DataFrame:
     """Means of the last `length` values against limits from the moving range; no limits before there are that many."""
-    window = Window.partitionBy(*by).orderBy(order)
-    frame = window.rowsBetween(-(length - 1), 0)
-    rows = df.where(F.col(value).isNotNull()).withColumn("moving_average", F.when(F.count(value).over(frame) == length, F.avg(value).over(frame)))
-    rows = rows.withColumn("_mr", F.abs(F.col(value) - F.lag(value).over(window)))
+    def means(w: Window) -> dict:
+        frame = w.rowsBetween(-(length - 1), 0)
+        return {"moving_average": F.when(F.count(value).over(frame) == length, F.avg(value).over(frame)), "_mr": F.abs(F.col(value) - F.lag(value).over(w))}
+
+    rows = in_blocks(df.where(F.col(value).isNotNull()), order, by, max(1, length - 1), 0, means)
     limits = rows.groupBy(*by).agg(F.avg(value).alias("centre"), (F.avg("_mr") / d2(2) / math.sqrt(length) * 3).alias("_reach"))
-    return _flag(rows.join(limits, by).where("moving_average is not null"), "moving_average", "centre", F.col("_reach")).drop("_reach", "_mr")
+    return _flag(with_levels(rows, limits, by).where("moving_average is not null"), "moving_average", "centre", F.col("_reach")).drop("_reach", "_mr")
 
 
 def ewma(df: DataFrame, value: str, order: str, by: list[str], weight: float = 0.2, width: float = 3.0) -> DataFrame:
@@ -218,34 +221,53 @@ def ewma(df: DataFrame, value: str, order: str, by: list[str], weight: float = 0
 
 
 def cusum(df: DataFrame, value: str, order: str, by: list[str], target: float, sigma: float, k: float = 0.5, h: float = 4.0) -> DataFrame:
-    """Tabular sums C+ and C- (negative) of a series, by running sums and their running extremes."""
-    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.where(F.col(value).isNotNull())
-    rows = rows.withColumn("_u", F.sum(F.col(value) - target - k * sigma).over(window)).withColumn("_l", F.sum(F.col(value) - target + k * sigma).over(window))
-    upper = F.col("_u") - F.least(F.lit(0.0), F.min("_u").over(window))
-    lower = F.col("_l") - F.greatest(F.lit(0.0), F.max("_l").over(window))
-    rows = rows.withColumn("cusum_upper", upper).withColumn("cusum_lower", lower)
-    return rows.withColumn("out", (F.col("cusum_upper") > h * sigma) | (F.col("cusum_lower") < -h * sigma)).drop("_u", "_l")
+    """Tabular sums C+ and C- (negative) of a series, in blocks: a block starts with the sums that those before it leave.
+
+    Within a block a sum is a running one less its least so far; over blocks, a row each, the same holds for their totals.
+    """
+    held, window = blocked(df.where(F.col(value).isNotNull()), order, 0, 0, by=by)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(value) - target
+    held = held.withColumns({"_u": F.sum(x - k * sigma).over(upto), "_l": F.sum(-x - k * sigma).over(upto)})
+    held = held.withColumns({f"_f{c}": F.min(f"_{c}").over(upto) for c in "ul"})
+    ends = held.groupBy(*by, "_block").agg(*[F.max_by(f"_{c}", "rank").alias(f"_s{c}") for c in "ul"], *[F.min(f"_f{c}").alias(f"_m{c}") for c in "ul"])
+    blocks = Window.partitionBy(*by).orderBy("_block")  # a row a block
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({f"_p{c}": F.coalesce(F.sum(f"_s{c}").over(before), F.lit(0.0)) for c in "ul"})
+    lowest = lambda c: F.least(F.lit(0.0), F.min(F.col(f"_p{c}") + F.col(f"_m{c}")).over(before))
+    ends = ends.select(*by, "_block", *[(F.col(f"_p{c}") - lowest(c)).alias(f"_start{c}") for c in "ul"])
+    rows = with_levels(held, ends, [*by, "_block"])
+    sums = {c: F.col(f"_{c}") - F.least(-F.col(f"_start{c}"), F.col(f"_f{c}")) for c in "ul"}
+    rows = rows.withColumns({"cusum_upper": sums["u"], "cusum_lower": -sums["l"]})
+    rows = rows.withColumn("out", (F.col("cusum_upper") > h * sigma) | (F.col("cusum_lower") < -h * sigma))
+    return rows.drop("_home", "_own", "_block", "rank", *[f"_{p}{c}" for p in ("", "f", "start") for c in "ul"])
 
 
 def zone(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     """Zone scores: weights 0, 1, 2, 4 by whole sigmas of distance add up until a change of side or a weight of 0; 8 signals."""
-    window = Window.partitionBy(*by).orderBy(order)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_mr", F.abs(F.col(value) - F.lag(value).over(window)))
-    limits = rows.groupBy(*by).agg(F.avg(value).alias("centre"), (F.avg("_mr") / d2(2)).alias("sigma"))
+    held, window = blocked(df.where(F.col(value).isNotNull()), order, 1, 0, by=by)
+    held = held.withColumn("_mr", F.abs(F.col(value) - F.lag(value).over(window)))
+    limits = held.where("_home").groupBy(*by).agg(F.avg(value).alias("centre"), (F.avg("_mr") / d2(2)).alias("sigma"))
     z = (F.col(value) - F.col("centre")) / F.col("sigma")
-    rows = rows.join(limits, by).withColumn("_z", z).withColumn("_side", F.signum("_z"))
+    rows = with_levels(held, limits, by).withColumn("_z", z).withColumn("_side", F.signum("_z"))
     rows = rows.withColumn("weight", F.when(F.abs("_z") < 1, 0).when(F.abs("_z") < 2, 1).when(F.abs("_z") < 3, 2).otherwise(4))
     new = (F.col("weight") == 0) | (F.col("_side") != F.coalesce(F.lag("_side").over(window), F.lit(0.0)))
-    rows = rows.withColumn("_run", F.sum(new.cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*by, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("score", F.sum("weight").over(run)).withColumn("out", F.col("score") >= 8).drop("_mr", "_z", "_side", "_run")
+    rows = rows.withColumn("_new", new.cast("int")).where("_home")
+    rows = rows.withColumn("_run", F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0)))  # 0 until the first new run of the block
+    run = Window.partitionBy(*by, "_block", "_run").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("score", F.sum("weight").over(run))
+    ends = rows.groupBy(*by, "_block").agg(F.max("_run").alias("_runs"), F.max_by("score", "rank").alias("_tail"))
+    blocks = Window.partitionBy(*by).orderBy("_block")  # a row a block
+    ends = ends.withColumn("_g", F.sum((F.col("_runs") > 0).cast("int")).over(blocks))
+    ends = ends.withColumn("_left", F.sum("_tail").over(Window.partitionBy(*by, "_g").orderBy("_block")))
+    ends = ends.select(*by, "_block", F.coalesce(F.lag("_left").over(blocks), F.lit(0)).alias("_carry"))  # of the run that goes on
+    rows = with_levels(rows, ends, [*by, "_block"]).withColumn("score", F.col("score") + F.when(F.col("_run") == 0, F.col("_carry")).otherwise(0))
+    return rows.withColumn("out", F.col("score") >= 8).drop("_mr", "_z", "_side", "_run", "_new", "_carry", "_home", "_own", "_block", "rank")
 
 
 def z_mr(df: DataFrame, value: str, order: str, part: str) -> DataFrame:
     """Standardised values of several parts: each part's mean, one sigma from all moving ranges within parts."""
-    window = Window.partitionBy(part).orderBy(order)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_mr", F.abs(F.col(value) - F.lag(value).over(window)))
+    rows = in_blocks(df.where(F.col(value).isNotNull()), order, [part], 1, 0, lambda w: {"_mr": F.abs(F.col(value) - F.lag(value).over(w))})
     rows = rows.crossJoin(F.broadcast(rows.agg((F.avg("_mr") / d2(2)).alias("sigma")))).join(rows.groupBy(part).agg(F.avg(value).alias("centre")), part)
     return rows.withColumn("z", (F.col(value) - F.col("centre")) / F.col("sigma")).withColumn("z_range", F.col("_mr") / F.col("sigma")).withColumn("out", F.abs("z") > 3).drop("_mr")
 
@@ -265,11 +287,10 @@ def g_chart(df: DataFrame, interval: str) -> DataFrame:
 
 def runs(df: DataFrame, value: str, order: str, by: list[str], about: str = "median") -> DataFrame:
     """Runs above and not above the median or mean: their number, what chance expects, and the normal statistic."""
-    window = Window.partitionBy(*by).orderBy(order)
-    rows = df.where(F.col(value).isNotNull())
+    rows = df.where(F.col(value).isNotNull()).select(*by, order, value)
     mid = quantiles(rows, value, by, {"_mid": 0.5}).drop("_n") if about == "median" else rows.groupBy(*by).agg(F.avg(value).alias("_mid"))
     rows = with_levels(rows, mid, by).withColumn("_up", F.col(value) > F.col("_mid"))
-    rows = rows.withColumn("_new", F.coalesce(F.col("_up") != F.lag("_up").over(window), F.lit(True)))
+    rows = in_blocks(rows, order, by, 1, 0, lambda w: {"_new": F.coalesce(F.col("_up") != F.lag("_up").over(w), F.lit(True))})
     s = rows.groupBy(*by).agg(F.count_if("_new").alias("runs"), F.count_if("_up").alias("above"), F.count_if(~F.col("_up")).alias("below"), F.first("_mid").alias("criterion"))
     a, b = F.col("above").cast("double"), F.col("below").cast("double")
     n = a + b

@@ -7,14 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import folded, forgotten_after, quantiles
+from ..plans.ordered import folded, forgotten_after, in_blocks, quantiles, running, with_levels
 
 
 def acf(df: DataFrame, value: str, order: str, by: list[str], lags: int = 20) -> DataFrame:
     """Autocorrelations with the fixed band, a row a series and lag, in one pass over the ordered rows."""
-    series, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_d", F.col(value) - F.avg(value).over(series))
-    rows = rows.select(*by, "_d", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("_y"))
+    rows = with_levels(rows, rows.groupBy(*by).agg(F.avg("_y").alias("_m")), by).select(*by, order, (F.col("_y") - F.col("_m")).alias("_d"))
+    rows = in_blocks(rows, order, by, lags, 0, lambda w: {f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)})
     s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_d") ** 2).alias("c0"), *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"c{k}") / F.col("c0")).alias("acf")) for k in range(1, lags + 1)])
     out = s.select(*by, "n", F.explode(pairs).alias("p"))
@@ -46,10 +46,10 @@ def pacf(correlations: DataFrame, by: list[str]) -> DataFrame:
 
 def ccf(df: DataFrame, first: str, second: str, order: str, by: list[str], lags: int = 10) -> DataFrame:
     """Cross-correlations of two series at lags from -lags to lags (first at t + lag with second at t)."""
-    s, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
-    rows = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).withColumn("_x", F.col(first) - F.avg(first).over(s)).withColumn("_y", F.col(second) - F.avg(second).over(s))
+    rows = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(*by, order, F.col(first).cast("double").alias("_a"), F.col(second).cast("double").alias("_b"))
+    rows = with_levels(rows, rows.groupBy(*by).agg(F.avg("_a").alias("_ma"), F.avg("_b").alias("_mb")), by).select(*by, order, (F.col("_a") - F.col("_ma")).alias("_x"), (F.col("_b") - F.col("_mb")).alias("_y"))
     ks = range(-lags, lags + 1)
-    rows = rows.select(*by, "_x", "_y", *[F.lead("_x", k).over(w).alias(f"_k{i}") if k > 0 else F.lag("_x", -k).over(w).alias(f"_k{i}") if k < 0 else F.col("_x").alias(f"_k{i}") for i, k in enumerate(ks)])
+    rows = in_blocks(rows, order, by, lags, lags, lambda w: {f"_k{i}": F.lag("_x", -k).over(w) for i, k in enumerate(ks)})
     c = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.sum(F.col("_x") ** 2) * F.sum(F.col("_y") ** 2)).alias("c"), *[F.sum(F.col(f"_k{i}") * F.col("_y")).alias(f"s{i}") for i in range(len(ks))])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"s{i}") / F.col("c")).alias("ccf")) for i, k in enumerate(ks)])
     return c.select(*by, F.explode(pairs).alias("p")).select(*by, "p.lag", "p.ccf")
@@ -131,19 +131,20 @@ def accuracy(fits: DataFrame, by: list[str], value: str = "fitted", residual: st
     return fits.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(residual)).alias("mad"), F.avg(F.col(residual) ** 2).alias("msd"), (100 * F.sum(F.when(y != 0, F.abs(F.col(residual) / y)).otherwise(0.0)) / F.count("*")).alias("mape"))
 
 
-def moving_average(df: DataFrame, value: str, order: str, by: list[str], length: int) -> DataFrame:
-    """Centred means of `length` values (twice averaged where it is even); null at the ends."""
-    w = Window.partitionBy(*by).orderBy(order)
+def moving_average(df: DataFrame, value: str, order: str, by: list[str], length: int, ranks: bool = False) -> DataFrame:
+    """Centred means of `length` values (twice averaged where it is even); null at the ends. ranks: keep each row's place as rank."""
     half = length // 2
-    mean = lambda a, b: F.when(F.count(value).over(w.rowsBetween(a, b)) == b - a + 1, F.avg(value).over(w.rowsBetween(a, b)))
-    out = mean(-half, half) if length % 2 else (mean(-half, half - 1) + mean(-half + 1, half)) / 2
-    return df.where(F.col(value).isNotNull()).withColumn("centred", out)
+
+    def centred(w: Window) -> dict:
+        mean = lambda a, b: F.when(F.count(value).over(w.rowsBetween(a, b)) == b - a + 1, F.avg(value).over(w.rowsBetween(a, b)))
+        return {"centred": mean(-half, half) if length % 2 else (mean(-half, half - 1) + mean(-half + 1, half)) / 2}
+
+    return in_blocks(df.where(F.col(value).isNotNull()), order, by, half, half, centred, ranks)
 
 
 def decompose(df: DataFrame, value: str, order: str, by: list[str], period: int) -> DataFrame:
     """Additive seasonal indices: medians of value - centred mean by phase, less their median; a row a series and phase."""
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = moving_average(df, value, order, by, period).withColumn("phase", (F.row_number().over(w) - 1) % period)
+    rows = moving_average(df.select(*by, order, value), value, order, by, period, ranks=True).withColumn("phase", ((F.col("rank") - 1) % period).cast("int"))
     raw = quantiles(rows.where("centred is not null"), F.col(value) - F.col("centred"), [*by, "phase"], {"raw": 0.5}).drop("_n")
     mid = raw.groupBy(*by).agg(F.percentile("raw", F.lit(0.5)).alias("_mid"))
     joined = raw.join(mid, by) if by else raw.crossJoin(mid)
@@ -152,36 +153,25 @@ def decompose(df: DataFrame, value: str, order: str, by: list[str], period: int)
 
 def trend(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     """Least-squares line of value on position 1, 2 and so on, by series."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("y"), F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("double").alias("t"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("y"))
+    rows = running(rows, by, [order], {"t": F.lit(1.0)})
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.regr_intercept("y", "t").alias("intercept"), F.regr_slope("y", "t").alias("slope"), F.regr_r2("y", "t").alias("r_squared"))
 
 
 def dickey_fuller(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     """t of the level in the regression of the step on the level before it (no lags), by series, with asymptotic 5 % value."""
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_l", F.lag(value).over(w).cast("double")).where("_l is not null").withColumn("_d", F.col(value) - F.col("_l"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("_y"))
+    rows = in_blocks(rows, order, by, 1, 0, lambda w: {"_l": F.lag("_y").over(w)}).where("_l is not null").withColumn("_d", F.col("_y") - F.col("_l"))
     s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("_d", "_l").alias("b"), F.regr_sxx("_d", "_l").alias("sxx"), F.regr_syy("_d", "_l").alias("syy"), F.regr_sxy("_d", "_l").alias("sxy"))
     se = F.sqrt((F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2) / F.col("sxx"))
     return s.select(*by, "n", F.col("b").alias("coefficient"), (F.col("b") / se).alias("statistic"), F.lit(-2.86).alias("critical_5"))
 
 
 def arima_candidates(df: DataFrame, value: str, order: str, by: list[str], most: int = 3) -> DataFrame:
-    """Conditional least squares of AR(p) on the differenced series, p from 0 to most, with AICc, by series."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        d, out = np.diff(rows[value].to_numpy(float)), []
-        key = {c: rows[c].iloc[0] for c in by}
-        for p in range(most + 1):
-            n = len(d) - p
-            if n <= p + 3:
-                continue
-            x = np.column_stack([np.ones(n), *[d[p - k : len(d) - k] for k in range(1, p + 1)]])
-            b = np.linalg.lstsq(x, d[p:], rcond=None)[0]
-            sse = float(((d[p:] - x @ b) ** 2).sum())
-            k = p + 2
-            aic = n * np.log(sse / n) + 2 * k if sse > 0 else -np.inf
-            out.append({**key, "p": p, "sse": sse, "aicc": aic + 2 * k * (k + 1) / (n - k - 1)})
-        return pd.DataFrame(out, columns=[*by, "p", "sse", "aicc"])
-
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes) + ", p int, sse double, aicc double"
-    return df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(run, schema)
+    """Conditional least squares of AR(p) on the differenced series, p from 0 to most (3 at most), with AICc, by series."""
+    from .forecasting import arima
+
+    fits = arima(df, value, order, by, d=1).where((F.col("p") <= most) & (F.col("n") > F.col("p") + 3))
+    n, k = F.col("n"), F.col("p") + 2
+    aic = F.when(F.col("sse") > 0, n * F.log(F.col("sse") / n) + 2 * k).otherwise(float("-inf"))
+    return fits.select(*by, "p", "sse", (aic + 2 * k * (k + 1) / (n - k - 1)).alias("aicc"))

@@ -117,6 +117,15 @@ def blocked(df: DataFrame, order: str, before: int, after: int, rows: int | None
     return held.withColumn("_home", F.col("_block") == F.col("_own")), Window.partitionBy(*by, "_block").orderBy("rank")
 
 
+def in_blocks(df: DataFrame, order: str, by: list[str] | None, before: int, after: int, make, ranks: bool = False) -> DataFrame:
+    """df with the columns that make(window) gives, for frames of at most `before` rows back and `after` ahead in a series.
+
+    With ranks the column rank stays, which counts the rows of a series from 1.
+    """
+    held, window = blocked(df, order, before, after, by=by)
+    return held.withColumns(make(window)).where("_home").drop("_home", "_own", "_block", *(() if ranks else ("rank",)))
+
+
 def forgotten_after(rate: float, left: float = 1e-17) -> int:
     """Steps until a recursion that keeps `rate` of its state a step keeps no more than `left` of it."""
     if not 0 <= rate < 1:

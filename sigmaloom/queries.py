@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import arma, capability, competing, describe, design, forecasting, inference, interval_life, johnson, models, msa, multivariate, nonparametric, pairs, regression, reliability, rows, spc, survival_models, timeseries
+from .operators import arma, capability, competing, describe, design, forecasting, inference, interval_life, johnson, modality, models, msa, multivariate, nonparametric, pairs, regression, reliability, rows, spc, survival_models, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1278,9 +1278,11 @@ def _(p):
     return msa.kendall_w(p, "p_partkey", ["p_size", "p_retailprice"])
 
 
-@query("gage_stability", "events", "WITH m AS (SELECT event_type, event_id, value, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS mr FROM events), l AS (SELECT event_type, avg(value) AS centre, avg(mr) / 1.128 AS sigma FROM m GROUP BY 1) SELECT event_type, count(*) AS n, count(*) FILTER (abs(value - centre) > 3 * sigma) AS n_out FROM m JOIN l USING (event_type) GROUP BY 1")
+@query("gage_stability", "events", """
+WITH r AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS mr FROM events), l AS (SELECT event_type, avg(value) AS centre, avg(mr) / 1.128 AS sigma FROM r GROUP BY 1)
+SELECT event_type, event_id, value, centre, centre - 3 * sigma AS lower, centre + 3 * sigma AS upper, abs(value - centre) > 3 * sigma AS test_1 FROM r JOIN l USING (event_type)""", "value centre lower upper", 2)
 def _(e):
-    return capability.stability(e, "value", "event_id", ["event_type"])
+    return spc.individuals(e, "value", "event_id", ["event_type"]).select("event_type", "event_id", "value", "centre", "lower", "upper", "test_1")
 
 
 @query("compare_lives", "lineitem")
@@ -1318,9 +1320,9 @@ def _(li):
     return rows.key_faults(li, "l_orderkey")
 
 
-@query("worksheet_sort", "part", "SELECT p_partkey, p_size FROM part")
+@query("worksheet_sort", "part", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS position FROM part")
 def _(p):
-    return rows.worksheet_sort(p, "p_size").select("p_partkey", "p_size")
+    return rows.sorted_places(p, "p_size", "p_partkey", ascending=False).select("p_partkey", "p_size", "position")
 
 
 @query("complete_rows", "events", f"SELECT event_id FROM ({_PROPS}) WHERE TRY_CAST(cell AS DOUBLE) IS NOT NULL")
@@ -1375,3 +1377,22 @@ p AS (SELECT count(*) FILTER ((a.x < b.x) = (a.y < b.y) AND a.x <> b.x AND a.y <
 SELECT (SELECT count(*) FROM s) AS n, concordant, discordant, (concordant - discordant) / sqrt((n0 - tx) * (n0 - ty)) AS tau_b FROM p""", "tau_b")
 def _(s):
     return pairs.kendall(s, F.col("s_acctbal"), F.col("s_nationkey")).drop("z", "p_value")
+
+
+@query("dip_test", "events")
+def _(e):
+    return modality.dip_test(e, "value", ["event_type"], replicates=199)
+
+
+@query("bimodality_screen", "events", """
+WITH f AS (SELECT event_type, count(*) AS n, min(value) AS a, max(value) AS b, least(greatest(ceil(sqrt(count(*))), 8), 40)::INT AS bins FROM events WHERE isfinite(value) GROUP BY 1),
+c AS (SELECT event_type, least(floor((value - a) / (b - a) * bins), bins - 1)::INT AS bin, count(*) AS c FROM events JOIN f USING (event_type) WHERE isfinite(value) AND n >= 30 AND b > a GROUP BY 1, 2),
+g AS (SELECT event_type, bin, coalesce(c, 0) AS c FROM (SELECT event_type, unnest(range(bins))::INT AS bin FROM f WHERE n >= 30 AND b > a) LEFT JOIN c USING (event_type, bin)),
+h AS (SELECT *, lag(c) OVER w AS l, lead(c) OVER w AS r FROM g WINDOW w AS (PARTITION BY event_type ORDER BY bin)),
+p AS (SELECT * FROM h WHERE c > 0 AND ((l IS NULL AND c > r) OR (r IS NULL AND c > l) OR (c >= l AND c >= r AND (c > l OR c > r)))),
+s AS (SELECT DISTINCT x.event_type FROM p AS x JOIN p AS y ON x.event_type = y.event_type AND y.bin >= x.bin + 2
+    WHERE 5 * (SELECT min(c) FROM g WHERE g.event_type = x.event_type AND g.bin BETWEEN x.bin AND y.bin) <= 3 * least(x.c, y.c))
+SELECT event_type, n, CASE WHEN n >= 30 AND b > a THEN bins END AS bins, CASE WHEN n < 30 THEN 0 WHEN b > a THEN (SELECT count(*) FROM p WHERE p.event_type = f.event_type) ELSE 1 END AS peaks,
+    CASE WHEN n < 30 THEN 'insufficient_n' WHEN event_type IN (SELECT event_type FROM s) THEN 'suspected' ELSE 'clear' END AS status FROM f""")
+def _(e):
+    return modality.bimodality_screen(e, "value", ["event_type"])
