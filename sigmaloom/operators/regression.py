@@ -179,6 +179,62 @@ def glm(df: DataFrame, response: Column, predictors: list[str], family: str, con
     return df.sparkSession.createDataFrame(out, "term string, coefficient double, se double, z double, p_value double, low double, high double, ratio double")
 
 
+def logistic_stepwise(df: DataFrame, response: Column, predictors: list[str], enter: float = 0.15, remove: float = 0.15, rounds: int = 25) -> DataFrame:
+    """Steps of entering the predictor of the least score-test p below enter and leaving that of the greatest Wald p above remove.
+
+    Every Newton round is one aggregation of cross products of all predictors, in the model or not, so the last round of
+    a fit also has the score statistics of all candidates. Rows without some predictor or the response are left out of
+    every step. A row a step: step, action, term, p_value, and the log-likelihood after it.
+    """
+    rows = complete(df, predictors).where(response.isNotNull()).select(response.cast("double").alias("_y"), *[F.col(p).cast("double").alias(p) for p in predictors])
+    n, mean, *moments = rows.agg(F.count("*"), F.avg("_y"), *[f(p) for p in predictors for f in (F.avg, F.stddev_samp)]).first()
+    schema = "step int, action string, term string, p_value double, log_likelihood double"
+    if not n or not 0 < mean < 1:
+        return df.sparkSession.createDataFrame([], schema)
+    rows = rows.withColumns({p: (F.col(p) - float(moments[2 * k])) / float(moments[2 * k + 1] or 1.0) for k, p in enumerate(predictors)})  # p values do not depend on units
+    terms, beta = _design(predictors), np.zeros(len(predictors) + 1)
+    beta[0] = math.log(mean / (1 - mean))
+
+    def fitted(keep: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+        """(cross products, scores, log-likelihood) of all terms at the best coefficients of those in keep."""
+        beta[[k for k in range(len(beta)) if k not in keep]] = 0.0
+        for _ in range(rounds):
+            eta = reduce(add, [float(b) * t for b, t in zip(beta, terms, strict=True)])
+            mu = 1 / (1 + F.exp(-eta))
+            held = rows.withColumns({"_mu": mu, "_w": F.greatest(mu * (1 - mu), F.lit(1e-12)), "_eta": eta})
+            m, score, _, _ = gram(held, terms, (F.col("_y") - F.col("_mu")) / F.col("_w"), F.col("_w"))
+            step = np.linalg.lstsq(m[np.ix_(keep, keep)], score[keep], rcond=None)[0]
+            if np.abs(step).max() < 1e-9 * (1 + np.abs(beta).max()):
+                break
+            beta[keep] += step
+        like = held.agg(F.sum(F.col("_y") * F.col("_eta") - F.greatest(F.col("_eta"), F.lit(0.0)) - F.log1p(F.exp(-F.abs(F.col("_eta")))))).first()[0]
+        return m, score, float(like)
+
+    chosen, steps, seen = [0], [], set()
+    m, score, _ = fitted(chosen)
+    for step in range(1, 2 * len(predictors) + 1):
+        inner = np.linalg.pinv(m[np.ix_(chosen, chosen)])
+        options = []
+        for k in (k for k in range(1, len(beta)) if k not in chosen):
+            left = m[k, k] - m[k, chosen] @ inner @ m[chosen, k]
+            if left > 1e-9 * m[k, k]:
+                options.append((chi2_right(float(score[k] ** 2 / left), 1), k))
+        p, k = min(options, default=(1.0, -1))
+        action = "enter" if k > 0 and p <= enter else "remove"
+        if action == "remove":
+            wald = [(chi2_right(float(beta[c] ** 2 / inner[j, j]), 1), c) for j, c in enumerate(chosen) if c]
+            p, k = max(wald, default=(0.0, -1))
+            if k < 0 or p <= remove:
+                break
+        chosen = sorted([*chosen, k]) if action == "enter" else [c for c in chosen if c != k]
+        m, score, like = fitted(chosen)
+        steps.append((step, action, predictors[k - 1], float(p), like))
+        if tuple(chosen) in seen:  # a term that enters and leaves in turn
+            break
+        seen.add(tuple(chosen))
+    return df.sparkSession.createDataFrame(steps, schema)
+
+
 def glm_scores(df: DataFrame, coefficients: dict[str, float], family: str) -> DataFrame:
     """df with `predicted`, the mean of a fitted model."""
     eta = reduce(add, [b * (F.lit(1.0) if t == "constant" else F.col(t).cast("double")) for t, b in coefficients.items()])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import running
+from ..plans.ordered import dealt_by, running, running_in
 
 
 def event_flag(cell: Column) -> Column:
@@ -17,10 +17,15 @@ def event_flag(cell: Column) -> Column:
 
 
 def risk_table(df: DataFrame, time: str, event: Column, by: list[str] | None = None) -> DataFrame:
-    """A row a distinct time (censored ones too): at_risk, events, censored; rows without time or event are left out."""
+    """A row a distinct time (censored ones too): at_risk, events, censored; rows without time or event are left out.
+
+    Without by the rows keep _part, the part of the time axis, for further sums.
+    """
     by = by or []
     rows = df.where(F.col(time).isNotNull()).select(*by, F.col(time).cast("double").alias("time"), event.alias("e")).where(F.col("e").isNotNull())
     c = rows.groupBy(*by, "time").agg(F.count_if("e").alias("events"), F.count_if(~F.col("e")).alias("censored"))
+    if not by:
+        return running_in(dealt_by(c, ["time"]), ["time"], back={"at_risk": F.col("events") + F.col("censored")})
     return running(c, by, [F.desc("time")], {"at_risk": F.col("events") + F.col("censored")})
 
 
@@ -29,7 +34,8 @@ def kaplan_meier(df: DataFrame, time: str, event: Column, by: list[str] | None =
     by = by or []
     t = risk_table(df, time, event, by)
     d, n = F.col("events").cast("double"), F.col("at_risk").cast("double")
-    t = running(t, by, ["time"], {"_l": F.when(d < n, F.log(1 - d / n)).otherwise(0.0), "_dead": (d == n).cast("int"), "_g": F.when(d < n, d / (n * (n - d))).otherwise(0.0)})
+    sums = {"_l": F.when(d < n, F.log(1 - d / n)).otherwise(0.0), "_dead": (d == n).cast("int"), "_g": F.when(d < n, d / (n * (n - d))).otherwise(0.0)}
+    t = running(t, by, ["time"], sums) if by else running_in(t, ["time"], sums).drop("_part")
     t = t.withColumn("survival", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_l")))
     s = F.col("survival")
     inner = (s > 0) & (s < 1)
@@ -39,8 +45,8 @@ def kaplan_meier(df: DataFrame, time: str, event: Column, by: list[str] | None =
 
 def log_rank(df: DataFrame, time: str, event: Column, group: str, first, second) -> DataFrame:
     """Observed and expected events of the first of two groups, variance and chi-square."""
-    t = risk_table(df.where(F.col(group).isin(first, second)).withColumn("_g", (F.col(group) == first).cast("int")), time, event, ["_g"])
-    c = t.groupBy("time").agg(*[F.sum(F.when(F.col("_g") == g, F.col(k)).otherwise(0)).alias(f"{k[0]}{g}") for g in (1, 0) for k in ("events", "censored")])
+    rows = df.where(F.col(group).isin(first, second) & F.col(time).isNotNull()).select(F.col(time).cast("double").alias("time"), event.alias("e"), (F.col(group) == first).alias("g")).where("e is not null")
+    c = rows.groupBy("time").agg(*[F.count_if(side & seen).alias(f"{k}{g}") for g, side in ((1, F.col("g")), (0, ~F.col("g"))) for k, seen in (("e", F.col("e")), ("c", ~F.col("e")))])
     c = running(c, [], [F.desc("time")], {"n1": F.col("e1") + F.col("c1"), "n0": F.col("e0") + F.col("c0")})
     n, d = (F.col("n1") + F.col("n0")).cast("double"), (F.col("e1") + F.col("e0")).cast("double")
     var = F.when(n > 1, F.col("n1") * F.col("n0") * d * (n - d) / (n * n * (n - 1))).otherwise(0.0)

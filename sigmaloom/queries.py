@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import arma, capability, competing, describe, design, forecasting, inference, interval_life, johnson, modality, models, msa, multivariate, nonparametric, pairs, regression, reliability, rows, spc, survival_models, timeseries
+from .operators import arma, capability, competing, describe, design, forecasting, inference, interval_life, johnson, modality, models, msa, multivariate, nonparametric, pairs, regression, reliability, rows, spc, stressed_lives, survival_models, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1396,3 +1396,42 @@ SELECT event_type, n, CASE WHEN n >= 30 AND b > a THEN bins END AS bins, CASE WH
     CASE WHEN n < 30 THEN 'insufficient_n' WHEN event_type IN (SELECT event_type FROM s) THEN 'suspected' ELSE 'clear' END AS status FROM f""")
 def _(e):
     return modality.bimodality_screen(e, "value", ["event_type"])
+
+
+@query("threshold_weibull", "lineitem")
+def _(li):
+    return stressed_lives.threshold_life(li, "l_quantity", F.col("l_linestatus") == "F")
+
+
+@query("threshold_lognormal", "orders")
+def _(o):
+    return stressed_lives.threshold_life(o, "o_totalprice", F.col("o_orderstatus") != "O", "lognormal")
+
+
+@query("threshold_exponential", "lineitem", """
+WITH s AS (SELECT count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS failures, min(l_quantity)::DOUBLE AS threshold, sum(l_quantity)::DOUBLE AS total FROM lineitem WHERE l_quantity > 0 AND l_linestatus IS NOT NULL),
+m AS (SELECT *, (total - n * threshold) / failures AS scale FROM s) SELECT threshold, scale, -failures * ln(scale) - failures AS log_likelihood, n, failures FROM m""", "threshold scale log_likelihood", 3)
+def _(li):
+    return stressed_lives.threshold_life(li, "l_quantity", F.col("l_linestatus") == "F", "exponential").select("threshold", "scale", "log_likelihood", "n", "failures")
+
+
+@query("accelerated_life", "lineitem")
+def _(li):
+    terms, _ = stressed_lives.accelerated_life(li.withColumn("celsius", 40 + 5 * F.col("l_linenumber")), "l_quantity", F.col("l_linestatus") == "F", "celsius", [25.0])
+    return terms
+
+
+@query("lives_at_stress", "lineitem")
+def _(li):
+    _, lives = stressed_lives.accelerated_life(li.withColumn("celsius", 40 + 5 * F.col("l_linenumber")), "l_quantity", F.col("l_linestatus") == "F", "celsius", [25.0, 45.0, 75.0])
+    return lives
+
+
+@query("logistic_stepwise", "lineitem")
+def _(li):
+    return regression.logistic_stepwise(li, (F.col("l_extendedprice") > 30000).cast("int"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
+
+
+@query("logistic_scores", "lineitem", "SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-(-1.2 + 0.01 * l_quantity - 2.0 * l_discount))) AS predicted FROM lineitem", "predicted", 9)
+def _(li):
+    return regression.glm_scores(li, {"constant": -1.2, "l_quantity": 0.01, "l_discount": -2.0}, "binomial").select("l_orderkey", "l_linenumber", "predicted")
