@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 def _scratch(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sigmaloom-")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sigmaloom-")  # one machine, as in tests
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ordered-{uuid.uuid4().hex}"
 

@@ -1429,7 +1429,7 @@ def _(li):
 
 @query("logistic_stepwise", "lineitem")
 def _(li):
-    return regression.logistic_stepwise(li, (F.col("l_extendedprice") > 30000).cast("int"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
+    return regression.logistic_stepwise(li, (1000 * F.col("l_quantity") + F.col("l_extendedprice") > 55000).cast("int"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
 
 
 @query("logistic_scores", "lineitem", "SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-(-1.2 + 0.01 * l_quantity - 2.0 * l_discount))) AS predicted FROM lineitem", "predicted", 9)
