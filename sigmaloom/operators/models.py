@@ -163,6 +163,25 @@ def lognormal_capability(df: DataFrame, value: str, lsl: float, usl: float, by:
     return s.select("*", low.alias("ppl"), high.alias("ppu"), F.least(low, high).alias("ppk"))
 
 
+def weibull_capability(df: DataFrame, value: str, lsl: float | None, usl: float | None) -> DataFrame:
+    """One row: n, shape, scale, overall Pp, Ppl, Ppu, Ppk by the z scores of the limits under a Weibull fit, expected parts per million.
+
+    A limit that is not given has no index; Pp needs both. Probabilities are kept 1e-12 from 0 and 1. Nulls are left out;
+    values of 0 or less, or none at all, give no row.
+    """
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x))
+    if not rows.where(x <= 0).isEmpty():
+        rows = rows.limit(0)
+    s = weibull(rows, value, F.lit(True)).select("n", "shape", "scale")
+    share = lambda limit: 1 - F.exp(-F.pow(F.greatest(F.lit(float(limit)), F.lit(0.0)) / F.col("scale"), F.col("shape")))
+    z = lambda p: normal_quantile_col(F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12)))
+    none = F.lit(None).cast("double")
+    low, high = none if lsl is None else z(share(lsl)), none if usl is None else z(share(usl))
+    s = s.withColumns({"ppl": -low / 3, "ppu": high / 3, "pp": (high - low) / 6})
+    return s.select("n", "shape", "scale", "pp", "ppl", "ppu", F.least("ppl", "ppu").alias("ppk"), (none if lsl is None else 1e6 * share(lsl)).alias("ppm_below"), (none if usl is None else 1e6 * (1 - share(usl))).alias("ppm_above"))
+
+
 def pairwise_rank_sums(df: DataFrame, value: str, group: str, levels: list[str]) -> DataFrame:
     """Mann-Whitney of every pair of levels, ranked anew in each pair."""
     parts = [mann_whitney(df, value, group, a, b).select(F.lit(a).alias("first"), F.lit(b).alias("second"), "w", "z") for a, b in combinations(levels, 2)]

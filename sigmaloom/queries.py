@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import arma, capability, competing, describe, design, forecasting, inference, interval_life, johnson, modality, models, msa, multivariate, nonparametric, pairs, regression, reliability, rows, spc, stressed_lives, survival_models, timeseries
+from .operators import arma, capability, competing, describe, design, forecasting, inference, interval_life, johnson, modality, models, msa, multivariate, nonparametric, pairs, regression, reliability, rows, spc, stressed_lives, survival_models, timeseries, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1435,3 +1435,20 @@ def _(li):
 @query("logistic_scores", "lineitem", "SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-(-1.2 + 0.01 * l_quantity - 2.0 * l_discount))) AS predicted FROM lineitem", "predicted", 9)
 def _(li):
     return regression.glm_scores(li, {"constant": -1.2, "l_quantity": 0.01, "l_discount": -2.0}, "binomial").select("l_orderkey", "l_linenumber", "predicted")
+
+
+@query("cart_tree", "lineitem")
+def _(li):
+    tree, _ = trees.fit_tree(li.withColumn("class", F.when(1000 * F.col("l_quantity") + F.col("l_extendedprice") > 55000, "large").otherwise("small")), "class", ["l_quantity", "l_discount", "l_tax"], max_depth=4, min_leaf=50)
+    return tree
+
+
+@query("cart_confusion", "part")
+def _(p):
+    _, rows = trees.fit_tree(p, "p_brand", ["p_size", "p_retailprice"], max_depth=3, min_leaf=20)
+    return multivariate.confusion(rows, "p_brand")
+
+
+@query("weibull_capability", "part")
+def _(p):
+    return models.weibull_capability(p, "p_retailprice", 900.0, 2000.0)

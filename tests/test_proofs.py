@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigmaloom.functions.special import chi2_quantile, normal_cdf, normal_quantile
-from sigmaloom.operators import inference, multivariate, regression, reliability, spc, survival_models, timeseries
+from sigmaloom.operators import inference, models, multivariate, regression, reliability, spc, survival_models, timeseries
 
 
 def _made(n=240, seed=7):
@@ -161,3 +161,15 @@ def test_mewma(frame):
         want.append(z @ inverse @ z / (0.1 * (1 - 0.9 ** (2 * t)) / 1.9))
     got = spc.mewma(frame, ["a", "y"], "k", []).orderBy("k").toPandas()
     assert np.allclose(got["statistic"], want) and np.allclose(got["upper"], chi2_quantile(1 - 0.0027, 2))
+
+
+def test_weibull_capability(frame):
+    x = _made()["c"] + 0.01
+    got = models.weibull_capability(frame.where("k < 9000").withColumn("x", F.col("c") + 0.01), "x", 0.05, 4.0).first()
+    fit = reliability.weibull(frame.where("k < 9000").withColumn("x", F.col("c") + 0.01), "x", F.lit(True)).first()
+    low, high = (normal_quantile(1 - math.exp(-((v / fit["scale"]) ** fit["shape"]))) for v in (0.05, 4.0))
+    assert got["n"] == len(x) and got["pp"] == pytest.approx((high - low) / 6) and got["ppk"] == pytest.approx(min(-low, high) / 3)
+    assert got["ppm_above"] == pytest.approx(1e6 * math.exp(-((4.0 / fit["scale"]) ** fit["shape"])))
+    one = models.weibull_capability(frame.where("k < 9000").withColumn("x", F.col("c") + 0.01), "x", None, 4.0).first()
+    assert one["pp"] is None and one["ppl"] is None and one["ppk"] == pytest.approx(high / 3)
+    assert models.weibull_capability(frame, "a", 0.1, 1.0).count() == 0
