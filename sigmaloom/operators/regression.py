@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_right, f_right, normal_cdf, normal_quantile, t_cdf, t_quantile
+from ..functions.special import chi2_right, f_right, normal_cdf, normal_cdf_col, normal_quantile, t_cdf, t_quantile
 from ..plans.ordered import in_blocks
 
 
@@ -241,6 +241,50 @@ def glm_scores(df: DataFrame, coefficients: dict[str, float], family: str) -> Da
     return df.withColumn("predicted", F.exp(eta) if family == "poisson" else 1 / (1 + F.exp(-eta)))
 
 
+def dose_response(df: DataFrame, events: str, trials: str, stress: str, link: str = "logit", confidence: float = 0.95, rounds: int = 50) -> DataFrame:
+    """A row a term (constant, stress, ld50) of a binomial response to a stress, by the logit or the probit link.
+
+    ld50 is the stress at which half respond, with its error by the delta method. Every round is one aggregation over
+    rows of events out of trials. Rows with a null, without trials or with more events than trials are left out; fewer
+    than 3 rows or one stress alone give no row. log_likelihood leaves out the binomial coefficients; deviance is
+    against each row's own share.
+    """
+    if link not in ("logit", "probit"):
+        raise ValueError("link is logit or probit")
+    y, n, x = (F.col(c).cast("double") for c in (events, trials, stress))
+    rows = df.select(y.alias("_y"), n.alias("_n"), x.alias("_x")).dropna().where("_n > 0 and _y between 0 and _n and abs(_x) < double('inf')")
+    schema = "term string, estimate double, se double, z double, p_value double, low double, high double, log_likelihood double, deviance double, aic double, rows long"
+    count, share, mean, spread = rows.agg(F.count("*"), F.sum("_y") / F.sum("_n"), F.avg("_x"), F.stddev_samp("_x")).first()
+    if not count or count < 3 or not spread or not 0 < share < 1:
+        return df.sparkSession.createDataFrame([], schema)
+    rows = rows.withColumn("_z", (F.col("_x") - float(mean)) / float(spread))  # undone below
+    beta, floor = np.array([math.log(share / (1 - share)) if link == "logit" else normal_quantile(share), 0.0]), 1e-15
+    for _ in range(rounds):
+        eta = float(beta[0]) + float(beta[1]) * F.col("_z")
+        p = 1 / (1 + F.exp(-eta)) if link == "logit" else normal_cdf_col(eta)
+        held = rows.withColumn("_p", F.greatest(F.least(p, F.lit(1 - floor)), F.lit(floor)))
+        slope = F.col("_p") * (1 - F.col("_p")) if link == "logit" else F.exp(-eta * eta / 2) / math.sqrt(2 * math.pi)
+        held = held.withColumn("_d", F.greatest(slope, F.lit(floor))).withColumn("_w", F.col("_n") * F.col("_d") ** 2 / (F.col("_p") * (1 - F.col("_p"))))
+        m, score, _, _ = gram(held, [F.lit(1.0), F.col("_z")], (F.col("_y") - F.col("_n") * F.col("_p")) / (F.col("_n") * F.col("_d")), F.col("_w"))
+        step = np.linalg.lstsq(m, score, rcond=None)[0]
+        if np.abs(step).max() < 1e-10 * (1 + np.abs(beta).max()):
+            break
+        beta = beta + step / max(1.0, float(np.abs(step).max()) / 4)
+    hit, missed = F.col("_y"), F.col("_n") - F.col("_y")
+    own = F.when(hit > 0, hit * F.log(hit / F.col("_n"))).otherwise(0.0) + F.when(missed > 0, missed * F.log(missed / F.col("_n"))).otherwise(0.0)
+    like, best = held.agg(F.sum(hit * F.log("_p") + missed * F.log1p(-F.col("_p"))), F.sum(own)).first()
+    turn = np.array([[1.0, -mean / spread], [0.0, 1 / spread]])
+    b, cov = turn @ beta, turn @ np.linalg.pinv(m) @ turn.T
+    half = -b[0] / b[1] if b[1] else math.nan
+    error = math.sqrt(max(0.0, cov[0, 0] + 2 * half * cov[0, 1] + half * half * cov[1, 1])) / abs(b[1]) if b[1] else math.nan
+    q, out = normal_quantile(1 - (1 - confidence) / 2), []
+    for term, e, se in (("constant", b[0], math.sqrt(cov[0, 0])), ("stress", b[1], math.sqrt(cov[1, 1])), ("ld50", half, error)):
+        e, se = float(e), float(se)
+        z = e / se if se and term != "ld50" else None
+        out.append((term, e, se, z, None if z is None else 2 * normal_cdf(-abs(z)), e - q * se, e + q * se, float(like), 2 * float(best - like), 4 - 2 * float(like), count))
+    return df.sparkSession.createDataFrame(out, schema)
+
+
 def fitted_line(df: DataFrame, response: str, predictor: str, places: int = 20, confidence: float = 0.95) -> DataFrame:
     """Confidence and prediction bands at equal places of one predictor's range."""
     fit = Fit(df, response, [predictor])

@@ -1452,3 +1452,9 @@ def _(p):
 @query("weibull_capability", "part")
 def _(p):
     return models.weibull_capability(p, "p_retailprice", 900.0, 2000.0)
+
+
+@query("dose_response", "lineitem")
+def _(li):
+    doses = li.groupBy("l_quantity").agg(F.count_if(F.col("l_extendedprice") > 40000).alias("events"), F.count("*").alias("trials"))
+    return regression.dose_response(doses, "events", "trials", "l_quantity", "probit")
