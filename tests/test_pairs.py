@@ -83,13 +83,19 @@ def test_kendall_variance_with_ties_is_that_of_shuffled_ranks(spark):
     assert _kendall(spark, np.ones(9), np.arange(9), 100)["tau_b"] is None and _kendall(spark, [], [], 100)["n"] == 0
 
 
-def _turnbull(rows):
-    """(innermost intervals, masses): a left end next to a right end in the sorted list, then plain expectation steps."""
+def _cells(rows):
+    """(innermost intervals, which rows cover which): a left end next to a right end in the sorted list."""
     rows = [(0.0 if a is None else a, math.inf if b is None else b) for a, b in rows]
     lefts, rights = sorted({(a, 0 if a == b else 2) for a, b in rows}), sorted({(b, 1) for _, b in rows})
     ends = sorted(lefts + rights)
     cells = [(l, r) for l, r in zip(ends, ends[1:]) if l[1] != 1 and r[1] == 1]
     held = np.array([[(a, 0 if a == b else 2) <= l and r <= (b, 1) for l, r in cells] for a, b in rows], float)
+    return [(l[0], r[0]) for l, r in cells], held
+
+
+def _turnbull(rows):
+    """(innermost intervals, masses) by plain expectation steps."""
+    cells, held = _cells(rows)
     p = np.full(len(cells), 1 / len(cells))
     for _ in range(100_000):
         share = held * p
@@ -97,7 +103,7 @@ def _turnbull(rows):
         if np.abs(new - p).sum() < 1e-12:
             break
         p = new
-    return [(l[0], r[0]) for l, r in cells], p
+    return cells, p
 
 
 def _intervals(n, seed):
@@ -127,9 +133,12 @@ def test_a_thousand_ends_are_all_kept(spark):
     rng = np.random.default_rng(2)
     rows = [(float(t), float(t) + float(w)) for t, w in zip(rng.permutation(1000) * 1.0, rng.integers(1, 6, 1000) + 0.5, strict=True)]
     got = interval_life.turnbull(spark.createDataFrame(rows, "a double, b double"), "a", "b").orderBy("low", "high").collect()
-    cells, p = _turnbull(rows)
-    assert [(r["low"], r["high"]) for r in got] == cells and len(cells) > 200
-    assert [r["survival"] for r in got] == pytest.approx(np.maximum(0, 1 - np.cumsum(p)).tolist(), abs=1e-4)
+    cells, held = _cells(rows)
+    assert [(r["low"], r["high"]) for r in got] == cells and len(cells) > 200 and got[0]["converged"]
+    p = np.array([r["mass"] for r in got])
+    slope = (held / (held @ p)[:, None]).mean(axis=0)  # of the likelihood: 1 where there is mass, no more anywhere
+    assert p.sum() == pytest.approx(1) and slope.max() < 1 + 1e-3 and np.abs(slope[p > 1e-4] - 1).max() < 1e-3
+    assert [r["survival"] for r in got] == pytest.approx(np.maximum(0, 1 - np.cumsum(p)).tolist(), abs=1e-9)
 
 
 def test_exact_times_are_their_own_cells_and_none_gives_no_row(spark):
