@@ -9,8 +9,10 @@ the upper nodes, carries the differences from shared bits down, and leaves whole
 the distance. Only a spanning forest of the links found in a group leaves its task.
 
 Pairs of a given shingle Jaccard differ in too many bits for such blocks: at 0.8 in about 10 of 64, and for
-nearly all of them in up to 20. keep_first_similar therefore forms groups by bands of min-hashes instead, uses
-the fingerprints to leave pairs of a group out, and decides by the exact Jaccard of the shingle sets.
+nearly all of them in up to 20. keep_first_similar therefore extends the fingerprint by further words of SimHash
+bits and indexes it once for each of several random sets of bits, whose size and number follow from the number of
+fingerprints and the recall. The groups are searched by the same index, and the exact Jaccard of the shingle
+sets decides.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ SHINGLE, DISTANCE, SEED = 4, 4, 42
 FANOUT, TILE_ROWS, BUFFER_ROWS, FRONTIER = 8, 4096, 400_000, 2_000_000
 #: Fingerprints of a group that are expected at most, were their bits random.
 GROUP_ROWS = 256
-#: Near-duplicate stages: words of a shingle and least Jaccard; bands of min-hashes (a pair at 0.8 shares one of
-#: them with probability 0.997), bits a linked pair may differ in (over 4 deviations more than at 0.8), and
-#: shingles of a group that one task compares.
-STAGE_SHINGLE, JACCARD, BANDS, BAND_ROWS, MOST_BITS, TILE_SHINGLES = 5, 0.8, 25, 7, 24, 1 << 21
-_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Near-duplicate stages: words of a shingle and least Jaccard; words of a fingerprint; bits of its first word and of
+#: all that a linked pair may differ in (over 4 deviations more than at 0.8); and shingles of a group that one task compares.
+STAGE_SHINGLE, JACCARD, PRINT_WORDS, MOST_BITS, MOST_WIDE_BITS, TILE_SHINGLES = 5, 0.8, 3, 24, 56, 1 << 21
+#: Share of bits in which a pair at 0.8 differs, one deviation more than its mean of 0.15, and the chance to miss it;
+#: rows of a group that are expected, were bits random, and pairs looked at together.
+PAIR_SHARE, MISS, WIDE_GROUP_ROWS, PAIRS_AT_ONCE = 0.175, 0.003, 512, 250_000
 
 BYTE_PLACES = np.arange(8, dtype=np.int64) * 256
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -144,19 +147,33 @@ def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def group_forest(group: np.ndarray, codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) for members linked to another of their group; rows may come in any order of codes."""
+def group_forest(group: np.ndarray, codes: np.ndarray, distance: int, wide: np.ndarray | None = None, wide_distance: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) for members linked to another of their group; rows may come in any order of codes.
+
+    wide: further words of the fingerprints, a row each; linked are then only pairs that differ in up to
+    wide_distance bits of all words. At such distances nodes prune little, so fewer queries go at once.
+    """
     order = np.lexsort((gray_rank(codes), group))
     group, sorted_ = group[order], codes[order]
     index = GrayIndex(group, sorted_)
     lo = np.searchsorted(index.top_group, group, "left")
     tops = np.searchsorted(index.top_group, group, "right") - lo
-    root, work, at = np.arange(len(codes)), np.cumsum(tops), 0
+    if wide is None:
+        root, work, at, most = np.arange(len(codes)), np.cumsum(tops), 0, FRONTIER // 64
+    else:
+        wide = wide[order]
+        sizes = np.searchsorted(group, group, "right") - np.searchsorted(group, group, "left")
+        root, work, at, most = np.arange(len(codes)), np.cumsum(sizes), 0, PAIRS_AT_ONCE
     while at < len(codes):
-        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + FRONTIER // 64, "right")))
+        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + most, "right")))
         query = np.repeat(np.arange(at, end), tops[at:end])
         offset = np.arange(len(query)) - np.repeat(np.cumsum(tops[at:end]) - tops[at:end], tops[at:end])
         a, b = index.pairs(sorted_, query, np.repeat(lo[at:end], tops[at:end]) + offset, distance)
+        if wide is not None:
+            differ = np.bitwise_count(sorted_[a] ^ sorted_[b]).astype(np.int64)
+            for word in wide.T:
+                differ += np.bitwise_count(word[a] ^ word[b])
+            a, b = a[differ <= wide_distance], b[differ <= wide_distance]
         root = join_roots(root, a, b)
         at = end
     linked = np.flatnonzero(root != np.arange(len(codes)))
@@ -178,27 +195,33 @@ def links(classes: DataFrame, distance: int = DISTANCE, tile_rows: int = TILE_RO
     signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(distance, classes.count())]
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("fingerprint").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)))
     dealt = tiled(classes.select("fingerprint", "id", F.explode(keys).alias("block")), "block", "fingerprint", tile_rows)
-    dealt = dealt.select("fingerprint", "id", F.xxhash64("block", "tile_a", "tile_b").alias("grp"))
-    dealt = dealt.repartition("grp").sortWithinPartitions("grp")
 
     def search(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = group_forest(rows[:, 2], np.ascontiguousarray(rows[:, 0]).view(np.uint64), distance)
+        a, b = group_forest(rows[:, 0], np.ascontiguousarray(rows[:, 2]).view(np.uint64), distance)
         return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["a", "b"])
 
+    return _search_groups(dealt, ["id", "fingerprint"], search, "a long, b long", BUFFER_ROWS)
+
+
+def _search_groups(dealt: DataFrame, columns: list[str], search, schema: str, buffer_rows: int) -> DataFrame:
+    """What search gives for the rows (group, columns ...), all longs, of whole groups of tiled rows."""
+    dealt = dealt.select(F.xxhash64("block", "tile_a", "tile_b").alias("grp"), *columns)
+    dealt = dealt.repartition("grp").sortWithinPartitions("grp")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1))
-            if sum(map(len, held)) >= BUFFER_ROWS:
+            held.append(np.stack([column.to_numpy() for column in batch.columns], axis=1))
+            if sum(map(len, held)) >= buffer_rows:
                 rows = np.concatenate(held)
-                last = int(np.searchsorted(rows[:, 2], rows[-1, 2], "left"))  # the last group may go on
+                last = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left"))  # the last group may go on
                 if last:
                     yield search(rows[:last])
                 held = [rows[last:]]
         if held and len(rows := np.concatenate(held)):
             yield search(rows)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -225,13 +248,30 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A hash of the min-hashes of each band of a set of shingle hashes; sets without shingles share all."""
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (_MULTIPLIERS[:, None] * shingles[None, at : at + 2048]).min(axis=1))
-    rows = least.reshape(BANDS, -1)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
+def wide_print(hashes: np.ndarray) -> list[int]:
+    """The words of an extended SimHash as signed longs: majority bits of the hashes, then of mixtures of them."""
+    out = []
+    for k in range(PRINT_WORDS):
+        out.append(majority_bits(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(k)
+        hashes ^= hashes >> np.uint64(33)
+    return np.array(out, np.uint64).view(np.int64).tolist()
+
+
+def random_keys(rows: int) -> list[list[int]]:
+    """Masks over the words of a fingerprint, one list for each key of an index of so many fingerprints.
+
+    A key has as many bits as make groups of WIDE_GROUP_ROWS of random fingerprints; there are as many keys as
+    leave a pair that differs in PAIR_SHARE of its bits without a common key with a chance of MISS.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, rows) / WIDE_GROUP_ROWS)))
+    number = math.ceil(math.log(MISS) / math.log(1 - (1 - PAIR_SHARE) ** bits)) if bits else 1
+    rng, out = np.random.default_rng(SEED), []
+    for _ in range(number):
+        chosen = rng.choice(64 * PRINT_WORDS, bits, replace=False).tolist()
+        masks = [sum(1 << (b % 64) for b in chosen if b // 64 == word) for word in range(PRINT_WORDS)]
+        out.append([m - (1 << 64) if m >> 63 else m for m in masks])
+    return out
 
 
 def set_mark(shingles: np.ndarray) -> int:
@@ -269,7 +309,7 @@ def similar_roots(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, mark, n, keys) of docs(doc_id, text): what stands for a text's set of shingles, its size and its bands."""
+    """(doc_id, mark, n, print) of docs(doc_id, text): what stands for a text's set of shingles, its size and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,22 +317,42 @@ def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(at, 1024)
                 sets = [np.unique(shingle_hashes(t or b"", shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 columns = [pa.array([set_mark(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
-                keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, keys], ["doc_id", "mark", "n", "keys"])
+                prints = pa.array([wide_print(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, prints], ["doc_id", "mark", "n", "print"])
+
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, print array<long>")
+
+
+def candidate_groups(classes: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(centre, mark): the components of close fingerprints within each group of the index over classes(mark, print).
+
+    Two close fingerprints that share a key have a centre, the component's least mark, in common.
+    """
+    words = [f"_p{k}" for k in range(PRINT_WORDS)]
+    prints = classes.select("mark", *[F.col("print")[k].alias(w) for k, w in enumerate(words)])
+    masks = random_keys(classes.count())
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(words, mask, strict=True)]) for k, mask in enumerate(masks)])
+    dealt = tiled(prints.select("mark", *words, F.explode(keys).alias("block")), "block", "mark", tile_rows)
+
+    def search(rows: np.ndarray) -> pa.RecordBatch:
+        prints = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        member, root = group_forest(rows[:, 0], np.ascontiguousarray(prints[:, 0]), MOST_BITS, prints[:, 1:], MOST_WIDE_BITS)
+        centre = rows[:, 1].copy()
+        np.minimum.at(centre, root, rows[member, 1])
+        tops = np.unique(root)
+        centres, marks = np.concatenate([centre[root], centre[tops]]), np.concatenate([rows[member, 1], rows[tops, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(centres), pa.array(marks)], ["centre", "mark"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n long, keys array<long>")
+    return _search_groups(dealt, ["mark", *words], search, "centre long, mark long", BUFFER_ROWS // 4).distinct()
 
 
 def similar_links(classes: DataFrame, docs: DataFrame, shingle: int, jaccard: float, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """Edges (a, b) of marks that span the links of classes(mark, id, n, keys); texts are read from docs(doc_id, text).
+    """Edges (a, b) of marks that span the links of classes(mark, id, n, print); texts are read from docs(doc_id, text).
 
-    Classes that share a band go to the group of the band's least mark. Groups above tile_shingles are
-    compared tile by tile, none is cut.
+    Groups of candidates above tile_shingles are compared tile by tile, none is cut.
     """
-    rows = classes.select("mark", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("mark").alias("centre"), F.max("mark").alias("last")).where("centre <> last").drop("last")
-    groups = written(rows.join(shared, "key").select("centre", "mark").distinct(), "similar-groups")
-    dealt = tiled(groups.join(classes.drop("keys"), "mark"), "centre", "mark", tile_shingles, "n")
+    groups = written(candidate_groups(classes), "similar-groups")
+    dealt = tiled(groups.join(classes.drop("print"), "mark"), "centre", "mark", tile_shingles, "n")
     dealt = dealt.select(F.xxhash64("centre", "tile_a", "tile_b").alias("grp"), "mark", "id")
     dealt = dealt.join(docs.where("doc_id is not null"), F.col("id") == F.col("doc_id")).select("grp", "mark", "text")
     dealt = dealt.repartition("grp").sortWithinPartitions("grp")
@@ -330,7 +390,7 @@ def keep_first_similar(docs: DataFrame, shingle: int = STAGE_SHINGLE, jaccard: f
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = written(_profiles(texts, shingle), "similar-profiles")
-    classes = profiles.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = profiles.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("print").alias("print"))
     classes = written(classes, "similar-classes")
     member = components(similar_links(classes, texts, shingle, jaccard, tile_shingles))
     named = classes.join(member, classes.mark == member.node, "left").select("id", F.coalesce("component", "mark").alias("component"))

@@ -278,6 +278,25 @@ def test_keep_first_similar_finds_pairs_from_a_jaccard_of_08(spark, tile_shingle
     assert simhash.keep_first_similar(docs.limit(0)).count() == 0
 
 
+def test_candidates_come_from_the_gray_index_and_pairs_at_08_are_among_them(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_GROUP_ROWS", 8)
+    rng, sets = random.Random(6), []
+    for _ in range(1200):  # of 200 hashes a set, 178 in common: a Jaccard of 0.80
+        a = [rng.getrandbits(64) for _ in range(222)]
+        sets += [a[:200], a[22:]]
+    prints = [simhash.wide_print(np.array(x, np.uint64)) for x in sets]
+    assert prints[0][0] % (1 << 64) == simhash.majority_bits(np.array(sets[0], np.uint64)), "the first word is the SimHash"
+    assert len(simhash.random_keys(len(sets))) > 20
+    classes = spark.createDataFrame([(k, p) for k, p in enumerate(prints)], "mark long, print array<long>").repartition(3)
+    for tile_rows in (4096, 5):
+        found = simhash.candidate_groups(classes, tile_rows).collect()
+        centres = {}
+        for r in found:
+            centres.setdefault(r.mark, set()).add(r.centre)
+        met = sum(bool(centres.get(k, set()) & centres.get(k + 1, set())) for k in range(0, len(sets), 2))
+        assert met >= 0.99 * 1200 and all(r.centre // 2 == r.mark // 2 for r in found), (met, len(found))
+
+
 def test_pipeline_drops_near_copies_at_08(spark, sf_dir):
     import corpus_pipeline
 
