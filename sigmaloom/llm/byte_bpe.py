@@ -113,9 +113,11 @@ class RankEncoder:
 MAPPED = {b: c for b, c in enumerate(BYTE_CHARS)}
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids, n_tokens): each text's ranks as little-endian unsigned 32-bit integers, no special tokens.
 
+    decoded: also the column decoded, as decode gives it, from the ids while they are at hand.
+
     Null and empty texts have no ids. Repeated rows stay, other columns are ignored. No shuffle.
     vocabulary: the bytes of a rank file (of fixed size, so it is broadcast). pattern: a regular expression
     in which a space between two characters that are no white space begins a match.
@@ -126,13 +128,21 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, model = shared.value
         enc = RankEncoder(read_ranks(lines), pattern, model)
+        tokens = sorted(enc.ranks, key=enc.ranks.__getitem__)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [enc.text(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+                columns = [part.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
+                if decoded:
+                    columns.append(pa.array([_bytes_of(i, tokens) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "decoded"][: len(columns)])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long" + ", decoded binary" * decoded)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+def _bytes_of(ids: bytes | None, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, vocabulary: bytes) -> DataFrame:
@@ -148,7 +158,7 @@ def decode(encoded: DataFrame, vocabulary: bytes) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [b"".join(map(tokens.__getitem__, np.frombuffer(i or b"", "<u4").tolist())) for i in part.column(1).to_pylist()]
+                texts = [_bytes_of(i, tokens) for i in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary")

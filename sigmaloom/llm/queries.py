@@ -64,8 +64,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = _vocabulary("byte_bpe_multi_50k.tiktoken").read_bytes()
-    encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, vocabulary).select(
+    encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -102,6 +102,17 @@ def test_token_store_round_trip(docs, texts, empty, spark, tmp_path):
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
 
 
+def test_byte_bpe_decodes_in_the_pass_that_encodes(spark, docs):
+    vocabulary = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    both = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, decoded=True)
+    apart = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
+    assert sorted(both.select(*apart.columns).collect()) == sorted(apart.collect())
+    from sigmaloom.llm import queries
+
+    plan = queries.op8_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1, "a second Python worker a core takes memory"
+
+
 def test_chunk_encoder_equals_the_library_on_random_texts():
     from tokenizers import Tokenizer
 
