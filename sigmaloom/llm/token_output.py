@@ -34,7 +34,7 @@ BLOCK_BYTES = 1 << 20
 #: Bounds of the dictionary's training sample and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 16 << 20, 64 << 10
 #: Entries of a worker's table from a chunk of text to its ids, beyond which it becomes the older one of two.
-CHUNK_ENTRIES = 200_000
+CHUNK_ENTRIES = 300_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, ahead long, first_doc long, last_doc long, n_docs int, n_null int, n_ids long, dict_hash string, "
@@ -43,6 +43,8 @@ BLOCK_SCHEMA = (
 
 #: Characters that end a chunk and that the pre-tokenizer keeps apart from letters.
 PLAIN_ENDS = b".,;:!?#$%&*|()[]-"
+#: First bytes of U+0300 to U+037F, combining marks above all.
+COMBINING = (b"\xcc", b"\xcd")
 #: The normaliser and the pre-tokenizer under which texts are encoded chunk by chunk.
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WORD_SPLIT = {
@@ -90,12 +92,14 @@ class ChunkEncoder(dict):
             return ids
         core = chunk.rstrip(PLAIN_ENDS)
         if core.isalpha():
-            if len(core) < len(chunk):  # put together each time, so the table holds words once
-                return self[core] + self[chunk[len(core) :]]
+            if len(core) < len(chunk):
+                ids = self[chunk] = self[core] + self[chunk[len(core) :]]
+                return ids
             word = core.lower().decode()
         elif (text := core.decode()).isalpha() and max(text) < "\u0100":
             if len(core) < len(chunk):
-                return self[core] + self[chunk[len(core) :]]
+                ids = self[chunk] = self[core] + self[chunk[len(core) :]]
+                return ids
             word = text.lower().encode().decode("latin-1").translate(self.byte_chars)
         else:
             ids = self[chunk] = array(self.code, self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
@@ -115,8 +119,10 @@ class ChunkEncoder(dict):
                 self.older = dict(self)
                 self.clear()
             text = text or b""
-            low = text.lower()  # added tokens are matched as they stand
-            yield b"".join(map(get, (text if any(m in low for m in self.marks) else low).split())) + end
+            low = text.lower()
+            # added tokens are matched as they stand; some letters compose with a mark only once they are lower case
+            as_is = any(m in low for m in self.marks) or any(m in low for m in COMBINING)
+            yield b"".join(map(get, (text if as_is else low).split())) + end
 
 
 _worker_encoders: dict[tuple[int, int], ChunkEncoder] = {}

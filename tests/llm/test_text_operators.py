@@ -125,6 +125,16 @@ def test_chunk_encoder_equals_the_library_on_random_texts():
         assert np.frombuffer(ids, encoder.id_type).tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_chunk_encoder_composes_marks_before_it_lowers():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), token_output.ChunkEncoder(open(path).read(), 1)
+    texts = [c + m + "a, " + c + m for c in "jJhHtTwWyYeE" for m in "\u030c\u0331\u0308\u030a"]  # some compose as lower case alone
+    for text, ids in zip(texts, encoder.texts([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, encoder.id_type).tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_chunk_encoder_takes_other_tokenizers():
     from tokenizers import Tokenizer
 
