@@ -35,22 +35,33 @@ def _counts(df: DataFrame, time: str, event: Column, covariates: list[Column], r
     return written_rows(placed.select(*[F.col(f"_v.{c}").alias(c) for c in ("_t", "_n", "_d", *xs)]))
 
 
-def _hazard(z: np.ndarray) -> np.ndarray:
+def _upper_tail(z: np.ndarray) -> np.ndarray:
+    """The upper tail of the normal distribution."""
+    return np.fromiter(map(math.erfc, (z / math.sqrt(2)).tolist()), float, len(z)) / 2
+
+
+def _hazard(z: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """The normal density over the upper tail."""
-    tail = np.array([math.erfc(v) / 2 for v in (z / math.sqrt(2)).tolist()])
     density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
     far = z > 25
     return np.where(far, z + 1 / np.where(far, z, 1.0), density / np.maximum(tail, 1e-300))
 
 
-def _terms(z: np.ndarray, family: str) -> tuple[np.ndarray, ...]:
-    """(log-likelihood of a failure, of a survivor, their slopes in z, their curvatures in z)."""
+def _terms(z: np.ndarray, family: str, censored: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(log-likelihood of a failure, of a survivor, their slopes in z, their curvatures in z).
+
+    The lognormal's survivor terms, which cost most, are zero where no row is censored.
+    """
     if family == "weibull":
         e = np.exp(np.minimum(z, 600.0))
         return z - e, -e, 1 - e, -e, -e, -e
-    h = _hazard(z)
-    log_tail = np.where(z > 25, -z * z / 2 - np.log(np.maximum(z, 1.0)) - 0.5 * math.log(2 * math.pi), np.log(np.maximum(np.array([math.erfc(v) / 2 for v in (z / math.sqrt(2)).tolist()]), 1e-300)))
-    return -z * z / 2 - 0.5 * math.log(2 * math.pi), log_tail, -z, -h, np.full(len(z), -1.0), -h * (h - z)
+    log_tail, slope, curve = (np.zeros(len(z)) for _ in range(3))
+    c = z[censored]
+    tail = _upper_tail(c)
+    h = _hazard(c, tail)
+    log_tail[censored] = np.where(c > 25, -c * c / 2 - np.log(np.maximum(c, 1.0)) - 0.5 * math.log(2 * math.pi), np.log(np.maximum(tail, 1e-300)))
+    slope[censored], curve[censored] = -h, -h * (h - c)
+    return -z * z / 2 - 0.5 * math.log(2 * math.pi), log_tail, -z, slope, np.full(len(z), -1.0), curve
 
 
 def _sums(blocks: DataFrame, family: str, tried: list[tuple[float, np.ndarray]], p: int) -> np.ndarray:
@@ -62,11 +73,12 @@ def _sums(blocks: DataFrame, family: str, tried: list[tuple[float, np.ndarray]],
         for batch in batches:
             for row in batch.to_dict("records"):
                 t, n, d = (np.asarray(row[c], float) for c in ("_t", "_n", "_d"))
+                censored = np.flatnonzero(n > d)
                 x = np.column_stack([np.ones(len(t)), *(np.asarray(row[f"_x{i}"]) for i in range(p))])
                 for k, (threshold, b) in enumerate(shapes):
                     y, scale = np.log(t - threshold), math.exp(b[-1])
                     z = (y - x @ np.array(b[:-1])) / scale
-                    dead, left, u1, u0, v1, v0 = _terms(z, family)
+                    dead, left, u1, u0, v1, v0 = _terms(z, family, censored)
                     like = d @ (dead - b[-1] - y) + (n - d) @ left
                     u, v = d * u1 + (n - d) * u0, d * v1 + (n - d) * v0
                     gradient = np.append(-(x.T @ u) / scale, -(u @ z) - d.sum())
@@ -144,8 +156,11 @@ def threshold_life(df: DataFrame, time: str, event: Column, family: str = "weibu
     for k in range(refine + 1):
         starts = []
         for t in thresholds:
+            if known:  # the maximum moves little between neighbours
+                starts.append(min(known.values(), key=lambda f: abs(f["threshold"] - t))["b"].copy())
+                continue
             spread = max(math.sqrt(max(s2 / n - (s1 / n) ** 2, 1e-6)), 0.05)
-            starts.append(np.array([math.log(max(total / n - t, 1e-300)), math.log(spread if best is None else best["scale"])]))
+            starts.append(np.array([math.log(max(total / n - t, 1e-300)), math.log(spread)]))
         for f in _fit(blocks, family, thresholds, starts, 0):
             f["scale"] = math.exp(f["b"][-1])
             if math.isfinite(f["like"]) and (family != "weibull" or f["scale"] < 1):

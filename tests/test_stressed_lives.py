@@ -76,3 +76,20 @@ def test_accelerated_life_is_the_maximum_and_gives_percentiles(spark):
     assert found[25.0, 10.0] < found[25.0, 50.0] < found[25.0, 90.0] and found[80.0, 50.0] < 1000 < found[25.0, 50.0]
     one = spark.createDataFrame([(float(a), 40.0) for a in t], "t double, c double")
     assert lives.accelerated_life(one, "t", F.lit(True), "c", [25.0])[0].count() == 0
+
+
+def test_lognormal_tails_are_taken_of_censored_times_alone_and_few_steps_are_made(spark, monkeypatch):
+    z, asked = np.linspace(-6, 30, 400), []
+    plain = lives._upper_tail
+    monkeypatch.setattr(lives, "_upper_tail", lambda c: asked.append(len(c)) or plain(c))
+    some, every = lives._terms(z, "lognormal", np.arange(0, 400, 4)), lives._terms(z, "lognormal", np.arange(400))
+    assert asked == [100, 400]
+    for a, b in zip(some, every, strict=True):
+        assert np.array_equal(a[::4], b[::4])
+    passes, sums = [], lives._sums
+    monkeypatch.setattr(lives, "_sums", lambda blocks, family, tried, p: passes.append(len(tried)) or sums(blocks, family, tried, p))
+    rng = np.random.default_rng(5)
+    rows = [(float(50 + a), bool(b < 0.6)) for a, b in zip(np.exp(rng.normal(2.5, 0.5, 400)), rng.random(400), strict=True)]
+    assert lives.threshold_life(spark.createDataFrame(rows, "t double, d boolean"), "t", F.col("d"), "lognormal").first()["reason"] is None
+    refined = sum(k for k in passes if k <= 8)
+    assert refined <= 3 * 8 * 5, "refined thresholds start from their neighbours' maxima"
